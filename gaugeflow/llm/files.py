@@ -17,6 +17,6 @@ def put(uri: str, data: bytes) -> None:
     folder, _, name = path.rpartition("/")
     store.create_dir(folder, recursive=True)
     temporary = f"{folder}/_{uuid.uuid4().hex}-{name}"
-    with store.open_output_stream(temporary) as out:
+    with store.open_output_stream(temporary, compression=None) as out:
         out.write(data)
     store.move(temporary, path)

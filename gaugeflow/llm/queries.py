@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, secrets, token_files
-from .common import table
+from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, token_files, token_rollup, warc
+from .common import new_path, table, written
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,39 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language.is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: every document is counted; all but the least id of equal
+    texts are deleted; what is left is revised to its distinct lines; and the
+    deletions come a second time."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
+    counted = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), token_rollup.words(F.col("text")).alias("words"), token_rollup.words_and_marks(F.col("text")).alias("marks"), token_rollup.words(lines).alias("in_lines"))
+    counted = written(counted, "counted")
+    first = counted.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    copies = counted.join(first, "same", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+
+    def events(rows: DataFrame, kind: str, now: str, was: str, version: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(kind).alias("kind"), F.expr(now).alias("n_tokens"), F.expr(was).alias("was_tokens"))
+
+    folder = new_path(spark, "token-deltas")
+    gone = copies.where("copy")
+    deletions = events(gone, "delete", "0", "words", "words-1").union(events(gone, "delete", "0", "marks", "marks-2"))
+    token_rollup.commit(folder, "1-load", events(counted, "insert", "words", "0", "words-1").union(events(counted, "insert", "marks", "0", "marks-2")))
+    token_rollup.commit(folder, "2-copies", deletions)
+    token_rollup.commit(folder, "3-lines", events(copies.where("not copy and in_lines <> words"), "revise", "in_lines", "words", "words-1"))
+    token_rollup.commit(folder, "2-copies", deletions)
+    return token_rollup.totals(spark, folder)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -50,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_token_rollup": op5_token_rollup,
+    "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,

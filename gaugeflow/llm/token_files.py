@@ -185,7 +185,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
         for pdf in batches:
             for uri, base in zip(pdf["uri"], pdf["base"], strict=True):
                 store, path = pafs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path) as f:
+                with store.open_input_stream(path, compression=None) as f:
                     seg = Segment(f.read())
                 ends = seg.ends.all()
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if seg.n else ends
