@@ -43,5 +43,8 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
 
 def need(df: DataFrame, *cols: str) -> DataFrame:
-    """Just ``cols``, so that other columns of any name can't clash."""
+    """Just ``cols``, so that other columns of any name can't clash.
+
+    Batches to Python get fewer rows than by default, as texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.select(*[F.col(f"`{c}`") for c in cols])

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,35 +34,50 @@ from .common import need, written
 U = np.uint64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+def _mix(x: np.ndarray) -> np.ndarray:
+    for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        x = (x ^ (x >> U(31))) * U(k)
+    return x ^ (x >> U(29))
 
 
-_words = _Words()
+#: A random number for each byte, and an odd base with its inverse modulo 2 ** 64.
+_BYTES = _mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_BASE = 0x5851F42D4C957F2D
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
-    return x ^ (x >> U(29))
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of the base and of its inverse."""
+    out = np.full((2, 1 << bits), 1, U)
+    out[0, 1:], out[1, 1:] = _BASE, _BACK
+    return tuple(np.multiply.accumulate(out, axis=1))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct hashed shingles of a text, ascending. A-Z are lower-cased,
     words are runs of other than white space; fewer words than ``size`` are one
-    shingle, none are none."""
+    shingle, none are none.
+
+    A shingle is hashed as the bytes from its first word to its last: a sum of
+    bytes' numbers times powers of the base, as a difference of running sums.
+    """
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, U)
-    if len(_words) > 500_000:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), U, len(words))
-    size = min(size, len(h))
-    out = np.full(len(h) - size + 1, size, U)
-    for i in range(size):
-        out = _mix(out * U(31) + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    forth, back = _powers(max(17, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTES[data] * forth[: len(data)], out=sums[1:])
+    gaps = np.flatnonzero(data == 32)
+    size = min(size, len(words))
+    starts = np.concatenate([[0], gaps + 1])[: len(words) - size + 1]
+    ends = np.concatenate([gaps, [len(data)]])[size - 1 :]
+    found = _mix((sums[ends] - sums[starts]) * back[starts] ^ (ends - starts).astype(U))
+    found.sort()
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 @dataclass(frozen=True)
@@ -127,7 +143,7 @@ def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarr
                     seen.add(own)
                     held.append(s >> U(24))
                     n += len(s)
-            if n >= 4_000_000:
+            if n >= 1_500_000:
                 yield runs()
                 held, n = [], 0
         if held:
