@@ -1,8 +1,54 @@
-"""A corpus pipeline: quality rules, near duplicates, decontamination, secrets, packing."""
+"""A corpus pipeline of five stages over ``documents``.
 
-STAGES: list = []
+Texts that the quality rules reject go; of near duplicates (five-word shingles,
+similarity of 0.8) one stays; texts with benchmark passages go; secrets are
+replaced; what is left is packed into sequences. Each stage works on all that
+the one before it kept, and is written before the next reads it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from gaugeflow.llm import decontaminate, jaccard, packing, quality, secrets
+from gaugeflow.llm.common import table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, size=5, up=80, down=100)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), size=10)
+
+
+def secret_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secret_strings),
+    ("best-fit packing", sequences),
+]
+
+#: No SQL expresses the vote model, the randomness tests or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -309,7 +309,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int = 100, heavy_limit: int = 500_000) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): ``doc_id``, ``n_shingles``,
-    ``component_id`` and ``class``.
+    ``component_id``, ``class`` (of equal sets) and ``root`` (the component's).
 
     Two documents link when their sets' Jaccard similarity is ``up / down`` or
     more; ``component_id`` is the least ``doc_id`` reachable by links. Null,
@@ -355,4 +355,23 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     placed = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "class")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "class", "root")
+
+
+def keep_one(docs: DataFrame, size: int = 5, up: int = 80, down: int = 100) -> DataFrame:
+    """``docs``, with their own columns, but of each component only the row of
+    least ``doc_id`` (of equal ids one). Documents without words all stay."""
+    found = jaccard_components(docs, size, up, down)
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.class").alias("__chosen"))
+    nothing = class_of(np.zeros(0, U))
+
+    @F.pandas_udf("long")
+    def own_class(texts: pd.Series) -> pd.Series:
+        return pd.Series([class_of(shingles(t, size)) for t in texts], dtype="int64")
+
+    marked = docs.withColumn("__class", own_class(F.col("text")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = written(marked.select(whole.alias("__row"), F.col("doc_id").cast("long").alias("__doc"), "__class"), "classed")
+    wordless = marked.where(F.col("__class") == nothing)
+    rest = marked.where(F.col("__class") != nothing).join(chosen, (F.col("__class") == F.col("__chosen")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__class", "__doc"])
+    return wordless.unionByName(rest).select("__row.*")
