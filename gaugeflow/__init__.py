@@ -1,0 +1 @@
+"""Analytics for networks of measuring stations, as Spark DataFrame operators."""
