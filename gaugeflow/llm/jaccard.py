@@ -210,50 +210,49 @@ def _may_link(limit: Threshold, a: str, b: str):
     return sizes & (F.least(na - pa, nb - pb) >= least)
 
 
-def _bloom(keys: DataFrame, column: str, bits: int = 26) -> np.ndarray:
-    """A bit map (8 MB, whatever the input) that has the bits of every key."""
-    places = keys.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(i), column), 64 - bits) for i in range(3)])).alias("p")).distinct()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << 16, np.uint8)
-        own[pdf["p"].to_numpy() & 0xFFFF] = 1
-        return pd.DataFrame({"at": [int(pdf["p"].iloc[0]) >> 16], "bytes": [np.packbits(own, bitorder="little").tobytes()]})
-
-    out = np.zeros(1 << bits - 3, np.uint8)
-    for r in places.groupBy(F.shiftright("p", 16)).applyInPandas(pack, "at long, bytes binary").toLocalIterator():
-        out[r["at"] << 13 : r["at"] + 1 << 13] = np.frombuffer(r["bytes"], np.uint8)
+#: A bit map over classes: three bits a class, cut from its hash, of 2 ** 26 (8 MB, whatever the input).
+_BITS, _SHIFTS = 26, (0, 19, 38)
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """The bits of all classes in ``keys``; past tens of millions of them it
+    holds fewer and fewer sets back, but never one that is asked for."""
+    places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("class", k).bitwiseAND((1 << _BITS) - 1) for k in _SHIFTS])).alias("p"))
+    words = places.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("word"))
+    out = np.zeros(1 << _BITS - 5, "<u4")
+    for chunk in words.groupBy(F.shiftright("at", 13)).agg(F.collect_list(F.struct("at", "word")).alias("w")).toLocalIterator():
+        at, word = np.array([tuple(x) for x in chunk["w"]], np.int64).T
+        out[at] = word
     return out
 
 
 def _sets_of(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
     """class, set (its shingles' bytes) of the classes in ``keys``, once each."""
-    bits = 26
-    sent = docs.sparkSession.sparkContext.broadcast(_bloom(keys, "class", bits))
-    known = need(docs, "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(keys))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        bits, seen = sent.value, set()
+
+        def wanted(own: int) -> bool:
+            for k in _SHIFTS:
+                p = own >> k & (1 << _BITS) - 1
+                if not int(bits[p >> 5]) >> (p & 31) & 1:
+                    return False
+            return True
+
         for pdf in batches:
             rows = []
             for text in pdf["text"].tolist():
                 s = shingles(text, size)
-                if len(s) and (own := class_of(s)) not in seen:
+                if len(s) and wanted(own := class_of(s)) and own not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(own)
                     rows.append((own, s.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "set"])
 
-    made = known.mapInPandas(each, "class long, set binary")
-    probes = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "class"), 64 - bits) for i in range(3)]
-
-    @F.pandas_udf("boolean")
-    def there(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        bitmap = sent.value
-        at = np.stack([a, b, c])
-        return pd.Series((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0))
-
-    return made.where(there(*probes)).join(keys, "class", "left_semi").dropDuplicates(["class"])
+    made = need(docs, "text").mapInPandas(each, "class long, set binary")
+    return made.join(keys, "class", "left_semi").dropDuplicates(["class"])
 
 
 def suffix_reject(a: np.ndarray, b: np.ndarray, differ: int, depth: int = 3) -> bool:
