@@ -95,9 +95,9 @@ def station_from_file_name(path: Column) -> Column:
 def flatten_observations(raw: DataFrame) -> DataFrame:
     """Readings of partner answers (``station_id`` beside the answer's fields);
     a failed answer raises its message, an empty one has no rows."""
-    failed = F.raise_error(F.coalesce("Foutmelding", F.lit("the request failed"))).cast("boolean")
-    fine = raw.where(F.when(F.coalesce("Succesvol", F.lit(False)) | F.col("WaarnemingenLijst").isNotNull(), F.coalesce("Succesvol", F.lit(True))).otherwise(failed) | F.when(~F.coalesce("Succesvol", F.lit(True)), failed))
-    rows = fine.select("station_id", F.explode("WaarnemingenLijst").alias("l")).select("station_id", F.explode("l.MetingenLijst").alias("m"))
+    failed = F.raise_error(F.coalesce("Foutmelding", F.lit("the request failed")))
+    lists = F.when(F.coalesce("Succesvol", F.lit(True)), F.col("WaarnemingenLijst")).otherwise(failed)
+    rows = raw.select("station_id", F.explode(lists).alias("l")).select("station_id", F.explode("l.MetingenLijst").alias("m"))
     return rows.select("station_id", F.try_to_timestamp(F.col("m.Tijdstip")).alias("ts"), F.col("m.Meetwaarde.Waarde_Numeriek").alias("value"))
 
 
@@ -111,9 +111,13 @@ def explode_bundle(bundles: DataFrame) -> DataFrame:
 
 def to_bundle(daily: DataFrame) -> DataFrame:
     """Dense arrays a station and year; a year's days are at most 366."""
-    return daily.groupBy("station_id", F.col("year").alias("y")).agg(F.map_from_entries(F.collect_list(F.struct("doy", F.struct("min_v", "max_v")))).alias("m")).select(
-        "station_id", "y", *[F.transform(F.sequence(F.lit(0), F.dayofyear(F.make_date("y", F.lit(12), F.lit(31))) - 1), lambda i, c=c: F.try_element_at("m", i)[c]).alias(c.removesuffix("_v")) for c in ("min_v", "max_v")],
-    )
+    by_year = daily.groupBy("station_id", F.col("year").alias("y")).agg(F.map_from_entries(F.collect_list(F.struct("doy", F.struct("min_v", "max_v")))).alias("m"))
+    days = F.sequence(F.lit(0), F.dayofyear(F.make_date("y", F.lit(12), F.lit(31))) - 1)
+
+    def dense(field: str) -> Column:
+        return F.transform(days, lambda i: F.try_element_at("m", i)[field])
+
+    return by_year.select("station_id", "y", dense("min_v").alias("min"), dense("max_v").alias("max"))
 
 
 def explode_shard(shards: DataFrame, year: int) -> DataFrame:

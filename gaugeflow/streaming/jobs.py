@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +83,7 @@ def stateful_gaps(points: DataFrame, limit_minutes: float = 90) -> DataFrame:
         yield pd.DataFrame(rows, columns=["station_id", "from_ts", "to_ts", "hours"])
 
     cast = points.select("station_id", F.col("ts").cast("timestamp").alias("ts"))
-    return cast.groupBy("station_id").applyInPandasWithState(follow, "station_id string, from_ts timestamp, to_ts timestamp, hours double", "last long", "append", GroupStateTimeout.NoTimeout)
+    return cast.groupBy("station_id").applyInPandasWithState(follow, f"station_id {dict(points.dtypes)['station_id']}, from_ts timestamp, to_ts timestamp, hours double", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def only_newer(points: DataFrame, archive: DataFrame) -> DataFrame:
@@ -98,6 +98,3 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str, c
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
-
-
-Merge = Callable[[DataFrame, int], None]
