@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, token_files, token_rollup, warc
 from .common import new_path, table, written
+from .sql import SQL
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
