@@ -136,7 +136,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(docs: DataFrame, level: float = 0.01) -> DataFrame:
+def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): ``doc_id``, ``n_assign``,
     ``n_access``, ``n_hex``, ``n_random``, ``base_sha256``, ``spans``.
 
@@ -215,7 +215,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
-def scan_limits(docs: DataFrame, level: float = 0.01) -> dict[int, int]:
+def scan_limits(docs: DataFrame, level: float = 0.05) -> dict[int, int]:
     """The thresholds alone, from counts over all documents."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
