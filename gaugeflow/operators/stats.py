@@ -96,6 +96,16 @@ def thin(points: DataFrame, now: str, fresh_days: int = 16, old_days: int = 365)
     return ranked.where("k = 1").select("station_id", "ts", "value", "tier")
 
 
+#: History windows in days; ``all`` has no bound.
+WINDOWS = {"24h": 1, "3d": 3, "7d": 7, "15d": 15, "30d": 30, "1y": 365, "5y": 1825, "10y": 3650, "20y": 7300, "all": None}
+
+
+def history_window(points: DataFrame, now: str, window: str) -> DataFrame:
+    """Points of the last days that ``window`` names."""
+    days = WINDOWS[window]
+    return points if days is None else points.where(F.col("ts") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def series_pivot(readings: DataFrame, names: list[str]) -> DataFrame:
     """Latest value of each series of a station, a column a series."""
     return readings.groupBy("station_id").pivot("series", names).agg(F.max_by("value", "ts"))

@@ -5,9 +5,11 @@ of their line items; high-frequency readings are events by user."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -17,6 +19,8 @@ from ..operators import inventory as I
 from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
+from ..sources import formats, tables
+from ..streaming import jobs as streams
 from . import jobs as J
 
 RUNNING, NOW = 2001, "2001-06-30 12:00:00"
@@ -615,3 +619,102 @@ def river_wave(spark, sf):
 @query()
 def station_statistics(spark, sf):
     return J.station_statistics(archive(spark, sf), RUNNING)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all machines share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("SELECT station_id, ts, value FROM r WHERE ts >= TIMESTAMP '2001-06-30 12:00:00' - INTERVAL 365 DAYS")
+def history_window(spark, sf):
+    return S.history_window(readings(spark, sf), NOW, "1y").select("station_id", "ts", "value")
+
+
+@query("WITH x AS (SELECT station_id, max(max_v) AS value FROM d GROUP BY 1) SELECT station_id, 'HHW' AS shortname, x.value, CAST(max(year) AS BIGINT) AS record_year FROM d JOIN x USING (station_id) WHERE max_v = x.value GROUP BY ALL")
+def record_years(spark, sf):
+    a = archive(spark, sf)
+    top = a.groupBy("station_id").agg(F.max("max_v").alias("value"))
+    days = a.join(top, "station_id").where("max_v = value").groupBy("station_id", "value").agg(F.collect_list(F.col("day").cast("string")).alias("occurrences"))
+    return ints(R.record_years(days.select("station_id", F.lit("HHW").alias("shortname"), "value", "occurrences", F.lit(None).cast("string").alias("timespan_end"))), "record_year")
+
+
+@query(f"SELECT {DAILY} FROM d")
+def bundle_round_trip(spark, sf):
+    return daily_out(formats.explode_bundle(formats.to_bundle(archive(spark, sf))))
+
+
+@query("SELECT CAST(station_id AS VARCHAR) AS station_id, ts, min(value) AS value FROM r GROUP BY ALL")
+def point_archive_round_trip(spark, sf):
+    points = D.dedupe_points(readings(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("station_id", F.col("station_id").cast("string"))
+    back = formats.import_points(formats.export_points(points), points.limit(0))
+    return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""WITH x AS (SELECT station_id, ts, CASE WHEN value >= 0 THEN value END AS value FROM ev WHERE value < 200)
+SELECT station_id, ts, value FROM x WHERE value IS NOT NULL""")
+def measurements(spark, sf):
+    """Readings as JSON texts with the archive's flaws, read leniently."""
+    e = events(spark, sf).where("value < 200")
+    number = F.when(F.col("value") < 0, "-").otherwise(F.regexp_replace(F.format_string("%.2f", "value"), r"^0\.", "."))
+    body = F.concat(F.lit('[{"timestamp":"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit('","value":'), number, F.lit("}]"))
+    out = formats.measurements_of(e.select("station_id", body.alias("body")))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"SELECT {DAILY} FROM d")
+def upsert_daily(spark, sf):
+    path = scratch(spark, "daily")
+    for part in ("O", "F", "O"):
+        tables.upsert_daily(spark, path, D.condense(readings(spark, sf).where(F.col("part") == part)))
+    return daily_out(spark.read.parquet(path))
+
+
+@query("""WITH s AS (SELECT * FROM sn WHERE day BETWEEN DATE '2000-12-01' AND DATE '2001-01-31')
+SELECT station_id, day, CASE WHEN day >= DATE '2001-01-01' AND station_id % 2 = 0 THEN -1.0::DOUBLE ELSE value END AS value, strftime(day, '%Y-%m') AS month FROM s""")
+def snapshot_table(spark, sf):
+    path = scratch(spark, "snapshot")
+    rows = snapshot(spark, sf).where("day between '2000-12-01' and '2001-01-31'").select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", F.lit(False).alias("tidal"))
+    tables.write_snapshot(spark, path, rows)
+    tables.write_snapshot(spark, path, rows.where("day >= '2001-01-01' and station_id % 2 = 0").withColumn("value", F.lit(-1.0)))
+    return spark.read.parquet(path).select("station_id", "day", "value", F.col("month").cast("string").alias("month"))
+
+
+@query("""WITH g AS (SELECT river, b.mo AS month FROM (SELECT DISTINCT river FROM rm), range(1, 13) b(mo))
+SELECT river, CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, v, diff FROM rm WHERE year <> 2000
+UNION ALL SELECT river, 2000 AS year, CAST(month AS BIGINT) AS month, CASE WHEN month <= 6 THEN v END AS v, CASE WHEN month <= 6 THEN diff END AS diff FROM g LEFT JOIN (SELECT * FROM rm WHERE year = 2000) USING (river, month)""")
+def totals_append(spark, sf):
+    """All years are built, then the year 2000 is appended up to June only, so
+    its later cells are stale and must clear."""
+    path, raw = scratch(spark, "totals"), raw_totals(spark, sf)
+    tables.rebuild_totals(T.river_daily(raw), T.river_monthly(raw), path)
+    half = raw.where("year <> 2000 or month(day) <= 6")
+    tables.append_totals(spark, T.river_daily(half), T.river_monthly(half), path, 2000)
+    return ints(spark.read.parquet(f"{path}/monthly").select("river", "year", "month", "v", "diff"), "year", "month")
+
+
+def event_stream(spark, sf):
+    schema = t(spark, sf, "events").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return s.select(F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query("SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL")
+def stream_ingest(spark, sf):
+    path = scratch(spark, "stream-daily")
+    streams.ingest_batches(event_stream(spark, sf), path, scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(path).select("station_id", "day", "min_v", "max_v")
+
+
+@query("""WITH g AS (SELECT station_id, ts AS to_ts, lag(ts) OVER (PARTITION BY station_id ORDER BY ts) AS from_ts FROM ev)
+SELECT station_id, from_ts, to_ts, round((epoch_us(to_ts) - epoch_us(from_ts)) / 3.6e9, 6) AS hours FROM g WHERE epoch_us(to_ts) - epoch_us(from_ts) > 5400000000""")
+def stream_gaps(spark, sf):
+    path = scratch(spark, "stream-gaps")
+    q = streams.stateful_gaps(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = rounded(spark.read.parquet(path), "hours")
+    return out.withColumn("from_ts", F.col("from_ts").cast("timestamp_ntz")).withColumn("to_ts", F.col("to_ts").cast("timestamp_ntz"))
