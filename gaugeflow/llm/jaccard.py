@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import discard, need, written
 
 U = np.uint64
 
@@ -170,6 +170,7 @@ def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarr
             break
         bound = e
     got = often.where(F.col("n") >= F.lit(2.0) ** bound).toPandas().sort_values("key")
+    discard(docs.sparkSession, often)
     return got["key"].to_numpy(np.int64).astype(U), got["n"].to_numpy(np.int64)
 
 
@@ -274,7 +275,9 @@ def _verified(docs: DataFrame, size: int, limit: Threshold, pairs: DataFrame) ->
     """Those of the distinct pairs (a, b) of classes that reach the threshold."""
     pairs = written(pairs.distinct(), "candidates")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = written(_sets_of(docs, size, written(keys, "candidate-classes")), "candidate-sets")
+    keys = written(keys, "candidate-classes")
+    sets = written(_sets_of(docs, size, keys), "candidate-sets")
+    discard(docs.sparkSession, keys)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +289,9 @@ def _verified(docs: DataFrame, size: int, limit: Threshold, pairs: DataFrame) ->
                 keep.append(not suffix_reject(x, y, len(x) + len(y) - 2 * least) and len(np.intersect1d(x, y, assume_unique=True)) >= least)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return written(both.mapInPandas(each, "a long, b long"), "links")
+    links = written(both.mapInPandas(each, "a long, b long"), "links")
+    discard(docs.sparkSession, pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,14 +301,18 @@ def components(links: DataFrame) -> DataFrame:
     round's table is written, so rounds don't pile up."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links-both")
     labels = written(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+    table = labels
     while True:
         near = both.join(labels.select(F.col("class").alias("a"), "root"), "a").groupBy(F.col("b").alias("class")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("class").alias("root"), F.col("root").alias("over"))
         new = written(lower.join(jump, "root").select("class", "old", F.least("root", "over").alias("root")), "labels")
-        if not new.where("root <> old").limit(1).count():
-            return new.select("class", "root")
-        labels = new.select("class", "root")
+        changed = new.where("root <> old").limit(1).count()
+        discard(links.sparkSession, table)
+        labels, table = new.select("class", "root"), new
+        if not changed:
+            discard(links.sparkSession, both)
+            return labels
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int = 100, heavy_limit: int = 500_000) -> DataFrame:
@@ -326,6 +335,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     # The same class may come from several tasks; so members are told apart by the least and greatest class.
     found = _prefixes(docs, size, limit, heavy).select("*", F.min(own).over(bucket).alias("hub"), F.max("class").over(bucket).alias("top"), F.min("class").over(bucket).alias("bottom"))
     kept = written(found.where("salt <> 0 or top <> bottom").drop("top", "bottom").dropDuplicates(["token", "class"]), "prefixes")
+    discard(docs.sparkSession)
     # Hubs of the salts of one token meet the least of them.
     hubs = kept.groupBy("token", "salt").agg(F.min("hub").alias("hub"))
     chief = hubs.groupBy("token").agg(F.min("hub").alias("chief"), F.count("*").alias("salts")).where("salts > 1")
@@ -347,6 +357,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     rest = minor.join(labelled.select("token", F.col("own").alias("y"), F.col("root").alias("y_root"), "lead"), "token")
     rest = rest.where("x_root <> y_root and (y_root = lead or x.class < y.class)").where(_may_link(limit, "x", "y"))
     rest = written(pair(rest, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    discard(docs.sparkSession, kept, labelled, tried)
     if rest.limit(1).count():
         more = _verified(docs, size, limit, rest)
         if more.limit(1).count():
@@ -360,17 +371,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
 def keep_one(docs: DataFrame, size: int = 5, up: int = 80, down: int = 100) -> DataFrame:
     """``docs``, with their own columns, but of each component only the row of
     least ``doc_id`` (of equal ids one). Documents without words all stay."""
-    found = jaccard_components(docs, size, up, down)
-    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.class").alias("__chosen"))
-    nothing = class_of(np.zeros(0, U))
+    found = jaccard_components(docs, size, up, down).where("n_shingles > 0")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("c"))
+    chosen = written(best.select(F.col("c.class").alias("__class"), F.coalesce("c.doc_id", F.lit(0)).alias("__id"), F.col("c.doc_id").isNull().alias("__none")), "chosen")
+    discard(docs.sparkSession)
 
     @F.pandas_udf("long")
     def own_class(texts: pd.Series) -> pd.Series:
         return pd.Series([class_of(shingles(t, size)) for t in texts], dtype="int64")
 
-    marked = docs.withColumn("__class", own_class(F.col("text")))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = written(marked.select(whole.alias("__row"), F.col("doc_id").cast("long").alias("__doc"), "__class"), "classed")
-    wordless = marked.where(F.col("__class") == nothing)
-    rest = marked.where(F.col("__class") != nothing).join(chosen, (F.col("__class") == F.col("__chosen")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__class", "__doc"])
-    return wordless.unionByName(rest).select("__row.*")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.col("doc_id").cast("long")
+    marked = docs.where(worded).withColumns({"__class": own_class(F.col("text")), "__id": F.coalesce(key, F.lit(0)), "__none": key.isNull()})
+    rest = marked.join(chosen, ["__class", "__id", "__none"], "left_semi").dropDuplicates(["__class", "__id", "__none"])
+    return docs.where(~worded).unionByName(rest.select(*docs.columns))

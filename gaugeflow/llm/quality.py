@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import discard, need, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_marks")
@@ -157,11 +157,13 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured once for the model's counts and once for the filter, so
-    that equal keys need no join."""
-    own = docs.columns
-    inside = docs.withColumn("__m", measure(F.col("text"))).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), "__m.*").select("*", *votes())
-    inside = written(inside, "quality-rows")
-    patterns = written(inside.groupBy(*[c for c in inside.columns if c.startswith("vote_")]).agg(F.count("*").alias("n")), "vote-patterns")
+    Texts are measured once for the model's counts and once more for the
+    filter, so that neither a join by id nor a copy of the texts is needed."""
+    measured = docs.select(measure(F.col("text")).alias("m")).select("m.*").select(*votes())
+    patterns = written(measured.groupBy(*measured.columns).agg(F.count("*").alias("n")), "vote-patterns")
+    model = fit(patterns)
+    discard(docs.sparkSession, patterns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    marked = docs.select(own, measure(F.col("text")).alias("__m")).select("__row", "__m.*").select("*", *votes())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return inside.where(~failed & (odds(fit(patterns)) >= 0)).select("__row.*")
+    return marked.where(~failed & (odds(model) >= 0)).select("__row.*")

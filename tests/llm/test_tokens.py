@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -15,10 +16,15 @@ WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe
 ODD = ["a  b", "a \n b", " x", "x ", "\n\n foo  bar\t baz", "  ", "", "it's  don't 'll", "\x1c a \x85b", "12 345 !? ...", "é ́a", "<|endoftext|> hi", "ΑΣ ΑΣ.", "　 c", " x  y", "a" * 3000]
 
 
-def direct(path, text):
+@lru_cache
+def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def direct(path, text):
+    return library(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
