@@ -104,16 +104,22 @@ def class_of(s: np.ndarray) -> int:
     return int(np.int64(U(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
 
 
+def spread(s: np.ndarray, parts: int = 64) -> np.ndarray:
+    """How many of a set's shingles fall to each part of the hash space, at
+    most 127. Two sets differ in at least as many shingles as their counts."""
+    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=parts), 127).astype(np.int8)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class of each row."""
+    """doc_id, n_shingles, class, parts of each row."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, size) for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"], "string").astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [class_of(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"], "string").astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [class_of(s) for s in sets], "parts": [spread(s) for s in sets]})
 
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(each, "doc_id long, n_shingles long, class long")
+    return keyed.mapInPandas(each, "doc_id long, n_shingles long, class long, parts array<tinyint>")
 
 
 def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +217,15 @@ def _may_link(limit: Threshold, a: str, b: str):
     return sizes & (F.least(na - pa, nb - pb) >= least)
 
 
+def _near_enough(limit: Threshold, a: str, b: str):
+    """The suffix filter in the join: what two sets' counts by part of the hash
+    space differ is no more than sets that link may differ."""
+    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    least = F.ceil(F.lit(limit.up) * (na + nb) / F.lit(limit.up + limit.down))
+    apart = F.zip_with(f"{a}.parts", f"{b}.parts", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    return F.aggregate(apart, F.lit(0), lambda t, x: t + x) <= na + nb - 2 * least
+
+
 #: A bit map over classes: three bits a class, cut from its hash, of 2 ** 26 (8 MB, whatever the input).
 _BITS, _SHIFTS = 26, (0, 19, 38)
 
@@ -352,10 +367,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     labelled = kept.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     lead = kept.groupBy("token").agg(F.min("hub").alias("hub")).select("token", F.col("hub.class").alias("class"))
     lead = lead.join(roots, "class", "left").select("token", F.coalesce("root", "class").alias("lead"))
-    labelled = written(labelled.join(lead, "token").select("token", own.alias("own"), "root", "lead"), "labelled")
+    parts = rows.groupBy("class").agg(F.first("parts").alias("parts"))
+    member = F.struct("n", "class", "pos", "parts")
+    labelled = written(labelled.join(lead, "token").join(parts, "class").select("token", member.alias("own"), "root", "lead"), "labelled")
     minor = labelled.where("root <> lead").select("token", F.col("own").alias("x"), F.col("root").alias("x_root"))
     rest = minor.join(labelled.select("token", F.col("own").alias("y"), F.col("root").alias("y_root"), "lead"), "token")
-    rest = rest.where("x_root <> y_root and (y_root = lead or x.class < y.class)").where(_may_link(limit, "x", "y"))
+    rest = rest.where("x_root <> y_root and (y_root = lead or x.class < y.class)").where(_may_link(limit, "x", "y") & _near_enough(limit, "x", "y"))
     rest = written(pair(rest, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     discard(docs.sparkSession, kept, labelled, tried)
     if rest.limit(1).count():
