@@ -33,9 +33,13 @@ def fit(labelled: DataFrame, docs_each: int = 2000, dictionary_bytes: int = 1 <<
     languages and texts teach nothing; no rows give no languages.
     """
     known = need(labelled, "text", "lang").where("lang is not null and text is not null").select("text", F.col("lang").alias("language"))
-    # Per language the rows of least hash: tasks keep their own least first, so no task sees a whole language.
-    share = known.withColumn("h", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
-    near = share.withColumn("k", F.row_number().over(Window.partitionBy("language", "part").orderBy("h", "text"))).where(F.col("k") <= docs_each)
+    # One count a language comes to the driver. A share of the hash space that holds about as many documents as are wanted
+    # is cut out where the text is read, so only the sample's texts are shuffled.
+    counts = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 1.2 * docs_each / n)])
+    near = known.withColumn("h", F.xxhash64("text")).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= shares[F.col("language")])
     sample = near.withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy("h", "text"))).where(F.col("k") <= docs_each)
     words = sample.select("language", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("language", "w").agg(F.count("*").alias("n"))
     best = words.where("n > 1").withColumn("gain", F.col("n") * (F.octet_length("w") + 1)).withColumn("size", F.octet_length("w") + 1)
@@ -45,8 +49,8 @@ def fit(labelled: DataFrame, docs_each: int = 2000, dictionary_bytes: int = 1 <<
     for r in taken.select("language", "w", "gain").collect():
         by_language.setdefault(r["language"], []).append((r["gain"], r["w"]))
     out = {k: " ".join(w for _, w in sorted(v)).encode() + b" " for k, v in by_language.items()}
-    for r in known.select("language").distinct().collect():
-        out.setdefault(r["language"], b" ")
+    for language in counts:
+        out.setdefault(language, b" ")
     return dict(sorted(out.items()))
 
 
