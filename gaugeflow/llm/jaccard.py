@@ -346,7 +346,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     heavy = _heavy(docs, size, total, heavy_limit)
     bucket = Window.partitionBy("token", "salt")
-    own = F.struct("n", "class", "pos")
+    # The hub is the set that has the shingle earliest: least of it is rare, so it lies in the middle of its near copies.
+    own = F.struct("pos", "n", "class")
     # The same class may come from several tasks; so members are told apart by the least and greatest class.
     found = _prefixes(docs, size, limit, heavy).select("*", F.min(own).over(bucket).alias("hub"), F.max("class").over(bucket).alias("top"), F.min("class").over(bucket).alias("bottom"))
     kept = written(found.where("salt <> 0 or top <> bottom").drop("top", "bottom").dropDuplicates(["token", "class"]), "prefixes")
