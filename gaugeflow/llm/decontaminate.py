@@ -32,8 +32,13 @@ def normal(text: str | None) -> str:
     return b" ".join([b"", *text.encode().lower().translate(_TO_SPACE).split(), b""]).decode()
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of ``normal``: only its spaces part them, as Unicode's other spaces are word characters."""
+    return normal(text).split(" ")[1:-1]
+
+
 def windows(text: str | None, size: int) -> list[str]:
-    words = normal(text).split()
+    words = words_of(text)
     return [" " + " ".join(words[i : i + size]) + " " for i in range(max(1, len(words) - size + 1))] if words else []
 
 

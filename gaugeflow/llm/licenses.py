@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import need
-from .decontaminate import normal, original_spans
+from .decontaminate import original_spans, words_of
 
 #: Notices by which works name their licence.
 TEMPLATES = {
@@ -115,13 +115,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     each; extra columns are ignored; an empty table gives none. ``templates``
     are few and go with the code to the tasks.
     """
-    shapes = [(k, normal(t).split()) for k, t in sorted((templates or TEMPLATES).items())]
+    shapes = [(k, words_of(t)) for k, t in sorted((templates or TEMPLATES).items())]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text in pdf["text"].tolist():
-                words = normal(text).split()
+                words = words_of(text)
                 have, hits = set(words), []
                 for name, template in shapes:
                     if template and sum(w in have for w in template) >= least * len(template):

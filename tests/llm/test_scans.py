@@ -75,6 +75,13 @@ def test_licenses(docs):
     assert not any(got[10 + i]["n_licenses"] for i in range(len(NASTY)))
 
 
+def test_licence_spans_after_unicode_spaces(docs):
+    line = "Released under the MIT License."
+    rows = [(i, f"foo{c}bar {line} tail") for i, c in enumerate("\u00a0\u3000\u2028\u0085\u2009")] + [(9, line.replace(" ", "\u00a0"))]
+    got = by_id(licenses.scan(docs(*rows)))
+    assert [got[i]["spans"] for i in range(5)] == ["MIT:8:38"] * 5 and got[9]["n_licenses"] == 0
+
+
 def test_alignment_is_increasing_and_equal():
     rng = random.Random(5)
     for _ in range(200):
@@ -118,6 +125,19 @@ def test_decontamination(docs, spark):
     assert decontaminate.mark(docs(*rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_unicode_spaces_are_word_characters(docs, spark):
+    passage = [f"w{i}" for i in range(12)]
+    texts = [" ".join(passage[:6]) + c + " ".join(passage[6:]) for c in " \u00a0\u3000\u2028\u0085\u2009"]
+    items = list(enumerate(texts[1:] + ["\u3000", "ab\u00a0c"]))
+    rows = [*enumerate(f"before {t}, after" for t in [*texts, "\u3000", "ab c", "Ab\u00a0C"])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.mark(docs(*rows), bench))
+    for i, t in rows:
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == brute_hits(t, items), repr(t)
+    assert [got[i]["contaminated"] for i, _ in rows] == [False, *[True] * 5, True, False, True]
+    assert sorted(r["doc_id"] for r in decontaminate.remove(docs(*rows), bench).collect()) == [0, 7]
+
+
 # language
 
 
