@@ -182,7 +182,8 @@ def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarr
 
 def _prefixes(docs: DataFrame, size: int, limit: Threshold, heavy: tuple[np.ndarray, np.ndarray], split_from: int = 4096, split_into: int = 64) -> DataFrame:
     """token, salt, class, n, pos: the prefix shingles of each class, once a
-    task. Tokens of very many documents are salted by class."""
+    task. Tokens of very many documents are salted by class, from 1 on; others
+    have salt 0."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +203,7 @@ def _prefixes(docs: DataFrame, size: int, limit: Threshold, heavy: tuple[np.ndar
                     at = np.minimum(np.searchsorted(keys, s >> U(24)), len(keys) - 1)
                     often = np.where(keys[at] == s >> U(24), counts[at], 0)
                 order = np.argsort(often, kind="stable")[: limit.prefix(len(s))]
-                out.append((s[order].view(np.int64), np.where(often[order] >= split_from, own % split_into, 0), np.full(len(order), own), np.full(len(order), len(s)), np.arange(len(order))))
+                out.append((s[order].view(np.int64), np.where(often[order] >= split_from, 1 + own % split_into, 0), np.full(len(order), own), np.full(len(order), len(s)), np.arange(len(order))))
             if out:
                 yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "salt", "class", "n", "pos"), zip(*out, strict=True), strict=True)})
 

@@ -65,6 +65,18 @@ def test_big_group_with_salted_buckets(docs, monkeypatch):
     assert got(J.jaccard_components(docs(*rows), 3, 90, 100)) == brute(rows, 3, 90, 100)
 
 
+def test_hot_tokens_with_one_class_in_a_salt(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    salt = lambda t: J.class_of(J.shingles(t, 3)) % 2
+    pair = [next(t for t in (f"{base} v{i}" for i in range(100)) if salt(t) == k) for k in (0, 1)]
+    rows = [(i, pair[i % 2]) for i in range(40)]
+    whole = J._prefixes
+    monkeypatch.setattr(J, "_prefixes", lambda *a: whole(*a, split_from=16, split_into=2))
+    # A copy of both in each of 20 tasks: all shingles are hot, and each salt has one class.
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "doc_id long, text string")
+    assert got(J.jaccard_components(table, 3, 90, 100)) == brute(rows, 3, 90, 100)
+
+
 def test_empty_table(docs, spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
