@@ -2,7 +2,7 @@
 
 Texts are normalised to words between single spaces; every window of an item
 is a pattern with a space at either end, so it matches whole words only. Each
-text is scanned once, and the places of hits are carried back to the words,
+text is scanned once (once a block of a larger benchmark), and the places of hits are carried back to the words,
 and so to the characters, of the original text.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import discard, need, written
 
 #: Bytes that are no part of a word once A-Z are lower case: all ASCII but digits and a-z.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 32 for b in range(256))
+#: Bytes of benchmark text a block. An automaton takes about 450 times as much (385 MB were measured for 0.85 MB).
+MAX_BYTES = 512 << 10
 
 
 def normal(text: str | None) -> str:
@@ -42,8 +45,49 @@ def windows(text: str | None, size: int) -> list[str]:
     return [" " + " ".join(words[i : i + size]) + " " for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str, str | None], ...], size: int) -> ahocorasick.Automaton:
+def cut(text: str | None, size: int, most: int) -> Iterator[str]:
+    """Runs of the words of ``text`` of about ``most`` bytes, which overlap so that they have its windows."""
+    words, start, end, weight = words_of(text), 0, 0, 0
+    while end < len(words):
+        weight += len(words[end].encode()) + 1
+        end += 1
+        if weight >= most and end - start >= size and end < len(words):
+            yield " ".join(words[start:end])
+            start = end - size + 1
+            weight = sum(len(w.encode()) + 1 for w in words[start:end])
+    if words:
+        yield " ".join(words[start:])
+
+
+def _blocks(benchmark: DataFrame, size: int, max_bytes: int) -> Iterator[tuple[tuple[str, str], ...]]:
+    """The items in blocks of about ``max_bytes`` of text; longer items are cut. One empty block if there are none.
+
+    Items come to the driver a partition at a time, so it never holds them all."""
+    items = need(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    block, weight = set(), 0
+    for r in items.toLocalIterator():
+        for run in cut(r["text"], size, max_bytes):
+            n = len(run.encode())
+            if block and weight + n > max_bytes:
+                yield tuple(sorted(block))
+                block, weight = set(), 0
+            block.add((str(r["item_id"]), run))
+            weight += n
+    yield tuple(sorted(block))
+
+
+#: The worker's last automaton, by its items; it goes before the next one is made.
+_MADE: dict[tuple, ahocorasick.Automaton] = {}
+
+
+def _automaton(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automaton:
+    if (items, size) not in _MADE:
+        _MADE.clear()
+        _MADE[items, size] = _build(items, size)
+    return _MADE[items, size]
+
+
+def _build(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automaton:
     found = defaultdict(set)
     for item, text in items:
         for w in windows(text, size):
@@ -56,6 +100,17 @@ def _automaton(items: tuple[tuple[str, str | None], ...], size: int) -> ahocoras
     return machine
 
 
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of intervals, ascending; those that touch become one."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [tuple(m) for m in merged]
+
+
 def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, merged intervals of hit words, items hit."""
     words = normal(text)
@@ -65,14 +120,8 @@ def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tu
         return n, [], set()
     # number of the word that starts after each space
     before = np.cumsum(np.frombuffer(words.encode("utf-32-le"), "<u4") == 32)
-    spans = sorted((int(before[end - length + 1]) - 1, int(before[end - length + 1]) - 1 + k) for end, (length, k, _) in hits)
-    merged = [list(spans[0])]
-    for a, b in spans[1:]:
-        if a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return n, [tuple(m) for m in merged], set().union(*(own for _, (_, _, own) in hits))
+    spans = [(int(before[end - length + 1]) - 1, int(before[end - length + 1]) - 1 + k) for end, (length, k, _) in hits]
+    return n, merge(spans), set().union(*(own for _, (_, _, own) in hits))
 
 
 def original_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,7 +133,21 @@ def original_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[in
     return [(int(starts[a]), int(ends[b - 1])) for a, b in intervals]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int = 32 << 20) -> DataFrame:
+_SHAPE = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+
+
+def _row(text: str | None, n: int, intervals: list[tuple[int, int]], own: set[str]) -> tuple:
+    places = ",".join(f"{a}:{b}" for a, b in original_spans(text, intervals)) if intervals else ""
+    return n, sum(b - a for a, b in intervals), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(intervals), places
+
+
+def _frame(ids: pd.Series, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+    out.insert(0, "doc_id", ids.astype("Int64"))
+    return out
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Hits of ``benchmark`` (``item_id, text``) in ``docs`` (``doc_id, text``).
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and
@@ -94,45 +157,80 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int =
     an ``item_id`` match nothing; items with equal texts count each. Extra
     columns are ignored; an empty benchmark marks nothing.
 
-    The benchmark's size is measured first. Up to ``max_bytes`` of text (an
-    automaton of some hundred MB) it is sent to the tasks as one automaton; a
-    larger one is refused, as it must be scanned in parts.
+    The benchmark is cut into blocks of about ``max_bytes`` of text, and all
+    texts are scanned once a block. One block is sent to the tasks as it is;
+    with more of them ``docs`` is written with row numbers, each block's hits
+    are written by row, and a row's spans and items are united.
     """
-    spark = docs.sparkSession
-    items = need(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    weight = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if weight > max_bytes:
-        raise ValueError(f"the benchmark has {weight} bytes of text, more than {max_bytes}: mark it in parts and union their spans")
-    sent = spark.sparkContext.broadcast(tuple(sorted({(str(r["item_id"]), r["text"]) for r in items.collect()})))
+    blocks = _blocks(benchmark, size, max_bytes)
+    first, second = next(blocks), next(blocks, None)
+    keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
+    if second is not None:
+        return _mark_blocks(keyed, chain([first, second], blocks), size)
+    sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = _automaton(sent.value, size)
         for pdf in batches:
-            rows = []
-            for text in pdf["text"].tolist():
-                n, intervals, own = scan(machine, text)
-                places = ",".join(f"{a}:{b}" for a, b in original_spans(text, intervals)) if intervals else ""
-                rows.append((n, sum(b - a for a, b in intervals), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(intervals), places))
-            out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
-            yield out
+            yield _frame(pdf["doc_id"], [_row(t, *scan(machine, t)) for t in pdf["text"].tolist()])
 
-    keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(each, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    return keyed.mapInPandas(each, _SHAPE)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without the contaminated ones, with their own columns."""
-    spark = docs.sparkSession
-    items = need(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    weight = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if weight > 32 << 20:
-        raise ValueError(f"the benchmark has {weight} bytes of text: remove it in parts")
-    sent = spark.sparkContext.broadcast(tuple(sorted({(str(r["item_id"]), r["text"]) for r in items.collect()})))
+def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFrame:
+    spark = keyed.sparkSession
+    numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "marked-texts")
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        machine = _automaton(sent.value, size)
-        return pd.Series([not (len(machine) and t and next(machine.iter(normal(t)), None)) for t in texts])
+    def hits(sent):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine = _automaton(sent.value, size)
+            for pdf in batches:
+                found = [(r, *scan(machine, t)) for r, t in zip(pdf["row"], pdf["text"].tolist(), strict=True)]
+                yield pd.DataFrame([(r, [x for span in spans for x in span], sorted(own)) for r, _, spans, own in found if spans], columns=["row", "at", "own"])
 
-    return docs.where(clean(F.col("text")))
+        return each
+
+    parts = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(written(numbered.select("row", "text").mapInPandas(hits(sent), "row long, at array<int>, own array<string>"), "block-hits"))
+        sent.unpersist()
+    of_row = reduce(DataFrame.union, parts).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, at, own in zip(pdf["text"].tolist(), pdf["at"], pdf["own"], strict=True):
+                at, own = ([], []) if at is None else (at, own)
+                rows.append(_row(text, max(0, normal(text).count(" ") - 1), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
+            yield _frame(pdf["doc_id"], rows)
+
+    return numbered.join(of_row, "row", "left").select("doc_id", "text", "at", "own").mapInPandas(unite, _SHAPE)
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``docs`` without the contaminated ones, with their own columns. With
+    more than one block of items, what each leaves is written for the next."""
+
+    def cleaner(sent):
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            machine = _automaton(sent.value, size)
+            return pd.Series([not (len(machine) and t and next(machine.iter(normal(t)), None)) for t in texts])
+
+        return clean(F.col("text"))
+
+    spark, kept = docs.sparkSession, None
+    blocks = _blocks(benchmark, size, max_bytes)
+    block = next(blocks)
+    while block is not None:
+        sent, after = spark.sparkContext.broadcast(block), next(blocks, None)
+        left = docs.where(cleaner(sent))
+        if after is not None:
+            left = written(left, "clean-of-block")
+            sent.unpersist()
+            if kept is not None:
+                discard(spark, kept)
+            kept = left
+        docs, block = left, after
+    return docs

@@ -138,6 +138,24 @@ def test_unicode_spaces_are_word_characters(docs, spark):
     assert sorted(r["doc_id"] for r in decontaminate.remove(docs(*rows), bench).collect()) == [0, 7]
 
 
+def test_benchmark_in_blocks(docs, spark):
+    rng = random.Random(8)
+    item = lambda n: " ".join(rng.choice(["a", "b", "Cé", "d", "ñ", "1", "the"]) for _ in range(n))
+    items = [(1, item(150)), (1, item(3)), (None, "a"), (2, ""), (3, None), (4, "same words"), (5, "same words"), *((10 + i, item(13)) for i in range(12))]
+    texts = NASTY + [items[0][1][40:], *(f"{item(20)}; {items[-1 - i % 12][1]} {items[i % 12 - 12][1]} same words! {item(3)}" for i in range(20)), item(30), "other"]
+    rows = [*enumerate(texts), (9, texts[-3]), (9, texts[-3]), (None, texts[-4])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(i, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in rows]
+    whole = decontaminate.mark(docs(*rows), bench).collect()
+    parts = decontaminate.mark(docs(*rows), bench, max_bytes=120)
+    assert len(list(decontaminate._blocks(bench, 10, 120))) > 3
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in parts.collect()), key=str) == sorted(want, key=str)
+    assert sorted(parts.collect(), key=str) == sorted(whole, key=str)
+    left = decontaminate.remove(docs(*rows), bench, max_bytes=120)
+    assert left.columns == ["doc_id", "text", "token", "n"]
+    assert sorted((str(r["doc_id"]) for r in left.collect())) == sorted(str(i) for i, _, n, *_ in want if not n)
+
+
 # language
 
 
