@@ -29,7 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: '=' is padding at the end; inside it parts a name from its value.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: No alphabet has symbols of both kinds, so a run that has both is cut at either.
+_CUTS = [re.compile(r"[A-Za-z0-9+/]{16,}=*"), re.compile(r"[A-Za-z0-9_-]{16,}=*")]
 #: Alphabets by name, each in the order of its digits; the first that has all characters is inferred.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -96,18 +99,33 @@ def length_class(n: int) -> int:
     return min(6, int(2 * math.log2(n / 16)))
 
 
+def tokens(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, p-value) of runs that an alphabet has. Of overlapping parts
+    of a run with both kinds of symbols, the likeliest stays."""
+    for m in TOKEN.finditer(text):
+        p = p_random(m[0])
+        if p is not None:
+            yield m.start(), m.end(), p
+            continue
+        parts = {(m.start() + x.start(), m.start() + x.end()) for cut in _CUTS for x in cut.finditer(m[0])}
+        tested = [(p, a, b) for a, b in parts if (p := p_random(text[a:b])) is not None]
+        taken: list[tuple[int, int, float]] = []
+        for p, a, b in sorted(tested, key=lambda t: (-t[0], t[1] - t[2], t[1])):
+            if all(b <= x or y <= a for x, y, _ in taken):
+                taken.append((a, b, p))
+        yield from sorted(taken)
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
     """(start, end, length class, p-value bin, natural) of testable tokens."""
     out = []
-    for m in TOKEN.finditer(text):
-        token = m[0]
+    for start, end, p in tokens(text):
+        token = text[start:end]
         letters = any(map(str.isalpha, token))
         natural = token.isalpha()
         if not letters or not (natural or any(map(str.isdigit, token))):
             continue
-        p = p_random(token)
-        if p is not None:
-            out.append((m.start(), m.end(), length_class(len(token)), min(BINS - 1, int(-4 * math.log10(max(p, 1e-300)))), natural))
+        out.append((start, end, length_class(len(token)), min(BINS - 1, int(-4 * math.log10(max(p, 1e-300)))), natural))
     return out
 
 

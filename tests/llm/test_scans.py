@@ -59,6 +59,21 @@ def test_battery_finds_random_strings_and_spares_words(docs):
     assert clean.columns == ["doc_id", "text", "token", "n", "n_chars"] and by_id(clean)[9998]["text"] == "[secret]" and by_id(clean)[9998]["n_chars"] == 8
 
 
+def test_values_after_names_and_paths_are_tested(docs):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    syllable = ["an", "ther", "ing", "tion", "ble", "sch", "ung", "ver"]
+    rows = [(i, "about " + "".join(rng.choice(syllable) for _ in range(rng.randint(5, 10))) + " it") for i in range(400)]
+    shapes = [("auth=", ""), ("x PRIVATE_KEY=", "=="), ("?sig=", "&n=1"), ("my-dir/", " end")]
+    rows += [(1000 + 4 * i + k, "see " + head + key() + tail) for i in range(12) for k, (head, tail) in enumerate(shapes)]
+    for text, part in (("auth=" + "9fK2" * 5, "9fK2" * 5), ("a-b/" + "Ab3_" * 5, "Ab3_" * 5), ("my-own_" + "Ab3/" * 5, "Ab3/" * 5), ("k=" + "Ab3+" * 5 + "==", "Ab3+" * 5 + "==")):
+        assert [text[a:b] for a, b, _ in secrets.tokens(text)] == [part]
+    got = by_id(secrets.scan(docs(*rows)))
+    for k in range(4):
+        assert sum("random" in got[1000 + 4 * i + k]["spans"] for i in range(12)) >= 9, shapes[k]
+    assert not any(got[i]["spans"] for i in range(400))
+
+
 # licences
 
 
