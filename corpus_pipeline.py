@@ -32,7 +32,7 @@ def secret_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048, markers=True)
 
 
 STAGES = [

@@ -68,14 +68,21 @@ class Memo(dict):
 class MemoEncoder:
     """``encode(texts)`` gives the ids of each whole text as an array.
 
-    ``memo`` bounds the pieces kept; past it the memo starts anew.
+    ``memo`` bounds the pieces kept; past it the memo starts anew. With
+    ``markers``, texts of the file's added tokens (such as ``<|endoftext|>``)
+    give those tokens' ids, as the library does by default; without, they are
+    ordinary text.
     """
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = 800_000, markers: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not markers
+        added = spec.get("added_tokens", []) if markers else []
+        # A token that is sought in normalised text can be in any text.
+        marks = [""] if any(t["normalized"] for t in added) else [re.escape(t["content"]) for t in added]
+        self.marked = re.compile("|".join(marks)).search if marks else None
         self.drops_space = '"Split"' in json.dumps(spec["pre_tokenizer"])
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
@@ -83,6 +90,8 @@ class MemoEncoder:
         self.first, self.rest, self.limit = Memo(spec, self.tokenizer, code, ""), Memo(spec, self.tokenizer, code, " "), memo
 
     def ids(self, text: str) -> bytes:
+        if self.marked and self.marked(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if self.drops_space:
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
         pieces = _BEFORE_WORD.split(text) if _NOT_BEFORE_WORD.search(text) else text.split(" ")
@@ -95,6 +104,6 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> MemoEncoder:
+def encoder(path: str, markers: bool = False) -> MemoEncoder:
     """One encoder a worker process and file."""
-    return MemoEncoder(path)
+    return MemoEncoder(path, markers=markers)

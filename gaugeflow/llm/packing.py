@@ -118,12 +118,12 @@ def intervals(sequences: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "sequence", "offset"]).sort_values(["length", "rank"], ignore_index=True)
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, markers: bool = False) -> DataFrame:
     """One row a piece: ``doc_id, piece, start, length, ids_crc32`` (and ``ids``),
     with the number of the task that made it."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer_path, markers), TaskContext.get().partitionId()
         for pdf in batches:
             rows = []
             for key, ids in zip(pdf["doc_id"].tolist(), enc.encode([t or "" for t in pdf["text"].tolist()]), strict=True):
@@ -142,7 +142,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     return keyed.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int" + ", ids array<long>" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, markers: bool = False) -> DataFrame:
     """Pack all of ``docs`` into few sequences of at most ``capacity`` ids.
 
     Returns one row a piece: ``doc_id, piece, start, length, ids_crc32,
@@ -152,13 +152,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     repeated keys are kept, each row a document of its own; extra columns are
     ignored; an empty table gives no rows. Only documents longer than
     ``capacity`` are cut; their first piece takes what doesn't fill a sequence.
+    ``markers``: as of ``MemoEncoder``.
 
     Ranks within a length come from counts by (task, length) and a numbering
     within these, so a length that a third of all pieces have is ranked by as
     many tasks as made them.
     """
     spark = docs.sparkSession
-    pieces = written(cut_pieces(docs, tokenizer_path, end_id, capacity, with_ids), "pieces")
+    pieces = written(cut_pieces(docs, tokenizer_path, end_id, capacity, with_ids, markers), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(by_part, "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

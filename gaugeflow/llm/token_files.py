@@ -124,7 +124,7 @@ class Segment:
         return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, segment_ids: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, segment_ids: int = 4_000_000, markers: bool = False) -> DataFrame:
     """Encode ``text`` of ``docs`` and write token files in ascending ``doc_id``.
 
     Returns the manifest: one row a file with ``partition``, ``sequence``,
@@ -134,13 +134,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     equal keys are all kept, ordered by text; extra columns are ignored; an
     empty table gives no file. A long document is never cut; one larger than
     ``segment_ids`` gets a file of its own. A repeated task writes the same
-    names, so retries leave one copy.
+    names, so retries leave one copy. ``markers``: as of ``MemoEncoder``.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer_path, markers), TaskContext.get().partitionId(), 0
         dtype = np.dtype("<u4") if end_id >= 1 << 8 * enc.dtype.itemsize else enc.dtype
         keys, arrays, held = [], [], 0
 

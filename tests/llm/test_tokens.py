@@ -36,6 +36,21 @@ def test_memo_gives_the_library_s_ids(path):
         assert ids.tolist() == direct(path, text), repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_markers_give_the_library_s_default_ids(path):
+    default = Tokenizer.from_file(path)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>\n y", "<|ENDOFTEXT|> <|endoftext"]
+    for text, ids in zip(texts, MemoEncoder(path, markers=True).encode(texts), strict=True):
+        assert ids.tolist() == default.encode(text, add_special_tokens=False).ids, repr(text)
+    assert default.token_to_id("<|endoftext|>") in MemoEncoder(path, markers=True).encode(["a <|endoftext|> b"])[0]
+
+
+def test_files_and_packing_take_markers(docs):
+    texts = ["a <|endoftext|> b", "plain words"]
+    for path, rows in ((WORD, token_files.read_token_files(token_files.write_token_files(docs(*enumerate(texts)), WORD, 1, markers=True))), (BYTE, packing.pack(docs(*enumerate(texts)), BYTE, 1, 64, with_ids=True, markers=True))):
+        assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {i: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n in (1, 5, 300, 2000):
