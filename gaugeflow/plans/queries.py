@@ -5,8 +5,6 @@ of their line items; high-frequency readings are events by user."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,7 @@ from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
 from ..sources import formats, tables
+from ..sources.scratch import new_path
 from ..streaming import jobs as streams
 from . import jobs as J
 
@@ -621,15 +620,6 @@ def station_statistics(spark, sf):
     return J.station_statistics(archive(spark, sf), RUNNING)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all machines share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("SELECT station_id, ts, value FROM r WHERE ts >= TIMESTAMP '2001-06-30 12:00:00' - INTERVAL 365 DAYS")
 def history_window(spark, sf):
     return S.history_window(readings(spark, sf), NOW, "1y").select("station_id", "ts", "value")
@@ -668,7 +658,7 @@ def measurements(spark, sf):
 
 @query(f"SELECT {DAILY} FROM d")
 def upsert_daily(spark, sf):
-    path = scratch(spark, "daily")
+    path = new_path(spark, "daily")
     for part in ("O", "F", "O"):
         tables.upsert_daily(spark, path, D.condense(readings(spark, sf).where(F.col("part") == part)))
     return daily_out(spark.read.parquet(path))
@@ -677,7 +667,7 @@ def upsert_daily(spark, sf):
 @query("""WITH s AS (SELECT * FROM sn WHERE day BETWEEN DATE '2000-12-01' AND DATE '2001-01-31')
 SELECT station_id, day, CASE WHEN day >= DATE '2001-01-01' AND station_id % 2 = 0 THEN -1.0::DOUBLE ELSE value END AS value, strftime(day, '%Y-%m') AS month FROM s""")
 def snapshot_table(spark, sf):
-    path = scratch(spark, "snapshot")
+    path = new_path(spark, "snapshot")
     rows = snapshot(spark, sf).where("day between '2000-12-01' and '2001-01-31'").select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", F.lit(False).alias("tidal"))
     tables.write_snapshot(spark, path, rows)
     tables.write_snapshot(spark, path, rows.where("day >= '2001-01-01' and station_id % 2 = 0").withColumn("value", F.lit(-1.0)))
@@ -690,7 +680,7 @@ UNION ALL SELECT river, 2000 AS year, CAST(month AS BIGINT) AS month, CASE WHEN
 def totals_append(spark, sf):
     """All years are built, then the year 2000 is appended up to June only, so
     its later cells are stale and must clear."""
-    path, raw = scratch(spark, "totals"), raw_totals(spark, sf)
+    path, raw = new_path(spark, "totals"), raw_totals(spark, sf)
     tables.rebuild_totals(T.river_daily(raw), T.river_monthly(raw), path)
     half = raw.where("year <> 2000 or month(day) <= 6")
     tables.append_totals(spark, T.river_daily(half), T.river_monthly(half), path, 2000)
@@ -705,16 +695,16 @@ def event_stream(spark, sf):
 
 @query("SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL")
 def stream_ingest(spark, sf):
-    path = scratch(spark, "stream-daily")
-    streams.ingest_batches(event_stream(spark, sf), path, scratch(spark, "stream-state")).awaitTermination()
+    path = new_path(spark, "stream-daily")
+    streams.ingest_batches(event_stream(spark, sf), path, new_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(path).select("station_id", "day", "min_v", "max_v")
 
 
 @query("""WITH g AS (SELECT station_id, ts AS to_ts, lag(ts) OVER (PARTITION BY station_id ORDER BY ts) AS from_ts FROM ev)
 SELECT station_id, from_ts, to_ts, round((epoch_us(to_ts) - epoch_us(from_ts)) / 3.6e9, 6) AS hours FROM g WHERE epoch_us(to_ts) - epoch_us(from_ts) > 5400000000""")
 def stream_gaps(spark, sf):
-    path = scratch(spark, "stream-gaps")
-    q = streams.stateful_gaps(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    path = new_path(spark, "stream-gaps")
+    q = streams.stateful_gaps(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     out = rounded(spark.read.parquet(path), "hours")
     return out.withColumn("from_ts", F.col("from_ts").cast("timestamp_ntz")).withColumn("to_ts", F.col("to_ts").cast("timestamp_ntz"))
