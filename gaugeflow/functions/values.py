@@ -53,11 +53,13 @@ def anomaly_class(z: Column) -> Column:
     return F.when(z.isNull(), None).when(size < 0.5, "neutral").otherwise(F.concat(F.when(z > 0, "wet").otherwise("dry"), F.lit("-"), density.cast("string")))
 
 
-def outlook(value: Column, rate: Column, low: Column, high: Column, most_days: int = 99) -> list[Column]:
+def outlook(value: Column, rate: Column, low: Column, high: Column, most_days: int = 99, state: Column | None = None) -> list[Column]:
     """eta_target, eta_days: days at ``rate`` a day until the high or low mark;
-    a value beyond a mark has its state and no days; over ``most_days`` none."""
+    over ``most_days`` none. A station whose ``state`` (of ``state``) is high or
+    low has that and no days; without states, one whose value is beyond a mark."""
     days = F.floor(F.when(rate > 0, (high - value) / rate).when(rate < 0, (value - low) / F.abs(rate)) + 0.5).cast("long")
-    target = F.when(value > high, "HIGH").when(value < low, "LOW").when((rate > 0) & (days <= most_days), "MHW").when((rate < 0) & (days <= most_days), "MNW")
+    is_high, is_low = (value > high, value < low) if state is None else (state == "high", state == "low")
+    target = F.when(is_high, "HIGH").when(is_low, "LOW").when((rate > 0) & (days <= most_days), "MHW").when((rate < 0) & (days <= most_days), "MNW")
     return [target.alias("eta_target"), F.when(target.isin("MHW", "MNW"), days).alias("eta_days")]
 
 

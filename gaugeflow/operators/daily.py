@@ -59,6 +59,19 @@ def merge_extremes(*tables: DataFrame) -> DataFrame:
     return first.groupBy(*KEY).agg(F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"))
 
 
+def code_map(registry: DataFrame) -> DataFrame:
+    """``code, station_id`` of a registry (``station_id, code, retired``: an
+    array of codes, or null). A station or a code that comes twice fails."""
+    def once(df: DataFrame, col: str, what: str) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(col))
+        twice = F.raise_error(F.concat(F.lit(f"{what} twice: "), F.coalesce(F.col(col).cast("string"), F.lit("null"))))
+        return df.withColumn(col, F.when(n == 1, F.col(col)).otherwise(twice.cast(dict(df.dtypes)[col])))
+
+    rows = once(registry.select("station_id", "code", "retired"), "station_id", "station")
+    codes = rows.select(F.explode(F.concat(F.array("code"), F.coalesce("retired", F.array().cast("array<string>")))).alias("code"), "station_id")
+    return once(codes, "code", "code").select("code", "station_id")
+
+
 def combine_codes(daily_by_code: DataFrame, codes: DataFrame) -> DataFrame:
     """Retired and live codes of one station (``code, station_id``) as one table."""
     named = daily_by_code.withColumnRenamed("station_id", "code").join(codes.select("code", "station_id"), "code")

@@ -63,12 +63,20 @@ def backfill_worklist(stations: DataFrame, state: DataFrame, from_year: int, to_
 def apply_snapshot(snapshot: DataFrame, capture: DataFrame) -> DataFrame:
     """Put a capture (``station_id, n, w, day, value, tidal``) into its day's
     slots: the same day's rerun replaces what it has, nulls included; other
-    slots stay. Names, waters and the tidal flag are those of the last run."""
-    rows = snapshot.join(capture, ["station_id", "day"], "left_anti").unionByName(capture, allowMissingColumns=True)
-    own = Window.partitionBy("station_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slots stay. Names, waters and the tidal flag are those of the last run, so
+    the capture's where it has the station, whatever its day; a station that it
+    lacks keeps those of its last day."""
+    old = snapshot.join(capture, ["station_id", "day"], "left_anti").withColumn("run", F.lit(0))
+    rows = old.unionByName(capture.withColumn("run", F.lit(1)), allowMissingColumns=True)
+    own = Window.partitionBy("station_id").orderBy("run", "day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.select("station_id", "day", "value", *[F.last(c).over(own).alias(c) for c in ("n", "w", "tidal")])
 
 
+def capture_counts(capture: DataFrame) -> DataFrame:
+    """stations, captured (those with a value), flagged (tidal ones) of a capture."""
+    return capture.agg(F.count("*").alias("stations"), F.count("value").alias("captured"), F.count_if(F.coalesce("tidal", F.lit(False))).alias("flagged"))
+
+
 def union_shards(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two months as one day axis; a station tidal in either is tidal."""
     own = Window.partitionBy("station_id")

@@ -55,11 +55,11 @@ def scaled(cells: DataFrame) -> DataFrame:
     return cells.withColumn("scaled", F.when(F.col("value").isNotNull(), F.coalesce((F.col("value") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.5))))
 
 
-def leading_crop(cells: DataFrame) -> DataFrame:
-    """First day (0-based from the least) on which half of the stations or more
-    have data; 0 if there is none."""
+def leading_crop(cells: DataFrame, share: float = 0.5) -> DataFrame:
+    """First day (0-based from the least) on which ``share`` of the stations or
+    more, half if not given, have data; 0 if there is none."""
     rows = cells.agg(F.count_distinct("station_id").alias("stations"), F.min("day").alias("day0"))
-    days = cells.groupBy("day").agg(F.count("value").alias("n")).crossJoin(F.broadcast(rows)).where(2 * F.col("n") >= F.col("stations"))
+    days = cells.groupBy("day").agg(F.count("value").alias("n")).crossJoin(F.broadcast(rows)).where(F.col("n") >= share * F.col("stations"))
     return days.agg(F.coalesce(F.min(F.date_diff("day", "day0")), F.lit(0)).alias("first"))
 
 
@@ -106,6 +106,19 @@ def search_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     return q.join(n, F.contains("fold", "q_fold") | F.contains("bare", "q_bare")).select("q", "name", "kind")
 
 
+def lookup(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Per query (``q``): ``name``, ``kind`` and ``candidates``. A name that
+    ``resolve_names`` knows is meant; else the only one that contains the
+    query; with several ``name`` is null and they are counted."""
+    exact = resolve_names(queries.select("q").distinct(), names.select("name"))
+    known = exact.where("name is not null").join(names, "name").groupBy("q").agg(F.min(F.struct("name", "kind")).alias("b"), F.lit(1).alias("candidates"))
+    open_ = exact.where("name is null").select("q")
+    found = search_names(open_, names).groupBy("q").agg(F.count("*").alias("candidates"), F.min(F.struct("name", "kind")).alias("b"))
+    fuzzy = found.select("q", F.when(F.col("candidates") == 1, F.col("b")).alias("b"), "candidates")
+    hit = known.select("q", "b", F.col("candidates").cast("long").alias("candidates")).unionByName(fuzzy)
+    return queries.join(hit, "q", "left").select("q", "b.name", "b.kind", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
 def near_axis(positions: DataFrame, axis: DataFrame, most_km: float = 2.0) -> DataFrame:
     """Positions (``pos_id, lat, lon``) within ``most_km`` of the polyline of a
     river's stations (``river, km, lat, lon``), with river, distance and

@@ -17,6 +17,17 @@ def attributed(mids: DataFrame, stations: DataFrame) -> DataFrame:
     return mids.join(dims, "station_id")
 
 
+def run_counters(mids: DataFrame, stations: DataFrame) -> DataFrame:
+    """Stations of a run: ``excluded`` by their unit, else ``unattributed``
+    without a river, else ``included`` if they have a mid on any day, else
+    ``silent``. One row."""
+    there = mids.where("mid is not null").select("station_id").distinct().withColumn("there", F.lit(True))
+    bad, river = excluded_unit(F.col("unit")), F.trim(F.coalesce("river", F.lit(""))) != ""
+    some = F.col("there").isNotNull()
+    kinds = {"included": ~bad & river & some, "silent": ~bad & river & ~some, "unattributed": ~bad & ~river, "excluded": bad}
+    return stations.join(there, "station_id", "left").agg(*[F.count_if(k).alias(n) for n, k in kinds.items()])
+
+
 def consecutive_deltas(mids: DataFrame) -> DataFrame:
     """``delta`` to the day before, if the station has that day too, in the same
     year and on the very next day; gaps break both sides."""
@@ -65,6 +76,18 @@ def month_bars(monthly: DataFrame, k: int = 5) -> DataFrame:
     return banded(monthly, k).groupBy("year", "month", "band").agg(F.sum("v").alias("v"))
 
 
+def day_bars(daily: DataFrame, monthly: DataFrame, year: int, month: int, k: int = 5) -> DataFrame:
+    """A month's days: per day and band the sum of its rivers' values, 0 where
+    they are silent, and the day's ``total``. Bands are those of ``monthly``."""
+    bands = banded(monthly, k).select("river", "band").distinct()
+    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    days = bands.select("band").distinct().select("band", F.explode(F.sequence(first, F.last_day(first))).alias("day"))
+    own = daily.where(F.col("year") == year).withColumn("day", F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.col("doy").cast("int")))
+    sums = own.where(F.month("day") == month).join(bands, "river").groupBy("day", "band").agg(F.sum("v").alias("v"))
+    bars = days.join(sums, ["band", "day"], "left").select("day", "band", F.coalesce("v", F.lit(0)).alias("v"))
+    return bars.withColumn("total", F.sum("v").over(Window.partitionBy("day")))
+
+
 def change_bars(monthly: DataFrame) -> DataFrame:
     """Net change a year and month, over rivers; nulls are skipped."""
     return monthly.groupBy("year", "month").agg(F.sum("diff").alias("diff"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import outlook
+from ..functions.values import SENTINEL, outlook
 from ..operators import daily as D
 from ..operators import inventory as I
 from ..operators import river as R
@@ -14,10 +14,13 @@ from ..operators import totals as T
 from ..sources.tables import upsert_daily
 
 
-def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, last_year: int) -> DataFrame:
-    """Raw readings to daily extremes: forecasts and spill years drop, the datum
-    offset is taken off, sentinels drop, days are condensed."""
+def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, last_year: int, sentinel: float | None = SENTINEL) -> DataFrame:
+    """Raw readings to daily extremes: forecasts and the source's sentinels
+    (beyond ``sentinel``; None if it has none) drop, the datum offset is taken
+    off, days are condensed, spill years drop."""
     kept = D.drop_forecasts(readings, now)
+    if sentinel is not None:
+        kept = D.drop_sentinels(kept, sentinel)
     if offsets is not None:
         kept = D.subtract_datum(kept, offsets)
     return D.drop_empty_years(D.drop_spill_years(D.condense(kept), last_year))
@@ -32,10 +35,10 @@ def freeze_year(spark: SparkSession, path: str, accumulated: DataFrame, primary:
     return primary is not None
 
 
-def daily_snapshot(stations: DataFrame, archive: DataFrame, day: str, running_year: int) -> DataFrame:
+def daily_snapshot(stations: DataFrame, archive: DataFrame, day: str, running_year: int, tidal_span: float = 40.0) -> DataFrame:
     """A capture: the catalogue's stations (``uuid, n, w, value``) with their
     tidal flags."""
-    flags = S.tidal_flags(archive, running_year).select("station_id", "tidal")
+    flags = S.tidal_flags(archive, running_year, tidal_span).select("station_id", "tidal")
     rows = stations.select(F.col("uuid").alias("station_id"), "n", "w", "value", F.lit(day).cast("date").alias("day"))
     return rows.join(flags, "station_id", "left").withColumn("tidal", F.coalesce("tidal", F.lit(False)))
 
@@ -48,8 +51,12 @@ def river_totals(archive: DataFrame, stations: DataFrame, snapshot: DataFrame, n
     return T.river_daily_raw(filled.where(F.col("day") <= today), stations)
 
 
-def station_history(daily: DataFrame, points: DataFrame) -> DataFrame:
-    """Archived days as points, merged with the points there are."""
+def station_history(daily: DataFrame, points: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Archived days as points, merged with the points there are. Stations that
+    the manifest (``station_id, none``) marks as without an archive aren't
+    looked up in it."""
+    if manifest is not None:
+        daily = daily.join(manifest.where("none").select("station_id"), "station_id", "left_anti")
     return D.dedupe_points(points.select("station_id", "ts", "value").unionByName(D.two_points(daily)))
 
 

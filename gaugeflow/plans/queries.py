@@ -5,8 +5,11 @@ of their line items; high-frequency readings are events by user."""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,9 +172,12 @@ def subtract_datum(spark, sf):
     return D.subtract_datum(readings(spark, sf), offsets).select("station_id", "ts", "value")
 
 
-@query(f"SELECT {DAILY} FROM d")
+@query("""WITH e AS (SELECT station_id, year, doy, day, CASE WHEN (station_id + year) % 3 <> 0 THEN min_v END AS min_v, CASE WHEN (station_id + year) % 3 <> 0 THEN max_v END AS max_v FROM d)
+SELECT station_id, CAST(year AS BIGINT) AS year, CAST(doy AS BIGINT) AS doy, day, min_v, max_v FROM e WHERE (station_id + year) % 3 <> 0""")
 def drop_empty_years(spark, sf):
-    return daily_out(D.drop_empty_years(archive(spark, sf)))
+    """A third of the station-years lose all readings first."""
+    there = (F.col("station_id") + F.col("year")) % 3 != 0
+    return daily_out(D.drop_empty_years(archive(spark, sf).withColumns({c: F.when(there, F.col(c)) for c in ("min_v", "max_v")})))
 
 
 @query("SELECT count(*) FILTER (WHERE value BETWEEN -100 AND 300 AND value IS NOT NULL) AS fine, count(*) AS rows FROM ev")
@@ -205,10 +211,12 @@ def river_monthly(spark, sf):
     return ints(T.river_monthly(raw_totals(spark, sf), 1995, RUNNING), "year", "month")
 
 
-@query("""WITH x AS (SELECT DISTINCT station_id FROM d), y AS (SELECT station_id, CAST(g.g AS DATE) AS day FROM x, generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2000-03-31', INTERVAL 1 DAY) g(g))
+@query("""WITH x AS (SELECT DISTINCT station_id FROM d), e AS (SELECT min(day) AS a, max(day) AS z FROM d), y AS (SELECT station_id, CAST(unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM x, e)
 SELECT station_id, day, min_v, max_v FROM y LEFT JOIN d USING (station_id, day)""")
 def densify(spark, sf):
-    return D.densify(archive(spark, sf), ["station_id"], "2000-01-01", "2000-03-31").select("station_id", "day", "min_v", "max_v")
+    a = archive(spark, sf)
+    ends = a.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    return D.densify(a, ["station_id"], str(ends["first"]), str(ends["last"])).select("station_id", "day", "min_v", "max_v")
 
 
 _BAND = "tb AS (SELECT river FROM rm GROUP BY river HAVING sum(v) IS NOT NULL ORDER BY sum(v) DESC, river LIMIT 5), bm AS (SELECT rm.*, CASE WHEN river IN (SELECT river FROM tb) THEN river ELSE 'OTHER' END AS band FROM rm)"
@@ -216,8 +224,7 @@ _BAND = "tb AS (SELECT river FROM rm GROUP BY river HAVING sum(v) IS NOT NULL OR
 
 @query(f"WITH {_BAND}, y AS (SELECT band, river, year, avg(v) AS v FROM bm GROUP BY ALL) SELECT CAST(year AS BIGINT) AS year, band, CAST(floor(round(sum(v), 6) + 0.5) AS BIGINT) AS v FROM y GROUP BY ALL")
 def year_bars(spark, sf):
-    by_river = T.banded(T.river_monthly(raw_totals(spark, sf))).groupBy("band", "river", "year").agg(F.avg("v").alias("v"))
-    return ints(by_river.groupBy("year", "band").agg(C.round_half_up(F.round(F.sum("v"), 6)).alias("v")), "year")
+    return ints(T.year_bars(T.river_monthly(raw_totals(spark, sf))), "year")
 
 
 @query(f"WITH {_BAND} SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, band, CAST(sum(v) AS BIGINT) AS v FROM bm GROUP BY ALL")
@@ -375,20 +382,27 @@ def backfill_worklist(spark, sf):
     return ints(I.backfill_worklist(s, s, 2000, RUNNING), "start_year")
 
 
-@query("""WITH old AS (SELECT station_id, day, value FROM sn WHERE day < DATE '2001-01-10' AND day >= DATE '2000-12-01'), cap AS (SELECT station_id, max(day) AS day, CASE WHEN station_id % 2 = 0 THEN 7.0::DOUBLE END AS value FROM old GROUP BY station_id),
-u AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM cap WHERE cap.station_id = old.station_id AND cap.day = old.day) UNION ALL SELECT * FROM cap)
-SELECT station_id, day, value, 'new' AS n, 'w' AS w, station_id % 5 = 0 AS tidal FROM u""")
+@query("""WITH cap AS (SELECT station_id, CASE WHEN station_id % 3 = 0 THEN min(day) ELSE max(day) END AS day, CASE WHEN station_id % 2 = 0 THEN 7.0::DOUBLE END AS value FROM sn WHERE station_id % 4 <> 1 GROUP BY station_id),
+u AS (SELECT station_id, day, value FROM sn WHERE NOT EXISTS (SELECT 1 FROM cap WHERE cap.station_id = sn.station_id AND cap.day = sn.day) UNION ALL SELECT * FROM cap)
+SELECT station_id, day, value, CASE WHEN station_id % 4 = 1 THEN 'old' ELSE 'new' END AS n, 'w' AS w, CASE WHEN station_id % 4 = 1 THEN true ELSE station_id % 5 = 0 END AS tidal FROM u""")
 def apply_snapshot(spark, sf):
-    old = snapshot(spark, sf).where("day < '2001-01-10' and day >= '2000-12-01'").select("station_id", "day", "value", F.lit("old").alias("n"), F.lit("w").alias("w"), F.lit(True).alias("tidal"))
-    cap = old.groupBy("station_id").agg(F.max("day").alias("day")).select("station_id", "day", F.when(F.col("station_id") % 2 == 0, 7.0).alias("value"), F.lit("new").alias("n"), F.lit("w").alias("w"), (F.col("station_id") % 5 == 0).alias("tidal"))
+    """Reruns of the last day, and for a third of the stations of the first; a quarter has none."""
+    old = snapshot(spark, sf).select("station_id", "day", "value", F.lit("old").alias("n"), F.lit("w").alias("w"), F.lit(True).alias("tidal"))
+    ends = old.where("station_id % 4 <> 1").groupBy("station_id").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    cap = ends.select("station_id", F.when(F.col("station_id") % 3 == 0, F.col("a")).otherwise(F.col("z")).alias("day"), F.when(F.col("station_id") % 2 == 0, 7.0).alias("value"), F.lit("new").alias("n"), F.lit("w").alias("w"), (F.col("station_id") % 5 == 0).alias("tidal"))
     return I.apply_snapshot(old, cap)
 
 
-@query("SELECT station_id, day, value, bool_or(month(day) = 1 AND station_id % 2 = 0) OVER (PARTITION BY station_id) AS tidal FROM sn WHERE day BETWEEN DATE '2000-12-01' AND DATE '2001-01-31'")
+@query("SELECT count(*) AS stations, count(value) AS captured, count(*) FILTER (WHERE station_id % 6 = 0) AS flagged FROM (SELECT station_id, CASE WHEN station_id % 2 = 0 THEN max(value) END AS value FROM sn GROUP BY 1)")
+def capture_counts(spark, sf):
+    s = snapshot(spark, sf).groupBy("station_id").agg(F.max("value").alias("v"))
+    return I.capture_counts(s.select("station_id", F.when(F.col("station_id") % 2 == 0, F.col("v")).alias("value"), (F.col("station_id") % 6 == 0).alias("tidal")))
+
+
+@query("SELECT station_id, day, value, bool_or(month(day) % 2 = 1 AND station_id % 2 = 0) OVER (PARTITION BY station_id) AS tidal FROM sn")
 def union_shards(spark, sf):
     s = snapshot(spark, sf)
-    a = s.where("day between '2000-12-01' and '2000-12-31'").withColumn("tidal", F.lit(False))
-    return I.union_shards(a, s.where("day between '2001-01-01' and '2001-01-31'").withColumn("tidal", F.col("station_id") % 2 == 0))
+    return I.union_shards(s.where("month(day) % 2 = 0").withColumn("tidal", F.lit(False)), s.where("month(day) % 2 = 1").withColumn("tidal", F.col("station_id") % 2 == 0))
 
 
 @query("SELECT DISTINCT CAST(year(day) AS BIGINT) AS y, CAST(month(day) AS BIGINT) AS m FROM d WHERE 2001 * 12 + 6 - (year(day) * 12 + month(day)) > 24")
@@ -496,17 +510,10 @@ def window_days(spark, sf):
     return ints(R.window_days(D.with_mid(archive(spark, sf)), "2000-12-20", 30), "i")
 
 
-@query(f"WITH {_WINDOW}, s AS (SELECT count(DISTINCT station_id) AS k FROM wc), n AS (SELECT i, count(value) AS n FROM wc GROUP BY 1) SELECT coalesce(min(i), 0) AS first FROM n, s WHERE 10 * n >= k")
+@query(f"WITH {_WINDOW}, s AS (SELECT count(DISTINCT station_id) AS k FROM wc), n AS (SELECT i, count(value) AS n FROM wc GROUP BY 1) SELECT coalesce(min(i), 0) AS first FROM n, s WHERE n >= 0.15 * k")
 def leading_crop(spark, sf):
-    cells = R.window_days(D.with_mid(archive(spark, sf)), "2000-12-20", 30)
-    few = cells.where("station_id % 5 = 0 or value is not null")
-    return ints(_crop_at(few, cells), "first")
-
-
-def _crop_at(few: DataFrame, cells: DataFrame) -> DataFrame:
-    """The crop at a tenth of the stations, as readings here are sparse."""
-    k = cells.agg(F.count_distinct("station_id").alias("k"))
-    return cells.groupBy("i").agg(F.count("value").alias("n")).crossJoin(F.broadcast(k)).where(10 * F.col("n") >= F.col("k")).agg(F.coalesce(F.min("i"), F.lit(0)).alias("first"))
+    """At a smaller share of the stations than usual, as readings here are sparse."""
+    return ints(R.leading_crop(R.window_days(D.with_mid(archive(spark, sf)), "2000-12-20", 30), 0.15), "first")
 
 
 @query("""WITH k AS (SELECT river, station_id, row_number() OVER (PARTITION BY river ORDER BY km, station_id) - 1 AS i, count(*) OVER (PARTITION BY river) AS total FROM st)
@@ -515,17 +522,56 @@ def sample_stations(spark, sf):
     return R.sample_stations(stations(spark, sf), 3).select("river", "station_id", "total")
 
 
-@query("SELECT n_name AS q, n_name AS name FROM nation UNION ALL SELECT lower(r_name) AS q, NULL AS name FROM region")
+_NAMES = """nm AS (SELECT translate(n_name, 'AOU', 'ÄÖÜ') AS name, 'station' AS kind, n_name AS bare, replace(replace(replace(n_name, 'A', 'AE'), 'O', 'OE'), 'U', 'UE') AS pair FROM nation UNION ALL SELECT r_name AS name, 'river' AS kind, r_name AS bare, r_name AS pair FROM region)"""
+
+
+def names(spark, sf):
+    """Nations with umlauts for vowels as stations, regions as rivers."""
+    n = t(spark, sf, "nation").select(F.translate("n_name", "AOU", "ÄÖÜ").alias("name"), F.lit("station").alias("kind"))
+    return n.union(t(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("river").alias("kind")))
+
+
+def spelt(spark, sf):
+    """Spellings of the nations: bare vowels in lower case, vowels as pairs, as they are; and unknown ones."""
+    n = t(spark, sf, "nation")
+    pairs = F.replace(F.replace(F.replace("n_name", F.lit("A"), F.lit("AE")), F.lit("O"), F.lit("OE")), F.lit("U"), F.lit("UE"))
+    return n.select(F.explode(F.array(F.lower("n_name"), pairs, F.translate("n_name", "AOU", "ÄÖÜ"), F.concat(F.lit("x"), "n_name"))).alias("q"))
+
+
+_SPELT = "qs AS (SELECT unnest([lower(bare), pair, name, 'x' || bare]) AS q, unnest([name, name, name, NULL]) AS name FROM nm WHERE kind = 'station')"
+
+
+@query(f"WITH {_NAMES}, {_SPELT} SELECT q, min(name) AS name FROM qs GROUP BY q")
 def resolve_names(spark, sf):
-    nations = t(spark, sf, "nation")
-    names = nations.select(F.col("n_name").alias("name"))
-    return R.resolve_names(nations.select(F.col("n_name").alias("q")).union(t(spark, sf, "region").select(F.lower("r_name"))), names)
+    return R.resolve_names(spelt(spark, sf).distinct(), names(spark, sf))
+
 
+_PARTS = "qp AS (SELECT DISTINCT lower(substr(bare, 1, 3)) AS q FROM nm UNION SELECT DISTINCT lower(substr(bare, 2, 4)) FROM nm UNION SELECT 'nowhere')"
 
-@query("SELECT lower(substr(r_name, 1, 2)) AS q, n_name AS name, 'river' AS kind FROM region, nation WHERE contains(upper(n_name), upper(substr(r_name, 1, 2)))")
+
+def parts(spark, sf):
+    bare = t(spark, sf, "nation").select(F.col("n_name").alias("b")).union(t(spark, sf, "region").select("r_name"))
+    return bare.select(F.explode(F.array(F.lower(F.substring("b", 1, 3)), F.lower(F.substring("b", 2, 4)), F.lit("nowhere"))).alias("q")).distinct()
+
+
+@query(f"WITH {_NAMES}, {_PARTS} SELECT q, name, kind FROM qp, nm WHERE contains(bare, upper(q)) OR contains(pair, upper(q))")
 def search_names(spark, sf):
-    q = t(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("q"))
-    return R.search_names(q, t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("river").alias("kind")))
+    return R.search_names(parts(spark, sf), names(spark, sf))
+
+
+@query(f"""WITH {_NAMES}, {_PARTS}, h AS (SELECT q, count(name) AS candidates, min(name) AS name, min(kind) AS kind FROM qp LEFT JOIN nm ON contains(bare, upper(q)) OR contains(pair, upper(q)) GROUP BY q)
+SELECT q, CASE WHEN candidates = 1 THEN name END AS name, CASE WHEN candidates = 1 THEN kind END AS kind, candidates FROM h WHERE q NOT IN (SELECT lower(bare) FROM nm)
+UNION ALL SELECT lower(bare) AS q, name, kind, 1 AS candidates FROM nm""")
+def lookup(spark, sf):
+    """Parts of names, and whole names."""
+    whole = t(spark, sf, "nation").select(F.lower("n_name").alias("q")).union(t(spark, sf, "region").select(F.lower("r_name")))
+    return R.lookup(parts(spark, sf).join(whole, "q", "left_anti").union(whole), names(spark, sf))
+
+
+@query(f"WITH {_NAMES} SELECT name, pair AS as_pairs, bare AS as_vowels FROM nm")
+def fold_names(spark, sf):
+    n = names(spark, sf)
+    return n.select("name", V.fold_name(F.lower("name")).alias("as_pairs"), V.fold_name(F.col("name"), False).alias("as_vowels"))
 
 
 @query("SELECT station_id, unnest([CAST(day AS TIMESTAMP) + INTERVAL 5 HOURS, CAST(day AS TIMESTAMP) + INTERVAL 17 HOURS]) AS ts, unnest([min_v, max_v]) AS value FROM d")
@@ -559,11 +605,33 @@ def magnitudes(spark, sf):
     return x.select("river", V.magnitude(F.col("s")).alias("sum_text"), V.signed_magnitude(F.col("c")).alias("change_text"))
 
 
-@query("""SELECT count(*) AS rows, count(DISTINCT d.station_id) AS stations, count(DISTINCT d.station_id) FILTER (WHERE unit = 'cm') AS included, count(DISTINCT d.station_id) FILTER (WHERE unit <> 'cm') AS excluded FROM d JOIN st USING (station_id)""")
+@query("""WITH s AS (SELECT station_id, unit <> 'cm' AS bad, CASE WHEN station_id % 7 = 0 THEN '' ELSE river END AS river, station_id IN (SELECT station_id FROM d WHERE station_id % 11 <> 0) AS there FROM st)
+SELECT count(*) FILTER (WHERE NOT bad AND river <> '' AND there) AS included, count(*) FILTER (WHERE NOT bad AND river <> '' AND NOT there) AS silent, count(*) FILTER (WHERE NOT bad AND river = '') AS unattributed, count(*) FILTER (WHERE bad) AS excluded FROM s""")
 def run_counters(spark, sf):
-    x = archive(spark, sf).join(stations(spark, sf), "station_id")
-    bad = V.excluded_unit(F.col("unit"))
-    return x.agg(F.count("*").alias("rows"), F.count_distinct("station_id").alias("stations"), F.count_distinct(F.when(~bad, F.col("station_id"))).alias("included"), F.count_distinct(F.when(bad, F.col("station_id"))).alias("excluded"))
+    s = stations(spark, sf).withColumn("river", F.when(F.col("station_id") % 7 == 0, " ").otherwise(F.col("river")))
+    return T.run_counters(D.with_mid(archive(spark, sf).where("station_id % 11 <> 0")), s)
+
+
+@query("""SELECT river, year, CAST(doy AS BIGINT) AS doy, v, n FROM (SELECT river, CAST(md.year AS BIGINT) AS year, doy, sum(mid) AS v, count(mid) AS n FROM md WHERE river <> 'NATION_8' GROUP BY ALL)""")
+def unattributed(spark, sf):
+    """A river whose name is blank has no totals."""
+    s = stations(spark, sf).withColumn("river", F.when(F.col("river") == "NATION_8", "  ").otherwise(F.col("river")))
+    return ints(T.river_daily_raw(D.with_mid(archive(spark, sf)), s).select("river", "year", "doy", "v", "n"), "year", "doy")
+
+
+@query("""WITH c AS (SELECT station_id, 'c' || station_id AS code, CASE WHEN station_id % 2 = 0 THEN ['a' || station_id, 'b' || station_id] ELSE [] END AS retired FROM st) SELECT station_id, code FROM c UNION ALL SELECT station_id, unnest(retired) AS code FROM c""")
+def code_map(spark, sf):
+    id_ = F.col("station_id").cast("string")
+    s = stations(spark, sf).select("station_id", F.concat(F.lit("c"), id_).alias("code"), F.when(F.col("station_id") % 2 == 0, F.array(F.concat(F.lit("a"), id_), F.concat(F.lit("b"), id_))).alias("retired"))
+    return D.code_map(s)
+
+
+@query(f"""WITH {_BAND}, b AS (SELECT DISTINCT river, band FROM bm), g AS (SELECT band, CAST(DATE '2000-05-01' + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT band FROM b), range(0, 31) r(i)),
+x AS (SELECT day, band, sum(v) AS v FROM rr JOIN b USING (river) WHERE year = 2000 AND month(day) = 5 GROUP BY ALL), y AS (SELECT day, band, coalesce(x.v, 0) AS v FROM g LEFT JOIN x USING (day, band))
+SELECT day, band, CAST(v AS BIGINT) AS v, CAST(sum(v) OVER (PARTITION BY day) AS BIGINT) AS total FROM y""")
+def day_bars(spark, sf):
+    raw = raw_totals(spark, sf)
+    return T.day_bars(T.river_daily(raw), T.river_monthly(raw), 2000, 5)
 
 
 @query("""WITH p AS (SELECT station_id AS pos_id, lat + 0.005 AS y, lon + 0.005 AS x FROM st WHERE lat IS NOT NULL), s AS (SELECT river, km, lat, lon, lead(km) OVER w AS km2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM st WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY river ORDER BY km)),
@@ -576,9 +644,13 @@ def near_axis(spark, sf):
     return R.near_axis(pos, s)
 
 
-@query(f"SELECT {DAILY} FROM d WHERE day <= DATE '2001-06-30' AND year <= 2001")
+@query("""WITH x AS (SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, value - CASE WHEN station_id % 3 = 0 THEN station_id ELSE 0 END AS value FROM r WHERE ts <= TIMESTAMP '2001-06-30 12:00:00' AND value < 45)
+SELECT station_id, CAST(year(day) AS BIGINT) AS year, CAST(dayofyear(day) - 1 AS BIGINT) AS doy, day, min(value) AS min_v, max(value) AS max_v FROM x WHERE year(day) <= 2000 AND value BETWEEN -2000 AND 20000 GROUP BY ALL""")
 def ingest_archive(spark, sf):
-    return daily_out(J.ingest_archive(readings(spark, sf), None, NOW, RUNNING))
+    """A tenth of the readings are sentinels, on either side."""
+    r = readings(spark, sf).withColumn("value", F.when(F.col("value") < 45, F.col("value")).when(F.col("value") < 48, 6000.0).otherwise(-6000.0))
+    offsets = stations(spark, sf).where("station_id % 3 = 0").select("station_id", F.col("station_id").cast("double").alias("datum_offset"))
+    return daily_out(J.ingest_archive(r, offsets, NOW, 2000))
 
 
 @query("""WITH p AS (SELECT station_id, day, (min_v + max_v) / 2 AS mid FROM dp WHERE part = 'F'), s AS (SELECT * FROM sn WHERE year(day) = 2001), f AS (SELECT station_id, day, year(day) AS year, dayofyear(day) - 1 AS doy, coalesce(mid, value) AS mid FROM p FULL JOIN s USING (station_id, day)),
@@ -589,10 +661,12 @@ def river_totals(spark, sf):
     return out.select("river", "day", "v", "n", "dv", "dn")
 
 
-@query("""WITH p AS (SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 5 HOURS AS ts, min_v AS value FROM d UNION ALL SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 17 HOURS, max_v FROM d UNION ALL SELECT station_id, ts, value FROM r)
+@query("""WITH k AS (SELECT * FROM d WHERE station_id % 5 <> 0), p AS (SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 5 HOURS AS ts, min_v AS value FROM k UNION ALL SELECT station_id, CAST(day AS TIMESTAMP) + INTERVAL 17 HOURS, max_v FROM k UNION ALL SELECT station_id, ts, value FROM r)
 SELECT station_id, ts, min(value) AS value FROM p GROUP BY ALL""")
 def station_history(spark, sf):
-    return J.station_history(archive(spark, sf), readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """A fifth of the stations is marked as without an archive."""
+    marked = stations(spark, sf).select("station_id", (F.col("station_id") % 5 == 0).alias("none"))
+    return J.station_history(archive(spark, sf), readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), marked).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {_BASE}, l AS (SELECT station_id, arg_max(value, day) AS value FROM sn GROUP BY 1), q AS (SELECT l.station_id, l.value, l.value - sn.value AS delta, (l.value - sn.value) / (age_h / 24) AS rate FROM l JOIN sn USING (station_id) JOIN bc ON sn.day = bc.day WHERE station_id % 6 <> 0),
@@ -610,14 +684,22 @@ def totals_explorer(spark, sf):
     return ints(J.totals_explorer(T.river_monthly(raw_totals(spark, sf))), "year")
 
 
-@query()
+@query(f"""WITH k AS (SELECT river, station_id, row_number() OVER (PARTITION BY river ORDER BY km, station_id) - 1 AS i, count(*) OVER (PARTITION BY river) AS total FROM st),
+sh AS (SELECT river, station_id, total FROM k WHERE total <= 24 OR i = 0 OR floor(i * 24 / total) <> floor((i - 1) * 24 / total)), sm AS (SELECT m.* FROM m JOIN sh USING (station_id)),
+wd AS (SELECT station_id, CAST(g.i AS BIGINT) AS i, CAST(DATE '2000-12-20' + CAST(g.i AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT station_id FROM sm), range(0, 30) g(i)), wc AS (SELECT station_id, day, i, mid AS value FROM wd LEFT JOIN sm USING (station_id, day)),
+f AS (SELECT coalesce(min(i), 0) AS first FROM (SELECT i, count(value) AS n FROM wc GROUP BY 1), (SELECT count(DISTINCT station_id) AS k FROM wc) WHERE 2 * n >= k),
+c AS (SELECT *, CASE WHEN value IS NOT NULL THEN coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.5) END AS scaled FROM wc WINDOW w AS (PARTITION BY station_id))
+SELECT river, station_id, day, value, round(scaled, 6) AS scaled, total FROM c JOIN sh USING (station_id), f WHERE i >= first""")
 def river_wave(spark, sf):
-    return J.river_wave(D.with_mid(archive(spark, sf)), stations(spark, sf), "2000-12-20", 30)
+    return rounded(J.river_wave(D.with_mid(archive(spark, sf)), stations(spark, sf), "2000-12-20", 30), "scaled")
 
 
-@query()
+@query("""WITH dq AS (SELECT station_id, day, (min_v + max_v) / 2 AS mean FROM d), cq AS (SELECT station_id, month(day) AS month, avg(mean) AS mean, greatest(stddev_pop(mean), 1.0) AS sd FROM dq WHERE year(day) < 2001 GROUP BY ALL),
+c AS (SELECT station_id, year(day) AS year, month(day) AS month, avg(mean) AS v, min(mean) AS lo, max(mean) AS hi FROM dq GROUP BY ALL), b AS (SELECT *, min(v) OVER w AS a, max(v) OVER w AS z FROM c WINDOW w AS (PARTITION BY station_id)), k AS (SELECT b.*, (v - cq.mean) / cq.sd AS s FROM b LEFT JOIN cq USING (station_id, month))
+SELECT station_id, CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, round(v, 6) AS v, lo, hi, CASE WHEN z > a THEN greatest(0, least(3, CAST(floor(4 * (v - a) / (z - a)) AS BIGINT))) END AS level,
+CASE WHEN s IS NULL THEN NULL WHEN abs(s) < 0.5 THEN 'neutral' ELSE (CASE WHEN s > 0 THEN 'wet-' ELSE 'dry-' END) || (CASE WHEN abs(s) < 1 THEN '1' WHEN abs(s) < 1.5 THEN '2' WHEN abs(s) < 2.5 THEN '3' ELSE '4' END) END AS anomaly FROM k""")
 def station_statistics(spark, sf):
-    return J.station_statistics(archive(spark, sf), RUNNING)
+    return rounded(ints(J.station_statistics(archive(spark, sf), RUNNING), "year", "month", "level"), "v")
 
 
 @query("SELECT station_id, ts, value FROM r WHERE ts >= TIMESTAMP '2001-06-30 12:00:00' - INTERVAL 365 DAYS")
@@ -645,15 +727,133 @@ def point_archive_round_trip(spark, sf):
     return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("""WITH x AS (SELECT station_id, ts, CASE WHEN value >= 0 THEN value END AS value FROM ev WHERE value < 200)
-SELECT station_id, ts, value FROM x WHERE value IS NOT NULL""")
+def iso(ts: str):
+    return F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def bodies(spark, sf):
+    """Readings as JSON texts, one a station and day, with the archive's flaws: no digit before the point, and a bare minus for no value."""
+    e = events(spark, sf)
+    number = F.when(F.col("value") < 20, "-").when(F.col("value") < 21, F.concat(F.lit("-."), F.format_string("%02d", F.floor(F.col("value") * 100).cast("long") % 100))).otherwise(F.format_string("%.2f", "value"))
+    one = F.concat(F.lit('{"timestamp":"'), iso("ts"), F.lit('","value":'), number, F.lit("}"))
+    days = e.groupBy("station_id", F.to_date("ts").alias("day")).agg(F.collect_list(one).alias("all"))
+    return days.select("station_id", "day", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("body"))
+
+
+def ntz(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_FLAWED = "SELECT {0} AS station_id, ts, CASE WHEN value < 21 THEN -((CAST(floor(value * 100) AS BIGINT) % 100) / 100.0::DOUBLE) ELSE value END AS value FROM ev WHERE value >= 20"
+
+
+@query(_FLAWED.format("station_id"))
 def measurements(spark, sf):
-    """Readings as JSON texts with the archive's flaws, read leniently."""
-    e = events(spark, sf).where("value < 200")
-    number = F.when(F.col("value") < 0, "-").otherwise(F.regexp_replace(F.format_string("%.2f", "value"), r"^0\.", "."))
-    body = F.concat(F.lit('[{"timestamp":"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit('","value":'), number, F.lit("}]"))
-    out = formats.measurements_of(e.select("station_id", body.alias("body")))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Readings of JSON texts, read leniently."""
+    return ntz(formats.measurements_of(bodies(spark, sf)))
+
+
+@query(_FLAWED.format("CAST(station_id AS VARCHAR)"))
+def read_measurements(spark, sf):
+    """The same from files, in a folder a station."""
+    path = new_path(spark, "measurements")
+    bodies(spark, sf).select("station_id", "body").write.partitionBy("station_id").text(path)
+    return ntz(formats.read_measurements(spark, path))
+
+
+@query("WITH x AS (" + _FLAWED.format("station_id") + ") SELECT 'S' || station_id || 'Ö' AS station, ts, value FROM x WHERE station_id % 7 <> 0 UNION ALL SELECT 'FALLBACK' AS station, ts, value FROM x WHERE station_id % 7 = 0")
+def ingest_zip(spark, sf):
+    """Archives a station and day, whose entries name the station in another spelling; a seventh name none, and one archive is broken."""
+    file = F.concat(F.lit("pegel-s"), F.col("station_id").cast("string"), F.when(F.col("station_id") % 7 == 0, "x").otherwise("oe"), F.lit("-W-2024.json"))
+
+    @F.pandas_udf("binary")
+    def zipped(entries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for entry, text in zip(entries, texts, strict=True):
+            with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(entry, text)
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    files = bodies(spark, sf).select(F.concat(F.lit("/in/"), F.col("day").cast("string"), F.lit("/"), file).alias("path"), zipped(file, F.col("body")).alias("content"))
+    broken = spark.createDataFrame([("/in/broken.zip", b"PK\x01\x02")], files.schema)
+    read = formats.ingest_zip(files.union(broken)).where("error is null")
+    known = events(spark, sf).select(F.concat(F.lit("S"), F.col("station_id").cast("string"), F.lit("Ö")).alias("name")).distinct()
+    named = formats.with_station(read, known, "FALLBACK").select(F.col("station").alias("station_id"), "body")
+    return ntz(formats.measurements_of(named)).withColumnRenamed("station_id", "station")
+
+
+@query("SELECT station_id, ts, value FROM ev WHERE abs(value) <= 450")
+def flatten_observations(spark, sf):
+    """Answers of a partner a station and day, whose large values are sentinels."""
+    e = events(spark, sf).withColumn("value", F.when(F.col("value") > 450, 99999.0).otherwise(F.col("value")))
+    one = F.struct(iso("ts").alias("Tijdstip"), F.struct(F.col("value").alias("Waarde_Numeriek")).alias("Meetwaarde"))
+    answers = e.groupBy("station_id", F.to_date("ts").alias("day")).agg(F.array(F.struct(F.collect_list(one).alias("MetingenLijst"))).alias("WaarnemingenLijst"))
+    answers = answers.withColumn("Succesvol", F.lit(True)).withColumn("Foutmelding", F.lit(None).cast("string"))
+    return ntz(D.drop_sentinels(formats.flatten_observations(answers)))
+
+
+@query("SELECT station_id, ts, CASE WHEN station_id % 3 <> 0 THEN value END AS value FROM ev WHERE station_id % 3 <> 0")
+def numeric_values(spark, sf):
+    """Texts that are no finite numbers never enter."""
+    text = F.when(F.col("station_id") % 9 == 0, "n/a").when(F.col("station_id") % 9 == 3, "NaN").when(F.col("station_id") % 9 == 6, "Infinity").otherwise(F.col("value").cast("string"))
+    return events(spark, sf).select("station_id", "ts", V.numeric(text).alias("value")).where("value is not null")
+
+
+@query("SELECT station_id, ts, CASE WHEN station_id % 5 = 0 THEN NULL ELSE ts - INTERVAL 90 MINUTES END AS instant FROM ev")
+def parse_instants(spark, sf):
+    """Texts with a fixed offset of +01:30; a fifth can't be read."""
+    text = F.when(F.col("station_id") % 5 == 0, "soon").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+01:30")))
+    return events(spark, sf).select("station_id", "ts", C.parse_instant(text).cast("timestamp_ntz").alias("instant"))
+
+
+def catalogue(spark, sf):
+    """The stations as a catalogue's JSON, written and read: a seventh has no ``W`` series, others lack a value, a water or marks."""
+    s = stations(spark, sf).withColumn("id", F.col("station_id"))
+    has = lambda n: F.col("id") % n != 0
+    marks = [F.struct(F.lit(k).alias("shortname"), v.alias("value")) for k, v in (("MNW", F.lit(10.5)), ("MHW", F.lit(90.5)), ("MThw", F.lit(70.0)))]
+    series = F.struct(
+        F.when(has(7), "W").otherwise("Q").alias("shortname"), "unit", F.when(has(5), F.struct(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("w").alias("value"), F.col("state").alias("stateMnwMhw"))).alias("currentMeasurement"),
+        F.when(has(3), F.array(*marks)).when(has(2), F.array(*marks[:2])).alias("characteristicValues"),
+    )
+    rows = s.select(F.col("station_id").cast("string").alias("uuid"), F.col("name").alias("shortname"), "km", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.when(has(11), F.struct(F.col("river").alias("shortname"))).alias("water"), F.array(series).alias("timeseries"))
+    path = new_path(spark, "catalogue")
+    rows.write.json(path)
+    return formats.read_catalogue(spark, path, lines=True)
+
+
+@query("""SELECT CAST(station_id AS VARCHAR) AS uuid, name AS n, CASE WHEN station_id % 11 <> 0 THEN river ELSE '' END AS w, CASE WHEN station_id % 5 <> 0 THEN st.w END AS value, CASE WHEN station_id % 5 <> 0 THEN CASE state WHEN 'high' THEN 'HIGHEST' WHEN 'low' THEN 'lowest' ELSE state END END AS state, km, lat, lon FROM st WHERE station_id % 7 <> 0""")
+def catalogue_stations(spark, sf):
+    return formats.stations_of(catalogue(spark, sf))
+
+
+@query("SELECT CAST(station_id AS VARCHAR) AS station_id, unit FROM st WHERE station_id % 7 <> 0")
+def catalogue_units(spark, sf):
+    return formats.units_of(catalogue(spark, sf))
+
+
+@query("""WITH x AS (SELECT station_id, station_id % 7 <> 0 AND station_id % 3 <> 0 AS all_, station_id % 7 <> 0 AND (station_id % 3 <> 0 OR station_id % 2 <> 0) AS two FROM st)
+SELECT CAST(station_id AS VARCHAR) AS station_id, all_ AS tidal, CASE WHEN two THEN 10.5::DOUBLE END AS mnw, CASE WHEN two THEN 90.5::DOUBLE END AS mhw FROM x""")
+def catalogue_marks(spark, sf):
+    return formats.marks_of(catalogue(spark, sf))
+
+
+@query("SELECT CAST(station_id AS VARCHAR) AS station_id, 'n' AS n, 'w' AS w, day, value, station_id % 2 = 0 AS tidal FROM sn WHERE year(day) = 2000")
+def snapshot_shards(spark, sf):
+    """Shards of all months, of which one year's are read."""
+    s = snapshot(spark, sf).select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", (F.col("station_id") % 2 == 0).alias("tidal"))
+    return formats.explode_shard(formats.to_shards(s), 2000).where("value is not null")
+
+
+@query(f"SELECT CAST(station_id AS VARCHAR) AS station_id, CAST(year AS BIGINT) AS year, CAST(doy AS BIGINT) AS doy, day, min_v, max_v FROM d WHERE station_id % 10 <> 0")
+def compact_years(spark, sf):
+    """JSON files a station, with a malformed line in a tenth of them, folded into one bundle table."""
+    path, out = new_path(spark, "years"), new_path(spark, "bundles")
+    text = F.to_json(F.struct("y", "min", "max"))
+    lines = F.when((F.col("station_id") % 10 == 0) & (F.col("y") % 2 == 0), F.substring(text, 1, 20)).otherwise(text)
+    formats.to_bundle(archive(spark, sf)).select("station_id", lines.alias("value")).repartition("station_id").write.partitionBy("station_id").text(path)
+    tables.compact_years(spark, path, out, lines=True)
+    return daily_out(formats.explode_bundle(spark.read.parquet(out)))
 
 
 @query(f"SELECT {DAILY} FROM d")
@@ -664,16 +864,37 @@ def upsert_daily(spark, sf):
     return daily_out(spark.read.parquet(path))
 
 
-@query("""WITH s AS (SELECT * FROM sn WHERE day BETWEEN DATE '2000-12-01' AND DATE '2001-01-31')
-SELECT station_id, day, CASE WHEN day >= DATE '2001-01-01' AND station_id % 2 = 0 THEN -1.0::DOUBLE ELSE value END AS value, strftime(day, '%Y-%m') AS month FROM s""")
+@query("""SELECT station_id, day, CASE WHEN day >= DATE '2001-01-01' AND station_id % 2 = 0 THEN -1.0::DOUBLE ELSE value END AS value, strftime(day, '%Y-%m') AS month FROM sn""")
 def snapshot_table(spark, sf):
+    """All captures, then reruns of a part of them."""
     path = new_path(spark, "snapshot")
-    rows = snapshot(spark, sf).where("day between '2000-12-01' and '2001-01-31'").select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", F.lit(False).alias("tidal"))
+    rows = snapshot(spark, sf).select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", F.lit(False).alias("tidal"))
     tables.write_snapshot(spark, path, rows)
     tables.write_snapshot(spark, path, rows.where("day >= '2001-01-01' and station_id % 2 = 0").withColumn("value", F.lit(-1.0)))
     return spark.read.parquet(path).select("station_id", "day", "value", F.col("month").cast("string").alias("month"))
 
 
+@query("""WITH p AS (SELECT * FROM dp WHERE part = 'O' AND year = 1997), f AS (SELECT * FROM dp WHERE part = 'F' AND year = 1997), fy AS (SELECT DISTINCT station_id FROM f), p2 AS (SELECT station_id, year, doy, day, min_v - 1 AS min_v, max_v + 1 AS max_v FROM f WHERE doy % 2 = 0)
+SELECT f.station_id, CAST(f.year AS BIGINT) AS year, CAST(f.doy AS BIGINT) AS doy, f.day, coalesce(p2.min_v, f.min_v) AS min_v, coalesce(p2.max_v, f.max_v) AS max_v FROM f LEFT JOIN p2 USING (station_id, day)
+UNION ALL SELECT station_id, CAST(year AS BIGINT) AS year, CAST(doy AS BIGINT) AS doy, day, min_v, max_v FROM dp WHERE part = 'F' AND year <> 1997""")
+def freeze_year(spark, sf):
+    """A table of all years, of which one is closed: every other day has an authoritative value, which lies over what was there."""
+    path = new_path(spark, "frozen")
+    own = D.condense(readings(spark, sf).where("part = 'F'"))
+    tables.upsert_daily(spark, path, own.where("year <> 1997"))
+    sure = own.where("doy % 2 = 0").withColumn("min_v", F.col("min_v") - 1).withColumn("max_v", F.col("max_v") + 1)
+    J.freeze_year(spark, path, own, sure, 1997)
+    return daily_out(spark.read.parquet(path))
+
+
+@query("""WITH s AS (SELECT station_id, year, max_v - min_v AS span, row_number() OVER (PARTITION BY station_id, year ORDER BY max_v - min_v, day) - 1 AS k, count(*) OVER (PARTITION BY station_id, year) AS n FROM d WHERE year IN (2000, 2001)),
+q AS (SELECT station_id, year, max(span) FILTER (WHERE n >= 14 AND k = n // 2) AS span FROM s GROUP BY ALL), f AS (SELECT station_id, coalesce(max(span) FILTER (WHERE year = 2001), max(span) FILTER (WHERE year = 2000)) AS span FROM q GROUP BY 1)
+SELECT station_id, name AS n, river AS w, st.w AS value, DATE '2001-06-30' AS day, coalesce(span >= 10, false) AS tidal FROM st LEFT JOIN f USING (station_id)""")
+def daily_snapshot(spark, sf):
+    s = stations(spark, sf).select(F.col("station_id").alias("uuid"), F.col("name").alias("n"), F.col("river").alias("w"), F.col("w").alias("value"))
+    return J.daily_snapshot(s, archive(spark, sf), "2001-06-30", RUNNING, 10)
+
+
 @query("""WITH g AS (SELECT river, b.mo AS month FROM (SELECT DISTINCT river FROM rm), range(1, 13) b(mo))
 SELECT river, CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, v, diff FROM rm WHERE year <> 2000
 UNION ALL SELECT river, 2000 AS year, CAST(month AS BIGINT) AS month, CASE WHEN month <= 6 THEN v END AS v, CASE WHEN month <= 6 THEN diff END AS diff FROM g LEFT JOIN (SELECT * FROM rm WHERE year = 2000) USING (river, month)""")
@@ -687,6 +908,20 @@ def totals_append(spark, sf):
     return ints(spark.read.parquet(f"{path}/monthly").select("river", "year", "month", "v", "diff"), "year", "month")
 
 
+@query("""WITH y AS (SELECT min(year) AS a, max(year) AS z FROM rm), g AS (SELECT river, a + (i // 12) AS year, 1 + i % 12 AS month, i FROM (SELECT DISTINCT river FROM rm), y, range(0, 1200) r(i) WHERE i < 12 * (z - a + 1))
+SELECT river, CAST(min(g.year) AS BIGINT) AS from_year, CAST(sum(CASE WHEN v IS NOT NULL THEN (i + 1) * v ELSE 0 END) AS BIGINT) AS v_mark, CAST(sum(CASE WHEN diff IS NOT NULL THEN (i + 1) * diff ELSE 0 END) AS BIGINT) AS diff_mark, count(*) AS months, count(v) AS n FROM g LEFT JOIN rm USING (river, year, month) GROUP BY river""")
+def totals_overview(spark, sf):
+    """A table that predates ``diff`` and lacks a year, appended to; the overview's arrays as sums weighted by place."""
+    path, raw = new_path(spark, "totals"), raw_totals(spark, sf)
+    daily, monthly = T.river_daily(raw), T.river_monthly(raw)
+    tables.rebuild_totals(daily.where("year <> 1996"), monthly.where("year <> 1996"), path, stations(spark, sf))
+    for year in (1995, 1996):
+        tables.append_totals(spark, daily, monthly, path, year)
+    mark = lambda c: F.aggregate(F.transform(c, lambda x, i: (i + 1) * F.coalesce(x, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    o = spark.read.parquet(f"{path}/overview")
+    return ints(o.select("river", "from_year", mark("v").alias("v_mark"), mark("diff").alias("diff_mark"), F.size("v").alias("months"), F.size(F.filter("v", lambda x: x.isNotNull())).alias("n")), "from_year", "months", "n")
+
+
 def event_stream(spark, sf):
     schema = t(spark, sf, "events").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -708,3 +943,55 @@ def stream_gaps(spark, sf):
     q.awaitTermination()
     out = rounded(spark.read.parquet(path), "hours")
     return out.withColumn("from_ts", F.col("from_ts").cast("timestamp_ntz")).withColumn("to_ts", F.col("to_ts").cast("timestamp_ntz"))
+
+
+def stored(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+    """A stream run over what there is now, into files."""
+    return streams.run_to_files(stream, new_path(spark, name), new_path(spark, "stream-state"), mode)
+
+
+@query("SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL")
+def stream_condense(spark, sf):
+    return stored(streams.streaming_condense(event_stream(spark, sf), "40 days"), spark, "windows", "complete").select("station_id", "day", "min_v", "max_v")
+
+
+@query("SELECT DISTINCT station_id, ts FROM (SELECT station_id % 20 AS station_id, date_trunc('hour', ts) AS ts FROM ev)")
+def stream_dedupe(spark, sf):
+    e = event_stream(spark, sf).select((F.col("station_id") % 20).alias("station_id"), F.date_trunc("hour", "ts").alias("ts"))
+    return ntz(stored(streams.dedupe(e, "40 days"), spark, "unique").select("station_id", "ts"))
+
+
+@query("SELECT station_id, ts, value FROM ev WHERE station_id % 3 <> 0")
+def stream_future(spark, sf):
+    """A third of the stations reports from a hundred years ahead."""
+    e = event_stream(spark, sf).withColumn("ts", F.when(F.col("station_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 100 YEARS")).otherwise(F.col("ts")))
+    return ntz(stored(streams.drop_future(e), spark, "past").select("station_id", "ts", "value"))
+
+
+@query("""WITH x AS (SELECT *, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day FROM ev) SELECT station_id, day, arg_max(value, ts) AS value, max('n' || station_id) AS n FROM x GROUP BY ALL""")
+def stream_snapshot(spark, sf):
+    path = new_path(spark, "live-snapshot")
+    live = event_stream(spark, sf).withColumns({"n": F.concat(F.lit("n"), F.col("station_id").cast("string")), "w": F.lit("w"), "tidal": F.lit(False)})
+    streams.snapshot_batches(live, path, new_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(path).select("station_id", "day", "value", "n")
+
+
+@query("WITH b AS (SELECT station_id, min(value) AS base FROM ev WHERE station_id % 4 <> 0 GROUP BY 1) SELECT station_id, ts, value, base, value - base AS delta FROM ev JOIN b USING (station_id)")
+def stream_enrich(spark, sf):
+    base = events(spark, sf).where("station_id % 4 <> 0").groupBy("station_id").agg(F.min("value").alias("base"))
+    return ntz(stored(streams.enrich(event_stream(spark, sf), base), spark, "enriched").select("station_id", "ts", "value", "base", "delta"))
+
+
+@query("""WITH w AS (SELECT station_id, ts, value, time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES + k * INTERVAL 15 MINUTES AS "at" FROM ev, range(0, 24) g(k)),
+e AS (SELECT station_id, "at", arg_min(value, ts) AS v0, min(ts) AS t0, arg_max(value, ts) AS v1, max(ts) AS t1 FROM w GROUP BY ALL)
+SELECT station_id, "at", round((v1 - v0) / ((epoch_us(t1) - epoch_us(t0)) / 3.6e9), 6) AS trend FROM e WHERE epoch_us(t1) - epoch_us(t0) >= 3600000000""")
+def stream_trend(spark, sf):
+    out = stored(streams.sliding_trend(event_stream(spark, sf), "40 days"), spark, "trends", "complete").where("trend is not null")
+    return rounded(out, "trend").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("WITH o AS (SELECT * FROM ev WHERE day(ts) < 12 AND station_id % 5 <> 0), h AS (SELECT station_id, max(ts) AS high FROM o GROUP BY 1) SELECT station_id, ts, value FROM ev LEFT JOIN h USING (station_id) WHERE high IS NULL OR ts > high")
+def stream_newer(spark, sf):
+    """What an archive of the first days of most stations lacks."""
+    old = events(spark, sf).where("day(ts) < 12 and station_id % 5 <> 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ntz(stored(streams.only_newer(event_stream(spark, sf), old), spark, "newer").select("station_id", "ts", "value"))

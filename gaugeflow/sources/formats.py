@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import fold_name, plausible
+from ..operators.river import resolve_names
 
 CATALOGUE = """uuid STRING, shortname STRING, km DOUBLE, latitude DOUBLE, longitude DOUBLE, water STRUCT<shortname: STRING>,
  timeseries ARRAY<STRUCT<shortname: STRING, unit: STRING, gaugeZero: STRUCT<value: DOUBLE>,
@@ -20,8 +21,9 @@ OBSERVATIONS = "Succesvol BOOLEAN, Foutmelding STRING, WaarnemingenLijst ARRAY<S
 MEASUREMENTS = "array<struct<timestamp: string, value: double>>"
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CATALOGUE).option("multiLine", True).json(path)
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The catalogue's stations: a JSON array a file, or with ``lines`` one a line."""
+    return spark.read.schema(CATALOGUE).option("multiLine", not lines).json(path)
 
 
 def _series(name: str) -> Column:
@@ -68,9 +70,17 @@ def measurements_of(raw: DataFrame) -> DataFrame:
     return rows.select("station_id", F.try_to_timestamp(F.col("m.timestamp")).alias("ts"), F.col("m.value").alias("value")).where("ts is not null and value is not null")
 
 
+def read_measurements(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Readings of a folder of JSON arrays, one a line, in a subfolder a station
+    (``station_id=...``); as a stream, with ``stream``, files as they come."""
+    source = spark.readStream if stream else spark.read
+    raw = source.schema("value STRING, station_id STRING").text(path)
+    return measurements_of(raw.select("station_id", F.col("value").alias("body")))
+
+
 def ingest_zip(files: DataFrame) -> DataFrame:
-    """``path, body, error`` of archives (``path, content``) with one JSON entry
-    each. A bad archive gets an error and no body; the job goes on."""
+    """``path, entry, body, error`` of archives (``path, content``) with one JSON
+    entry each. A bad archive gets an error and no body; the job goes on."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,12 +89,12 @@ def ingest_zip(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         name = next(n for n in z.namelist() if n.endswith(".json"))
-                        rows.append((path, z.read(name).decode(), None))
+                        rows.append((path, name, z.read(name).decode(), None))
                 except (zipfile.BadZipFile, StopIteration, UnicodeDecodeError, RuntimeError, NotImplementedError, EOFError) as e:
-                    rows.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "body", "error"])
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "entry", "body", "error"])
 
-    return files.select("path", "content").mapInPandas(unzip, "path string, body string, error string")
+    return files.select("path", "content").mapInPandas(unzip, "path string, entry string, body string, error string")
 
 
 def station_from_file_name(path: Column) -> Column:
@@ -92,6 +102,14 @@ def station_from_file_name(path: Column) -> Column:
     return fold_name(F.regexp_extract(path, r"([^/\-]+)-W-\d{4}", 1), False)
 
 
+def with_station(files: DataFrame, names: DataFrame, fallback: str | None = None, by: str = "entry") -> DataFrame:
+    """``files`` with the ``station`` that the name in column ``by`` means, in
+    either fold; ``fallback`` where it means none."""
+    named = files.withColumn("q", station_from_file_name(F.col(by)))
+    known = resolve_names(named.where("q <> ''").select("q").distinct(), names)
+    return named.join(known, "q", "left").withColumn("station", F.coalesce("name", F.lit(fallback).cast("string"))).drop("q", "name")
+
+
 def flatten_observations(raw: DataFrame) -> DataFrame:
     """Readings of partner answers (``station_id`` beside the answer's fields);
     a failed answer raises its message, an empty one has no rows."""
@@ -120,6 +138,22 @@ def to_bundle(daily: DataFrame) -> DataFrame:
     return by_year.select("station_id", "y", dense("min_v").alias("min"), dense("max_v").alias("max"))
 
 
+SHARD = "map<string,struct<n:string,w:string,t:int,v:array<double>>>"
+
+
+def to_shards(snapshot: DataFrame, shares: int = 64) -> DataFrame:
+    """Month shards of snapshots (``station_id, n, w, day, value, tidal``): the
+    stations of a month with an array of its days, in ``shares`` rows by the
+    hash of the station, so that none holds all."""
+    month = snapshot.groupBy("station_id", F.year("day").alias("y"), F.month("day").alias("m")).agg(
+        F.max_by("n", "day").alias("n"), F.max_by("w", "day").alias("w"), F.max(F.col("tidal").cast("int")).alias("t"), F.map_from_entries(F.collect_list(F.struct(F.day("day"), "value"))).alias("d"),
+    )
+    days = F.sequence(F.lit(1), F.day(F.last_day(F.make_date("y", "m", F.lit(1)))))
+    one = F.struct("n", "w", "t", F.transform(days, lambda i: F.try_element_at("d", i)).alias("v"))
+    rows = month.select("y", "m", F.pmod(F.xxhash64("station_id"), F.lit(shares)).alias("share"), F.struct(F.col("station_id").cast("string"), one).alias("s"))
+    return rows.groupBy("y", "m", "share").agg(F.map_from_entries(F.collect_list("s")).cast(SHARD).alias("stations"))
+
+
 def explode_shard(shards: DataFrame, year: int) -> DataFrame:
     """Rows of month shards (``y, m, stations``); shards of other years are
     ignored."""
@@ -138,7 +172,8 @@ def import_points(text: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def export_points(points: DataFrame) -> DataFrame:
-    """One JSON text a station, points by time. A station's points go into one
-    row, as the format asks; use it on thinned archives."""
-    one = points.groupBy("station_id").agg(F.sort_array(F.collect_list(F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("double"), F.col("value")))).alias("ps"))
+    """JSON texts of a station's points by time, one a calendar year: readers
+    of the format take a station's texts together, and none grows with the
+    archive's age."""
+    one = points.groupBy("station_id", F.year("ts").alias("y")).agg(F.sort_array(F.collect_list(F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("double"), F.col("value")))).alias("ps"))
     return one.select("station_id", F.to_json(F.create_map("station_id", "ps")).alias("body"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.daily import KEY, drop_empty_years, merge_extremes
 from ..operators.inventory import apply_snapshot
+from .scratch import remove
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -24,78 +25,133 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+#: Rows of a file, about.
+FILE_ROWS = 5_000_000
+_ORDER = ("station_id", "river", "doy", "month", "day")
+
+
+def _aside(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """``df`` written beside ``path``: computed once, and what it reads may then be replaced."""
+    at = f"{path}.aside-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def _put(df: DataFrame, path: str, by: str, file_rows: int = FILE_ROWS) -> None:
+    """Overwrite the partitions of ``by`` that ``df`` has rows of. The rows of
+    one partition value go to as many files as their number asks for, by the
+    hash of their first key, each in order."""
+    keys = [c for c in _ORDER if c in df.columns and c != by]
+    most = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    dealt = df.repartition(F.col(by), F.pmod(F.xxhash64(keys[0]), F.lit(-(-most // file_rows))))
+    dealt.sortWithinPartitions(by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).partitionBy(by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str, file_rows: int = FILE_ROWS) -> None:
     """Overwrite the partitions that ``df`` has rows of, and no others.
 
     ``df`` may read ``path`` itself: it is written beside the table first, so
     what is read stays until it has been."""
-    spark = df.sparkSession
-    aside = f"{path}.aside-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    spark.read.schema(df.schema).parquet(aside).repartition(by).sortWithinPartitions(*[c for c in ("station_id", "river", "doy", "month", "day") if c in df.columns]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    copy, at = _aside(df, path)
+    _put(copy, path, by, file_rows)
+    remove(df.sparkSession, at)
 
 
 def upsert_daily(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Merge fresh daily extremes into the table partitioned by year. Only years
     that ``fresh`` has are read and rewritten; station-years without a reading
     are skipped."""
-    fresh = drop_empty_years(fresh)
+    fresh, at = _aside(drop_empty_years(fresh).select(*KEY, "min_v", "max_v"), path)
     old = read_or_none(spark, path)
     if old is not None:
         years = [r["year"] for r in fresh.select("year").distinct().collect()]
-        fresh = merge_extremes(old.where(F.col("year").isin(years)).select(*KEY, "min_v", "max_v"), fresh.select(*KEY, "min_v", "max_v"))
-    replace_partitions(fresh.select(*KEY, "min_v", "max_v"), path, "year")
+        fresh = merge_extremes(old.where(F.col("year").isin(years)).select(*KEY, "min_v", "max_v"), fresh)
+    replace_partitions(fresh, path, "year")
+    remove(spark, at)
 
 
 def write_snapshot(spark: SparkSession, path: str, capture: DataFrame) -> None:
-    """Put one day's capture into the table partitioned by month (``month`` as
-    yyyy-MM). A table of another shape fails."""
-    capture = capture.select("station_id", "n", "w", "day", "value", "tidal")
+    """Put a capture into the table partitioned by month (``month`` as yyyy-MM).
+    A table that can't be read, has another shape, or has days in a month's
+    partition that aren't the month's, fails and stays as it is."""
+    capture, at = _aside(capture.select("station_id", "n", "w", "day", "value", "tidal"), path)
     old = read_or_none(spark, path)
     rows = capture
     if old is not None:
-        if missing := {"station_id", "day", "value", "month"} - set(old.columns):
+        if missing := {"station_id", "n", "w", "day", "value", "tidal", "month"} - set(old.columns):
             raise ValueError(f"the snapshot table lacks {sorted(missing)}")
         months = [r[0] for r in capture.select(F.date_format("day", "yyyy-MM")).distinct().collect()]
-        rows = apply_snapshot(old.where(F.col("month").isin(months)).drop("month"), capture)
+        old = old.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
+        if odd := old.where(~F.date_format("day", "yyyy-MM").eqNullSafe(F.col("month"))).first():
+            raise ValueError(f"the snapshot of {odd['month']} has a day {odd['day']}")
+        rows = apply_snapshot(old.drop("month"), capture)
     replace_partitions(rows.withColumn("month", F.date_format("day", "yyyy-MM")), path, "month")
-
-
-def rebuild_totals(daily: DataFrame, monthly: DataFrame, path: str) -> None:
-    """All years' totals, in a fixed order."""
-    daily.repartition("year").sortWithinPartitions("river", "doy").write.mode("overwrite").partitionBy("year").parquet(f"{path}/daily")
-    monthly.repartition("year").sortWithinPartitions("river", "month").write.mode("overwrite").partitionBy("year").parquet(f"{path}/monthly")
+    remove(spark, at)
+
+
+def overview(monthly: DataFrame) -> DataFrame:
+    """One row a river: ``from_year`` (the least of all rivers) and from then on
+    all months' ``v`` and ``diff`` as arrays, null where there is none. Rivers
+    and years are few."""
+    span = monthly.agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"))
+    months = F.transform(F.sequence(F.lit(0), (F.col("to_year") - F.col("from_year") + 1) * 12 - 1), lambda i: F.struct((F.col("from_year") + F.floor(i / 12)).cast("int").alias("y"), (i % 12 + 1).cast("int").alias("m")))
+    key, cell = F.struct(F.col("year").cast("int").alias("y"), F.col("month").cast("int").alias("m")), F.struct("v", "diff")
+    cells = monthly.groupBy("river").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells")).crossJoin(F.broadcast(span))
+    row = F.transform(months, lambda k: F.try_element_at("cells", k))
+    return cells.select("river", "from_year", row.alias("row")).select("river", "from_year", F.col("row.v").alias("v"), F.col("row.diff").alias("diff"))
+
+
+def rebuild_totals(daily: DataFrame, monthly: DataFrame, path: str, units: DataFrame | None = None) -> None:
+    """All years' totals in a fixed order, their overview, and the units beside
+    them: the same input gives the same rows in the same order."""
+    spark = daily.sparkSession
+    for name, df in (("daily", daily), ("monthly", monthly)):
+        copy, at = _aside(df, f"{path}/{name}")
+        remove(spark, f"{path}/{name}")
+        _put(copy, f"{path}/{name}", "year")
+        remove(spark, at)
+    overview(spark.read.schema(monthly.schema).parquet(f"{path}/monthly")).orderBy("river").coalesce(1).write.mode("overwrite").parquet(f"{path}/overview")
+    if units is not None:
+        units.select("station_id", "unit").orderBy("station_id").coalesce(1).write.mode("overwrite").parquet(f"{path}/units")
 
 
 def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, path: str, year: int) -> bool:
-    """Rewrite one year's totals; False, and nothing done, without a table.
-
-    ``daily`` and ``monthly`` hold the year as computed anew. Cells that the old
-    partition has and the new frame lacks are written as nulls, as overwriting
-    a partition with nothing would leave its old rows."""
+    """Rewrite one year's totals and the overview. Without a table all years are
+    built, and False is returned.
+
+    ``daily`` and ``monthly`` are frames of all years; of these, only the year
+    is computed where there is a table. Cells that the old partition has and
+    the new frame lacks are written as nulls, as overwriting a partition with
+    nothing would leave its old rows. A table from before there was ``diff``
+    gets it, as nulls in other years."""
     if (old := read_or_none(spark, f"{path}/monthly")) is None:
+        rebuild_totals(daily, monthly, path)
         return False
-    rivers = old.select("river").union(monthly.select("river")).distinct()
+    rivers = old.select("river").union(monthly.where(F.col("year") == year).select("river")).distinct()
     months = rivers.select("river", F.lit(year).alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
     grid = months.join(monthly.where(F.col("year") == year), ["river", "year", "month"], "left")
-    if "diff" not in grid.columns:
-        raise ValueError("monthly totals need a diff column")
+    if "diff" not in old.columns:
+        grid = old.where(F.col("year") != year).withColumn("diff", F.lit(None).cast(dict(grid.dtypes)["diff"])).select(grid.columns).unionByName(grid)
     stale = spark.read.parquet(f"{path}/daily").where(F.col("year") == year).select("river", "year", "doy")
     new = daily.where(F.col("year") == year)
     cells = stale.unionByName(new.select("river", "year", "doy")).distinct().join(new, ["river", "year", "doy"], "left")
     replace_partitions(grid, f"{path}/monthly", "year")
     replace_partitions(cells, f"{path}/daily", "year")
+    overview(spark.read.schema(monthly.schema).parquet(f"{path}/monthly")).orderBy("river").coalesce(1).write.mode("overwrite").parquet(f"{path}/overview")
     return True
 
 
-def compact_years(spark: SparkSession, path: str, out: str, schema: str = "station_id STRING, y INT, min ARRAY<DOUBLE>, max ARRAY<DOUBLE>") -> DataFrame:
+def compact_years(spark: SparkSession, path: str, out: str, schema: str = "station_id STRING, y INT, min ARRAY<DOUBLE>, max ARRAY<DOUBLE>", lines: bool = False) -> DataFrame:
     """Fold per-year JSON files into one sorted bundle table; a station with a
     malformed file is left out whole. Returns ``station_id, file, ok``; inputs
-    stay where they are. The station is the file's folder."""
-    raw = spark.read.schema(schema + ", _corrupt_record STRING").option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    raw = raw.withColumn("file", F.input_file_name()).withColumn("folder", F.element_at(F.split("file", "/"), -2))
-    report = raw.select(F.col("folder").alias("station_id"), "file", (F.col("_corrupt_record").isNull() & F.col("y").isNotNull()).alias("ok")).cache()
-    bad = report.where("not ok").select(F.col("station_id").alias("folder")).distinct()
-    fine = raw.join(bad, "folder", "left_anti").select(F.col("folder").alias("station_id"), "y", "min", "max")
+    stay where they are. The station is the file's folder, its name or
+    ``station_id=`` and its name. With ``lines`` a file has a year a line."""
+    raw = spark.read.schema(schema + ", _corrupt_record STRING").option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
+    raw = raw.withColumn("file", F.input_file_name()).withColumn("folder", F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^station_id=", ""))
+    copy, at = _aside(raw.withColumn("ok", F.col("_corrupt_record").isNull() & F.col("y").isNotNull()), out)
+    bad = copy.where("not ok").select("folder").distinct()
+    fine = copy.join(bad, "folder", "left_anti").select(F.col("folder").alias("station_id"), "y", "min", "max")
     fine.repartition("station_id").sortWithinPartitions("station_id", "y").write.mode("overwrite").parquet(out)
+    report, kept = _aside(copy.groupBy(F.col("folder").alias("station_id"), "file").agg(F.min("ok").alias("ok")), f"{out}.report")
+    remove(spark, at)
     return report

@@ -92,6 +92,18 @@ def only_newer(points: DataFrame, archive: DataFrame) -> DataFrame:
     return points.join(newest, "station_id", "left").where("high is null or ts > high").drop("high")
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now, and read what it gave: appended
+    rows, or, in the mode ``complete``, the last whole result."""
+    spark = stream.sparkSession
+    if mode == "append":
+        out = stream.writeStream.format("parquet").option("path", path)
+    else:
+        out = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).outputMode(mode)
+    out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what there is now into an in-memory table; for small
     results."""

@@ -163,6 +163,45 @@ def test_outlook(spark):
     assert got == [("MHW", 10), ("MNW", 5), (None, None), ("HIGH", None), ("LOW", None)]
 
 
+def test_states_override_the_outlook(spark):
+    df = frame(spark, "v double, r double, s string", (300.0, 10.0, "normal"), (450.0, 10.0, "high"), (90.0, -2.0, "low"), (450.0, -10.0, "normal"))
+    got = [tuple(r) for r in df.select(*V.outlook(F.col("v"), F.col("r"), F.lit(100.0), F.lit(400.0), state=F.col("s"))).collect()]
+    assert got == [("MHW", 10), ("HIGH", None), ("LOW", None), ("MNW", 35)]
+    assert frame(spark, "v double, r double, m double", (300.0, 50.0, None)).select(*V.outlook(F.col("v"), F.col("r"), F.col("m"), F.col("m"))).first()[0] is None
+
+
+def test_code_map(spark):
+    shape = "station_id string, code string, retired array<string>"
+    assert one(D.code_map(frame(spark, shape, ("a", "x", ["y"]), ("b", "z", None))), "code", "station_id") == [("x", "a"), ("y", "a"), ("z", "b")]
+    for bad, what in (((("a", "x", ["z"]), ("b", "z", None)), "code twice: z"), ((("a", "x", None), ("a", "y", None)), "station twice: a")):
+        with pytest.raises(Exception, match=what):
+            D.code_map(frame(spark, shape, *bad)).collect()
+
+
+def test_lookup(spark):
+    names = frame(spark, "name string, kind string", ("MAGDEBURG-BUCKAU", "station"), ("MAGDEBURG-STROMBRÜCKE", "station"), ("MINDEN", "station"), ("MOSEL", "river"), ("KÖLN", "station"))
+    q = frame(spark, "q string", ("MINDE",), ("MAGDEBURG",), ("osel",), ("koeln",), ("nowhere",), ("strombruecke",))
+    assert one(R.lookup(q, names), "q", "name", "kind", "candidates") == [
+        ("MAGDEBURG", None, None, 2), ("MINDE", "MINDEN", "station", 1), ("koeln", "KÖLN", "station", 1), ("nowhere", None, None, 0), ("osel", "MOSEL", "river", 1), ("strombruecke", "MAGDEBURG-STROMBRÜCKE", "station", 1),
+    ]
+
+
+def test_station_of_an_archive(spark):
+    files = frame(spark, "entry string", ("pegelonline-koeln-W-20240101-20241231.json",), ("pegelonline-atlantis-W-20240101-20241231.json",), ("info.json",))
+    names = frame(spark, "name string", ("KÖLN",), ("BONN",))
+    assert one(S2.with_station(files, names, "BONN"), "station") == [("BONN",), ("BONN",), ("KÖLN",)]
+    assert one(S2.with_station(files, names).where("station is not null"), "station") == [("KÖLN",)]
+
+
+def test_day_bars_and_counters(spark):
+    monthly = frame(spark, "river string, year int, month int, v long, diff long", *[(f"R{i}", 2025, 5, 800 - 100 * i, 0) for i in range(1, 8)])
+    days = frame(spark, "river string, year int, doy int, v long", *[(f"R{i}", 2025, 130 + d, 800 - 100 * i) for i in range(1, 8) for d in (0, 1) if (i, d) != (1, 0)])
+    got = {(str(r["day"])[-2:], r["band"]): (r["v"], r["total"]) for r in T.day_bars(days, monthly, 2025, 5).collect()}
+    assert len(got) == 31 * 6 and got["11", "R1"] == (0, 2100) and got["12", "R1"] == (700, 2800) and got["12", "OTHER"] == (300, 2800) and got["01", "R2"] == (0, 0)
+    s = frame(spark, "station_id string, river string, unit string", ("a", "R", "cm"), ("b", " ", "cm"), ("c", "R", "m"), ("d", "R", None), ("e", "R", "cm"))
+    assert T.run_counters(D.with_mid(daily(spark, ("a", "2024-01-01", 1.0, 2.0), ("b", "2024-01-01", 1.0, 2.0))), s).first().asDict() == {"included": 1, "silent": 1, "unattributed": 1, "excluded": 2}
+
+
 def test_magnitudes(spark):
     df = frame(spark, "v double", (4200.0,), (1e6,))
     assert [r[0] for r in df.select(V.magnitude(F.col("v"))).collect()] == ["42m", "10.0km"]
@@ -244,7 +283,7 @@ def test_observations(spark):
 
 def test_point_archive(spark):
     text = frame(spark, "body string", ('{"köln":[[0,5],[1000,6],[0,5]],"x":[[1]]}',), ("[]",))
-    none = frame(spark, "station_id string, ts timestamp, value double").limit(0) if False else spark.createDataFrame([], "station_id string, ts timestamp, value double")
+    none = spark.createDataFrame([], "station_id string, ts timestamp, value double")
     new = S2.import_points(text, none)
     assert one(new, "station_id", "value") == [("KÖLN", 5.0), ("KÖLN", 6.0)]
     assert S2.import_points(text, new).count() == 0
