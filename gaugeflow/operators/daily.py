@@ -82,10 +82,12 @@ def overlay(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The primary's day wins column by column and the fallback fills nulls, in
     station-years for which both have a reading; a fallback year that the
     primary lacks stays as it is."""
-    p, f = (t.select(*KEY, F.col("min_v").alias(f"{n}_min"), F.col("max_v").alias(f"{n}_max")) for n, t in (("p", primary), ("f", fallback)))
+    sides = [t.select(*KEY, *[(F.col(c) if n == own else F.lit(None).cast("double")).alias(f"{n}_{c}") for n in "pf" for c in ("min_v", "max_v")]) for own, t in (("p", primary), ("f", fallback))]
+    # One shuffle, by station and year, serves the days' merge and the look at the fallback's year.
+    days = sides[0].unionByName(sides[1]).repartition("station_id", "year").groupBy(*KEY).agg(*[F.max(f"{n}_{c}").alias(f"{n}_{c}") for n in "pf" for c in ("min_v", "max_v")])
     year = Window.partitionBy("station_id", "year")
-    both = p.join(f, KEY, "full").withColumn("has_f", F.count(F.coalesce("f_min", "f_max")).over(year)).where("has_f > 0")
-    return both.select(*KEY, F.coalesce("p_min", "f_min").alias("min_v"), F.coalesce("p_max", "f_max").alias("max_v")).where("min_v is not null or max_v is not null")
+    both = days.withColumn("has_f", F.count(F.coalesce("f_min_v", "f_max_v")).over(year)).where("has_f > 0")
+    return both.select(*KEY, *[F.coalesce(f"p_{c}", f"f_{c}").alias(c) for c in ("min_v", "max_v")]).where("min_v is not null or max_v is not null")
 
 
 def with_mid(daily: DataFrame) -> DataFrame:
