@@ -14,14 +14,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import need, tidy, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -111,9 +113,11 @@ def tokens(text: str) -> Iterator[tuple[int, int, float]]:
         tested = [(p, a, b) for a, b in parts if (p := p_random(text[a:b])) is not None]
         taken: list[tuple[int, int, float]] = []
         for p, a, b in sorted(tested, key=lambda t: (-t[0], t[1] - t[2], t[1])):
-            if all(b <= x or y <= a for x, y, _ in taken):
-                taken.append((a, b, p))
-        yield from sorted(taken)
+            # What is taken is in order and apart, so only its neighbours can overlap.
+            k = bisect_left(taken, (a,))
+            if (k == len(taken) or b <= taken[k][0]) and (k == 0 or taken[k - 1][1] <= a):
+                taken.insert(k, (a, b, p))
+        yield from taken
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
@@ -129,6 +133,19 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
+def examined(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, int, bool]]]:
+    """Base spans, and the candidates that overlap none of them. Both are in
+    order of their starts, so a search and the furthest end so far tell."""
+    spans = base_spans(text) if text else []
+    starts, furthest = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
+
+    def overlaps(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and furthest[k - 1] > a
+
+    return spans, [c for c in candidates(text or "") if not overlaps(c[0], c[1])]
+
+
 def thresholds(counts: list[tuple[int, int, bool, int]], level: float) -> dict[int, int]:
     """length class -> largest p-value bin at which the expected share of
     natural strings among the finds is at most ``level``. Classes with few
@@ -169,10 +186,9 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"].tolist():
-                spans = base_spans(text) if text else []
+                spans, free = examined(text)
                 joined = _joined(spans)
                 kinds = [k for _, _, k in spans]
-                free = [c for c in candidates(text or "") if not any(a < c[1] and c[0] < b for a, b, _ in spans)]
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined.encode()).hexdigest(), joined, [c[:4] for c in free if not c[4]], [c[2] * BINS + c[3] for c in free if c[4]]))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "mixed", "natural"])
             out.insert(0, "doc_id", pd.array(pdf["doc_id"], "string").astype("Int64"))
@@ -180,7 +196,7 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
 
     shape = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, mixed array<array<int>>, natural array<int>"
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    found = written(keyed.mapInPandas(each, shape), "secret-scan")
+    found = written(keyed.mapInPandas(tidy(each), shape), "secret-scan")
     natural = found.select(F.explode("natural").alias("c")).groupBy("c").agg(F.count("*").alias("n")).select(F.floor(F.col("c") / BINS).cast("int").alias("cls"), (F.col("c") % BINS).alias("bin"), F.lit(True).alias("natural"), "n")
     mixed = found.select(F.explode("mixed").alias("c")).groupBy(F.col("c")[2].alias("cls"), F.col("c")[3].alias("bin")).agg(F.count("*").alias("n")).select("cls", "bin", F.lit(False).alias("natural"), "n")
     # At most classes x bins x 2 rows (896), whatever the input.
@@ -199,14 +215,16 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
             yield pdf.drop(columns=["base", "mixed"])
 
     final = found.drop("natural").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return final.mapInPandas(add, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return final.mapInPandas(tidy(add), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with base and random finds replaced by ``mark`` in ``text``, and
     ``n_chars``, where there is one, counted anew. All rows stay.
 
-    The thresholds are those that ``scan`` finds over all of ``docs``."""
+    The spans are those of ``scan`` over all of ``docs``, with the same
+    thresholds. Null and empty texts stay as they are; repeated and null ids
+    are rows of their own; an empty table stays empty."""
     numbered = need(docs, "text").withColumn("doc_id", F.lit(None).cast("long"))
     found = scan_limits(numbered)
     sent = docs.sparkSession.sparkContext.broadcast(found)
@@ -218,8 +236,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         def one(text):
             if not text:
                 return text
-            spans = [(a, b) for a, b, _ in base_spans(text)]
-            spans += [c[:2] for c in candidates(text) if not c[4] and c[3] <= limits.get(c[2], -1)]
+            base, free = examined(text)
+            spans = [(a, b) for a, b, _ in base] + [c[:2] for c in free if not c[4] and c[3] <= limits.get(c[2], -1)]
             out, at = [], 0
             for a, b in sorted(spans):
                 if a >= at:
@@ -238,9 +256,9 @@ def scan_limits(docs: DataFrame, level: float = 0.05) -> dict[int, int]:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c[2], c[3], c[4]) for text in pdf["text"].tolist() for c in candidates(text or "") if c[4] or not any(a < c[1] and c[0] < b for a, b, _ in base_spans(text))]
+            rows = [c[2:] for text in pdf["text"].tolist() for c in examined(text)[1]]
             yield pd.DataFrame(rows, columns=["cls", "bin", "natural"])
 
-    found = need(docs, "text").mapInPandas(each, "cls int, bin int, natural boolean")
-    rows = found.groupBy("cls", "bin", "natural").agg(F.count("*").alias("n")).collect()
+    found = need(docs, "text").mapInPandas(tidy(each), "cls int, bin int, natural boolean")
+    rows = written(found.groupBy("cls", "bin", "natural").agg(F.count("*").alias("n")), "secret-counts").collect()
     return thresholds(sorted((r["cls"], r["bin"], r["natural"], r["n"]) for r in rows), level)
