@@ -1,9 +1,11 @@
 """License scan by patience alignment.
 
-A template is aligned with a text window on the words that both have exactly
-once: the longest increasing subsequence of their places anchors it, and the
-gaps between anchors are aligned the same way. Coverage is the share of the
-template's words that are aligned.
+A template is aligned with a text on the words that both have exactly once:
+the longest increasing subsequence of their places anchors it, and the gaps
+between anchors are aligned the same way. Coverage is the share of the
+template's words that are aligned. A text can hold a notice many times, so
+windows around the template's rarest words are aligned; where none has it, a
+longer template is aligned with the whole text.
 """
 
 from __future__ import annotations
@@ -16,26 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, tidy, written
 from .decontaminate import original_spans, words_of
+from .license_texts import TEMPLATES
 
-#: Notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0-notice": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
-    ),
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
-    ),
-}
+#: Words from which on a template is also aligned with a whole text.
+LONG = 30
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -92,17 +80,37 @@ def find(words: list[str], template: list[str], least: float) -> list[tuple[int,
     # the rarest template places: one of any allowed + 1 is aligned
     rare = {template[k] for k in sorted(range(len(template)), key=lambda k: (count[template[k]], k))[: allowed + 1]}
     reach = len(template) + allowed
-    found = {}
+    found, done = {}, 0
     for at in (i for i, w in enumerate(words) if w in rare):
+        if at < done:  # in a place that has the whole template
+            continue
         lo, hi = max(0, at - reach), min(len(words), at + reach + 1)
         pairs = align(words[lo:hi], template)
         if len(pairs) >= len(template) - allowed:
-            found[lo + pairs[0][0], lo + pairs[-1][0] + 1] = len(pairs) / len(template)
+            a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
+            found[a, b] = len(pairs) / len(template)
+            done = b if len(pairs) == len(template) == b - a else done
+    if not found and len(template) >= LONG:
+        found = spread_out(words, template, allowed)
     taken: list[tuple[int, int, float]] = []
     for (a, b), share in sorted(found.items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
-        if all(b <= x or y <= a for x, y, _ in taken):
-            taken.append((a, b, share))
-    return sorted(taken)
+        # What is taken is in order and apart, so only its neighbours can overlap.
+        k = bisect_left(taken, (a,))
+        if (k == len(taken) or b <= taken[k][0]) and (k == 0 or taken[k - 1][1] <= a):
+            taken.insert(k, (a, b, share))
+    return taken
+
+
+def spread_out(words: list[str], template: list[str], allowed: int) -> dict[tuple[int, int], float]:
+    """A template whose parts other text parts by more than a window holds, as
+    comments between clauses do: the whole text is aligned. Half of the words
+    or more must follow each other, as words of a long text could also be met
+    one here and one there."""
+    pairs = align(words, template)
+    runs = sum(i + 1 == k and j + 1 == m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+    if len(pairs) < len(template) - allowed or 2 * runs < len(pairs):
+        return {}
+    return {(pairs[0][0], pairs[-1][0] + 1): len(pairs) / len(template)}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -111,9 +119,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     ``coverage`` (the best, 0 if none) and ``spans`` (``name:start:end`` in code
     points, comma-joined).
 
-    Null, empty and wordless texts have none; repeated and null ids give a row
-    each; extra columns are ignored; an empty table gives none. ``templates``
-    are few and go with the code to the tasks.
+    ``templates`` (name -> text; those of ``license_texts`` if not given) are
+    few and go with the code to the tasks. Names that end in ``-text`` or
+    ``-notice`` tell which form was found. Null, empty and wordless texts have
+    none; repeated and null ids give a row each; extra columns are ignored; an
+    empty table gives none.
     """
     shapes = [(k, words_of(t)) for k, t in sorted((templates or TEMPLATES).items())]
 
@@ -135,4 +145,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             yield out
 
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(each, "doc_id long, n_licenses long, licenses string, coverage double, spans string")
+    return written(keyed.mapInPandas(tidy(each), "doc_id long, n_licenses long, licenses string, coverage double, spans string"), "licenses")
