@@ -4,12 +4,14 @@ A file holds the ids of consecutive documents back to back and, instead of a
 64-bit offset a document, the document ends in Elias-Fano form: the low bits
 of each end packed side by side, the high bits in unary in one bit vector. A
 sample of every 256th one's place makes ``select`` short, so any document's
-place is found without unpacking the rest.
-
-File layout (little endian): magic ``GFEFTOK1``; partition u32, sequence u32,
-documents u64, ids u64, bytes an id u8, low bits u8, then six section lengths
-u64 and the sections: ids, low bits, high bits, select samples u32, document
-keys i64, bit mask of non-null keys.
+place is found without unpacking the rest. Document keys ascend too, so they
+have the same form, less the file's first key; no 64-bit table is stored.
+
+File layout (little endian): magic ``GFEFTOK2``; partition u32, sequence u32,
+documents u64, null keys u64 (they come first), first key i64, ids u64, bytes
+an id u8, low bits of ends u8 and of keys u8, then seven section lengths u64
+and the sections: ids; low bits, high bits, select samples u32 of the ends;
+the same three of the keys.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import need, new_path, written
-from .encoding import encoder
+from .common import need, new_path, tidy, written
+from .encoding import encode, id_type
 from .files import put
 
-MAGIC = b"GFEFTOK1"
-HEAD = struct.Struct("<8sIIQQBB6Q")
+MAGIC = b"GFEFTOK2"
+HEAD = struct.Struct("<8sIIQQqQBBB7Q")
 SAMPLE = 256
 
 
@@ -43,13 +45,6 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
-def unpack_bits(data: bytes, width: int, n: int) -> np.ndarray:
-    if not width or not n:
-        return np.zeros(n, np.uint64)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
-
-
 class EliasFano:
     """A non-decreasing sequence ``ends`` of n numbers below or at ``total``."""
 
@@ -84,31 +79,25 @@ class EliasFano:
             low = chunk >> first % 8 & (1 << self.low_bits) - 1
         return (place - i << self.low_bits) + low
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        return (high + unpack_bits(self.low, self.low_bits, self.n)).astype(np.int64)
-
 
 def segment(partition: int, sequence: int, keys: list, arrays: list[np.ndarray], dtype: np.dtype) -> bytes:
-    """One file's bytes."""
+    """One file's bytes. Keys ascend, nulls first."""
     ends = np.cumsum([len(a) for a in arrays], dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    ef = EliasFano.of(ends, total)
-    there = np.array([k is not None for k in keys], np.uint8)
-    parts = [
-        np.concatenate(arrays).astype(dtype).tobytes() if arrays else b"", ef.low, ef.high, ef.samples.tobytes(),
-        np.array([k if k is not None else 0 for k in keys], "<i8").tobytes(), np.packbits(there, bitorder="little").tobytes(),
-    ]
-    head = HEAD.pack(MAGIC, partition, sequence, len(keys), total, dtype.itemsize, ef.low_bits, *map(len, parts))
+    there = [k for k in keys if k is not None]
+    first = there[0] if there else 0
+    ef, named = EliasFano.of(ends, total), EliasFano.of(np.array([k - first for k in there], np.uint64), there[-1] - first if there else 0)
+    parts = [np.concatenate(arrays).astype(dtype).tobytes() if arrays else b"", ef.low, ef.high, ef.samples.tobytes(), named.low, named.high, named.samples.tobytes()]
+    head = HEAD.pack(MAGIC, partition, sequence, len(keys), len(keys) - len(there), first, total, dtype.itemsize, ef.low_bits, named.low_bits, *map(len, parts))
     return head + b"".join(parts)
 
 
 class Segment:
-    """A file read back. ``ids(i)`` is document i's ids, found by two selects."""
+    """A file read back. A document's place is found by ``select``: its ids are
+    those between the end before it and its own."""
 
     def __init__(self, data: bytes):
-        magic, self.partition, self.sequence, self.n, self.total, width, low_bits, *lengths = HEAD.unpack_from(data)
+        magic, self.partition, self.sequence, self.n, self.nulls, self.first, self.total, width, end_bits, key_bits, *lengths = HEAD.unpack_from(data)
         if magic != MAGIC or HEAD.size + sum(lengths) != len(data):
             raise ValueError("not a token file, or one cut short")
         at, parts = HEAD.size, []
@@ -116,12 +105,18 @@ class Segment:
             parts.append(data[at : at + length])
             at += length
         self.tokens = np.frombuffer(parts[0], f"<u{width}")
-        self.ends = EliasFano(self.n, low_bits, parts[1], parts[2], np.frombuffer(parts[3], "<u4"))
-        there = np.unpackbits(np.frombuffer(parts[5], np.uint8), count=self.n, bitorder="little")
-        self.keys = [k if t else None for k, t in zip(np.frombuffer(parts[4], "<i8").tolist(), there.tolist(), strict=True)]
+        self.ends = EliasFano(self.n, end_bits, parts[1], parts[2], np.frombuffer(parts[3], "<u4"))
+        self.named = EliasFano(self.n - self.nulls, key_bits, parts[4], parts[5], np.frombuffer(parts[6], "<u4"))
+
+    def key(self, i: int) -> int | None:
+        return None if i < self.nulls else self.first + self.named.select(i - self.nulls)
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def ids(self, i: int) -> np.ndarray:
-        return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        start, end = self.bounds(i)
+        return self.tokens[start:end]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, segment_ids: int = 4_000_000, markers: bool = False) -> DataFrame:
@@ -140,8 +135,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     folder = folder or new_path(spark, "token-files")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seq = encoder(tokenizer_path, markers), TaskContext.get().partitionId(), 0
-        dtype = np.dtype("<u4") if end_id >= 1 << 8 * enc.dtype.itemsize else enc.dtype
+        part, seq, small = TaskContext.get().partitionId(), 0, id_type(tokenizer_path)
+        dtype = np.dtype("<u4") if end_id >= 1 << 8 * small.itemsize else small
         keys, arrays, held = [], [], 0
 
         def flush() -> pd.DataFrame:
@@ -150,21 +145,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             return pd.DataFrame({"partition": [part], "sequence": [seq], "n_docs": [len(keys)], "n_ids": [held], "uri": [uri]})
 
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for key, ids in zip(pdf["doc_id"].tolist(), enc.encode([t or "" for t in texts]), strict=True):
+            for key, ids in zip(pdf["doc_id"].tolist(), encode(pdf["text"].tolist(), tokenizer_path, markers), strict=True):
                 if keys and held + len(ids) >= segment_ids:
                     yield flush()
                     keys, arrays, held, seq = [], [], 0, seq + 1
                 keys.append(None if key is None or key != key else int(key))
-                arrays += [ids, np.array([end_id], dtype)]
-                arrays[-2:] = [np.concatenate(arrays[-2:])]
+                arrays.append(np.append(ids.astype(dtype), np.array([end_id], dtype)))
                 held += len(ids) + 1
         if keys:
             yield flush()
 
     ordered = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))
-    manifest = written(ordered.mapInPandas(write, "partition int, sequence int, n_docs long, n_ids long, uri string"), "token-manifest")
+    manifest = written(ordered.mapInPandas(tidy(write), "partition int, sequence int, n_docs long, n_ids long, uri string"), "token-manifest")
     # One number a write task goes to the driver; the rest of the sum stays in Spark.
     totals = sorted((r["partition"], r["n"]) for r in manifest.groupBy("partition").agg(F.sum("n_ids").alias("n")).collect())
     before, sums = 0, []
@@ -178,8 +171,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """The documents of the files: ``doc_id``, ``start``, ``n_tokens``,
-    ``ids_crc32`` and, if asked for, ``ids``. Files are opened where the task
-    runs; no file's bytes are shuffled."""
+    ``ids_crc32`` and, if asked for, ``ids``, each found by ``select``. Files
+    are opened where the task runs; no file's bytes are shuffled."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -187,13 +180,12 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 store, path = pafs.FileSystem.from_uri(uri)
                 with store.open_input_stream(path, compression=None) as f:
                     seg = Segment(f.read())
-                ends = seg.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if seg.n else ends
-                wide = seg.tokens.astype("<u4")
-                out = {"doc_id": pd.array(seg.keys, "Int64"), "start": starts + base, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]}
-                if with_ids:
-                    out["ids"] = [wide[a:b].astype(np.int64) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame(out)
+                for first in range(0, seg.n, 1000):
+                    docs = range(first, min(seg.n, first + 1000))
+                    places = [seg.bounds(i) for i in docs]
+                    ids = [seg.tokens[a:b].astype("<u4") for a, b in places]
+                    out = {"doc_id": pd.array([seg.key(i) for i in docs], "Int64"), "start": [a + base for a, _ in places], "n_tokens": [b - a for a, b in places], "ids_crc32": [zlib.crc32(x) for x in ids]}
+                    yield pd.DataFrame(out | ({"ids": [x.astype(np.int64) for x in ids]} if with_ids else {}))
 
     tasks = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("uri", "base").repartition(tasks).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return manifest.select("uri", "base").repartition(tasks).mapInPandas(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
