@@ -3,9 +3,9 @@
 Only the histogram of piece lengths (one count a length, so at most
 ``capacity`` numbers, whatever the input) decides how sequences are filled:
 
-1. exact complements: for each length, longest first, sums of one, two or
-   three other lengths are looked up that fill its gap to the last token, and
-   as many sequences are made as the counts allow;
+1. exact complements: for each length, longest first, the single, pair and
+   triple sums that fill its gap to the last token are looked up in an index of
+   sums, and each makes as many sequences as the counts allow;
 2. best fit: what is left goes, longest first, into the smallest gap that
    still holds it, many equal sequences at a time.
 
@@ -26,30 +26,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, written
-from .encoding import encoder
+from .common import need, tidy, written
+from .encoding import encode
 
 
-def complement(gap: int, count: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to ``gap``; larger ones first."""
-    if count[gap]:
-        return [gap]
-    free = count > 0
+class Sums:
+    """Which one, two or three lengths make a sum, under counts that only fall.
 
-    def pair(g: int, under: int) -> list[int] | None:
-        lengths = np.arange((g + 1) // 2, min(g, under + 1))
-        fits = lengths[free[lengths] & free[g - lengths] & ((2 * lengths != g) | (count[lengths] > 1))]
-        return [int(fits[-1]), g - int(fits[-1])] if len(fits) else None
+    ``pairs[s]`` is the number of pairs of lengths still available that sum to
+    ``s``: the hash from sum to pairs, kept as counts since a pair's members
+    follow from the sum and one of them. A triple is a length and a pair of
+    what it leaves, so its index is the pairs' at ``s`` less that length.
+    """
 
-    if two := pair(gap, gap):
-        return two
-    for a in np.flatnonzero(free[1 : gap - 1])[::-1] + 1:
-        a = int(a)
-        if 3 * a < gap:
-            break
-        if (two := pair(gap - a, a)) and all(count[x] >= ([a, *two]).count(x) for x in two):
-            return [a, *two]
-    return None
+    def __init__(self, count: np.ndarray):
+        self.count, self.live = count, count > 0
+        lengths = np.flatnonzero(self.live)
+        self.pairs = np.zeros(2 * len(count), np.int64)
+        for x in lengths:
+            np.add.at(self.pairs, x + lengths[lengths >= x], 1)
+
+    def take(self, lengths: list[int], times: int) -> None:
+        for x in lengths:
+            self.count[x] -= times
+        for x in set(lengths):
+            if not self.count[x]:
+                self.pairs[x + np.flatnonzero(self.live)] -= 1
+                self.live[x] = False
+
+    def times(self, lengths: list[int]) -> int:
+        """How often the counts allow this combination."""
+        return min(int(self.count[x]) // lengths.count(x) for x in set(lengths))
+
+    def two(self, total: int, under: int) -> Iterator[list[int]]:
+        """Pairs that sum to ``total``, members at most ``under``, larger first."""
+        if self.pairs[total]:
+            larger = np.arange((total + 1) // 2, min(total, under + 1))
+            for a in larger[self.live[larger] & self.live[total - larger]][::-1].tolist():
+                yield [a, total - a]
+
+    def of(self, total: int) -> Iterator[list[int]]:
+        """All combinations of one, two and three lengths that sum to ``total``,
+        fewer and larger ones first. Some may have run out when they come."""
+        if self.live[total]:
+            yield [total]
+        yield from self.two(total, total)
+        first = np.arange(total - 2, (total - 1) // 3, -1)
+        for a in first[self.live[first] & (self.pairs[total - first] > 0)].tolist():
+            if self.live[a]:
+                for rest in self.two(total - a, a):
+                    yield [a, *rest]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -59,18 +85,17 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
         count[length] += n
     made = [([capacity], int(count[capacity]))] if count[capacity] else []
     count[capacity] = 0
+    sums = Sums(count)
     for length in range(capacity - 1, 0, -1):
-        while count[length]:
-            count[length] -= 1
-            rest = complement(capacity - length, count)
-            count[length] += 1
-            if rest is None:
-                break
+        if not count[length]:
+            continue
+        for rest in sums.of(capacity - length):
             whole = [length, *rest]
-            times = min(int(count[x]) // whole.count(x) for x in set(whole))
-            for x in whole:
-                count[x] -= times
-            made.append((whole, times))
+            if times := sums.times(whole):
+                sums.take(whole, times)
+                made.append((whole, times))
+                if not count[length]:
+                    break
     gaps: list[int] = []
     open_: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
 
@@ -123,10 +148,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     with the number of the task that made it."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = encoder(tokenizer_path, markers), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for pdf in batches:
             rows = []
-            for key, ids in zip(pdf["doc_id"].tolist(), enc.encode([t or "" for t in pdf["text"].tolist()]), strict=True):
+            for key, ids in zip(pdf["doc_id"].tolist(), encode(pdf["text"].tolist(), tokenizer_path, markers), strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                 start, piece = 0, 0
                 stop = len(ids) % capacity or capacity
@@ -139,7 +164,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
             yield frame
 
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int" + ", ids array<long>" * with_ids)
+    return keyed.mapInPandas(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int" + ", ids array<long>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, markers: bool = False) -> DataFrame:
@@ -156,7 +181,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
 
     Ranks within a length come from counts by (task, length) and a numbering
     within these, so a length that a third of all pieces have is ranked by as
-    many tasks as made them.
+    many tasks as made them. These counts grow with the tasks and are joined by
+    a shuffle; only the plan, bounded by ``capacity``, is sent to all tasks.
     """
     spark = docs.sparkSession
     pieces = written(cut_pieces(docs, tokenizer_path, end_id, capacity, with_ids, markers), "pieces")
@@ -169,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     own = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("own"))
+    ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("own"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, sequences, offsets = sent.value
@@ -183,4 +209,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
 
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
-    return ranked.select(F.col("doc_id").cast("string").alias("doc_id"), *cols[1:], "rank").mapInPandas(place, shape)
+    return ranked.select(F.col("doc_id").cast("string").alias("doc_id"), *cols[1:], "rank").mapInPandas(tidy(place), shape)
