@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -19,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, new_path, written
+from .common import hot_keys, join_hot, need, new_path, tidy, written
 from .files import put
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
+#: Signs that a URI holds as they are, besides letters and digits.
+_URI = "%:/?#[]@!$&'()*+,;=-._~"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -125,15 +128,21 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     empty payload, a null id is never revisited nor revisits; rows with the
     greatest id twice are responses both. Extra columns are ignored; an empty
     table gives no archive. Names follow from the task, so a retried task
-    replaces its own files.
+    replaces its own files. What no URI can hold is percent-encoded in the
+    target's header, and once more, reversibly, in a header of its own.
     """
     folder = folder or new_path(pages.sparkSession, "archives")
     own = need(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     twice = own.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Only the slim side of pages that have a copy is joined by digest; payloads don't move with it.
-    sent = own.join(twice, "digest", "left").withColumn("refers", F.when(F.col("page_id") < F.col("first"), F.col("first")).cast("string"))
+    # A digest may be that of most pages, so only ids are joined by it, salted. Payloads move once, by their page's id.
+    slim = own.where(F.octet_length("html") >= least_bytes).select("page_id", "digest").where("page_id is not null").distinct()
+    slim = written(slim, "page-digests")
+    found = join_hot(slim, twice, "digest", F.col("page_id"), hot_keys(slim, "digest"))
+    refers = found.where(F.col("page_id") < F.col("first")).select("page_id", "digest", F.col("first").cast("string").alias("refers"))
+    known = own.where("page_id is not null").join(refers, ["page_id", "digest"], "left")
+    sent = known.unionByName(own.where("page_id is null").withColumn("refers", F.lit(None).cast("string")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, held, raws = TaskContext.get().partitionId(), 0, 0, []
@@ -154,8 +163,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
                     ("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"), ("WARC-Date", date),
                     ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload))), ("X-Page", page or ""),
                 ]
-                if url:
-                    headers.append(("WARC-Target-URI", "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url)))
+                if url is not None:
+                    headers.append(("WARC-Target-URI", quote(url, safe=_URI)))
+                    if url != headers[-1][1]:
+                        headers.append(("X-Target", quote(url, safe=_URI.replace("%", ""))))
                 if refers:
                     headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}')}>"), ("X-Refers-To-Page", refers)]
                 raw = record(headers, b"" if refers else payload)
@@ -168,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
             yield flush()
 
     named = sent.select(F.col("page_id").cast("string").alias("page"), "url", "html", "digest", "refers")
-    return written(named.mapInPandas(write, "uri string, n_records long"), "archive-list")
+    return written(named.mapInPandas(tidy(write), "uri string, n_records long"), "archive-list")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -190,7 +201,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                     if kind != "revisit" and (size != len(block) or digest and digest != hashlib.sha1(block).hexdigest()):
                         raise BadArchive(f"the payload of {headers['warc-record-id']} isn't what its headers say")
                     page, refers = headers.get("x-page"), headers.get("x-refers-to-page")
-                    rows.append((int(page) if page else None, headers.get("warc-target-uri"), kind, int(refers) if refers else None, size, digest, block))
+                    url = unquote(headers["x-target"]) if "x-target" in headers else headers.get("warc-target-uri")
+                    rows.append((int(page) if page else None, url, kind, int(refers) if refers else None, size, digest, block))
                     if len(rows) >= 500:
                         yield frame(rows)
                         rows = []
@@ -202,7 +214,7 @@ def read_archives(files: DataFrame) -> DataFrame:
             out[c] = pd.array(out[c].tolist(), "Int64")
         return out
 
-    return files.select("content").mapInPandas(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return files.select("content").mapInPandas(tidy(read), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
