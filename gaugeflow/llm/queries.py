@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, token_files, token_rollup, warc
-from .common import new_path, table, written
+from .common import hot_keys, join_hot, new_path, small_batches, table, written
 from .sql import SQL
 
 
@@ -34,25 +34,34 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches: every document is counted; all but the least id of equal
-    texts are deleted; what is left is revised to its distinct lines; and the
-    deletions come a second time."""
-    docs = table(spark, sf_dir, "documents")
+    """Four batches, each for both tokenizers: every document is counted; all
+    but the least id of equal texts are deleted; what is left is revised to its
+    distinct lines; and the deletions come a second time."""
+    return rollup(table(spark, sf_dir, "documents"), {n: public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k")})
+
+
+def rollup(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
+    spark, versions = docs.sparkSession, sorted(tokenizers)
     lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    counted = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), token_rollup.words(F.col("text")).alias("words"), token_rollup.words_and_marks(F.col("text")).alias("marks"), token_rollup.words(lines).alias("in_lines"))
+    own = docs.select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("same"), F.when(lines != F.col("text"), lines).alias("fewer"))
+    # Only texts with repeated lines are encoded a second time, as their distinct lines.
+    whole = token_rollup.count_tokens(own, "text", tokenizers).withColumnsRenamed({f"n_{v}": f"all_{v}" for v in versions})
+    counted = token_rollup.count_tokens(whole, "fewer", tokenizers).drop("text", "fewer")
     counted = written(counted, "counted")
     first = counted.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    copies = counted.join(first, "same", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    copies = join_hot(counted, first, "same", F.col("doc_id"), hot_keys(counted, "same")).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    copies = written(copies.drop("same", "first"), "copies")
 
-    def events(rows: DataFrame, kind: str, now: str, was: str, version: str) -> DataFrame:
-        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(kind).alias("kind"), F.expr(now).alias("n_tokens"), F.expr(was).alias("was_tokens"))
+    def events(rows: DataFrame, kind: str, now: str | None, was: str | None) -> DataFrame:
+        null = F.lit(None).cast("long")
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), (F.col(f"{now}_{v}") if now else null).alias("n_tokens"), (F.col(f"{was}_{v}") if was else null).alias("was_tokens")) for v in versions]))
+        return rows.select("source", "lang", F.lit(kind).alias("kind"), each.alias("e")).select("source", "lang", "kind", "e.*")
 
-    folder = new_path(spark, "token-deltas")
-    gone = copies.where("copy")
-    deletions = events(gone, "delete", "0", "words", "words-1").union(events(gone, "delete", "0", "marks", "marks-2"))
-    token_rollup.commit(folder, "1-load", events(counted, "insert", "words", "0", "words-1").union(events(counted, "insert", "marks", "0", "marks-2")))
+    folder = new_path(spark, "token-totals")
+    deletions = events(copies.where("copy"), "delete", None, "all")
+    token_rollup.commit(folder, "1-load", events(copies, "insert", "all", None))
     token_rollup.commit(folder, "2-copies", deletions)
-    token_rollup.commit(folder, "3-lines", events(copies.where("not copy and in_lines <> words"), "revise", "in_lines", "words", "words-1"))
+    token_rollup.commit(folder, "3-lines", events(copies.where(f"not copy and n_{versions[0]} is not null"), "revise", "n", "all"))
     token_rollup.commit(folder, "2-copies", deletions)
     return token_rollup.totals(spark, folder)
 
@@ -80,17 +89,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op2_token_files": op2_token_files,
-    "op3_secret_scan": op3_secret_scan,
-    "op4_language_id": op4_language_id,
-    "op5_token_rollup": op5_token_rollup,
-    "op6_warc": op6_warc,
-    "op7_license_scan": op7_license_scan,
-    "op8_best_fit_packing": op8_best_fit_packing,
-    "op9_decontamination": op9_decontamination,
-    "op10_quality_rules": op10_quality_rules,
-}
+_ALL = (
+    op1_ngram_jaccard_join, op2_token_files, op3_secret_scan, op4_language_id, op5_token_rollup, op6_warc, op7_license_scan, op8_best_fit_packing, op9_decontamination, op10_quality_rules,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: small_batches(f) for f in _ALL}
 
 __all__ = ["QUERIES", "SQL"]

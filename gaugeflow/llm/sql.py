@@ -17,15 +17,6 @@ c(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT k.b, c.r FROM c JOIN
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r) AS component_id FROM n JOIN c USING (doc_id) GROUP BY ALL
 """
 
-ROLLUP = rf"""
-WITH d AS (SELECT doc_id, source, lang, text, len({_WORDS.format("coalesce(text, '')")}) AS words, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[.,;:!?]', '', 'g')) AS marks,
- len({_WORDS.format("coalesce(array_to_string(list_distinct(string_split(text, chr(10))), chr(10)), '')")}) AS in_lines FROM documents),
-k AS (SELECT *, CASE WHEN text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) THEN 0 ELSE 1 END AS stays FROM d)
-SELECT source, lang, 'words-1' AS tokenizer, CAST(sum(stays) AS BIGINT) AS docs, CAST(sum(stays * in_lines) AS BIGINT) AS tokens FROM k GROUP BY ALL HAVING sum(stays) <> 0 OR sum(stays * in_lines) <> 0
-UNION ALL
-SELECT source, lang, 'marks-2' AS tokenizer, CAST(sum(stays) AS BIGINT) AS docs, CAST(sum(stays * (words + marks)) AS BIGINT) AS tokens FROM k GROUP BY ALL HAVING sum(stays) <> 0 OR sum(stays * (words + marks)) <> 0
-"""
-
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS g FROM pages),
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY g) END AS last FROM p)
@@ -46,4 +37,4 @@ t AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item))
 SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, coalesce(t.s, sha256('')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-SQL = {"op1_ngram_jaccard_join": JACCARD, "op5_token_rollup": ROLLUP, "op6_warc": WARC, "op9_decontamination": DECONTAMINATION}
+SQL = {"op1_ngram_jaccard_join": JACCARD, "op6_warc": WARC, "op9_decontamination": DECONTAMINATION}
