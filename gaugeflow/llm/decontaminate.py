@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 from functools import reduce
 from itertools import chain
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, need, written
+from .common import Kept, discard, need, tidy, written
 
 #: Bytes that are no part of a word once A-Z are lower case: all ASCII but digits and a-z.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 32 for b in range(256))
@@ -76,17 +77,6 @@ def _blocks(benchmark: DataFrame, size: int, max_bytes: int) -> Iterator[tuple[t
     yield tuple(sorted(block))
 
 
-#: The worker's last automaton, by its items; it goes before the next one is made.
-_MADE: dict[tuple, ahocorasick.Automaton] = {}
-
-
-def _automaton(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automaton:
-    if (items, size) not in _MADE:
-        _MADE.clear()
-        _MADE[items, size] = _build(items, size)
-    return _MADE[items, size]
-
-
 def _build(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automaton:
     found = defaultdict(set)
     for item, text in items:
@@ -100,6 +90,14 @@ def _build(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automat
     return machine
 
 
+#: The worker's last automaton; it goes before the next one is made.
+_MADE = Kept(_build, most=1)
+
+
+def automaton(items: tuple[tuple[str, str], ...], size: int) -> AbstractContextManager[ahocorasick.Automaton]:
+    return _MADE.use(items, size)
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of intervals, ascending; those that touch become one."""
     merged: list[list[int]] = []
@@ -170,11 +168,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int =
     sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = _automaton(sent.value, size)
         for pdf in batches:
-            yield _frame(pdf["doc_id"], [_row(t, *scan(machine, t)) for t in pdf["text"].tolist()])
+            with automaton(sent.value, size) as machine:
+                out = _frame(pdf["doc_id"], [_row(t, *scan(machine, t)) for t in pdf["text"].tolist()])
+            yield out
 
-    return keyed.mapInPandas(each, _SHAPE)
+    return written(keyed.mapInPandas(tidy(each), _SHAPE), "marks")
 
 
 def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFrame:
@@ -183,9 +182,9 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
 
     def hits(sent):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            machine = _automaton(sent.value, size)
             for pdf in batches:
-                found = [(r, *scan(machine, t)) for r, t in zip(pdf["row"], pdf["text"].tolist(), strict=True)]
+                with automaton(sent.value, size) as machine:
+                    found = [(r, *scan(machine, t)) for r, t in zip(pdf["row"], pdf["text"].tolist(), strict=True)]
                 yield pd.DataFrame([(r, [x for span in spans for x in span], sorted(own)) for r, _, spans, own in found if spans], columns=["row", "at", "own"])
 
         return each
@@ -193,7 +192,7 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
     parts = []
     for block in blocks:
         sent = spark.sparkContext.broadcast(block)
-        parts.append(written(numbered.select("row", "text").mapInPandas(hits(sent), "row long, at array<int>, own array<string>"), "block-hits"))
+        parts.append(written(numbered.select("row", "text").mapInPandas(tidy(hits(sent)), "row long, at array<int>, own array<string>"), "block-hits"))
         sent.unpersist()
     of_row = reduce(DataFrame.union, parts).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
 
@@ -205,7 +204,7 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
                 rows.append(_row(text, max(0, normal(text).count(" ") - 1), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
             yield _frame(pdf["doc_id"], rows)
 
-    return numbered.join(of_row, "row", "left").select("doc_id", "text", "at", "own").mapInPandas(unite, _SHAPE)
+    return numbered.join(of_row, "row", "left").select("doc_id", "text", "at", "own").mapInPandas(tidy(unite), _SHAPE)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -215,8 +214,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int
     def cleaner(sent):
         @F.pandas_udf("boolean")
         def clean(texts: pd.Series) -> pd.Series:
-            machine = _automaton(sent.value, size)
-            return pd.Series([not (len(machine) and t and next(machine.iter(normal(t)), None)) for t in texts])
+            with automaton(sent.value, size) as machine:
+                return pd.Series([not (len(machine) and t and next(machine.iter(normal(t)), None)) for t in texts])
 
         return clean(F.col("text"))
 

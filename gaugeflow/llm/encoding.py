@@ -10,7 +10,7 @@ cut at a place at which the splitter cuts anyway:
 Pieces repeat much more often than texts, so a bounded memo of piece -> ids
 replaces most of the library's work and gives the same ids. A piece that the
 memo lacks is split by the file's own pattern, and the library's merge model
-encodes those of its words that are new.
+encodes those of its words that are new. An idle worker drops its memo.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import Kept
+
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _NOT_BEFORE_WORD = re.compile(r" (?!\S)")
 #: Fixed value: the splitting pattern of byte-level files, which they name but don't hold.
@@ -39,42 +40,65 @@ def visible_bytes() -> dict[int, str]:
 
 
 class Memo(dict):
-    """piece -> bytes of the ids of ``lead + piece``; a missing one is encoded when asked for."""
+    """piece -> bytes of the ids of ``lead + piece``; a missing one is encoded when asked for.
+
+    Past ``limit`` pieces it starts anew and keeps those it had beside it: of
+    these, pieces that are asked for again move over, until the next turn.
+    """
 
-    def __init__(self, spec: dict, tokenizer: Tokenizer, code: str, lead: str):
+    def __init__(self, spec: dict, tokenizer: Tokenizer, code: str, lead: str, limit: int):
         split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL)
         self.find, self.model, self.code = regex.compile(split).findall, tokenizer.model, code
-        self.normalizer, self.words, self.table, self.lead = tokenizer.normalizer, {}, visible_bytes(), lead
+        self.normalizer, self.table, self.lead, self.limit = tokenizer.normalizer, visible_bytes(), lead, limit
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        text = self.lead + piece
-        if self.normalizer is not None:
-            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        out = b"".join([self.words.get(w) or self.word(w) for w in self.find(text)])
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encoded(piece)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
         self[piece] = out
         return out
 
-    def word(self, w: str) -> bytes:
-        seen = w.encode().decode("latin-1").translate(self.table)
-        out = self.words[w] = array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+    def encoded(self, piece: str) -> bytes:
+        text = self.lead + piece
+        if self.normalizer is not None:
+            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        if piece.isascii() and piece.isalpha():  # one word, whatever the pattern
+            return self.ids(text)
+        words = self.find(text)
+        return self.ids(words[0]) if len(words) == 1 else b"".join(map(self.part, words))
+
+    def part(self, word: str) -> bytes:
+        """A word of a piece. One that is a piece itself isn't kept a second time."""
+        alone = word[len(self.lead) :]
+        if alone.isalpha() and alone.isascii() and word.startswith(self.lead):
+            return self.get(alone) or self.old.get(alone) or self.ids(word)
+        out = self.words.get(word)
+        if out is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            out = self.words[word] = self.ids(word)
         return out
 
-    def shrink(self, limit: int) -> None:
-        if len(self) > limit or len(self.words) > limit:
-            self.clear()
-            self.words.clear()
+    def ids(self, word: str) -> bytes:
+        seen = word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
 
 class MemoEncoder:
     """``encode(texts)`` gives the ids of each whole text as an array.
 
-    ``memo`` bounds the pieces kept; past it the memo starts anew. With
+    ``memo`` bounds the pieces that each of two memos keeps twice over. With
     ``markers``, texts of the file's added tokens (such as ``<|endoftext|>``)
     give those tokens' ids, as the library does by default; without, they are
     ordinary text.
     """
 
-    def __init__(self, path: str, memo: int = 800_000, markers: bool = False):
+    def __init__(self, path: str, memo: int = 200_000, markers: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,7 +111,7 @@ class MemoEncoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
         code = "H" if small else "I"
-        self.first, self.rest, self.limit = Memo(spec, self.tokenizer, code, ""), Memo(spec, self.tokenizer, code, " "), memo
+        self.first, self.rest = Memo(spec, self.tokenizer, code, "", memo), Memo(spec, self.tokenizer, code, " ", memo)
 
     def ids(self, text: str) -> bytes:
         if self.marked and self.marked(text):
@@ -98,12 +122,19 @@ class MemoEncoder:
         return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.first.shrink(self.limit)
-        self.rest.shrink(self.limit)
         return [np.frombuffer(self.ids(t), self.dtype) for t in texts]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, markers: bool = False) -> MemoEncoder:
-    """One encoder a worker process and file."""
-    return MemoEncoder(path, markers=markers)
+_ENCODERS = Kept(lambda path, markers: MemoEncoder(path, markers=markers))
+
+
+def encode(texts: list[str | None], path: str, markers: bool = False) -> list[np.ndarray]:
+    """The ids of each whole text, by the worker's encoder of that file; null counts as empty."""
+    with _ENCODERS.use(path, markers) as encoder:
+        return encoder.encode([t or "" for t in texts])
+
+
+def id_type(path: str) -> np.dtype:
+    """The type of a file's ids in ``encode``'s arrays."""
+    with _ENCODERS.use(path, False) as encoder:
+        return encoder.dtype

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, tidy, written
 
 _LEVEL = 6
 #: Bytes compressed at once: a long text's own words would else serve it as well as a dictionary's.
@@ -103,7 +103,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
             yield out
 
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(each, "doc_id long, lang_pred string, score double, rejected boolean")
+    return written(keyed.mapInPandas(tidy(each), "doc_id long, lang_pred string, score double, rejected boolean"), "languages")
 
 
 def is_held_out(doc_id) -> Column:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, need, written
+from .common import need, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_marks")
@@ -136,6 +136,11 @@ def fit(patterns: DataFrame, rounds: int = 30, prior: float = 20.0) -> dict:
     return model
 
 
+def failed() -> Column:
+    """Base: under 50 words, or more than half of the words in repeated 3-word windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measures, votes, ``p_good``, ``base_failed`` and ``kept``
     of each row of ``docs``.
@@ -149,21 +154,21 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = written(measured.select("*", *votes()), "quality")
     names = [c for c in measured.columns if c.startswith("vote_")]
     patterns = written(measured.groupBy(*names).agg(F.count("*").alias("n")), "vote-patterns")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     p = 1 / (1 + F.exp(-odds(fit(patterns))))
-    return measured.withColumn("p_good", p).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= 0.5))
+    return measured.withColumn("p_good", p).withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured once for the model's counts and once more for the
-    filter, so that neither a join by id nor a copy of the texts is needed."""
-    measured = docs.select(measure(F.col("text")).alias("m")).select("m.*").select(*votes())
-    patterns = written(measured.groupBy(*measured.columns).agg(F.count("*").alias("n")), "vote-patterns")
-    model = fit(patterns)
-    discard(docs.sparkSession, patterns)
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    marked = docs.select(own, measure(F.col("text")).alias("__m")).select("__row", "__m.*").select("*", *votes())
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return marked.where(~failed & (odds(model) >= 0)).select("__row.*")
+    Texts are measured once: rows are written with their votes, the model is
+    fitted to the counts of vote patterns, and what it keeps is read back.
+    Null, empty and short texts go; repeated and null keys are rows of their
+    own; columns of any name stay as they are; an empty table stays empty.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    measured = docs.select(row, measure(F.col("`text`")).alias("__m")).select("__row", "__m.*").select("__row", failed().alias("__failed"), *votes())
+    measured = written(measured, "measured-texts")
+    names = [c for c in measured.columns if c.startswith("vote_")]
+    model = fit(measured.groupBy(*names).agg(F.count("*").alias("n")))
+    return measured.where(~F.col("__failed") & (odds(model) >= 0)).select("__row.*")
