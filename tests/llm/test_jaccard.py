@@ -1,37 +1,18 @@
 """The n-gram Jaccard join against all pairs."""
 
 import random
-from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
+from gaugeflow.llm import common
 from gaugeflow.llm import jaccard as J
 
+from .brute import components
+
 
 def brute(rows, size, up, down):
-    def words(t):
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        return [w for w in low.translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ") if w]
-
-    sets = []
-    for _, t in rows:
-        w = words(t)
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and down * len(sets[i] & sets[j]) >= up * len(sets[i] | sets[j]):
-            root[find(i)] = find(j)
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(find(i), []).append(rows[i][0])
-    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
-    return sorted(((rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))), key=str)
+    return sorted(components(rows, size, up, down), key=str)
 
 
 def got(df):
@@ -77,6 +58,31 @@ def test_hot_tokens_with_one_class_in_a_salt(spark, monkeypatch):
     assert got(J.jaccard_components(table, 3, 90, 100)) == brute(rows, 3, 90, 100)
 
 
+def test_hot_groups_are_dealt_out(docs, monkeypatch):
+    rows = corpus(11, 3, 40, 2) + [(9000 + i, "one and the same text of them all") for i in range(30)]
+    whole, seen = common.hot_keys, []
+
+    def hot(df, key, **_):
+        found = whole(df, key, least=3)
+        seen.append((key, found is not None))
+        return found
+
+    monkeypatch.setattr(J, "hot_keys", hot)
+    assert got(J.jaccard_components(docs(*rows), 3, 90, 100)) == brute(rows, 3, 90, 100)
+    assert {k for k, there in seen if there} >= {"root", "class", "token"}
+
+
+def test_join_hot_is_a_join(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(60)], "k int, i int")
+    other = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k int, v string")
+    hot = common.hot_keys(rows, "k", least=3)
+    assert sorted(r[0] for r in hot.collect()) == [0, 1, 2] and common.hot_keys(rows, "k") is None
+    for how in ("left", "inner"):
+        want = sorted(map(str, rows.join(other, "k", how).select("k", "i", "v").collect()))
+        for h in (hot, None):
+            assert sorted(map(str, common.join_hot(rows, other, "k", F.col("i"), h, how).select("k", "i", "v").collect())) == want
+
+
 def test_empty_table(docs, spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -87,6 +93,10 @@ def test_keep_one(docs):
     kept = J.keep_one(docs(*rows))
     assert kept.columns == ["doc_id", "text", "token", "n"]
     assert sorted((r["doc_id"] for r in kept.collect())) == [2, 7, 9, 9]
+    odd = docs((None, text), (3, text), (None, "only nulls have these words"), (None, "only nulls have these words")).withColumnsRenamed({"token": "__class", "n": "__id"})
+    kept = J.keep_one(odd)
+    assert kept.columns == ["doc_id", "text", "__class", "__id"] and sorted((str(r["doc_id"]), r["__class"]) for r in kept.collect()) == [("3", "x"), ("None", "x")]
+    assert J.keep_one(odd.limit(0)).count() == 0
 
 
 def test_suffix_filter_keeps_what_links():
