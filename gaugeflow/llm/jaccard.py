@@ -19,6 +19,7 @@ Shingles, and classes, are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, need, written
+from .common import discard, hot_keys, join_hot, need, tidy, written
 
 U = np.uint64
 
@@ -119,7 +120,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"], "string").astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [class_of(s) for s in sets], "parts": [spread(s) for s in sets]})
 
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(each, "doc_id long, n_shingles long, class long, parts array<tinyint>")
+    return keyed.mapInPandas(tidy(each), "doc_id long, n_shingles long, class long, parts array<tinyint>")
 
 
 def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +167,7 @@ def _heavy(docs: DataFrame, size: int, total: int, limit: int) -> tuple[np.ndarr
         high = np.int64(pdf["range"].iloc[0]) << (40 - bits)
         return pd.DataFrame({"key": keys[first][often].astype(np.int64) + high, "n": sums[often]})
 
-    runs_ = need(docs, "text").mapInPandas(count, "range int, keys binary, counts binary")
+    runs_ = need(docs, "text").mapInPandas(tidy(count), "range int, keys binary, counts binary")
     often = written(runs_.groupBy("range").applyInPandas(merge, "key long, n long"), "shingle-counts")
     by_size = {r["e"]: r["c"] for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("c")).collect()}
     bound, kept = 64, 0
@@ -207,7 +208,7 @@ def _prefixes(docs: DataFrame, size: int, limit: Threshold, heavy: tuple[np.ndar
             if out:
                 yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "salt", "class", "n", "pos"), zip(*out, strict=True), strict=True)})
 
-    return need(docs, "text").mapInPandas(each, "token long, salt int, class long, n int, pos int")
+    return need(docs, "text").mapInPandas(tidy(each), "token long, salt int, class long, n int, pos int")
 
 
 def _may_link(limit: Threshold, a: str, b: str):
@@ -237,38 +238,40 @@ def _bit_map(keys: DataFrame) -> np.ndarray:
     places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("class", k).bitwiseAND((1 << _BITS) - 1) for k in _SHIFTS])).alias("p"))
     words = places.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("word"))
     out = np.zeros(1 << _BITS - 5, "<u4")
-    for chunk in words.groupBy(F.shiftright("at", 13)).agg(F.collect_list(F.struct("at", "word")).alias("w")).toLocalIterator():
+    # At most 256 rows of 8,192 words; each partition is a job of its own, so they are few.
+    for chunk in words.groupBy(F.shiftright("at", 13)).agg(F.collect_list(F.struct("at", "word")).alias("w")).coalesce(8).toLocalIterator():
         at, word = np.array([tuple(x) for x in chunk["w"]], np.int64).T
         out[at] = word
     return out
 
 
+def _in_map(bits: np.ndarray, own: int) -> bool:
+    """False only for classes that aren't in the map."""
+    for k in _SHIFTS:
+        p = own >> k & (1 << _BITS) - 1
+        if not int(bits[p >> 5]) >> (p & 31) & 1:
+            return False
+    return True
+
+
 def _sets_of(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
     """class, set (its shingles' bytes) of the classes in ``keys``, once each."""
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(keys))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = sent.value, set()
-
-        def wanted(own: int) -> bool:
-            for k in _SHIFTS:
-                p = own >> k & (1 << _BITS) - 1
-                if not int(bits[p >> 5]) >> (p & 31) & 1:
-                    return False
-            return True
-
         for pdf in batches:
             rows = []
             for text in pdf["text"].tolist():
                 s = shingles(text, size)
-                if len(s) and wanted(own := class_of(s)) and own not in seen:
+                if len(s) and _in_map(bits, own := class_of(s)) and own not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(own)
                     rows.append((own, s.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "set"])
 
-    made = need(docs, "text").mapInPandas(each, "class long, set binary")
+    made = need(docs, "text").mapInPandas(tidy(each), "class long, set binary")
     return made.join(keys, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -305,7 +308,7 @@ def _verified(docs: DataFrame, size: int, limit: Threshold, pairs: DataFrame) ->
                 keep.append(not suffix_reject(x, y, len(x) + len(y) - 2 * least) and len(np.intersect1d(x, y, assume_unique=True)) >= least)
             yield pdf.loc[keep, ["a", "b"]]
 
-    links = written(both.mapInPandas(each, "a long, b long"), "links")
+    links = written(both.mapInPandas(tidy(each), "a long, b long"), "links")
     discard(docs.sparkSession, pairs, sets)
     return links
 
@@ -314,17 +317,19 @@ def components(links: DataFrame) -> DataFrame:
     """class, root: for each end of ``links`` (a, b) the least class it reaches.
 
     Labels pass along links and jump over labels until none changes; every
-    round's table is written, so rounds don't pile up."""
+    round's table is written, so rounds don't pile up. The links of a hub, and
+    the members of a large component, are dealt out to many tasks."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links-both")
+    hubs = hot_keys(both, "a")
     labels = written(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
     table = labels
     while True:
-        near = both.join(labels.select(F.col("class").alias("a"), "root"), "a").groupBy(F.col("b").alias("class")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = join_hot(both, labels.select(F.col("class").alias("a"), "root"), "a", F.col("b"), hubs).groupBy(F.col("b").alias("class")).agg(F.min("root").alias("near"))
+        lower = written(labels.join(near, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root")), "lower")
         jump = labels.select(F.col("class").alias("root"), F.col("root").alias("over"))
-        new = written(lower.join(jump, "root").select("class", "old", F.least("root", "over").alias("root")), "labels")
+        new = written(join_hot(lower, jump, "root", F.col("class"), hot_keys(lower, "root")).select("class", "old", F.least("root", "over").alias("root")), "labels")
         changed = new.where("root <> old").limit(1).count()
-        discard(links.sparkSession, table)
+        discard(links.sparkSession, table, lower)
         labels, table = new.select("class", "root"), new
         if not changed:
             discard(links.sparkSession, both)
@@ -371,9 +376,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
     lead = lead.join(roots, "class", "left").select("token", F.coalesce("root", "class").alias("lead"))
     parts = rows.groupBy("class").agg(F.first("parts").alias("parts"))
     member = F.struct("n", "class", "pos", "parts")
-    labelled = written(labelled.join(lead, "token").join(parts, "class").select("token", member.alias("own"), "root", "lead"), "labelled")
+    often = hot_keys(kept, "token")
+    labelled = join_hot(labelled, lead, "token", F.col("class"), often, "inner")
+    labelled = written(labelled.join(parts, "class").select("token", member.alias("own"), "root", "lead"), "labelled")
     minor = labelled.where("root <> lead").select("token", F.col("own").alias("x"), F.col("root").alias("x_root"))
-    rest = minor.join(labelled.select("token", F.col("own").alias("y"), F.col("root").alias("y_root"), "lead"), "token")
+    rest = join_hot(labelled.select("token", F.col("own").alias("y"), F.col("root").alias("y_root"), "lead"), minor, "token", F.col("y"), often, "inner")
     rest = rest.where("x_root <> y_root and (y_root = lead or x.class < y.class)").where(_may_link(limit, "x", "y") & _near_enough(limit, "x", "y"))
     rest = written(pair(rest, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     discard(docs.sparkSession, kept, labelled, tried)
@@ -381,26 +388,39 @@ def jaccard_components(docs: DataFrame, size: int = 3, up: int = 90, down: int =
         more = _verified(docs, size, limit, rest)
         if more.limit(1).count():
             roots = components(links.union(more))
-    placed = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = join_hot(rows.drop("parts"), roots, "class", F.col("doc_id"), hot_keys(rows, "class"))
+    placed = written(placed.withColumn("root", F.coalesce("root", "class")), "placed")
+    discard(docs.sparkSession, rows)
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left")
+    out = join_hot(placed, least, "root", F.col("doc_id"), hot_keys(placed, "root"))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "class", "root")
 
 
 def keep_one(docs: DataFrame, size: int = 5, up: int = 80, down: int = 100) -> DataFrame:
     """``docs``, with their own columns, but of each component only the row of
-    least ``doc_id`` (of equal ids one). Documents without words all stay."""
-    found = jaccard_components(docs, size, up, down).where("n_shingles > 0")
-    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("c"))
-    chosen = written(best.select(F.col("c.class").alias("__class"), F.coalesce("c.doc_id", F.lit(0)).alias("__id"), F.col("c.doc_id").isNull().alias("__none")), "chosen")
-    discard(docs.sparkSession)
+    least ``doc_id`` (of equal ids one). Documents without words all stay; a row with
+    a null id stays only if its component has no other; an empty table stays
+    empty. Columns of any name are kept."""
+    class_, id_, none = (f"__{c}_{uuid.uuid4().hex}" for c in ("class", "id", "none"))
+    found = written(jaccard_components(docs, size, up, down).where("n_shingles > 0").select("doc_id", "class", "root"), "components")
+    best = found.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "class"))), F.min(F.struct("doc_id", "class"))).alias("c"))
+    chosen = written(best.select(F.col("c.class").alias(class_), F.coalesce("c.doc_id", F.lit(0)).alias(id_), F.col("c.doc_id").isNull().alias(none)), "chosen")
+    # A class of one document, which is chosen, is sure to stay. Texts of other classes meet the list of chosen ones.
+    of_class = found.groupBy("class").agg(F.count("*").alias("n")).join(chosen.select(F.col(class_).alias("class"), F.lit(True).alias("stays")), "class", "left")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(of_class.where("n > 1 or stays is null").select("class")))
+    discard(docs.sparkSession, found)
 
     @F.pandas_udf("long")
-    def own_class(texts: pd.Series) -> pd.Series:
-        return pd.Series([class_of(shingles(t, size)) for t in texts], dtype="int64")
-
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    key = F.col("doc_id").cast("long")
-    marked = docs.where(worded).withColumns({"__class": own_class(F.col("text")), "__id": F.coalesce(key, F.lit(0)), "__none": key.isNull()})
-    rest = marked.join(chosen, ["__class", "__id", "__none"], "left_semi").dropDuplicates(["__class", "__id", "__none"])
-    return docs.where(~worded).unionByName(rest.select(*docs.columns))
+    def open_class(texts: pd.Series) -> pd.Series:
+        """The class of a text, or null if it is sure to stay."""
+        own = [class_of(shingles(t, size)) for t in texts]
+        return pd.Series([c if _in_map(sent.value, c) else None for c in own], dtype="Int64")
+
+    # Else the filter below would be moved under the column, and each text be hashed twice.
+    open_class = open_class.asNondeterministic()
+    worded = F.coalesce(F.col("`text`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.col("`doc_id`").cast("long")
+    sure = docs.where(worded).where(open_class(F.col("`text`")).isNull())
+    marked = docs.where(worded).withColumn(class_, open_class(F.col("`text`"))).where(F.col(class_).isNotNull()).withColumns({id_: F.coalesce(key, F.lit(0)), none: key.isNull()})
+    rest = marked.join(chosen, [class_, id_, none], "left_semi").dropDuplicates([class_, id_, none])
+    return docs.where(~worded).unionByName(sure).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
