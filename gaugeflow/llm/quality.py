@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import discard, need, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_marks")
@@ -161,14 +161,16 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured once: rows are written with their votes, the model is
-    fitted to the counts of vote patterns, and what it keeps is read back.
+    Texts are measured once for the counts of vote patterns and once more for
+    the filter: writing them with their votes would save half of the time, but
+    that copy of all texts would have to stay as long as the result is read.
     Null, empty and short texts go; repeated and null keys are rows of their
     own; columns of any name stay as they are; an empty table stays empty.
     """
+    measured = docs.select(measure(F.col("`text`")).alias("m")).select("m.*").select(*votes())
+    patterns = written(measured.groupBy(*measured.columns).agg(F.count("*").alias("n")), "vote-patterns")
+    model = fit(patterns)
+    discard(docs.sparkSession, patterns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    measured = docs.select(row, measure(F.col("`text`")).alias("__m")).select("__row", "__m.*").select("__row", failed().alias("__failed"), *votes())
-    measured = written(measured, "measured-texts")
-    names = [c for c in measured.columns if c.startswith("vote_")]
-    model = fit(measured.groupBy(*names).agg(F.count("*").alias("n")))
-    return measured.where(~F.col("__failed") & (odds(model) >= 0)).select("__row.*")
+    marked = docs.select(row, measure(F.col("`text`")).alias("__m")).select("__row", "__m.*").select("__row", failed().alias("__failed"), *votes())
+    return marked.where(~F.col("__failed") & (odds(model) >= 0)).select("__row.*")
