@@ -92,7 +92,8 @@ class Memo(dict):
 class MemoEncoder:
     """``encode(texts)`` gives the ids of each whole text as an array.
 
-    ``memo`` bounds the pieces that each of two memos keeps twice over. With
+    ``memo`` bounds the pieces that each of two memos keeps twice over; a
+    word-level file has one memo, of twice the size. With
     ``markers``, texts of the file's added tokens (such as ``<|endoftext|>``)
     give those tokens' ids, as the library does by default; without, they are
     ordinary text.
@@ -111,7 +112,7 @@ class MemoEncoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
         code = "H" if small else "I"
-        self.first, self.rest = Memo(spec, self.tokenizer, code, "", memo), Memo(spec, self.tokenizer, code, " ", memo)
+        self.first, self.rest = Memo(spec, self.tokenizer, code, "", memo * (2 if self.drops_space else 1)), Memo(spec, self.tokenizer, code, " ", memo)
 
     def ids(self, text: str) -> bytes:
         if self.marked and self.marked(text):
