@@ -764,7 +764,7 @@ def read_measurements(spark, sf):
 @query("WITH x AS (" + _FLAWED.format("station_id") + ") SELECT 'S' || station_id || 'Ö' AS station, ts, value FROM x WHERE station_id % 7 <> 0 UNION ALL SELECT 'FALLBACK' AS station, ts, value FROM x WHERE station_id % 7 = 0")
 def ingest_zip(spark, sf):
     """Archives a station and day, whose entries name the station in another spelling; a seventh name none, and one archive is broken."""
-    file = F.concat(F.lit("pegel-s"), F.col("station_id").cast("string"), F.when(F.col("station_id") % 7 == 0, "x").otherwise("oe"), F.lit("-W-2024.json"))
+    file = F.concat(F.lit("level-s"), F.col("station_id").cast("string"), F.when(F.col("station_id") % 7 == 0, "x").otherwise("oe"), F.lit("-W-2024.json"))
 
     @F.pandas_udf("binary")
     def zipped(entries: pd.Series, texts: pd.Series) -> pd.Series:

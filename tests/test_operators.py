@@ -187,7 +187,7 @@ def test_lookup(spark):
 
 
 def test_station_of_an_archive(spark):
-    files = frame(spark, "entry string", ("pegelonline-koeln-W-20240101-20241231.json",), ("pegelonline-atlantis-W-20240101-20241231.json",), ("info.json",))
+    files = frame(spark, "entry string", ("levels-koeln-W-20240101-20241231.json",), ("levels-atlantis-W-20240101-20241231.json",), ("info.json",))
     names = frame(spark, "name string", ("KÖLN",), ("BONN",))
     assert one(S2.with_station(files, names, "BONN"), "station") == [("BONN",), ("BONN",), ("KÖLN",)]
     assert one(S2.with_station(files, names).where("station is not null"), "station") == [("KÖLN",)]
