@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, token_files, token_rollup, warc
+from . import decontaminate, jaccard, language, licenses, mixing, packing, prefix_trie, quality, secrets, token_files, token_rollup, warc, whitening
 from .common import hot_keys, join_hot, new_path, small_batches, table, written
 from .sql import SQL
 
@@ -89,8 +89,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"), "source")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), most=8)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c")
+    rows = white.select("vec_id", "n", "deviation", "identity_error", each)
+    return rows.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.conversations_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared_openings(written(convs, "conversations")))
+
+
 _ALL = (
     op1_ngram_jaccard_join, op2_token_files, op3_secret_scan, op4_language_id, op5_token_rollup, op6_warc, op7_license_scan, op8_best_fit_packing, op9_decontamination, op10_quality_rules,
+    op11_source_mixing, op12_embedding_whitening, op13_conversation_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: small_batches(f) for f in _ALL}
 

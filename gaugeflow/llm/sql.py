@@ -37,4 +37,21 @@ t AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item))
 SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, coalesce(t.s, sha256('')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-SQL = {"op1_ngram_jaccard_join": JACCARD, "op6_warc": WARC, "op9_decontamination": DECONTAMINATION}
+TRIE = rf"""
+WITH t AS (SELECT conv_id AS c, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS k, len({_WORDS.format("coalesce(text, '')")}) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, md5(k)) AS own FROM t GROUP BY 1),
+x AS (SELECT c, own, list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+  lambda a, b: list_reduce(range(8), lambda v, s: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)) AS v FROM o),
+h AS (SELECT c, own, CAST(xor(v, 4294967295) % 4 AS INT) AS h FROM x),
+r AS (SELECT h.c, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS p FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM r),
+q AS (SELECT c, d, len(p) = d AS at_end, list_transform(p[1:d], lambda e: e.k) AS g, list_transform(p[1:d - 1], lambda e: e.k) AS up, CASE WHEN d = 0 THEN 0 ELSE p[d].w END AS w FROM m),
+n AS (SELECT g, d, CASE WHEN d > 0 THEN any_value(up) END AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(w) AS s, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (at_end), '')) AS e FROM q GROUP BY g, d),
+k AS (SELECT up, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n, 0) AS kids FROM n LEFT JOIN k ON k.up = n.g),
+u AS (SELECT g[1:j] AS g, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(s) AS s FROM (SELECT g, kids, s, unnest(range(0, d + 1)) AS j FROM f) GROUP BY 1)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, z.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.s AS BIGINT) AS saved_tokens, f.e AS ends_sha256
+FROM f JOIN u ON u.g = f.g LEFT JOIN f z ON z.g = f.up
+"""
+
+SQL = {"op13_conversation_trie": TRIE, "op1_ngram_jaccard_join": JACCARD, "op6_warc": WARC, "op9_decontamination": DECONTAMINATION}
