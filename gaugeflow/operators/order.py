@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_path
 
 
-def numbered(rows: DataFrame, order: list[Column | str], group: list[str] | None = None) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column | str], group: list[str] | None = None, at: str | None = None) -> DataFrame:
     """``rows`` with ``rank``, from 0, in the given order, and ``group_rows``; within ``group``, if there is one.
 
     Rows are dealt out by ranges of (group, order), so that a group of any size
     lies in as many tasks as its rows ask for. A row's place in its range,
     with the rows of the ranges before it, is its rank among all; less the
     least rank of its group, its rank there. Per range only a count is
-    gathered. Rows that tie take ranks in any order. Null groups are groups.
+    gathered. The ordered rows lie at ``at``, or else in the shared folder. Rows that tie take ranks in any order. Null groups are groups.
     """
     spark, group = rows.sparkSession, list(group or [])
     keys = [*(F.col(g).asc_nulls_first() for g in group), *(F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    path = new_path(spark, "ordered")
+    path = at or new_path(spark, "ordered")
     laid.write.parquet(path)
     laid = spark.read.schema(laid.schema).parquet(path)
     # One row a range: as many as there are shuffle partitions.

@@ -861,7 +861,7 @@ def upsert_daily(spark, sf):
     path = new_path(spark, "daily")
     for part in ("O", "F", "O"):
         tables.upsert_daily(spark, path, D.condense(readings(spark, sf).where(F.col("part") == part)))
-    return daily_out(spark.read.parquet(path))
+    return daily_out(tables.read_table(spark, path))
 
 
 @query("""SELECT station_id, day, CASE WHEN day >= DATE '2001-01-01' AND station_id % 2 = 0 THEN -1.0::DOUBLE ELSE value END AS value, strftime(day, '%Y-%m') AS month FROM sn""")
@@ -871,7 +871,7 @@ def snapshot_table(spark, sf):
     rows = snapshot(spark, sf).select("station_id", F.lit("n").alias("n"), F.lit("w").alias("w"), "day", "value", F.lit(False).alias("tidal"))
     tables.write_snapshot(spark, path, rows)
     tables.write_snapshot(spark, path, rows.where("day >= '2001-01-01' and station_id % 2 = 0").withColumn("value", F.lit(-1.0)))
-    return spark.read.parquet(path).select("station_id", "day", "value", F.col("month").cast("string").alias("month"))
+    return tables.read_table(spark, path).select("station_id", "day", "value", F.col("month").cast("string").alias("month"))
 
 
 @query("""WITH p AS (SELECT * FROM dp WHERE part = 'O' AND year = 1997), f AS (SELECT * FROM dp WHERE part = 'F' AND year = 1997), fy AS (SELECT DISTINCT station_id FROM f), p2 AS (SELECT station_id, year, doy, day, min_v - 1 AS min_v, max_v + 1 AS max_v FROM f WHERE doy % 2 = 0)
@@ -884,7 +884,7 @@ def freeze_year(spark, sf):
     tables.upsert_daily(spark, path, own.where("year <> 1997"))
     sure = own.where("doy % 2 = 0").withColumn("min_v", F.col("min_v") - 1).withColumn("max_v", F.col("max_v") + 1)
     J.freeze_year(spark, path, own, sure, 1997)
-    return daily_out(spark.read.parquet(path))
+    return daily_out(tables.read_table(spark, path))
 
 
 @query("""WITH s AS (SELECT station_id, year, max_v - min_v AS span, row_number() OVER (PARTITION BY station_id, year ORDER BY max_v - min_v, day) - 1 AS k, count(*) OVER (PARTITION BY station_id, year) AS n FROM d WHERE year IN (2000, 2001)),
@@ -905,7 +905,7 @@ def totals_append(spark, sf):
     tables.rebuild_totals(T.river_daily(raw), T.river_monthly(raw), path)
     half = raw.where("year <> 2000 or month(day) <= 6")
     tables.append_totals(spark, T.river_daily(half), T.river_monthly(half), path, 2000)
-    return ints(spark.read.parquet(f"{path}/monthly").select("river", "year", "month", "v", "diff"), "year", "month")
+    return ints(tables.read_table(spark, path, "monthly").select("river", "year", "month", "v", "diff"), "year", "month")
 
 
 @query("""WITH y AS (SELECT min(year) AS a, max(year) AS z FROM rm), g AS (SELECT river, a + (i // 12) AS year, 1 + i % 12 AS month, i FROM (SELECT DISTINCT river FROM rm), y, range(0, 1200) r(i) WHERE i < 12 * (z - a + 1))
@@ -918,7 +918,7 @@ def totals_overview(spark, sf):
     for year in (1995, 1996):
         tables.append_totals(spark, daily, monthly, path, year)
     mark = lambda c: F.aggregate(F.transform(c, lambda x, i: (i + 1) * F.coalesce(x, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    o = spark.read.parquet(f"{path}/overview")
+    o = tables.read_table(spark, path, "overview")
     return ints(o.select("river", "from_year", mark("v").alias("v_mark"), mark("diff").alias("diff_mark"), F.size("v").alias("months"), F.size(F.filter("v", lambda x: x.isNotNull())).alias("n")), "from_year", "months", "n")
 
 
@@ -932,7 +932,7 @@ def event_stream(spark, sf):
 def stream_ingest(spark, sf):
     path = new_path(spark, "stream-daily")
     streams.ingest_batches(event_stream(spark, sf), path, new_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(path).select("station_id", "day", "min_v", "max_v")
+    return tables.read_table(spark, path).select("station_id", "day", "min_v", "max_v")
 
 
 @query("""WITH g AS (SELECT station_id, ts AS to_ts, lag(ts) OVER (PARTITION BY station_id ORDER BY ts) AS from_ts FROM ev)
@@ -973,7 +973,7 @@ def stream_snapshot(spark, sf):
     path = new_path(spark, "live-snapshot")
     live = event_stream(spark, sf).withColumns({"n": F.concat(F.lit("n"), F.col("station_id").cast("string")), "w": F.lit("w"), "tidal": F.lit(False)})
     streams.snapshot_batches(live, path, new_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(path).select("station_id", "day", "value", "n")
+    return tables.read_table(spark, path).select("station_id", "day", "value", "n")
 
 
 @query("WITH b AS (SELECT station_id, min(value) AS base FROM ev WHERE station_id % 4 <> 0 GROUP BY 1) SELECT station_id, ts, value, base, value - base AS delta FROM ev JOIN b USING (station_id)")

@@ -1,92 +1,92 @@
 """Tables on disk: upserts that rewrite only touched partitions, guards, and
-compaction of small files."""
+compaction of small files. Each change is one new state (see ``states``)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.daily import KEY, drop_empty_years, merge_extremes
-from ..operators.inventory import apply_snapshot
-from .scratch import remove
+from ..operators.inventory import apply_snapshot, expired
+from . import states
+from .scratch import new_path
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or None if there is none yet. Any other failure is raised, so
-    an unreadable table is never started anew."""
+def read_or_none(spark: SparkSession, path: str, table: str = "") -> DataFrame | None:
+    """The table (of several in a folder, that of the name) in its newest
+    state, or as Spark alone wrote it; None if there is none yet. Any other
+    failure is raised, so an unreadable table is never started anew."""
+    if (found := states.read(spark, path, table)) is not None:
+        return found
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(f"{path}/{table}" if table else path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-#: Rows of a file, about.
-FILE_ROWS = 5_000_000
-_ORDER = ("station_id", "river", "doy", "month", "day")
-
+def read_table(spark: SparkSession, path: str, table: str = "") -> DataFrame:
+    """As ``read_or_none``, but a missing table fails."""
+    if (found := read_or_none(spark, path, table)) is None:
+        raise FileNotFoundError(f"there is no table {table} at {path}")
+    return found
 
-def _aside(df: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """``df`` written beside ``path``: computed once, and what it reads may then be replaced."""
-    at = f"{path}.aside-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at), at
 
+_ORDER = ("station_id", "river", "doy", "month", "day")
 
-def _put(df: DataFrame, path: str, by: str, file_rows: int = FILE_ROWS) -> None:
-    """Overwrite the partitions of ``by`` that ``df`` has rows of. The rows of
-    one partition value go to as many files as their number asks for, by the
-    hash of their first key, each in order."""
-    keys = [c for c in _ORDER if c in df.columns and c != by]
-    most = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    dealt = df.repartition(F.col(by), F.pmod(F.xxhash64(keys[0]), F.lit(-(-most // file_rows))))
-    dealt.sortWithinPartitions(by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).partitionBy(by).parquet(path)
 
+def _order(df: DataFrame, by: str | None) -> list[str]:
+    return [c for c in _ORDER if c in df.columns and c != by]
 
-def replace_partitions(df: DataFrame, path: str, by: str, file_rows: int = FILE_ROWS) -> None:
-    """Overwrite the partitions that ``df`` has rows of, and no others.
 
-    ``df`` may read ``path`` itself: it is written beside the table first, so
-    what is read stays until it has been."""
-    copy, at = _aside(df, path)
-    _put(copy, path, by, file_rows)
-    remove(df.sparkSession, at)
+def replace_partitions(df: DataFrame, path: str, by: str, file_rows: int = states.FILE_ROWS) -> None:
+    """Overwrite the partitions that ``df`` has rows of, and no others, at
+    once. ``df`` may read ``path`` itself."""
+    states.commit(df.sparkSession, path, {"": df}, {"": by}, {"": _order(df, by)}, file_rows=file_rows)
 
 
 def upsert_daily(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Merge fresh daily extremes into the table partitioned by year. Only years
     that ``fresh`` has are read and rewritten; station-years without a reading
     are skipped."""
-    fresh, at = _aside(drop_empty_years(fresh).select(*KEY, "min_v", "max_v"), path)
-    old = read_or_none(spark, path)
-    if old is not None:
-        years = [r["year"] for r in fresh.select("year").distinct().collect()]
-        fresh = merge_extremes(old.where(F.col("year").isin(years)).select(*KEY, "min_v", "max_v"), fresh)
-    replace_partitions(fresh, path, "year")
-    remove(spark, at)
+    with states.aside(drop_empty_years(fresh).select(*KEY, "min_v", "max_v")) as fresh:
+        old = read_or_none(spark, path)
+        if old is not None:
+            years = [r["year"] for r in fresh.select("year").distinct().collect()]
+            fresh = merge_extremes(old.where(F.col("year").isin(years)).select(*KEY, "min_v", "max_v"), fresh)
+        replace_partitions(fresh, path, "year")
 
 
 def write_snapshot(spark: SparkSession, path: str, capture: DataFrame) -> None:
     """Put a capture into the table partitioned by month (``month`` as yyyy-MM).
     A table that can't be read, has another shape, or has days in a month's
     partition that aren't the month's, fails and stays as it is."""
-    capture, at = _aside(capture.select("station_id", "n", "w", "day", "value", "tidal"), path)
-    old = read_or_none(spark, path)
-    rows = capture
-    if old is not None:
-        if missing := {"station_id", "n", "w", "day", "value", "tidal", "month"} - set(old.columns):
-            raise ValueError(f"the snapshot table lacks {sorted(missing)}")
-        months = [r[0] for r in capture.select(F.date_format("day", "yyyy-MM")).distinct().collect()]
-        old = old.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
-        if odd := old.where(~F.date_format("day", "yyyy-MM").eqNullSafe(F.col("month"))).first():
-            raise ValueError(f"the snapshot of {odd['month']} has a day {odd['day']}")
-        rows = apply_snapshot(old.drop("month"), capture)
-    replace_partitions(rows.withColumn("month", F.date_format("day", "yyyy-MM")), path, "month")
-    remove(spark, at)
+    with states.aside(capture.select("station_id", "n", "w", "day", "value", "tidal")) as capture:
+        old = read_or_none(spark, path)
+        rows = capture
+        if old is not None:
+            if missing := {"station_id", "n", "w", "day", "value", "tidal", "month"} - set(old.columns):
+                raise ValueError(f"the snapshot table lacks {sorted(missing)}")
+            months = [r[0] for r in capture.select(F.date_format("day", "yyyy-MM")).distinct().collect()]
+            old = old.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
+            if odd := old.where(~F.date_format("day", "yyyy-MM").eqNullSafe(F.col("month"))).first():
+                raise ValueError(f"the snapshot of {odd['month']} has a day {odd['day']}")
+            rows = apply_snapshot(old.drop("month"), capture)
+        replace_partitions(rows.withColumn("month", F.date_format("day", "yyyy-MM")), path, "month")
+
+
+def prune_snapshot(spark: SparkSession, path: str, reference: str, most_months: int) -> list[str]:
+    """Drop the months of a snapshot table that ``expired`` names, and return
+    them. Whole partitions leave the state; no row is read or rewritten."""
+    state = states.current(spark, path)
+    months = sorted(state["tables"][""]["parts"]) if state else []
+    known = spark.createDataFrame([(m, *map(int, m.split("-"))) for m in months], "month string, y int, m int")
+    gone = sorted(r["month"] for r in expired(known, reference, most_months).collect())
+    if gone:
+        states.commit(spark, path, {}, {"": "month"}, drop={"": gone})
+    return gone
 
 
 def overview(monthly: DataFrame) -> DataFrame:
@@ -102,42 +102,44 @@ def overview(monthly: DataFrame) -> DataFrame:
 
 
 def rebuild_totals(daily: DataFrame, monthly: DataFrame, path: str, units: DataFrame | None = None) -> None:
-    """All years' totals in a fixed order, their overview, and the units beside
-    them: the same input gives the same rows in the same order."""
-    spark = daily.sparkSession
-    for name, df in (("daily", daily), ("monthly", monthly)):
-        copy, at = _aside(df, f"{path}/{name}")
-        remove(spark, f"{path}/{name}")
-        _put(copy, f"{path}/{name}", "year")
-        remove(spark, at)
-    overview(spark.read.schema(monthly.schema).parquet(f"{path}/monthly")).orderBy("river").coalesce(1).write.mode("overwrite").parquet(f"{path}/overview")
-    if units is not None:
-        units.select("station_id", "unit").orderBy("station_id").coalesce(1).write.mode("overwrite").parquet(f"{path}/units")
+    """All years' totals, their overview, and the units beside them, as one new
+    state: readers have either all old tables or all new ones. The same input
+    gives the same files."""
+    with states.aside(monthly) as monthly:
+        tables = {"daily": daily, "monthly": monthly, "overview": overview(monthly)}
+        if units is not None:
+            tables["units"] = units.select("station_id", "unit")
+        _commit_totals(daily.sparkSession, path, tables, replace=True)
+
+
+def _commit_totals(spark: SparkSession, path: str, tables: dict[str, DataFrame], replace: bool = False) -> None:
+    by = {"daily": "year", "monthly": "year"}
+    states.commit(spark, path, tables, by, {n: _order(df, by.get(n)) for n, df in tables.items()}, replace)
 
 
 def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, path: str, year: int) -> bool:
-    """Rewrite one year's totals and the overview. Without a table all years are
-    built, and False is returned.
+    """Rewrite one year's totals and the overview, as one new state. Without a
+    table all years are built, and False is returned.
 
     ``daily`` and ``monthly`` are frames of all years; of these, only the year
     is computed where there is a table. Cells that the old partition has and
-    the new frame lacks are written as nulls, as overwriting a partition with
-    nothing would leave its old rows. A table from before there was ``diff``
-    gets it, as nulls in other years."""
-    if (old := read_or_none(spark, f"{path}/monthly")) is None:
+    the new frame lacks are written as nulls: a reader sees that they were
+    there. A table from before there was ``diff`` gets it, as nulls in other
+    years."""
+    if (old := read_or_none(spark, path, "monthly")) is None:
         rebuild_totals(daily, monthly, path)
         return False
     rivers = old.select("river").union(monthly.where(F.col("year") == year).select("river")).distinct()
     months = rivers.select("river", F.lit(year).alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
     grid = months.join(monthly.where(F.col("year") == year), ["river", "year", "month"], "left")
     if "diff" not in old.columns:
-        grid = old.where(F.col("year") != year).withColumn("diff", F.lit(None).cast(dict(grid.dtypes)["diff"])).select(grid.columns).unionByName(grid)
-    stale = spark.read.parquet(f"{path}/daily").where(F.col("year") == year).select("river", "year", "doy")
+        old = old.withColumn("diff", F.lit(None).cast(dict(grid.dtypes)["diff"]))
+    stale = read_or_none(spark, path, "daily").where(F.col("year") == year).select("river", "year", "doy")
     new = daily.where(F.col("year") == year)
     cells = stale.unionByName(new.select("river", "year", "doy")).distinct().join(new, ["river", "year", "doy"], "left")
-    replace_partitions(grid, f"{path}/monthly", "year")
-    replace_partitions(cells, f"{path}/daily", "year")
-    overview(spark.read.schema(monthly.schema).parquet(f"{path}/monthly")).orderBy("river").coalesce(1).write.mode("overwrite").parquet(f"{path}/overview")
+    with states.aside(grid) as grid:
+        whole = old.where(F.col("year") != year).select(grid.columns).unionByName(grid)
+        _commit_totals(spark, path, {"daily": cells, "monthly": grid, "overview": overview(whole)})
     return True
 
 
@@ -148,10 +150,10 @@ def compact_years(spark: SparkSession, path: str, out: str, schema: str = "stati
     ``station_id=`` and its name. With ``lines`` a file has a year a line."""
     raw = spark.read.schema(schema + ", _corrupt_record STRING").option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
     raw = raw.withColumn("file", F.input_file_name()).withColumn("folder", F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^station_id=", ""))
-    copy, at = _aside(raw.withColumn("ok", F.col("_corrupt_record").isNull() & F.col("y").isNotNull()), out)
-    bad = copy.where("not ok").select("folder").distinct()
-    fine = copy.join(bad, "folder", "left_anti").select(F.col("folder").alias("station_id"), "y", "min", "max")
-    fine.repartition("station_id").sortWithinPartitions("station_id", "y").write.mode("overwrite").parquet(out)
-    report, kept = _aside(copy.groupBy(F.col("folder").alias("station_id"), "file").agg(F.min("ok").alias("ok")), f"{out}.report")
-    remove(spark, at)
-    return report
+    report = new_path(spark, "compacted")
+    with states.aside(raw.withColumn("ok", F.col("_corrupt_record").isNull() & F.col("y").isNotNull())) as copy:
+        bad = copy.where("not ok").select("folder").distinct()
+        fine = copy.join(bad, "folder", "left_anti").select(F.col("folder").alias("station_id"), "y", "min", "max")
+        fine.repartition("station_id").sortWithinPartitions("station_id", "y").write.mode("overwrite").parquet(out)
+        copy.groupBy(F.col("folder").alias("station_id"), "file").agg(F.min("ok").alias("ok")).write.parquet(report)
+    return spark.read.parquet(report)

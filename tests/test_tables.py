@@ -21,11 +21,11 @@ from .test_operators import daily, one, readings
 def test_upsert_rewrites_only_touched_years(spark, tmp_path):
     path = str(tmp_path / "daily")
     B.upsert_daily(spark, path, daily(spark, ("s", "2023-01-01", 5.0, 6.0), ("s", "2024-01-01", 5.0, 6.0)))
-    before = sorted(p.name for p in (tmp_path / "daily/year=2023").glob("*.parquet"))
+    before = sorted(p.name for p in (tmp_path / "daily").glob("*/year=2023/*.parquet"))
     for _ in range(2):
         B.upsert_daily(spark, path, daily(spark, ("s", "2024-01-01", 1.0, 5.5), ("t", "2024-02-01", 3.0, 3.0)))
-    assert one(spark.read.parquet(path), "station_id", "year", "min_v", "max_v") == [("s", 2023, 5, 6), ("s", 2024, 1, 6), ("t", 2024, 3, 3)]
-    assert before == sorted(p.name for p in (tmp_path / "daily/year=2023").glob("*.parquet"))
+    assert one(B.read_table(spark, path), "station_id", "year", "min_v", "max_v") == [("s", 2023, 5, 6), ("s", 2024, 1, 6), ("t", 2024, 3, 3)]
+    assert before == sorted(p.name for p in (tmp_path / "daily").glob("*/year=2023/*.parquet"))
 
 
 def test_unreadable_table_is_not_started_anew(spark, tmp_path):
@@ -43,7 +43,7 @@ def test_snapshot_table(spark, tmp_path):
     B.write_snapshot(spark, path, shot(("a", "A", "R", "2024-01-31", 1.0, False), ("b", "B", "R", "2024-01-31", 2.0, False)))
     B.write_snapshot(spark, path, shot(("a", "A", "R", "2024-02-01", 3.0, False)))
     B.write_snapshot(spark, path, shot(("a", "A", "R", "2024-01-31", None, False)))
-    assert one(spark.read.parquet(path), "month", "station_id", "value") == [("2024-01", "a", None), ("2024-01", "b", 2), ("2024-02", "a", 3)]
+    assert one(B.read_table(spark, path), "month", "station_id", "value") == [("2024-01", "a", None), ("2024-01", "b", 2), ("2024-02", "a", 3)]
 
 
 def test_rerun_of_an_earlier_day_gives_the_last_names(spark, tmp_path):
@@ -51,7 +51,7 @@ def test_rerun_of_an_earlier_day_gives_the_last_names(spark, tmp_path):
     shot = lambda *r: spark.createDataFrame(list(r), "station_id string, n string, w string, day string, value double, tidal boolean").withColumn("day", F.to_date("day"))
     B.write_snapshot(spark, path, shot(("a", "A", "R", "2024-01-05", 1.0, True), ("b", "B", "R", "2024-01-05", 1.0, True)))
     B.write_snapshot(spark, path, shot(("a", "A2", "R2", "2024-01-04", 2.0, False)))
-    assert one(spark.read.parquet(path), "station_id", "value", "n", "w", "tidal") == [("a", 1, "A2", "R2", False), ("a", 2, "A2", "R2", False), ("b", 1, "B", "R", True)]
+    assert one(B.read_table(spark, path), "station_id", "value", "n", "w", "tidal") == [("a", 1, "A2", "R2", False), ("a", 2, "A2", "R2", False), ("b", 1, "B", "R", True)]
     assert not list(tmp_path.glob("*aside*"))
 
 
@@ -70,18 +70,18 @@ def test_snapshot_of_another_shape_fails_and_stays(spark, tmp_path):
 def test_partitions_are_cut_into_files(spark, tmp_path):
     path = tmp_path / "daily"
     B.replace_partitions(daily(spark, *[(f"s{i}", "2024-01-01", 1.0, 2.0) for i in range(40)]), str(path), "year", file_rows=10)
-    assert len(list((path / "year=2024").glob("*.parquet"))) > 1 and spark.read.parquet(str(path)).count() == 40
+    assert len(list(path.glob("*/year=2024/*.parquet"))) == 4 and B.read_table(spark, str(path)).count() == 40
 
 
 def test_rebuild_is_deterministic_and_has_overview_and_units(spark, tmp_path):
     raw, units = Q.raw_totals(spark, SF), Q.stations(spark, SF)
-    ordered = lambda d: [p.read_bytes() for p in sorted(d.rglob("*.parquet"), key=lambda p: (str(p.parent), p.name.split("-")[1]))]
+    ordered = lambda d: [(str(p.relative_to(d)), p.read_bytes()) for p in sorted(d.rglob("*.parquet"))]
     for name in ("a", "b"):
         B.rebuild_totals(T.river_daily(raw.repartition(3 if name == "a" else 5)), T.river_monthly(raw), str(tmp_path / name), units)
     assert ordered(tmp_path / "a/monthly") == ordered(tmp_path / "b/monthly") and ordered(tmp_path / "a/daily") == ordered(tmp_path / "b/daily")
     assert ordered(tmp_path / "a/overview") == ordered(tmp_path / "b/overview")
-    assert spark.read.parquet(str(tmp_path / "a/units")).count() == units.count()
-    o = spark.read.parquet(str(tmp_path / "a/overview")).orderBy("river").first()
+    assert B.read_table(spark, str(tmp_path / "a"), "units").count() == units.count()
+    o = B.read_table(spark, str(tmp_path / "a"), "overview").orderBy("river").first()
     month = T.river_monthly(raw).where(F.col("river") == o["river"]).collect()
     assert len(o["v"]) % 12 == 0 and all(o["v"][(r["year"] - o["from_year"]) * 12 + r["month"] - 1] == r["v"] for r in month)
 
@@ -92,12 +92,12 @@ def test_append_without_a_table_and_to_one_without_diff(spark, tmp_path):
     month.drop("diff").repartition("year").write.partitionBy("year").parquet(f"{path}/monthly")
     day.repartition("year").write.partitionBy("year").parquet(f"{path}/daily")
     assert B.append_totals(spark, day, month, path, 2000) is True
-    got = spark.read.parquet(f"{path}/monthly")
+    got = B.read_table(spark, path, "monthly")
     assert got.where("year <> 2000 and diff is not null").count() == 0 and got.where("year = 2000 and diff is not null").count() > 0
     assert got.where("v is not null").count() == month.where("v is not null").count()
-    assert spark.read.parquet(f"{path}/overview").where("exists(diff, x -> x is not null)").count() > 0
+    assert B.read_table(spark, path, "overview").where("exists(diff, x -> x is not null)").count() > 0
     assert B.append_totals(spark, day, month, f"{path}-new", 2000) is False
-    assert rows(spark.read.parquet(f"{path}-new/daily").select(day.columns)) == rows(day)
+    assert rows(B.read_table(spark, f"{path}-new", "daily").select(day.columns)) == rows(day)
 
 
 def test_provisional_days_become_final(spark, tmp_path):
@@ -109,7 +109,7 @@ def test_provisional_days_become_final(spark, tmp_path):
         raw = T.river_daily_raw(filled, stations)
         B.append_totals(spark, T.river_daily(raw), T.river_monthly(raw), path, 2024)
         assert filled.where("provisional").count() == flagged
-        assert spark.read.parquet(f"{path}/daily").where("doy = 1").first()["v"] == sum_
+        assert B.read_table(spark, path, "daily").where("doy = 1").first()["v"] == sum_
 
 
 def test_read_measurements_as_a_stream(spark, tmp_path):
@@ -128,13 +128,13 @@ def test_append_equals_rebuild_and_clears_stale_cells(spark, tmp_path):
     B.rebuild_totals(day, month, path)
     less = raw.where("year <> 2000 or doy < 100")
     assert B.append_totals(spark, T.river_daily(less), T.river_monthly(less), path, 2000)
-    got = spark.read.parquet(f"{path}/monthly").where("year = 2000")
+    got = B.read_table(spark, path, "monthly").where("year = 2000")
     assert got.where("month > 4 and v is not null").count() == 0 and got.where("v is not null").count() > 0
-    assert spark.read.parquet(f"{path}/daily").where("year = 2000 and doy >= 100 and v is not null").count() == 0
+    assert B.read_table(spark, path, "daily").where("year = 2000 and doy >= 100 and v is not null").count() == 0
     cols = ["river", "year", "month", "v", "diff"]
-    assert rows(spark.read.parquet(f"{path}/monthly").where("year <> 2000").select(cols)) == rows(month.where("year <> 2000").select(cols))
+    assert rows(B.read_table(spark, path, "monthly").where("year <> 2000").select(cols)) == rows(month.where("year <> 2000").select(cols))
     B.append_totals(spark, day, month, path, 2000)
-    assert rows(spark.read.parquet(f"{path}/monthly").where("year = 2000 and v is not null").select(cols)) == rows(month.where("year = 2000 and v is not null").select(cols))
+    assert rows(B.read_table(spark, path, "monthly").where("year = 2000 and v is not null").select(cols)) == rows(month.where("year = 2000 and v is not null").select(cols))
 
 
 def test_compact_years(spark, tmp_path):
@@ -156,7 +156,7 @@ def test_stream_condense_equals_batch(spark, tmp_path):
     stream = source(spark, tmp_path)
     ST.ingest_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = D.condense(Q.events(spark, SF)).select("station_id", "day", "min_v", "max_v")
-    assert rows(spark.read.parquet(str(tmp_path / "out")).select("station_id", "day", "min_v", "max_v")) == rows(want)
+    assert rows(B.read_table(spark, str(tmp_path / "out")).select("station_id", "day", "min_v", "max_v")) == rows(want)
     windows = ST.run_to_table(spark, ST.streaming_condense(stream, "60 days"), "windows", "complete", str(tmp_path / "cp2"))
     assert rows(windows.select("station_id", "day", "min_v", "max_v")) == rows(want)
 
@@ -175,7 +175,7 @@ def test_stream_snapshot_and_delta(spark, tmp_path):
     stream = source(spark, tmp_path)
     live = stream.select("station_id", "ts", "value", F.lit("n").alias("n"), F.lit("w").alias("w"), F.lit(False).alias("tidal"))
     ST.snapshot_batches(live, str(tmp_path / "snap"), str(tmp_path / "e")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "snap"))
+    got = B.read_table(spark, str(tmp_path / "snap"))
     assert got.count() == got.select("station_id", "day").distinct().count() > 0
     points = Q.events(spark, SF)
     old = points.where("day(ts) < 15")
@@ -187,7 +187,7 @@ def test_freeze_year(spark, tmp_path):
     own = daily(spark, ("s", "2024-01-01", 80.0, 300.0))
     assert J.freeze_year(spark, str(tmp_path / "x"), own, None, 2024) is False
     assert J.freeze_year(spark, str(tmp_path / "y"), own, daily(spark, ("s", "2024-01-01", 81.0, 95.0)), 2024) is True
-    assert one(spark.read.parquet(str(tmp_path / "y")), "min_v", "max_v") == [(81, 95)]
+    assert one(B.read_table(spark, str(tmp_path / "y")), "min_v", "max_v") == [(81, 95)]
 
 
 def test_daily_snapshot_job(spark):
