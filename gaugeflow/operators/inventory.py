@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.calendar import days_in_year
 
 
+def year_counts(daily: DataFrame) -> DataFrame:
+    """Days with an extreme a station and year (``station_id, year, days``);
+    years without any have no row. Each year's counts follow from that year
+    alone, so a table of them is kept up partition by partition."""
+    return daily.groupBy("station_id", "year").agg(F.count(F.coalesce("min_v", "max_v")).alias("days")).where("days > 0")
+
+
+def stats_of_years(years: DataFrame, running_year: int) -> DataFrame:
+    """As ``manifest_stats``, from ``year_counts``."""
+    missing = F.when(F.col("year") < running_year, days_in_year(F.col("year")) - F.col("days")).otherwise(0)
+    return years.groupBy("station_id").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"), F.sum(missing).cast("long").alias("gaps"))
+
+
 def manifest_stats(daily: DataFrame, running_year: int) -> DataFrame:
     """First and last year of a station, and the days of closed years on which
     it has neither extreme; the running year is present but has no gaps."""
-    years = daily.groupBy("station_id", "year").agg(F.count(F.coalesce("min_v", "max_v")).alias("days")).where("days > 0")
-    missing = F.when(F.col("year") < running_year, days_in_year(F.col("year")) - F.col("days")).otherwise(0)
-    return years.groupBy("station_id").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"), F.sum(missing).cast("long").alias("gaps"))
+    return stats_of_years(year_counts(daily), running_year)
 
 
 def build_manifest(live: DataFrame, daily: DataFrame, meta: DataFrame, previous: DataFrame, running_year: int, default_source: str = "primary") -> DataFrame:
     """Live catalogue and archive side by side: live stations without data are
     marked ``none``; archived ones that are no longer live stay."""
-    stats = manifest_stats(daily, running_year)
+    return manifest_of(live, manifest_stats(daily, running_year), meta, previous, default_source)
+
+
+def manifest_of(live: DataFrame, stats: DataFrame, meta: DataFrame, previous: DataFrame, default_source: str = "primary") -> DataFrame:
+    """``build_manifest`` from the archive's statistics."""
     both = live.select("station_id", F.col("name").alias("l_name"), F.col("water").alias("l_water")).join(stats, "station_id", "full")
     both = both.join(meta.select("station_id", F.col("name").alias("m_name"), "source"), "station_id", "left").join(previous.select("station_id", F.col("n").alias("p_name"), F.col("w").alias("p_water")), "station_id", "left")
     empty = F.lit("")

@@ -11,7 +11,9 @@ from ..operators import inventory as I
 from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
-from ..sources.tables import upsert_daily
+from ..sources import ingest, states
+from ..sources.scratch import new_path, remove
+from ..sources.tables import order_of, upsert_daily
 
 
 def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, last_year: int, sentinel: float | None = SENTINEL) -> DataFrame:
@@ -26,6 +28,67 @@ def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, las
     return D.drop_empty_years(D.drop_spill_years(D.condense(kept), last_year))
 
 
+def run_ingest(
+    spark: SparkSession, path: str, pieces: DataFrame, stations: DataFrame, now: str, from_year: int, to_year: int, running_year: int,
+    codes: DataFrame | None = None, sentinel: float | None = SENTINEL, source: str = "primary", january: bool = False,
+) -> dict[str, int]:
+    """One run of the ingest, from read pieces (see ``sources.ingest``) to the
+    folder ``path`` with the tables ``daily``, ``years`` (days a station and
+    year), ``state``, ``manifest`` and ``failures``, all in one new state.
+
+    ``stations``: station_id, name, water, datum_offset, those to be had now.
+    The work-list leaves out stations that are complete, and pieces of years
+    before a station's first open one. ``codes`` (``code, station_id``) names
+    the stations of pieces that only have a code. Forecasts and sentinels drop,
+    the datum offset is taken off, days are condensed over all codes and merged
+    into the years that they touch; no other year is read or written.
+
+    A failed piece is entered in ``failures`` until a later run mends it, and
+    its station's ``fetched_through`` stays, so that the next work-list has it
+    again, as it does for stations of which no piece came; all others go on.
+    The same run twice changes no table but the attempts. Returns counters:
+    pieces, failed, empty and points from the pass that reads the pieces, and
+    stations, skipped, failed_stations and station_years from its outcome."""
+    if codes is not None:
+        named = codes.select("code", F.col("station_id").alias("of_code"))
+        pieces = pieces.join(named, "code", "left").withColumn("station_id", F.coalesce("station_id", "of_code")).drop("of_code")
+    old = {n: states.read(spark, path, n) for n in ("daily", "years", "state", "manifest", "failures")}
+    nothing = lambda **cols: stations.select("station_id", *[F.lit(None).cast(k).alias(c) for c, k in cols.items()]).limit(0)
+    state = old["state"] if old["state"] is not None else nothing(name="string", fetched_from="int", fetched_through="int", source="string")
+    work = I.backfill_worklist(stations, state, from_year, to_year, january)
+    due = pieces.join(work, "station_id").where(F.col("year").isNull() | (F.col("year") >= F.col("start_year"))).drop("start_year")
+    counts, at = ingest.Counts(), new_path(spark, "outcome")
+    try:
+        readings, failures, empty = ingest.outcome(due, at, counts)
+        fresh = ingest_archive(readings, stations, now, running_year, sentinel)
+        with states.aside(fresh) as fresh:
+            touched = [r["year"] for r in fresh.select("year").distinct().collect()]
+            merged = fresh
+            if old["daily"] is not None:
+                merged = D.merge_extremes(old["daily"].where(F.col("year").isin(touched)), fresh)
+            with states.aside(merged) as merged:
+                years = own = I.year_counts(merged)
+                if old["years"] is not None:
+                    years = old["years"].where(~F.col("year").isin(touched)).select(own.columns).unionByName(own)
+                bad = failures.select("station_id").distinct()
+                seen = readings.select("station_id").unionByName(empty.select("station_id")).distinct()
+                done = work.join(seen, "station_id", "left_semi").join(bad, "station_id", "left_anti").join(stations.select("station_id", "name"), "station_id")
+                advanced = done.select("station_id", "name", F.lit(from_year).alias("fetched_from"), F.lit(min(to_year, running_year - 1)).alias("fetched_through"), F.lit(source).alias("source"))
+                new_state = I.upsert_state(state, advanced)
+                previous = old["manifest"] if old["manifest"] is not None else nothing(n="string", w="string")
+                manifest = I.manifest_of(stations, I.stats_of_years(years, running_year), new_state, previous, source)
+                tables = {"daily": merged, "years": own, "state": new_state, "manifest": manifest, "failures": ingest.ledger(old["failures"], readings, failures, empty)}
+                by = {"daily": "year", "years": "year"}
+                order = {n: order_of(t, by.get(n)) for n, t in tables.items()} | {"failures": ingest.KEY}
+                states.commit(spark, path, tables, by, order)
+                station_years = fresh.select("station_id", "year").distinct().count()
+        failed = failures.select("station_id").distinct().count()
+    finally:
+        remove(spark, at)
+    n, listed = stations.count(), work.count()
+    return {**counts.get(), "stations": n, "skipped": n - listed, "failed_stations": failed, "station_years": station_years}
+
+
 def freeze_year(spark: SparkSession, path: str, accumulated: DataFrame, primary: DataFrame | None, year: int) -> bool:
     """Close a year: the authoritative source lies over what was accumulated;
     without it the accumulation is stored as it is. Returns whether the ingest

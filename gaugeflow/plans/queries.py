@@ -20,7 +20,7 @@ from ..operators import inventory as I
 from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
-from ..sources import formats, tables
+from ..sources import formats, ingest, tables
 from ..sources.scratch import new_path
 from ..streaming import jobs as streams
 from . import jobs as J
@@ -995,3 +995,91 @@ def stream_newer(spark, sf):
     """What an archive of the first days of most stations lacks."""
     old = events(spark, sf).where("day(ts) < 12 and station_id % 5 <> 0").withColumn("ts", F.col("ts").cast("timestamp"))
     return ntz(stored(streams.only_newer(event_stream(spark, sf), old), spark, "newer").select("station_id", "ts", "value"))
+
+
+def answers(spark, sf):
+    """Answers of a partner a station, part and year. Some fail by their status, their message or a body that was cut off; some are empty."""
+    r = readings(spark, sf).withColumn("year", F.year("ts"))
+    one = F.struct(iso("ts").alias("Tijdstip"), F.struct(F.col("value").alias("Waarde_Numeriek")).alias("Meetwaarde"))
+    rows = r.groupBy("station_id", "part", "year").agg(F.collect_list(one).alias("all"))
+    at = lambda n, year: (F.col("station_id") % n == 0) & (F.col("year") == year)
+    body = F.to_json(F.struct((~at(7, 1997)).alias("Succesvol"), F.when(at(7, 1997), "boom").alias("Foutmelding"), F.array(F.struct(F.col("all").alias("MetingenLijst"))).alias("WaarnemingenLijst")))
+    status = F.when(at(13, 1995), 500).when(at(5, 1996), 204).otherwise(200)
+    body = F.when(status == 200, F.when((F.col("station_id") % 11 == 0) & (F.col("part") == "O"), F.substring(body, 1, 90)).otherwise(body))
+    return rows.select("station_id", F.concat(F.lit("c"), F.col("station_id").cast("string"), F.col("part")).alias("code"), "year", status.alias("status"), body.alias("body"))
+
+
+_PIECES = """pc AS (SELECT *, year(ts) AS y, 'c' || station_id || part AS code, CASE WHEN station_id % 13 = 0 AND year(ts) = 1995 THEN 'status 500' WHEN station_id % 5 = 0 AND year(ts) = 1996 THEN '' WHEN station_id % 11 = 0 AND part = 'O' THEN 'the body can''t be read' WHEN station_id % 7 = 0 AND year(ts) = 1997 THEN 'boom' END AS error FROM r),
+bad AS (SELECT DISTINCT station_id FROM pc WHERE error <> ''), seen AS (SELECT DISTINCT station_id FROM pc WHERE error IS NULL OR error = '')"""
+
+
+def outcome(spark, sf):
+    return ingest.outcome(ingest.answers_of(answers(spark, sf)), new_path(spark, "outcome"))
+
+
+@query(f"WITH {_PIECES} SELECT station_id, code, CAST(y AS BIGINT) AS year, ts, value FROM pc WHERE error IS NULL")
+def quarantine_readings(spark, sf):
+    """What the good answers hold; the failed ones don't end it."""
+    return ntz(ints(outcome(spark, sf)[0].drop("file"), "year"))
+
+
+@query(f"WITH {_PIECES} SELECT DISTINCT station_id, code, CAST(y AS BIGINT) AS year, error FROM pc WHERE error <> ''")
+def quarantine_failures(spark, sf):
+    """The failed answers of the same pass, each with its message."""
+    return ints(outcome(spark, sf)[1].drop("file"), "year")
+
+
+def run_ingest(spark, sf, path, pieces):
+    s = stations(spark, sf).select("station_id", "name", F.col("river").alias("water"), F.lit(0.0).alias("datum_offset"))
+    return J.run_ingest(spark, path, pieces, s, NOW, 1992, 2000, RUNNING)
+
+
+def mended(spark, sf):
+    """All answers, none of which fails."""
+    r = readings(spark, sf)
+    one = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("value"))
+    rows = r.groupBy("station_id", F.concat(F.lit("c"), F.col("station_id").cast("string"), F.col("part")).alias("code"), F.year("ts").alias("year")).agg(F.collect_list(one).alias("points"))
+    return rows.select("station_id", "code", "year", F.lit(None).cast("string").alias("file"), "points", F.lit(None).cast("string").alias("error"))
+
+
+_KEPT = f"""{_PIECES}, kept AS (SELECT *, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day FROM pc WHERE ts <= TIMESTAMP '2001-06-30 12:00:00' AND (error IS NULL OR station_id IN (SELECT station_id FROM bad)))"""
+
+
+@query(f"WITH {_KEPT} SELECT station_id, CAST(year(day) AS BIGINT) AS year, CAST(dayofyear(day) - 1 AS BIGINT) AS doy, day, min(value) AS min_v, max(value) AS max_v FROM kept GROUP BY ALL")
+def ingest_run_daily(spark, sf):
+    """A run in which pieces fail, and one that mends them: complete stations are passed over, the others read anew and merged."""
+    path = new_path(spark, "ingested")
+    run_ingest(spark, sf, path, ingest.answers_of(answers(spark, sf)))
+    run_ingest(spark, sf, path, mended(spark, sf))
+    return daily_out(tables.read_table(spark, path, "daily"))
+
+
+@query(f"""WITH {_KEPT}, ys AS (SELECT station_id, year(day) AS y, count(DISTINCT day) AS days FROM kept GROUP BY ALL), g AS (SELECT station_id, min(y) AS a, max(y) AS z, sum(CASE WHEN y < 2001 THEN date_diff('day', make_date(y, 1, 1), make_date(y + 1, 1, 1)) - days ELSE 0 END) AS gaps FROM ys GROUP BY 1)
+SELECT station_id, name AS n, river AS w, CAST(a AS BIGINT) AS from_year, CAST(z AS BIGINT) AS to_year, CAST(gaps AS BIGINT) AS gaps, a IS NULL AS none, 'primary' AS source FROM st LEFT JOIN g USING (station_id)""")
+def ingest_run_manifest(spark, sf):
+    """The manifest of both runs, from the counts a year that the runs keep up."""
+    path = new_path(spark, "ingested")
+    run_ingest(spark, sf, path, ingest.answers_of(answers(spark, sf)))
+    run_ingest(spark, sf, path, mended(spark, sf))
+    return ints(tables.read_table(spark, path, "manifest"), "from_year", "to_year")
+
+
+@query(f"WITH {_PIECES} SELECT DISTINCT station_id, code, CAST(y AS BIGINT) AS year, error, CAST(2 AS BIGINT) AS attempts FROM pc WHERE error <> '' AND station_id % 2 = 1")
+def ingest_run_failures(spark, sf):
+    """What is open after two failing runs and one that mends the even stations."""
+    path, pieces = new_path(spark, "ingested"), ingest.answers_of(answers(spark, sf))
+    run_ingest(spark, sf, path, pieces)
+    run_ingest(spark, sf, path, pieces)
+    run_ingest(spark, sf, path, mended(spark, sf).where("station_id % 2 = 0"))
+    return ints(tables.read_table(spark, path, "failures").drop("file"), "year")
+
+
+@query(f"""WITH {_PIECES}, w AS (SELECT 1 AS run, pc.* FROM pc UNION ALL SELECT 2, pc.* FROM pc WHERE station_id IN (SELECT station_id FROM bad) OR station_id NOT IN (SELECT station_id FROM seen)),
+p AS (SELECT run, station_id, code, y, error, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT run, count(*) AS pieces, count(*) FILTER (WHERE error <> '') AS failed, count(*) FILTER (WHERE error = '') AS empty, coalesce(sum(n) FILTER (WHERE error IS NULL), 0) AS points, count(DISTINCT station_id) FILTER (WHERE error <> '') AS failed_stations FROM p GROUP BY 1),
+f AS (SELECT run, count(*) AS station_years FROM (SELECT DISTINCT run, station_id, y FROM w WHERE error IS NULL AND ts <= TIMESTAMP '2001-06-30 12:00:00') GROUP BY 1)
+SELECT CAST(run AS BIGINT) AS run, pieces, failed, empty, CAST(points AS BIGINT) AS points, (SELECT count(*) FROM st) AS stations, CASE run WHEN 1 THEN 0 ELSE (SELECT count(*) FROM seen WHERE station_id NOT IN (SELECT station_id FROM bad)) END AS skipped, failed_stations, coalesce(station_years, 0) AS station_years FROM a LEFT JOIN f USING (run)""")
+def ingest_run_counts(spark, sf):
+    """Counters of two runs over the same pieces, gathered while they run."""
+    path, pieces = new_path(spark, "ingested"), ingest.answers_of(answers(spark, sf))
+    counted = [{"run": k, **run_ingest(spark, sf, path, pieces)} for k in (1, 2)]
+    return spark.createDataFrame([tuple(c.values()) for c in counted], ", ".join(f"{c} long" for c in counted[0]))

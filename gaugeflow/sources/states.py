@@ -105,11 +105,16 @@ def _put(df: DataFrame, folder: str, by: str | None, order: list[str], file_rows
     """Write ``df`` into ``folder`` in files of ``file_rows`` rows by rank in
     ``order``, and in ``by``'s partitions; returns the partitions' names."""
     spark, ordered = df.sparkSession, new_path(df.sparkSession, "ordered")
+    keys = [by, "__file"] if by else ["__file"]
     try:
-        ranked = numbered(df, order, [by] if by else None, at=ordered).drop("group_rows").withColumn("__file", F.floor(F.col("rank") / file_rows)).drop("rank")
-        keys = [by, "__file"] if by else ["__file"]
-        laid = ranked.repartition(*keys).sortWithinPartitions(*keys, *order)
-        laid.write.mode("overwrite").partitionBy(*keys).parquet(folder)
+        with aside(df) as copy:
+            groups = copy.groupBy(by) if by else copy.groupBy()
+            most = groups.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+            if most <= file_rows:  # all ranks fall into file 0
+                filed = copy.withColumn("__file", F.lit(0).cast("long"))
+            else:
+                filed = numbered(copy, order, [by] if by else None, at=ordered).drop("group_rows").withColumn("__file", F.floor(F.col("rank") / file_rows)).drop("rank")
+            filed.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(folder)
     finally:
         remove(spark, ordered)
     parts = [n for n in _names(spark, folder) if n.startswith(f"{by}=")] if by else [""]

@@ -37,14 +37,15 @@ def read_table(spark: SparkSession, path: str, table: str = "") -> DataFrame:
 _ORDER = ("station_id", "river", "doy", "month", "day")
 
 
-def _order(df: DataFrame, by: str | None) -> list[str]:
+def order_of(df: DataFrame, by: str | None) -> list[str]:
+    """The columns that order the rows of a partition of ``by``."""
     return [c for c in _ORDER if c in df.columns and c != by]
 
 
 def replace_partitions(df: DataFrame, path: str, by: str, file_rows: int = states.FILE_ROWS) -> None:
     """Overwrite the partitions that ``df`` has rows of, and no others, at
     once. ``df`` may read ``path`` itself."""
-    states.commit(df.sparkSession, path, {"": df}, {"": by}, {"": _order(df, by)}, file_rows=file_rows)
+    states.commit(df.sparkSession, path, {"": df}, {"": by}, {"": order_of(df, by)}, file_rows=file_rows)
 
 
 def upsert_daily(spark: SparkSession, path: str, fresh: DataFrame) -> None:
@@ -114,7 +115,7 @@ def rebuild_totals(daily: DataFrame, monthly: DataFrame, path: str, units: DataF
 
 def _commit_totals(spark: SparkSession, path: str, tables: dict[str, DataFrame], replace: bool = False) -> None:
     by = {"daily": "year", "monthly": "year"}
-    states.commit(spark, path, tables, by, {n: _order(df, by.get(n)) for n, df in tables.items()}, replace)
+    states.commit(spark, path, tables, by, {n: order_of(df, by.get(n)) for n, df in tables.items()}, replace)
 
 
 def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, path: str, year: int) -> bool:
