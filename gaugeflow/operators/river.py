@@ -119,32 +119,59 @@ def lookup(queries: DataFrame, names: DataFrame) -> DataFrame:
     return queries.join(hit, "q", "left").select("q", "b.name", "b.kind", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
+def _cell(most_km: float) -> float:
+    """Degrees of a grid cell."""
+    return most_km / 111.0 * 4
+
+
+def _clip(t: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+
+
+def axis_cells(axis: DataFrame, most_km: float) -> DataFrame:
+    """Segments between neighbouring stations of a river, a row for each grid
+    cell (``cx, cy``) that has a point within ``most_km`` of it, or may have."""
+    own = Window.partitionBy("river").orderBy("km")
+    seg = axis.where("lat is not null and lon is not null and km is not null").select("river", "km", "lat", "lon", F.lead("km").over(own).alias("km2"), F.lead("lat").over(own).alias("lat2"), F.lead("lon").over(own).alias("lon2")).where("km2 is not null")
+    cell, pad = _cell(most_km), most_km / 111.0
+    wide = F.lit(pad) / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + pad)), F.lit(0.01))
+
+    def reach(a: Column, b: Column, more: Column) -> Column:
+        return F.sequence(F.floor((F.least(a, b) - more) / cell), F.floor((F.greatest(a, b) + more) / cell))
+
+    columns = seg.withColumn("wide", wide).withColumn("cx", F.explode(reach(F.col("lon"), F.col("lon2"), F.col("wide"))))
+    # The part of the segment from which a point of this column of cells may be reached, as shares of its length.
+    across = F.nullif(F.col("lon2") - F.col("lon"), F.lit(0.0))
+    ends = [(F.col("cx") * cell - F.col("wide") - F.col("lon")) / across, ((F.col("cx") + 1) * cell + F.col("wide") - F.col("lon")) / across]
+    first, last = _clip(F.coalesce(F.least(*ends), F.lit(0.0))), _clip(F.coalesce(F.greatest(*ends), F.lit(1.0)))
+    rise = F.col("lat2") - F.col("lat")
+    return columns.withColumn("cy", F.explode(reach(F.col("lat") + first * rise, F.col("lat") + last * rise, F.lit(pad))))
+
+
 def near_axis(positions: DataFrame, axis: DataFrame, most_km: float = 2.0) -> DataFrame:
     """Positions (``pos_id, lat, lon``) within ``most_km`` of the polyline of a
     river's stations (``river, km, lat, lon``), with river, distance and
     projected km of the nearest segment (to six places; ties go to the river
     that sorts first).
 
-    Segments are laid into grid cells that their widened boxes touch; a
-    position meets only the segments of its own cell.
+    Segments are laid into the grid cells that lie within that distance of
+    them, so a long one takes as many as its length asks for, whatever its
+    direction. A position is joined with the segments of its own cell, as one
+    array, and compared with them within its row: there is no aggregate over
+    positions, which may be a stream. Positions without a place have no row.
     """
-    own = Window.partitionBy("river").orderBy("km")
-    seg = axis.where("lat is not null and lon is not null and km is not null").select("river", "km", "lat", "lon", F.lead("km").over(own).alias("km2"), F.lead("lat").over(own).alias("lat2"), F.lead("lon").over(own).alias("lon2")).where("km2 is not null")
-    cell = most_km / 111.0 * 4
-    pad = most_km / 111.0
+    by_cell = axis_cells(axis, most_km).groupBy("cx", "cy").agg(F.collect_list(F.struct("river", "km", "lat", "lon", "km2", "lat2", "lon2")).alias("segments"))
 
-    def reach(a: str, b: str, wide) -> Column:
-        low, high = F.least(a, b) - wide, F.greatest(a, b) + wide
-        return F.sequence(F.floor(low / cell), F.floor(high / cell))
-
-    wide = F.lit(pad) / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + pad)), F.lit(0.01))
-    cells = seg.withColumn("cy", F.explode(reach("lat", "lat2", F.lit(pad)))).withColumn("cx", F.explode(reach("lon", "lon2", wide)))
+    cell = _cell(most_km)
     pos = positions.select("pos_id", F.col("lat").alias("y"), F.col("lon").alias("x")).withColumn("cy", F.floor(F.col("y") / cell)).withColumn("cx", F.floor(F.col("x") / cell))
-    both = pos.join(cells, ["cx", "cy"])
     kx = F.cos(F.radians("y")) * 111.32
-    dx, dy = (F.col("lon2") - F.col("lon")) * kx, (F.col("lat2") - F.col("lat")) * 111.32
-    px, py = (F.col("x") - F.col("lon")) * kx, (F.col("y") - F.col("lat")) * 111.32
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
-    near = both.withColumn("t", t).withColumn("distance", F.sqrt(F.pow(px - F.col("t") * dx, 2) + F.pow(py - F.col("t") * dy, 2))).where(F.col("distance") <= most_km)
-    at = F.col("km") + F.col("t") * (F.col("km2") - F.col("km"))
-    return near.groupBy("pos_id").agg(F.min(F.struct(F.round("distance", 6).alias("distance"), "river", F.round(at, 6).alias("km"))).alias("b")).select("pos_id", "b.river", "b.km", "b.distance")
+
+    def at(s: Column) -> Column:
+        dx, dy = (s["lon2"] - s["lon"]) * kx, (s["lat2"] - s["lat"]) * 111.32
+        px, py = (F.col("x") - s["lon"]) * kx, (F.col("y") - s["lat"]) * 111.32
+        t = _clip(F.coalesce((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)))
+        return F.struct(F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2)).alias("distance"), s["river"].alias("river"), (s["km"] + t * (s["km2"] - s["km"])).alias("km"))
+
+    near = F.filter(F.transform("segments", at), lambda c: c["distance"] <= most_km)
+    best = F.array_min(F.transform(near, lambda c: F.struct(F.round(c["distance"], 6).alias("distance"), c["river"].alias("river"), F.round(c["km"], 6).alias("km"))))
+    return pos.join(by_cell, ["cx", "cy"]).select("pos_id", best.alias("b")).where("b is not null").select("pos_id", "b.river", "b.km", "b.distance")

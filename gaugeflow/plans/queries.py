@@ -935,13 +935,27 @@ def stream_ingest(spark, sf):
     return tables.read_table(spark, path).select("station_id", "day", "min_v", "max_v")
 
 
-@query("""WITH g AS (SELECT station_id, ts AS to_ts, lag(ts) OVER (PARTITION BY station_id ORDER BY ts) AS from_ts FROM ev)
-SELECT station_id, from_ts, to_ts, round((epoch_us(to_ts) - epoch_us(from_ts)) / 3.6e9, 6) AS hours FROM g WHERE epoch_us(to_ts) - epoch_us(from_ts) > 5400000000""")
+def arriving(spark, sf, piece) -> DataFrame:
+    """The events as a stream of three files, one a micro-batch, dealt by the column ``piece``."""
+    path = new_path(spark, "arriving")
+    rows = events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("station_id", "ts", "value").withColumn("piece", piece)
+    for k in (1, 2, 3):
+        rows.where(F.col("piece") == k).drop("piece").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("piece").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def hours_late():
+    came = F.col("ts") + F.make_dt_interval(mins=(F.unix_seconds("ts") % 60).cast("int"))
+    return F.when(came < F.lit("2024-01-11").cast("timestamp"), 1).when(came < F.lit("2024-01-21").cast("timestamp"), 2).otherwise(3)
+
+
+@query("""WITH wm AS (SELECT make_timestamp((epoch_ms(max(ts)) - 7200000) * 1000) AS w FROM ev), g AS (SELECT station_id, ts, lead(ts) OVER (PARTITION BY station_id ORDER BY ts) AS nxt FROM (SELECT DISTINCT station_id, ts FROM ev)), k AS (SELECT *, epoch_us(nxt) - epoch_us(ts) AS us FROM g, wm)
+SELECT station_id, ts AS from_ts, nxt AS to_ts, round(us / 3.6e9, 6) AS hours FROM k WHERE us > 5400000000 AND us <= 86400000000 AND nxt <= w
+UNION ALL SELECT station_id, ts, NULL, NULL FROM k WHERE (nxt IS NULL OR us > 86400000000) AND ts + INTERVAL 24 HOURS < w""")
 def stream_gaps(spark, sf):
-    path = new_path(spark, "stream-gaps")
-    q = streams.stateful_gaps(event_stream(spark, sf)).writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = rounded(spark.read.parquet(path), "hours")
+    """Gaps of up to a day, and stations silent for longer, over three micro-batches in which readings come out of order."""
+    gaps = streams.stateful_gaps(arriving(spark, sf, hours_late()), silent_hours=24)
+    out = rounded(stored(gaps, spark, "gaps"), "hours")
     return out.withColumn("from_ts", F.col("from_ts").cast("timestamp_ntz")).withColumn("to_ts", F.col("to_ts").cast("timestamp_ntz"))
 
 
@@ -950,9 +964,46 @@ def stored(stream: DataFrame, spark: SparkSession, name: str, mode: str = "appen
     return streams.run_to_files(stream, new_path(spark, name), new_path(spark, "stream-state"), mode)
 
 
-@query("SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL")
+@query("""WITH wm AS (SELECT max(ts) - INTERVAL 2 DAYS AS w FROM ev WHERE value BETWEEN -2000 AND 20000), x AS (SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL)
+SELECT x.* FROM x, wm WHERE CAST(day AS TIMESTAMP) + INTERVAL 23 HOURS <= w""")
 def stream_condense(spark, sf):
-    return stored(streams.streaming_condense(event_stream(spark, sf), "40 days"), spark, "windows", "complete").select("station_id", "day", "min_v", "max_v")
+    """Days that the watermark has passed after three micro-batches, each given once, with bounded state."""
+    return stored(streams.streaming_condense(arriving(spark, sf, hours_late()), "2 days"), spark, "windows").select("station_id", "day", "min_v", "max_v")
+
+
+#: A tenth of the stations brings its first days with the last file only.
+_LATE = "ar AS (SELECT *, CASE WHEN station_id % 10 = 0 AND ts < TIMESTAMP '2024-01-10' THEN 3 WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS piece, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day FROM ev WHERE value BETWEEN -2000 AND 20000)"
+
+
+def days_late():
+    at = lambda d: F.col("ts") < F.lit(f"2024-01-{d}").cast("timestamp")
+    return F.when((F.col("station_id") % 10 == 0) & at(10), 3).when(at(11), 1).when(at(21), 2).otherwise(3)
+
+
+@query(f"WITH {_LATE}, wm AS (SELECT max(ts) - INTERVAL 2 DAYS AS w FROM ar) SELECT station_id, day, min(value) AS min_v, max(value) AS max_v, CAST(day AS TIMESTAMP) + INTERVAL 23 HOURS <= any_value(w) AS closed FROM ar, wm GROUP BY station_id, day")
+def stream_late_days(spark, sf):
+    """Closed and open days after three micro-batches, with what came for closed ones merged: together the batch condense."""
+    path = new_path(spark, "late-days")
+    streams.condense_batches(arriving(spark, sf, days_late()), path, new_path(spark, "stream-state")).awaitTermination()
+    tables_ = [tables.read_table(spark, path, n).withColumn("closed", F.lit(n == "daily")) for n in ("daily", "open")]
+    return tables_[0].unionByName(tables_[1]).select("station_id", "day", "min_v", "max_v", "closed")
+
+
+@query(f"WITH {_LATE}, wm AS (SELECT piece, max(ts) - INTERVAL 2 DAYS AS w FROM ar GROUP BY 1), p AS (SELECT k.piece, max(wm.w) AS w FROM (SELECT DISTINCT piece FROM ar) k LEFT JOIN wm ON wm.piece < k.piece GROUP BY 1) SELECT count(*) AS readings, count(*) FILTER (WHERE CAST(day AS TIMESTAMP) + INTERVAL 23 HOURS <= w) AS late FROM ar JOIN p USING (piece)")
+def stream_late_counts(spark, sf):
+    """How many readings came after their day had closed."""
+    path = new_path(spark, "late-days")
+    streams.condense_batches(arriving(spark, sf, days_late()), path, new_path(spark, "stream-state")).awaitTermination()
+    return tables.read_table(spark, path, "progress").select("readings", "late")
+
+
+@query(SQL["near_axis"].removeprefix(f"WITH {VIEWS},").replace("p AS (", "WITH p AS (", 1) if "near_axis" in SQL else None)
+def stream_near_axis(spark, sf):
+    """Positions as a stream of three files, against the static axis."""
+    s, path = stations(spark, sf), new_path(spark, "positions")
+    s.where("lat is not null").select(F.col("station_id").alias("pos_id"), (F.col("lat") + 0.005).alias("lat"), (F.col("lon") + 0.005).alias("lon")).repartition(3, "pos_id").write.parquet(path)
+    live = spark.readStream.schema("pos_id bigint, lat double, lon double").option("maxFilesPerTrigger", 1).parquet(path)
+    return stored(R.near_axis(live, s), spark, "near")
 
 
 @query("SELECT DISTINCT station_id, ts FROM (SELECT station_id % 20 AS station_id, date_trunc('hour', ts) AS ts FROM ev)")

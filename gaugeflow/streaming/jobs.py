@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.calendar import day_index
+from ..functions.calendar import day_index, local_day
 from ..functions.values import plausible
-from ..operators.daily import condense
+from ..operators.daily import KEY, condense, merge_extremes
+from ..sources import states
 from ..sources.tables import upsert_daily, write_snapshot
 
 
 def streaming_condense(readings: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Daily extremes in event-time windows aligned to UTC+1 days. State is
-    bounded by the watermark; later readings are for ``ingest_batches``."""
+    """Daily extremes in event-time windows aligned to UTC+1 days. In the mode
+    ``append`` state is bounded by the watermark, and later readings are
+    dropped; ``condense_batches`` takes them in."""
     kept = readings.where(plausible(F.col("value"))).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     days = kept.groupBy("station_id", F.window("ts", "1 day", "1 day", "23 hours").alias("w")).agg(F.min("value").alias("min_v"), F.max("value").alias("max_v"))
     day = F.to_date(F.col("w.start") + F.expr("INTERVAL 1 HOUR"))
@@ -43,6 +45,47 @@ def ingest_batches(readings: DataFrame, path: str, checkpoint: str):
     return readings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def condense_batches(readings: DataFrame, path: str, checkpoint: str, delay: str = "2 days"):
+    """Daily extremes over micro-batches with few open days: the folder
+    ``path`` has the tables ``daily`` (days that are closed), ``open`` (those
+    that aren't) and ``progress``.
+
+    A day closes once a reading has come that is ``delay`` after its end (the
+    watermark, as of the batch before, as Spark keeps it); only open days are
+    read and rewritten by each batch. A reading of a closed day is late: it is
+    merged into ``daily`` and counted. So both tables together are the batch
+    condense of all that has come. A batch's changes are one new state that
+    names the batch, so one that comes again changes nothing."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = states.read(spark, path, "progress")
+        done = before.first() if before is not None else None
+        if done is not None and number <= done["batch"]:
+            return
+        with states.aside(batch.select("station_id", F.col("ts").cast("timestamp").alias("ts"), "value")) as rows:
+            passed = F.lit(done["watermark"] if done else None).cast("timestamp")
+            over = lambda at: F.coalesce((F.col("day").cast("timestamp") + F.expr("INTERVAL 23 HOURS")) <= at, F.lit(False))
+            days = condense(rows)
+            late, fresh = days.where(over(passed)), days.where(~over(passed))
+            n = rows.where(plausible(F.col("value")) & F.col("ts").isNotNull()).withColumn("day", local_day("ts")).agg(F.count_if(over(passed)).alias("late"), F.count(F.lit(1)).alias("n"), (F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("watermark")).first()
+            marks = [w for w in (n["watermark"], done["watermark"] if done else None) if w is not None]
+            mark = max(marks, default=None)
+            old = states.read(spark, path, "open")
+            with states.aside(merge_extremes(old, fresh) if old is not None else fresh.select(*KEY, "min_v", "max_v")) as open_:
+                ends = F.lit(mark).cast("timestamp")
+                with states.aside(open_.where(over(ends)).unionByName(late.select(open_.columns))) as closed:
+                    daily, was = closed, states.read(spark, path, "daily")
+                    if was is not None:
+                        years = [r["year"] for r in closed.select("year").distinct().collect()]
+                        daily = was.where(F.col("year").isin(years)).select(closed.columns).unionByName(closed)
+                    progress = spark.createDataFrame([(number, mark, (done["late"] if done else 0) + n["late"], (done["readings"] if done else 0) + n["n"])], "batch long, watermark timestamp, late long, readings long")
+                    tables = {"daily": merge_extremes(daily), "open": open_.where(~over(ends)), "progress": progress}
+                    states.commit(spark, path, tables, {"daily": "year"}, {"daily": ["station_id", "doy"], "open": ["station_id", "day"]})
+
+    return readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def snapshot_batches(live: DataFrame, path: str, checkpoint: str):
     """Each micro-batch's latest value of a station and day goes to its slot."""
 
@@ -67,23 +110,46 @@ def sliding_trend(points: DataFrame, watermark: str = "1 hour", least_hours: flo
     return ends.select("station_id", F.col("w.end").alias("at"), F.when(hours >= least_hours, (F.col("v1") - F.col("v0")) / hours).alias("trend"))
 
 
-def stateful_gaps(points: DataFrame, limit_minutes: float = 90) -> DataFrame:
-    """Gaps as points come: a row for each that is further than the limit from
-    the station's newest point before it. State is one instant a station."""
+def stateful_gaps(points: DataFrame, limit_minutes: float = 90, watermark: str = "2 hours", silent_hours: float = 168) -> DataFrame:
+    """Gaps between a station's consecutive points in the order of their times,
+    in whatever order they come: ``from_ts, to_ts, hours`` for each that is
+    wider than the limit.
+
+    A point waits in its station's state until the watermark has passed it, so
+    one that comes late, but within the watermark, closes the gap that the
+    others would have left; still later ones are dropped by Spark. A station
+    that has no point for more than ``silent_hours`` gives one row without
+    ``to_ts``, and its state goes; its next point starts anew. State is the
+    last instant and those that wait."""
+    limit, silence = limit_minutes * 60e6, int(silent_hours * 3600e6)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t.value // 1000 for pdf in batches for t in pdf["ts"])
-        rows = []
-        for t in times:
-            if last is not None and t - last > limit_minutes * 60e6:
+        last, waiting = state.get if state.exists else (None, [])
+        passed = max(0, state.getCurrentWatermarkMs()) * 1000
+        times = [*waiting, *(() if state.hasTimedOut else (t.value // 1000 for pdf in batches for t in pdf["ts"]))]
+        rows, waiting = [], sorted(t for t in times if t > passed)
+        for t in sorted(t for t in times if t <= passed):
+            if last is not None and t <= last:
+                continue
+            if last is not None and t - last > silence:
+                rows.append((key[0], pd.Timestamp(last, unit="us"), None, None))
+            elif last is not None and t - last > limit:
                 rows.append((key[0], pd.Timestamp(last, unit="us"), pd.Timestamp(t, unit="us"), (t - last) / 3.6e9))
-            last = t if last is None else max(last, t)
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["station_id", "from_ts", "to_ts", "hours"])
-
-    cast = points.select("station_id", F.col("ts").cast("timestamp").alias("ts"))
-    return cast.groupBy("station_id").applyInPandasWithState(follow, f"station_id {dict(points.dtypes)['station_id']}, from_ts timestamp, to_ts timestamp, hours double", "last long", "append", GroupStateTimeout.NoTimeout)
+            last = t
+        if last is not None and passed - last > silence:
+            rows.append((key[0], pd.Timestamp(last, unit="us"), None, None))
+            last = None
+        if last is None and not waiting:
+            state.remove()
+        else:
+            state.update((last, waiting))
+            wake = min([*waiting[:1], *([last + silence] if last is not None else [])])
+            state.setTimeoutTimestamp(max(wake // 1000, passed // 1000 + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["station_id", "from_ts", "to_ts", "hours"]).astype({"from_ts": "datetime64[us]", "to_ts": "datetime64[us]", "hours": "float64"})
+
+    cast = points.select("station_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return cast.groupBy("station_id").applyInPandasWithState(follow, f"station_id {dict(points.dtypes)['station_id']}, from_ts timestamp, to_ts timestamp, hours double", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def only_newer(points: DataFrame, archive: DataFrame) -> DataFrame:
