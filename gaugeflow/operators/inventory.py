@@ -127,6 +127,37 @@ def nearest_before(live: DataFrame, history: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.last("h_value", ignorenulls=True).over(own)).where("live = 1").select("station_id", "ts", "value", "base")
 
 
+def nearest_within(live: DataFrame, history: DataFrame, tolerance_hours: float) -> DataFrame:
+    """Per live row (``station_id, ts, value``) the station's history value
+    that is nearest in time, before or after it, within the tolerance
+    (inclusive): ``base`` and ``base_ts``, null if there is none. Of two
+    equally near ones the later wins, of several at one instant the least.
+
+    Time is cut into spans as long as the tolerance, so a station of any
+    length lies in many tasks. A span gets the last history row of the one
+    before it and the first of the one after it; nothing further away can be
+    within the tolerance. One sort of a span's rows then serves both sides."""
+    width = int(tolerance_hours * 3600e6)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.floor(micros / width).cast("long")
+    h = history.where("ts is not null").groupBy("station_id", "ts").agg(F.min("value").alias("value")).where("value is not null").withColumn("span", span)
+    own = h.select("station_id", "span", "ts", F.struct("ts", "value").alias("h"))
+    ends = own.groupBy("station_id", "span").agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    carried = [ends.select("station_id", (F.col("span") + d).alias("span"), F.col(f"{c}.ts").alias("ts"), F.col(c).alias("h")) for c, d in (("first", -1), ("last", 1))]
+    rows = live.select("station_id", span.alias("span"), "ts", F.lit(None).cast(own.schema["h"].dataType).alias("h"), "value", F.lit(1).alias("live"))
+    for part in (own, *carried):
+        rows = rows.unionByName(part.withColumns({"value": F.lit(None).cast("double"), "live": F.lit(0)}))
+    order = Window.partitionBy("station_id", "span").orderBy("ts", "live")
+    both = rows.withColumn("b", F.last("h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first("h", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+
+    def off(side: str) -> Column:
+        return F.abs(F.unix_micros(F.col(f"{side}.ts").cast("timestamp")) - micros)
+
+    best = F.when(off("a") <= F.coalesce(off("b"), off("a")), F.col("a")).otherwise(F.col("b"))
+    found = both.where("live = 1").withColumn("n", F.when(F.coalesce(F.least(off("a"), off("b")) <= width, F.lit(False)), best))
+    return found.select("station_id", "ts", "value", F.col("n.value").alias("base"), F.col("n.ts").alias("base_ts"))
+
+
 def movement(live: DataFrame, baseline: DataFrame, elapsed_days: Column | float) -> DataFrame:
     """Change since the baseline, a day. Stations without a baseline value are
     left out."""

@@ -54,8 +54,12 @@ def river_monthly(raw: DataFrame, from_year: int | None = None, to_year: int | N
     out = raw.groupBy("river", "year", F.month("day").alias("month")).agg(round_half_up(F.avg("v")).alias("v"), round_half_up(F.sum("dv")).alias("diff"))
     if from_year is None:
         return out
-    grid = raw.select("river").distinct().select("river", F.explode(F.sequence(F.lit(from_year), F.lit(to_year))).alias("year")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    return grid.join(out, ["river", "year", "month"], "left")
+    # A river's months are few: they are laid into the whole grid within its row.
+    cells = out.groupBy("river").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")), F.struct("v", "diff")))).alias("cells"))
+    years = F.sequence(F.lit(from_year), F.lit(to_year))
+    months = F.flatten(F.transform(years, lambda y: F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(y.cast("int").alias("year"), m.cast("int").alias("month")))))
+    grid = cells.select("river", "cells", F.explode(months).alias("k")).withColumn("c", F.try_element_at("cells", F.col("k")))
+    return grid.select("river", "k.year", "k.month", "c.v", "c.diff")
 
 
 def banded(monthly: DataFrame, k: int = 5) -> DataFrame:

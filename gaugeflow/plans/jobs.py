@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import SENTINEL, outlook
+from ..functions.values import state as state_of
 from ..operators import daily as D
 from ..operators import inventory as I
 from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
 from ..sources import ingest, states
-from ..sources.scratch import new_path, remove
-from ..sources.tables import order_of, upsert_daily
+from ..sources.scratch import new_path, once, remove
+from ..sources.tables import append_totals, order_of, prune_snapshot, rebuild_totals, upsert_daily, write_snapshot
 
 
 def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, last_year: int, sentinel: float | None = SENTINEL) -> DataFrame:
@@ -106,6 +107,18 @@ def daily_snapshot(stations: DataFrame, archive: DataFrame, day: str, running_ye
     return rows.join(flags, "station_id", "left").withColumn("tidal", F.coalesce("tidal", F.lit(False)))
 
 
+def snapshot_run(spark: SparkSession, path: str, stations: DataFrame, archive: DataFrame, day: str, running_year: int, most_months: int = 0, tidal_span: float = 40.0) -> dict:
+    """A day's run: the capture with its tidal flags is put into the table at
+    ``path``, and months more than ``most_months`` before the day are dropped
+    (0 keeps all). Returns the capture's counts, taken by the pass that writes
+    it, and the months that went. A second run of a day replaces its slot."""
+    seen = Observation()
+    capture = daily_snapshot(stations, archive, day, running_year, tidal_span)
+    capture = capture.observe(seen, F.count(F.lit(1)).alias("stations"), F.count("value").alias("captured"), F.count_if("tidal").alias("flagged"))
+    write_snapshot(spark, path, capture)
+    return {**seen.get, "pruned": prune_snapshot(spark, path, day, most_months)}
+
+
 def river_totals(archive: DataFrame, stations: DataFrame, snapshot: DataFrame, now: str, running_year: int) -> DataFrame:
     """Unrounded daily totals from archive and snapshot, up to the last begun
     day of the running year."""
@@ -114,6 +127,25 @@ def river_totals(archive: DataFrame, stations: DataFrame, snapshot: DataFrame, n
     return T.river_daily_raw(filled.where(F.col("day") <= today), stations)
 
 
+def totals_run(spark: SparkSession, path: str, archive: DataFrame, stations: DataFrame, snapshot: DataFrame, now: str, running_year: int, append: bool = False) -> dict[str, int]:
+    """Totals from archive and snapshot to the tables ``daily``, ``monthly``
+    (every river has all months from the first year on), ``overview`` and
+    ``units`` at ``path``: all years anew, or, with ``append``, only the
+    running one into the table that is there. The filled days are computed
+    once, the sums once. Returns the stations' counters and the first day that
+    a snapshot filled (-1 if none did)."""
+    today = F.to_date(F.lit(now).cast("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    with states.aside(D.fill_gaps(archive, snapshot, running_year).where(F.col("day") <= today)) as filled, states.aside(T.river_daily_raw(filled, stations)) as raw:
+        first = raw.agg(F.min("year")).first()[0]
+        daily, monthly = T.river_daily(raw), T.river_monthly(raw, first if first is not None else running_year, running_year)
+        if append:
+            append_totals(spark, daily, monthly, path, running_year)
+        else:
+            rebuild_totals(daily, monthly, path, stations.where("unit is not null"))
+        begun = D.provisional_from(filled, running_year).first()[0]
+        return {**T.run_counters(filled, stations).first().asDict(), "provisional_from": -1 if begun is None else begun}
+
+
 def station_history(daily: DataFrame, points: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Archived days as points, merged with the points there are. Stations that
     the manifest (``station_id, none``) marks as without an archive aren't
@@ -123,22 +155,62 @@ def station_history(daily: DataFrame, points: DataFrame, manifest: DataFrame | N
     return D.dedupe_points(points.select("station_id", "ts", "value").unionByName(D.two_points(daily)))
 
 
-def rising_board(live: DataFrame, snapshot: DataFrame, captures: DataFrame, marks: DataFrame, now: str, lookback_days: int) -> DataFrame:
-    """Risers and fallers with their outlook. ``live``: station_id, value;
-    ``marks``: station_id, tidal, mnw, mhw. The one chosen capture is a single
-    row, so sending it to all tasks is small."""
+def moves(live: DataFrame, snapshot: DataFrame, captures: DataFrame, marks: DataFrame, now: str, lookback_days: int) -> DataFrame:
+    """Live stations (``station_id, value``, and ``state`` if known) with marks
+    and their change since the baseline's capture, computed once. The one
+    chosen capture is a single row, so sending it to all tasks is small."""
     chosen = I.baseline_capture(captures, now, lookback_days)
     base = snapshot.join(F.broadcast(chosen.select("day", "age_h")), "day").select("station_id", F.col("value").alias("base"), "age_h")
-    moved = live.join(marks, "station_id", "left").join(base.where("base is not null"), "station_id").where("value is not null")
-    moved = moved.withColumn("delta", F.col("value") - F.col("base")).withColumn("rate", F.col("delta") / (F.col("age_h") / 24))
-    top = I.top_movers(moved)
-    return top.join(moved.select("station_id", "value", "mnw", "mhw"), "station_id").select("side", "rank", "station_id", "delta", "rate", "more", *outlook(F.col("value"), F.col("rate"), F.col("mnw"), F.col("mhw")))
+    return once(I.movement(live.join(marks, "station_id", "left").join(base.select("station_id", "age_h"), "station_id"), base, F.col("age_h") / 24), "moved")
+
+
+def rising_board(live: DataFrame, snapshot: DataFrame, captures: DataFrame, marks: DataFrame, now: str, lookback_days: int) -> DataFrame:
+    """Risers and fallers with their outlook. ``live``: station_id, value, and
+    ``state``, where the source gives one: then it decides who is high or low;
+    ``marks``: station_id, tidal, mnw, mhw."""
+    return _board(moves(live, snapshot, captures, marks, now, lookback_days))
+
+
+def _board(moved: DataFrame) -> DataFrame:
+    state = state_of(F.col("state")) if "state" in moved.columns else None
+    ends = outlook(F.col("value"), F.col("rate"), F.col("mnw"), F.col("mhw"), state=state)
+    return I.top_movers(moved).join(moved.select("station_id", *ends), "station_id").select("side", "rank", "station_id", "delta", "rate", "more", "eta_target", "eta_days")
+
+
+def rising_run(live: DataFrame, months: list[DataFrame], captures: DataFrame, marks: DataFrame, now: str, lookback_days: int) -> tuple[DataFrame, DataFrame]:
+    """The board and its counts, for the month shards that could be read (one
+    or two; the outage of one leaves the other). ``live`` and ``marks`` as for
+    ``rising_board``; a station is tidal by its marks or by a snapshot's flag.
+
+    Counts: rising, falling, steady and tidal stations; without a capture that
+    serves as a baseline, high, low, normal and tidal ones, the others null,
+    and the board is empty."""
+    snapshot = months[0] if len(months) == 1 else I.union_shards(*months)
+    flags = snapshot.groupBy("station_id").agg(F.max("tidal").alias("flagged"))
+    marks = marks.join(flags, "station_id", "full").select("station_id", (F.coalesce("tidal", F.lit(False)) | F.coalesce("flagged", F.lit(False))).alias("tidal"), "mnw", "mhw")
+    moved = moves(live, snapshot, captures, marks, now, lookback_days)
+    if I.baseline_capture(captures, now, lookback_days).isEmpty():
+        named = live.join(marks, "station_id", "left").withColumn("state", state_of(F.col("state")) if "state" in live.columns else F.lit("normal"))
+        counts = I.state_counts(named)
+    else:
+        counts = I.movement_counts(moved)
+    kinds = ("rising", "falling", "steady", "high", "low", "normal", "tidal")
+    return _board(moved), counts.select(*[F.col(k) if k in counts.columns else F.lit(None).cast("long").alias(k) for k in kinds])
 
 
 def station_statistics(daily: DataFrame, current_year: int) -> DataFrame:
     """Year x month cells of the archive."""
-    means = S.daily_means(D.two_points(daily))
-    return S.month_cells(means, S.climatology(means, current_year))
+    return station_report(daily, current_year)["cells"]
+
+
+def station_report(daily: DataFrame, current_year: int, live: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All statistics of an archive, from daily means that are computed once:
+    ``climatology``, ``cells`` (year x month), ``overlay`` (years side by side)
+    and, for live values (``station_id, value, month``), ``scores``."""
+    means = once(S.daily_means(D.two_points(daily)), "means")
+    clim = once(S.climatology(means, current_year), "climatology")
+    out = {"climatology": clim, "cells": S.month_cells(means, clim), "overlay": S.year_overlay(means)}
+    return out if live is None else out | {"scores": S.score_unusual(live, means, clim)}
 
 
 def river_wave(mids: DataFrame, stations: DataFrame, first: str, days: int, most: int = 24) -> DataFrame:
@@ -152,5 +224,20 @@ def river_wave(mids: DataFrame, stations: DataFrame, first: str, days: int, most
 
 def totals_explorer(monthly: DataFrame, k: int = 5) -> DataFrame:
     """Yearly bars by band with each bar's total."""
+    bars = T.year_bars(once(monthly, "monthly"), k)
+    return bars.withColumn("total", F.sum("v").over(Window.partitionBy("year")))
+
+
+def explorer_views(daily: DataFrame, monthly: DataFrame, year: int, month: int, doy: int, k: int = 5, provisional_from: int | None = None) -> dict[str, DataFrame]:
+    """What the explorer shows: ``years`` with totals, the ``months`` of all
+    years, the ``days`` of a month, net ``changes`` a month and over the
+    ``trailing`` week, and the ``rivers`` and ``deltas`` of a day. The monthly
+    frame is computed once, ``daily`` (river, year, doy, v, n, dv, dn) is a
+    table."""
+    monthly = once(monthly, "monthly")
+    dated = daily.withColumn("day", F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.col("doy").cast("int")))
     bars = T.year_bars(monthly, k)
-    return bars.join(bars.groupBy("year").agg(F.sum("v").alias("total")), "year")
+    return {
+        "years": bars.withColumn("total", F.sum("v").over(Window.partitionBy("year"))), "months": T.month_bars(monthly, k), "days": T.day_bars(daily, monthly, year, month, k),
+        "changes": T.change_bars(monthly), "trailing": T.trailing_net(dated), "rivers": T.day_breakdown(daily, year, doy, provisional_from), "deltas": T.delta_breakdown(daily, year, doy),
+    }

@@ -20,7 +20,7 @@ from ..operators import inventory as I
 from ..operators import river as R
 from ..operators import stats as S
 from ..operators import totals as T
-from ..sources import formats, ingest, tables
+from ..sources import formats, ingest, states, tables
 from ..sources.scratch import new_path
 from ..streaming import jobs as streams
 from . import jobs as J
@@ -1134,3 +1134,206 @@ def ingest_run_counts(spark, sf):
     path, pieces = new_path(spark, "ingested"), ingest.answers_of(answers(spark, sf))
     counted = [{"run": k, **run_ingest(spark, sf, path, pieces)} for k in (1, 2)]
     return spark.createDataFrame([tuple(c.values()) for c in counted], ", ".join(f"{c} long" for c in counted[0]))
+
+
+@query("""WITH o AS (SELECT station_id, ts, max(value) AS value FROM r WHERE part = 'O' GROUP BY ALL), f AS (SELECT station_id, ts, min(value) AS value FROM r WHERE part = 'F' GROUP BY ALL)
+SELECT o.station_id, o.ts, o.value, f.value AS base, f.ts AS base_ts FROM o LEFT JOIN f ON o.station_id = f.station_id AND abs(epoch_us(o.ts) - epoch_us(f.ts)) <= 36 * 3600000000 QUALIFY row_number() OVER (PARTITION BY o.station_id, o.ts ORDER BY abs(epoch_us(o.ts) - epoch_us(f.ts)), f.ts DESC) = 1""")
+def nearest_within(spark, sf):
+    """The other part's nearest value on either side within a day and a half; SQL tries all pairs."""
+    r = readings(spark, sf)
+    live = r.where("part = 'O'").groupBy("station_id", "ts").agg(F.max("value").alias("value"))
+    return I.nearest_within(live, r.where("part = 'F'"), 36)
+
+
+@query("""WITH e AS (SELECT a.station_id % 40 AS station_id, a.ts, min(a.value) AS value FROM ev a GROUP BY ALL), h AS (SELECT station_id, ts, value FROM e WHERE epoch_us(ts) // 1000000 % 2 = 0), l AS (SELECT * FROM e WHERE epoch_us(ts) // 1000000 % 2 = 1)
+SELECT l.station_id, l.ts, l.value, h.value AS base, h.ts AS base_ts FROM l LEFT JOIN h ON l.station_id = h.station_id AND abs(epoch_us(l.ts) - epoch_us(h.ts)) <= 2 * 3600000000 QUALIFY row_number() OVER (PARTITION BY l.station_id, l.ts ORDER BY abs(epoch_us(l.ts) - epoch_us(h.ts)), h.ts DESC) = 1""")
+def nearest_within_events(spark, sf):
+    """The same over few stations with many readings, within two hours."""
+    e = events(spark, sf).groupBy((F.col("station_id") % 40).alias("station_id"), "ts").agg(F.min("value").alias("value"))
+    even = F.unix_seconds(F.col("ts").cast("timestamp")) % 2 == 0
+    return I.nearest_within(e.where(~even), e.where(even), 2)
+
+
+@query("SELECT count(*) AS readings, count(*) FILTER (WHERE value IS NULL OR value NOT BETWEEN -2000 AND 20000) AS skipped, count(*) FILTER (WHERE value IS NULL) AS missing, CAST(3 AS BIGINT) AS batches FROM (SELECT CASE WHEN station_id % 9 = 0 THEN NULL WHEN station_id % 9 = 1 THEN 99999 ELSE value END AS value FROM ev)")
+def stream_counts(spark, sf):
+    """Counters of a stream over three micro-batches, from the query's own progress. A ninth of the values is missing, a ninth implausible."""
+    counts = streams.StreamCounts(spark, "readings")
+    value = F.when(F.col("station_id") % 9 == 0, None).when(F.col("station_id") % 9 == 1, 99999.0).otherwise(F.col("value"))
+    stored(streams.dedupe(counts.on(arriving(spark, sf, hours_late()).withColumn("value", value)), "2 days"), spark, "counted")
+    got = counts.get()
+    return spark.createDataFrame([tuple(got.get(c, 0) for c in ("readings", "skipped", "missing", "batches"))], "readings long, skipped long, missing long, batches long")
+
+
+def snapshot_runs(spark, sf, path) -> list[dict]:
+    """Runs of four days, one of them twice; months more than one before the day go."""
+    s = stations(spark, sf).select(F.col("station_id").alias("uuid"), F.col("name").alias("n"), F.col("river").alias("w"), F.when(F.col("station_id") % 9 != 0, F.col("w")).alias("value"))
+    days = ("2001-03-31", "2001-05-10", "2001-05-10", "2001-06-29", "2001-06-30")
+    return [J.snapshot_run(spark, path, s.withColumn("value", F.col("value") + k), archive(spark, sf), day, RUNNING, 1, 10) for k, day in enumerate(days)]
+
+
+_FLAGS = """s AS (SELECT station_id, year, max_v - min_v AS span, row_number() OVER (PARTITION BY station_id, year ORDER BY max_v - min_v, day) - 1 AS k, count(*) OVER (PARTITION BY station_id, year) AS n FROM d WHERE year IN (2000, 2001)),
+q AS (SELECT station_id, year, max(span) FILTER (WHERE n >= 14 AND k = n // 2) AS span FROM s GROUP BY ALL), f AS (SELECT station_id, coalesce(max(span) FILTER (WHERE year = 2001), max(span) FILTER (WHERE year = 2000)) AS span FROM q GROUP BY 1),
+fl AS (SELECT station_id, name, river, CASE WHEN station_id % 9 <> 0 THEN st.w END AS w, coalesce(span >= 10, false) AS tidal FROM st LEFT JOIN f USING (station_id))"""
+
+
+@query(f"WITH {_FLAGS} SELECT station_id, name AS n, river AS w, CAST(x.day AS DATE) AS day, fl.w + x.k AS value, tidal, x.day[:7] AS month FROM fl, (VALUES (2, '2001-05-10'), (3, '2001-06-29'), (4, '2001-06-30')) x(k, day)")
+def snapshot_run(spark, sf):
+    """The table after all runs: a rerun has replaced its slot, and March is gone."""
+    path = new_path(spark, "snapshots")
+    snapshot_runs(spark, sf, path)
+    return tables.read_table(spark, path).withColumn("month", F.col("month").cast("string"))
+
+
+@query(f"WITH {_FLAGS} SELECT x.run, count(*) AS stations, count(fl.w) AS captured, count(*) FILTER (WHERE tidal) AS flagged, any_value(x.pruned) AS pruned FROM fl, (VALUES (0, ''), (1, '2001-03'), (2, ''), (3, ''), (4, '')) x(run, pruned) GROUP BY x.run")
+def snapshot_run_counts(spark, sf):
+    rows = [(k, c["stations"], c["captured"], c["flagged"], ",".join(c["pruned"])) for k, c in enumerate(snapshot_runs(spark, sf, new_path(spark, "snapshots")))]
+    return spark.createDataFrame(rows, "run int, stations long, captured long, flagged long, pruned string")
+
+
+#: Totals of an archive of part F, whose running year a snapshot fills.
+_FILLED = """p AS (SELECT station_id, day, (min_v + max_v) / 2 AS mid FROM dp WHERE part = 'F'), s AS (SELECT * FROM sn WHERE year(day) = 2001), fi AS (SELECT station_id, day, year(day) AS year, dayofyear(day) - 1 AS doy, coalesce(mid, value) AS mid, mid IS NULL AND value IS NOT NULL AS prov FROM p FULL JOIN s USING (station_id, day) WHERE day <= DATE '2001-06-30'),
+g AS (SELECT fi.*, river, CASE WHEN doy - lag(doy) OVER w = 1 THEN mid - lag(mid) OVER w END AS delta FROM fi JOIN st USING (station_id) WHERE unit = 'cm' WINDOW w AS (PARTITION BY station_id, year ORDER BY doy)),
+fr AS (SELECT river, year, doy, day, sum(mid) AS v, sum(delta) AS dv FROM g GROUP BY ALL), fm AS (SELECT river, year, month(day) AS month, CAST(floor(avg(v) + 0.5) AS BIGINT) AS v, CAST(floor(sum(dv) + 0.5) AS BIGINT) AS diff FROM fr GROUP BY ALL)"""
+
+
+def totals_runs(spark, sf, path) -> list[dict]:
+    """All years from the archive alone, then the running year appended with the snapshot."""
+    a = D.condense(readings(spark, sf).where("part = 'F'"))
+    s = snapshot(spark, sf)
+    return [J.totals_run(spark, path, a, stations(spark, sf), s.limit(0), NOW, RUNNING), J.totals_run(spark, path, a, stations(spark, sf), s, NOW, RUNNING, append=True)]
+
+
+@query(f"WITH {_FILLED} SELECT x.river, CAST(y.year AS BIGINT) AS year, CAST(mo.month AS BIGINT) AS month, fm.v, fm.diff FROM (SELECT DISTINCT river FROM fr) x, range((SELECT min(year) FROM fr), 2002) y(year), range(1, 13) mo(month) LEFT JOIN fm ON fm.river = x.river AND fm.year = y.year AND fm.month = mo.month")
+def totals_run(spark, sf):
+    path = new_path(spark, "totals")
+    totals_runs(spark, sf, path)
+    return ints(tables.read_table(spark, path, "monthly").select("river", "year", "month", "v", "diff"), "year", "month")
+
+
+@query(f"""WITH {_FILLED}, x AS (SELECT 0 AS run, station_id, mid FROM p WHERE day <= DATE '2001-06-30' UNION ALL SELECT 1, station_id, mid FROM fi), h AS (SELECT DISTINCT run, station_id FROM x WHERE mid IS NOT NULL)
+SELECT k.run, count(*) FILTER (WHERE unit = 'cm' AND h.station_id IS NOT NULL) AS included, count(*) FILTER (WHERE unit = 'cm' AND h.station_id IS NULL) AS silent, CAST(0 AS BIGINT) AS unattributed, count(*) FILTER (WHERE unit <> 'cm') AS excluded,
+CASE k.run WHEN 0 THEN -1 ELSE (SELECT coalesce(min(doy), -1) FROM fi WHERE prov AND year = 2001) END AS provisional_from FROM (VALUES (0), (1)) k(run) CROSS JOIN st LEFT JOIN h ON h.run = k.run AND h.station_id = st.station_id GROUP BY k.run""")
+def totals_run_counts(spark, sf):
+    rows = [(k, *(c[n] for n in ("included", "silent", "unattributed", "excluded", "provisional_from"))) for k, c in enumerate(totals_runs(spark, sf, new_path(spark, "totals")))]
+    return ints(spark.createDataFrame(rows, "run int, included long, silent long, unattributed long, excluded long, provisional_from long"))
+
+
+def rising(spark, sf, captures_):
+    """The board from two month shards, with the states that the catalogue gives; a twelfth of the stations is tidal by its snapshot alone."""
+    s = snapshot(spark, sf)
+    shot = s.withColumns({"n": F.lit("n"), "w": F.lit("w"), "tidal": (F.col("station_id") % 12 == 1) & (F.month("day") % 2 == 0)})
+    odd = F.month("day") % 2 == 1
+    live = s.groupBy("station_id").agg(F.max_by("value", "day").alias("value")).join(stations(spark, sf).select("station_id", "state"), "station_id")
+    marks = stations(spark, sf).select("station_id", (F.col("station_id") % 6 == 0).alias("tidal"), F.lit(5.0).alias("mnw"), F.lit(45.0).alias("mhw"))
+    return J.rising_run(live, [shot.where(odd), shot.where(~odd)], captures_, marks, NOW, 7)
+
+
+_RISING = f"""{_BASE}, fg AS (SELECT station_id, bool_or(station_id % 12 = 1 AND month(day) % 2 = 0) AS flagged FROM sn GROUP BY 1), l AS (SELECT station_id, arg_max(value, day) AS value FROM sn GROUP BY 1),
+q AS (SELECT l.station_id, l.value, st.state, station_id % 6 = 0 OR flagged AS tidal, l.value - sn.value AS delta, (l.value - sn.value) / (age_h / 24) AS rate FROM l JOIN fg USING (station_id) JOIN st USING (station_id) JOIN sn USING (station_id) JOIN bc ON sn.day = bc.day)"""
+
+
+@query(f"""WITH {_RISING}, f AS (SELECT *, CASE WHEN rate >= 1 THEN 'rising' WHEN rate <= -1 THEN 'falling' END AS side, CAST(floor(CASE WHEN rate > 0 THEN (45 - value) / rate ELSE (value - 5) / abs(rate) END + 0.5) AS BIGINT) AS days FROM q WHERE NOT tidal),
+k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(rate) DESC, station_id) AS rank, count(*) OVER (PARTITION BY side) AS total FROM f WHERE side IS NOT NULL)
+SELECT side, rank, station_id, delta, round(rate, 6) AS rate, greatest(0, total - CASE side WHEN 'rising' THEN 20 ELSE 10 END) AS more, CASE WHEN state = 'high' THEN 'HIGH' WHEN state = 'low' THEN 'LOW' WHEN rate > 0 AND days <= 99 THEN 'MHW' WHEN rate < 0 AND days <= 99 THEN 'MNW' END AS eta_target, CASE WHEN state = 'normal' AND days <= 99 THEN days END AS eta_days FROM k WHERE rank <= CASE side WHEN 'rising' THEN 20 ELSE 10 END""")
+def rising_states(spark, sf):
+    """A station that the source flags as high or low has that, not a day on which it will be."""
+    return rounded(ints(rising(spark, sf, captures(spark, sf))[0], "rank", "more"), "rate")
+
+
+@query(f"""WITH {_RISING} SELECT count(*) FILTER (WHERE NOT tidal AND rate >= 1) AS rising, count(*) FILTER (WHERE NOT tidal AND rate <= -1) AS falling, count(*) FILTER (WHERE NOT tidal AND abs(rate) < 1) AS steady, CAST(NULL AS BIGINT) AS high, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS normal, count(*) FILTER (WHERE tidal) AS tidal FROM q
+UNION ALL SELECT NULL, NULL, NULL, count(*) FILTER (WHERE NOT t AND state = 'high'), count(*) FILTER (WHERE NOT t AND state = 'low'), count(*) FILTER (WHERE NOT t AND state = 'normal'), count(*) FILTER (WHERE t) FROM (SELECT st.state, station_id % 6 = 0 OR flagged AS t FROM l JOIN st USING (station_id) JOIN fg USING (station_id))""")
+def rising_counts(spark, sf):
+    """With a baseline, and with captures that are all too young."""
+    young = captures(spark, sf).withColumn("captured_at", F.lit(NOW).cast("timestamp"))
+    return rising(spark, sf, captures(spark, sf))[1].unionByName(rising(spark, sf, young)[1])
+
+
+@query("""WITH dq AS (SELECT station_id, day, (min_v + max_v) / 2 AS mean FROM d), cq AS (SELECT station_id, month(day) AS month, avg(mean) AS mean, greatest(stddev_pop(mean), 1.0) AS sd FROM dq WHERE year(day) < 2001 GROUP BY ALL), lv AS (SELECT station_id, arg_max(max_v, day) AS value, month(max(day)) AS month FROM d GROUP BY station_id),
+c AS (SELECT lv.station_id, value, month, count(*) AS n, count(*) FILTER (WHERE mean <= value) AS below, count(DISTINCT year(day)) AS years FROM lv JOIN dq USING (station_id) GROUP BY ALL HAVING count(*) >= 45)
+SELECT c.station_id, c.value, CAST(c.month AS BIGINT) AS month, CAST(floor(100 * below / n + 0.5) AS BIGINT) AS pct, round((value - cq.mean) / cq.sd, 6) AS z, c.years FROM c LEFT JOIN cq USING (station_id, month)""")
+def report_scores(spark, sf):
+    """Scores of a station report, from the means that its other parts use."""
+    return rounded(ints(J.station_report(archive(spark, sf), RUNNING, live_values(spark, sf))["scores"], "month"), "z")
+
+
+@query("SELECT station_id, CAST(year AS BIGINT) AS year, CAST(doy AS BIGINT) AS doy, round((min_v + max_v) / 2, 6) AS mean FROM d")
+def report_overlay(spark, sf):
+    return rounded(ints(J.station_report(archive(spark, sf), RUNNING)["overlay"], "year", "doy"), "mean")
+
+
+def explorer(spark, sf) -> dict[str, DataFrame]:
+    path, raw = new_path(spark, "totals"), raw_totals(spark, sf)
+    tables.rebuild_totals(T.river_daily(raw), T.river_monthly(raw), path)
+    return J.explorer_views(tables.read_table(spark, path, "daily"), tables.read_table(spark, path, "monthly"), 2000, 5, 100, provisional_from=90)
+
+
+@query("WITH " + SQL["month_bars"].removeprefix(f"WITH {VIEWS},"))
+def explorer_months(spark, sf):
+    """The explorer's views over the written tables: months by band."""
+    return ints(explorer(spark, sf)["months"], "year", "month")
+
+
+@query("WITH " + SQL["day_bars"].removeprefix(f"WITH {VIEWS},"))
+def explorer_days(spark, sf):
+    return explorer(spark, sf)["days"]
+
+
+@query("SELECT 'month' AS kind, make_date(year, month, 1) AS day, CAST(sum(diff) AS BIGINT) AS net, CAST(NULL AS BIGINT) AS trailing FROM rm GROUP BY year, month UNION ALL SELECT 'day', day, CAST(net AS BIGINT), CAST(sum(net) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) FROM (SELECT day, sum(dv) AS net FROM rr GROUP BY day)")
+def explorer_changes(spark, sf):
+    views = explorer(spark, sf)
+    months = views["changes"].select(F.lit("month").alias("kind"), F.make_date("year", "month", F.lit(1)).alias("day"), F.col("diff").alias("net"), F.lit(None).cast("long").alias("trailing"))
+    return months.unionByName(views["trailing"].select(F.lit("day").alias("kind"), "day", "net", "trailing"))
+
+
+@query("""WITH o AS (SELECT * FROM rr WHERE year = 2000 AND doy = 100) SELECT river, v, n, round(v / sum(v) OVER (), 6) AS share, dv, dn, true AS provisional FROM o WHERE v IS NOT NULL""")
+def explorer_rivers(spark, sf):
+    """A day's rivers with their shares, and their deltas where they have one."""
+    views = explorer(spark, sf)
+    return views["rivers"].select("river", "v", "n", "share", "provisional").join(views["deltas"].select("river", "dv", "dn"), "river", "left")
+
+
+@query("SELECT station_id, day, value, true AS refused FROM sn")
+def unreadable_table(spark, sf):
+    """A run onto a table whose state can't be read is refused, and what was there stays."""
+    path = new_path(spark, "snapshot")
+    rows = snapshot(spark, sf).withColumns({"n": F.lit("n"), "w": F.lit("w"), "tidal": F.lit(False)})
+    tables.write_snapshot(spark, path, rows)
+    before = tables.read_table(spark, path)
+    spark.createDataFrame([("{rubbish",)], "value string").coalesce(1).write.text(f"{path}/_states/00000009.json")
+    try:
+        tables.write_snapshot(spark, path, rows.withColumn("value", F.lit(-1.0)))
+        refused = False
+    except ValueError:
+        refused = True
+    return before.select("station_id", "day", "value", F.lit(refused).alias("refused"))
+
+
+@query("""WITH p AS (SELECT station_id, day, (min_v + max_v) / 2 AS mid FROM dp WHERE part = 'F' AND year = 2001), s AS (SELECT * FROM sn WHERE year(day) = 2001), b AS (SELECT station_id, day, coalesce(mid, value) AS before, mid IS NULL AS flagged FROM p FULL JOIN s USING (station_id, day))
+SELECT station_id, day, before, flagged, mid AS after, false AS still FROM b JOIN (SELECT station_id, day, mid FROM m WHERE year = 2001) USING (station_id, day)""")
+def provisional_to_final(spark, sf):
+    """Days of the running year before and after the archive has them: a snapshot's value is flagged, and gives way to the archive's."""
+    snap, year = snapshot(spark, sf), F.col("year") == RUNNING
+    early = D.fill_gaps(D.condense(readings(spark, sf).where("part = 'F'")), snap, RUNNING).where(year).select("station_id", "day", F.col("mid").alias("before"), F.col("provisional").alias("flagged"))
+    late = D.fill_gaps(archive(spark, sf), snap, RUNNING).where(year).select("station_id", "day", F.col("mid").alias("after"), F.col("provisional").alias("still"))
+    return early.join(late, ["station_id", "day"])
+
+
+@query("""WITH s AS (SELECT station_id, CASE WHEN station_id % 3 = 0 THEN 1999 END AS ff, CASE WHEN station_id % 3 = 0 THEN 2001 WHEN station_id % 3 = 1 THEN 1999 END AS ft FROM st)
+SELECT station_id, CAST(greatest(1998, least(2000, CASE WHEN ft IS NOT NULL AND coalesce(ff, 2000) <= 1998 THEN greatest(1998, ft + 1) ELSE 1998 END)) AS BIGINT) AS start_year FROM s""")
+def january_worklist(spark, sf):
+    """In January every station is pulled, from the completed year at the latest."""
+    s = stations(spark, sf).select("station_id", F.when(F.col("station_id") % 3 == 0, 1999).alias("fetched_from"), F.when(F.col("station_id") % 3 == 0, 2001).when(F.col("station_id") % 3 == 1, 1999).alias("fetched_through"))
+    return ints(I.backfill_worklist(s, s, 1998, RUNNING, january=True), "start_year")
+
+
+@query("SELECT CAST(year AS BIGINT) AS year, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS files, true AS same FROM d GROUP BY year")
+def same_files(spark, sf):
+    """One table written twice from rows in another order over other tasks: the files have the same names and bytes."""
+    found = []
+    for n in (3, 7):
+        path = new_path(spark, "files")
+        states.commit(spark, path, {"": archive(spark, sf).repartition(n)}, {"": "year"}, {"": ["station_id", "doy"]}, file_rows=1000)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        found.append(files.select(F.regexp_extract("path", r"year=(\d+)", 1).cast("long").alias("year"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias(f"h{n}")))
+    both = found[0].join(found[1], ["year", "file"], "full")
+    return both.groupBy("year").agg(F.count("*").alias("files"), F.bool_and(F.coalesce(F.col("h3") == F.col("h7"), F.lit(False))).alias("same"))

@@ -3,14 +3,13 @@ compaction of small files. Each change is one new state (see ``states``)."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.daily import KEY, drop_empty_years, merge_extremes
 from ..operators.inventory import apply_snapshot, expired
 from . import states
-from .scratch import new_path
+from .scratch import exists, new_path
 
 
 def read_or_none(spark: SparkSession, path: str, table: str = "") -> DataFrame | None:
@@ -19,12 +18,8 @@ def read_or_none(spark: SparkSession, path: str, table: str = "") -> DataFrame |
     failure is raised, so an unreadable table is never started anew."""
     if (found := states.read(spark, path, table)) is not None:
         return found
-    try:
-        return spark.read.parquet(f"{path}/{table}" if table else path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    at = f"{path}/{table}" if table else path
+    return spark.read.parquet(at) if exists(spark, at) else None
 
 
 def read_table(spark: SparkSession, path: str, table: str = "") -> DataFrame:

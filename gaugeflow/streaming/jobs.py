@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.calendar import day_index, local_day
@@ -158,6 +160,42 @@ def only_newer(points: DataFrame, archive: DataFrame) -> DataFrame:
     return points.join(newest, "station_id", "left").where("high is null or ts > high").drop("high")
 
 
+class StreamCounts(StreamingQueryListener):
+    """Counters of a stream's readings, taken along by the query itself: use
+    ``on`` on the stream, and ``get`` once it has ended. Sums over all of its
+    micro-batches, ``batches`` those with readings; ``dropped`` are rows behind a
+    watermark."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.sums, self.ended = spark, name, {}, threading.Event()
+        self.lock = threading.Lock()
+        spark.streams.addListener(self)
+
+    def on(self, readings: DataFrame) -> DataFrame:
+        fine = plausible(F.col("value")) & F.col("ts").isNotNull()
+        return readings.observe(self.name, F.count(F.lit(1)).alias("readings"), F.count_if(~fine).alias("skipped"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+    def get(self, seconds: float = 30) -> dict[str, int]:
+        """Waits for the end of the query, whose events come a little later."""
+        self.ended.wait(seconds)
+        self.spark.streams.removeListener(self)
+        return dict(self.sums)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            with self.lock:
+                dropped = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+                for k, v in {**row.asDict(), "dropped": dropped, "batches": int(row["readings"] > 0)}.items():
+                    self.sums[k] = self.sums.get(k, 0) + v
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is now, and read what it gave: appended
     rows, or, in the mode ``complete``, the last whole result."""
