@@ -118,13 +118,22 @@ def baseline_capture(captures: DataFrame, now: str, lookback_days: int, least_ho
     return aged.where(off <= 24 * tolerance_days).orderBy(off, "age_h").limit(1)
 
 
-def nearest_before(live: DataFrame, history: DataFrame) -> DataFrame:
-    """Per live row the station's last earlier history value, by one sort of
-    both together instead of a join of all pairs."""
-    h = history.select("station_id", "ts", F.col("value").alias("h_value"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("live"))
-    rows = live.select("station_id", "ts", F.lit(None).cast("double").alias("h_value"), "value", F.lit(1).alias("live")).unionByName(h)
-    own = Window.partitionBy("station_id").orderBy("ts", "live").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("base", F.last("h_value", ignorenulls=True).over(own)).where("live = 1").select("station_id", "ts", "value", "base")
+def nearest_before(live: DataFrame, history: DataFrame, span_hours: float = 24) -> DataFrame:
+    """Per live row the station's last history value at or before it. Both
+    are sorted together within spans of time, and a span gets the last history
+    row of those before it: so no task has to hold a whole station, and no
+    pairs are joined."""
+    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (span_hours * 3600e6)).cast("long")
+    h = history.select("station_id", span.alias("span"), "ts", F.struct("ts", "value").alias("h")).where("ts is not null and h.value is not null")
+    lives = live.select("station_id", span.alias("span"), "ts", "value")
+    # Spans of a station: as many as days, not as readings.
+    ends = h.groupBy("station_id", "span").agg(F.max("h").alias("last")).join(lives.select("station_id", "span").distinct(), ["station_id", "span"], "full")
+    carried = ends.withColumn("h", F.last("last", ignorenulls=True).over(Window.partitionBy("station_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).where("h is not null")
+    rows = lives.withColumn("h", F.lit(None).cast(h.schema["h"].dataType)).withColumn("live", F.lit(1))
+    for part in (h, carried.select("station_id", "span", "h.ts", "h")):
+        rows = rows.unionByName(part.withColumns({"value": F.lit(None).cast("double"), "live": F.lit(0)}))
+    order = Window.partitionBy("station_id", "span").orderBy("ts", "live", "h.value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("b", F.last("h", ignorenulls=True).over(order)).where("live = 1").select("station_id", "ts", "value", F.col("b.value").alias("base"))
 
 
 def nearest_within(live: DataFrame, history: DataFrame, tolerance_hours: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import local_day, round_half_up
 from ..functions.values import anomaly_class, ramp_bin
+from .order import numbered
 
 
 def daily_means(points: DataFrame) -> DataFrame:
@@ -23,16 +24,33 @@ def climatology(means: DataFrame, current_year: int) -> DataFrame:
     )
 
 
+def value_counts(means: DataFrame) -> DataFrame:
+    """Daily means counted by value: ``station_id, year, mean, n``. Counts of
+    different years add up, so a table of them is kept up a year at a time."""
+    return means.groupBy("station_id", F.year("day").alias("year"), "mean").agg(F.count("*").alias("n"))
+
+
 def score_unusual(live: DataFrame, means: DataFrame, clim: DataFrame, least: int = 45) -> DataFrame:
     """Per live value (``station_id, value, month``): percentile among archived
     daily means, z against the month's climatology, years in the archive. Null
     below ``least`` archived values; a month without climatology has no z."""
-    archive = means.groupBy("station_id", "mean", F.year("day").alias("y")).agg(F.count("*").alias("n"))
-    counts = live.where("value is not null").join(archive, "station_id").groupBy("station_id", "value", "month").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("mean") <= F.col("value"), F.col("n")).otherwise(0)).alias("below"), F.count_distinct("y").alias("years"),
-    )
-    joined = counts.where(F.col("n") >= least).join(clim.select("station_id", "month", F.col("mean").alias("c_mean"), "sd"), ["station_id", "month"], "left")
-    return joined.select("station_id", "value", "month", round_half_up(100 * F.col("below") / F.col("n")).alias("pct"), ((F.col("value") - F.col("c_mean")) / F.col("sd")).alias("z"), "years")
+    return score_counts(live, value_counts(means), clim, least)
+
+
+def score_counts(live: DataFrame, counts: DataFrame, clim: DataFrame, least: int = 45) -> DataFrame:
+    """``score_unusual`` from ``value_counts``. A station's values and counts
+    are sorted together once, so that the running sum of counts up to a value
+    is its place: no value meets each mean. A station has at most as many
+    counts as days."""
+    own = Window.partitionBy("station_id")
+    there = live.where("value is not null").select("station_id", F.col("value").alias("x"), "month").distinct().withColumns({"n": F.lit(0).cast("long"), "live": F.lit(1)})
+    held = counts.join(live.select("station_id").distinct(), "station_id", "left_semi")
+    archive = held.groupBy("station_id", F.col("mean").alias("x")).agg(F.sum("n").alias("n")).withColumns({"month": F.lit(None).cast(dict(there.dtypes)["month"]), "live": F.lit(0)})
+    placed = there.unionByName(archive).withColumn("below", F.sum("n").over(own.orderBy("x", "live").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
+    years = held.groupBy("station_id").agg(F.count_distinct("year").alias("years"))
+    joined = placed.where((F.col("live") == 1) & (F.col("all") >= least)).join(years, "station_id")
+    joined = joined.join(clim.select("station_id", "month", F.col("mean").alias("c_mean"), "sd"), ["station_id", "month"], "left")
+    return joined.select("station_id", F.col("x").alias("value"), "month", round_half_up(100 * F.col("below") / F.col("all")).alias("pct"), ((F.col("x") - F.col("c_mean")) / F.col("sd")).alias("z"), "years")
 
 
 def month_cells(means: DataFrame, clim: DataFrame) -> DataFrame:
@@ -52,9 +70,10 @@ def year_overlay(means: DataFrame) -> DataFrame:
 
 def downsample(points: DataFrame, k: int) -> DataFrame:
     """n points a station into k columns of least and greatest value that tile
-    the order; with n <= k column x shows point floor(x n / k)."""
-    own = Window.partitionBy("station_id")
-    ranked = points.withColumn("i", F.row_number().over(own.orderBy("ts", "value")) - 1).withColumn("n", F.count("*").over(own))
+    the order; with n <= k column x shows point floor(x n / k). Points are
+    ranked by ranges (see ``order.numbered``), so no task has to sort all of a
+    station's."""
+    ranked = numbered(points.select("station_id", "ts", "value"), ["ts", "value"], ["station_id"]).withColumnsRenamed({"rank": "i", "group_rows": "n"})
     many = ranked.where(F.col("n") > k).withColumn("col", F.ceil((F.col("i") + 1) * k / F.col("n")).cast("int") - 1)
     tiles = many.groupBy("station_id", "col").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     few = ranked.where(F.col("n") <= k).select("station_id", "i", "n", "value")
@@ -76,11 +95,15 @@ def trend_per_hour(points: DataFrame, hours: int = 6, least_hours: float = 1.0)
 def gap_counts(points: DataFrame, now: str, recent_minutes: float = 90, old_hours: float = 9, old_days: int = 365) -> DataFrame:
     """Consecutive points of a station further apart than a limit, which is
     wider for data over a year old: gaps, and the longest in hours."""
-    own = Window.partitionBy("station_id").orderBy("ts")
+    # Within a day neighbours are found in the day's own rows; between days only the days' first and last points are compared.
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    hours = (micros - F.lag(micros).over(own)) / 3.6e9
+    laid = points.select("station_id", "ts", F.floor(micros / 86_400e6).alias("span")).repartition("station_id", "span")
+    inner = laid.select("station_id", "ts", F.lag("ts").over(Window.partitionBy("station_id", "span").orderBy("ts")).alias("was"))
+    ends = laid.groupBy("station_id", "span").agg(F.min("ts").alias("ts"), F.max("ts").alias("last"))
+    between = ends.select("station_id", "ts", F.lag("last").over(Window.partitionBy("station_id").orderBy("span")).alias("was"))
+    hours = (micros - F.unix_micros(F.col("was").cast("timestamp"))) / 3.6e9
     limit = F.when(F.col("ts").cast("timestamp") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {old_days} DAYS"), old_hours).otherwise(recent_minutes / 60)
-    found = points.withColumn("hours", hours).withColumn("gap", F.col("hours") > limit)
+    found = inner.unionByName(between).withColumn("hours", hours).withColumn("gap", F.col("hours") > limit)
     return found.groupBy("station_id").agg(F.count_if("gap").alias("gaps"), F.max(F.when(F.col("gap"), F.col("hours"))).alias("longest_h"))
 
 
@@ -91,9 +114,9 @@ def thin(points: DataFrame, now: str, fresh_days: int = 16, old_days: int = 365)
     tier = F.when(ts < at - F.expr(f"INTERVAL {old_days} DAYS"), 2).when(ts < at - F.expr(f"INTERVAL {fresh_days} DAYS"), 1).otherwise(0)
     seconds = F.unix_seconds(ts)
     bucket = F.when(tier == 2, F.floor(seconds / 21_600)).when(tier == 1, F.floor(seconds / 3_600)).otherwise(F.unix_micros(ts))
-    own = Window.partitionBy("station_id", "tier", "bucket").orderBy("ts", "value")
-    ranked = points.withColumn("tier", tier).withColumn("bucket", bucket).withColumn("k", F.row_number().over(own))
-    return ranked.where("k = 1").select("station_id", "ts", "value", "tier")
+    # The earliest point of a bucket is a minimum, so rows are combined before they are shuffled.
+    first = points.withColumn("tier", tier).withColumn("bucket", bucket).groupBy("station_id", "tier", "bucket").agg(F.min(F.struct("ts", "value")).alias("p"))
+    return first.select("station_id", "p.ts", "p.value", "tier")
 
 
 #: History windows in days; ``all`` has no bound.

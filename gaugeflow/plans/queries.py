@@ -1035,9 +1035,10 @@ def stream_enrich(spark, sf):
 
 @query("""WITH w AS (SELECT station_id, ts, value, time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES + k * INTERVAL 15 MINUTES AS "at" FROM ev, range(0, 24) g(k)),
 e AS (SELECT station_id, "at", arg_min(value, ts) AS v0, min(ts) AS t0, arg_max(value, ts) AS v1, max(ts) AS t1 FROM w GROUP BY ALL)
-SELECT station_id, "at", round((v1 - v0) / ((epoch_us(t1) - epoch_us(t0)) / 3.6e9), 6) AS trend FROM e WHERE epoch_us(t1) - epoch_us(t0) >= 3600000000""")
+SELECT station_id, "at", round((v1 - v0) / ((epoch_us(t1) - epoch_us(t0)) / 3.6e9), 6) AS trend FROM e WHERE epoch_us(t1) - epoch_us(t0) >= 3600000000 AND epoch_ms("at") <= (SELECT epoch_ms(max(ts)) - 7200000 FROM ev)""")
 def stream_trend(spark, sf):
-    out = stored(streams.sliding_trend(event_stream(spark, sf), "40 days"), spark, "trends", "complete").where("trend is not null")
+    """Trends of all windows that the watermark has passed after three micro-batches, each given once."""
+    out = stored(streams.sliding_trend(arriving(spark, sf, hours_late()), "2 hours"), spark, "trends").where("trend is not null")
     return rounded(out, "trend").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
@@ -1337,3 +1338,13 @@ def same_files(spark, sf):
         found.append(files.select(F.regexp_extract("path", r"year=(\d+)", 1).cast("long").alias("year"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias(f"h{n}")))
     both = found[0].join(found[1], ["year", "file"], "full")
     return both.groupBy("year").agg(F.count("*").alias("files"), F.bool_and(F.coalesce(F.col("h3") == F.col("h7"), F.lit(False))).alias("same"))
+
+
+@query(SQL["score_unusual"].replace("WITH ", "WITH ", 1).removeprefix(f"WITH {VIEWS},").replace("lv AS", "WITH lv AS", 1))
+def score_increments(spark, sf):
+    """Scores from a table of counts a year, to which the last years were added one by one; years before stay as they were written."""
+    means, path = S.daily_means(readings(spark, sf)), new_path(spark, "value-counts")
+    for years in ("year < 2000", "year = 2000", "year = 2001"):
+        states.commit(spark, path, {"": S.value_counts(means).where(years)}, {"": "year"}, {"": ["station_id", "mean"]})
+    out = S.score_counts(live_values(spark, sf), tables.read_table(spark, path), S.climatology(means, RUNNING))
+    return rounded(ints(out, "month"), "z")
