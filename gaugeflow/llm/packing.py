@@ -9,6 +9,11 @@ Only the histogram of piece lengths (one count a length, so at most
 2. best fit: what is left goes, longest first, into the smallest gap that
    still holds it, many equal sequences at a time.
 
+Exact fills of the longest pieces can use up short ones that the middle lengths
+need. So plans are made with combinations of up to three, two, one and no
+lengths, and the one with the fewest sequences is used, the first of those
+that tie: never one with more than plain best fit, which is the last.
+
 The plan says which rank within its length goes to which sequence and offset;
 its size depends on ``capacity`` alone, so it is sent to all tasks.
 """
@@ -65,12 +70,16 @@ class Sums:
             for a in larger[self.live[larger] & self.live[total - larger]][::-1].tolist():
                 yield [a, total - a]
 
-    def of(self, total: int) -> Iterator[list[int]]:
-        """All combinations of one, two and three lengths that sum to ``total``,
-        fewer and larger ones first. Some may have run out when they come."""
-        if self.live[total]:
+    def of(self, total: int, most: int = 3) -> Iterator[list[int]]:
+        """All combinations of one to ``most`` lengths (three at most) that sum
+        to ``total``, fewer and larger ones first. Some may have run out when
+        they come."""
+        if self.live[total] and most > 0:
             yield [total]
-        yield from self.two(total, total)
+        if most > 1:
+            yield from self.two(total, total)
+        if most < 3:
+            return
         first = np.arange(total - 2, (total - 1) // 3, -1)
         for a in first[self.live[first] & (self.pairs[total - first] > 0)].tolist():
             if self.live[a]:
@@ -79,17 +88,23 @@ class Sums:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences) for all pieces."""
+    """(lengths of a sequence, how many such sequences) for all pieces: the
+    first plan of the fewest sequences, see above."""
+    return min((plan_with(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: sum(n for _, n in made))
+
+
+def plan_with(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
+    """A plan whose exact fills add up to ``most`` lengths to the longest one; 0 is plain best fit."""
     count = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         count[length] += n
     made = [([capacity], int(count[capacity]))] if count[capacity] else []
     count[capacity] = 0
     sums = Sums(count)
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, 0, -1) if most else ():
         if not count[length]:
             continue
-        for rest in sums.of(capacity - length):
+        for rest in sums.of(capacity - length, most):
             whole = [length, *rest]
             if times := sums.times(whole):
                 sums.take(whole, times)
@@ -120,8 +135,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
             lengths, times = open_[gap].pop()
             if not open_[gap]:
                 gaps.pop(at)
-            # Several of one length may go to the same sequence before the next best gap is looked at.
-            each = min(gap // length, max(1, left // times)) if times <= left else 1
+            # The gap that got one is now the smallest that holds the next of its length, until it is too small.
+            each = min(gap // length, left)
             used = min(times, left // each)
             if used < times:
                 keep(lengths, times - used)
