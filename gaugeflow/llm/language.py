@@ -26,29 +26,32 @@ _BLOCK = 1000
 def fit(labelled: DataFrame, docs_each: int = 2000, dictionary_bytes: int = 1 << 14) -> dict[str, bytes]:
     """language -> dictionary, from ``text`` and ``lang`` of ``labelled``.
 
-    Learns from a bounded sample: at most ``docs_each`` documents a language
-    (those of least hash of the text, so the same for any partitioning). Of
-    their words, the ones that save most (bytes times count) are kept up to
-    ``dictionary_bytes``, the most saving last, where matches cost least. Null
-    languages and texts teach nothing; no rows give no languages.
+    Learns from a bounded sample: at most ``docs_each`` distinct texts a
+    language (those of least hash, so the same for any partitioning and any
+    number of copies). Of their words, the ones that save most (bytes times
+    count) are kept up to ``dictionary_bytes``, the most saving last, where
+    matches cost least; words that come once only fill what is left. Null
+    languages and texts teach nothing, copies no more than one of them; a
+    language with any words has a dictionary; no rows give no languages.
     """
     known = need(labelled, "text", "lang").where("lang is not null and text is not null").select("text", F.col("lang").alias("language"))
-    # One count a language comes to the driver. A share of the hash space that holds about as many documents as are wanted
-    # is cut out where the text is read, so only the sample's texts are shuffled.
-    counts = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("text"))
+    # One count of distinct texts a language comes to the driver. A share of the hash space that holds about as many as are
+    # wanted is cut out where the text is read, so only the sample's texts are shuffled, each once a task.
+    counts = {r["language"]: r["n"] for r in known.select("language", "h").distinct().groupBy("language").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 1.2 * docs_each / n)])
-    near = known.withColumn("h", F.xxhash64("text")).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= shares[F.col("language")])
-    sample = near.withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy("h", "text"))).where(F.col("k") <= docs_each)
+    near = known.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= shares[F.col("language")])
+    sample = near.dropDuplicates(["language", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy("h", "text"))).where(F.col("k") <= docs_each)
     words = sample.select("language", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("language", "w").agg(F.count("*").alias("n"))
-    best = words.where("n > 1").withColumn("gain", F.col("n") * (F.octet_length("w") + 1)).withColumn("size", F.octet_length("w") + 1)
-    order = Window.partitionBy("language").orderBy(F.desc("gain"), "w").rowsBetween(Window.unboundedPreceding, 0)
+    best = words.withColumn("gain", F.col("n") * (F.octet_length("w") + 1)).withColumn("size", F.octet_length("w") + 1)
+    order = Window.partitionBy("language").orderBy(F.col("n") == 1, F.desc("gain"), "w").rowsBetween(Window.unboundedPreceding, 0)
     taken = best.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= dictionary_bytes)
     by_language: dict[str, list] = {}
-    for r in taken.select("language", "w", "gain").collect():
-        by_language.setdefault(r["language"], []).append((r["gain"], r["w"]))
-    out = {k: " ".join(w for _, w in sorted(v)).encode() + b" " for k, v in by_language.items()}
+    for r in taken.select("language", "w", "n", "gain").collect():
+        by_language.setdefault(r["language"], []).append((r["n"] > 1, r["gain"], r["w"]))
+    out = {k: " ".join(w for *_, w in sorted(v)).encode() + b" " for k, v in by_language.items()}
     for language in counts:
         out.setdefault(language, b" ")
     return dict(sorted(out.items()))
