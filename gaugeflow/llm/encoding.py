@@ -44,8 +44,14 @@ class Memo(dict):
 
     Past ``limit`` pieces it starts anew and keeps those it had beside it: of
     these, pieces that are asked for again move over, until the next turn.
+    Pieces and words of more than ``LONGEST`` characters are encoded each time
+    and never kept, so a memo's bytes are bounded whatever the texts, such as
+    those of scripts without spaces.
     """
 
+    #: Of a piece that is kept, in characters: words hardly come longer.
+    LONGEST = 48
+
     def __init__(self, spec: dict, tokenizer: Tokenizer, code: str, lead: str, limit: int):
         split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL)
         self.find, self.model, self.code = regex.compile(split).findall, tokenizer.model, code
@@ -54,6 +60,8 @@ class Memo(dict):
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > self.LONGEST:
+            return self.encoded(piece)
         out = self.old.get(piece)
         if out is None:
             out = self.encoded(piece)
@@ -77,6 +85,8 @@ class Memo(dict):
         alone = word[len(self.lead) :]
         if alone.isalpha() and alone.isascii() and word.startswith(self.lead):
             return self.get(alone) or self.old.get(alone) or self.ids(word)
+        if len(word) > self.LONGEST:
+            return self.ids(word)
         out = self.words.get(word)
         if out is None:
             if len(self.words) >= self.limit:
