@@ -339,3 +339,23 @@ def test_decontamination_of_nothing(docs, spark):
     none, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.mark(none, bench).count() == 0 and decontaminate.remove(none, bench).count() == 0
     assert sorted(((r["doc_id"], r["n_hit"]) for r in decontaminate.mark(docs((None, "a b c"), (None, None)), bench).collect()), key=str) == [(None, 0), (None, 2)]
+
+
+def test_copies_lose_no_language(spark):
+    """Thousands of rows that are copies of one text, on either side of the share that is sampled, are one text that teaches its language."""
+    english = "the river rises over the meadow and the road " * 3
+    german = "der fluss steigt und die wiese liegt unter wasser "
+    for k in range(6):  # texts of different hashes
+        one = f"{english} number {k}"
+        rows = [(one, "en")] * 5000 + [(f"{german} {i} {german}", "de") for i in range(40)] + [("einmal nur", "xx"), (None, "de"), ("text", None)]
+        learned = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), docs_each=50)
+        assert sorted(learned) == ["de", "en", "xx"]
+        assert b"meadow" in learned["en"] and b"einmal" in learned["xx"]
+        got = language.predict(spark.createDataFrame([(1, one), (2, german)], "doc_id long, text string"), {n: learned[n] for n in ("de", "en")})
+        assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "en", 2: "de"}
+
+
+def test_copies_change_no_dictionary(spark):
+    rows = [(f"w{i % 7} w{i % 5} common words", "a") for i in range(30)]
+    once = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert language.fit(spark.createDataFrame(rows * 9, "text string, lang string").repartition(5)) == once

@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations_with_replacement
 
@@ -166,3 +168,44 @@ def test_packing(docs):
         assert [r["start"] for r in own] == [sum(x["length"] for x in own[:k]) for k in range(len(own))]
         assert [r["length"] for r in own[1:]] == [64] * (len(own) - 1)
     assert len(by_doc[5]) >= 2 and len(by_doc[None]) == 2
+
+
+def best_fit(histogram, capacity):
+    """Sequences of plain best-fit decreasing, one piece at a time."""
+    gaps, made = [], 0
+    for x in sorted((length for length, n in histogram.items() for _ in range(n)), reverse=True):
+        at = bisect_left(gaps, x)
+        made += at == len(gaps)
+        insort(gaps, (capacity if at == len(gaps) else gaps.pop(at)) - x)
+    return made
+
+
+def test_plan_is_never_worse_than_best_fit():
+    rng = random.Random(8)
+    cases = [
+        {x: rng.randint(1, 3) for x in range(1, 2048)}, {x: rng.randint(1, 20) for x in range(1, 2048)}, Counter(rng.randint(1, 2047) for _ in range(700)), Counter(rng.randint(500, 1500) for _ in range(9000)),
+        Counter(min(2048, 1 + int(rng.expovariate(1 / 300))) for _ in range(9000)), *[Counter(rng.randint(1, 60) for _ in range(rng.randint(1, 90))) for _ in range(60)],
+    ]
+    for histogram in cases:
+        capacity = 2048 if max(histogram) > 60 else 60
+        made, used = packing.plan(histogram, capacity), Counter()
+        for lengths, times in made:
+            assert sum(lengths) <= capacity
+            for x in lengths:
+                used[x] += times
+        assert used == Counter(histogram)
+        assert sum(n for _, n in made) <= best_fit(histogram, capacity)
+        assert sum(n for _, n in packing.plan_with(histogram, capacity, 0)) == best_fit(histogram, capacity)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_memo_keeps_no_long_pieces(path):
+    """Texts without spaces are encoded whole each time: the memo's bytes stay bounded, and ids are the library's."""
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(400)) for _ in range(60)] + ["a" * 47 + " " + "b" * 48 + " " + "c" * 49 + "," + "d" * 60]
+    enc = MemoEncoder(path, memo=50)
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == direct(path, text)
+    kept = [p for m in (enc.first, enc.rest) for d in (m, m.old, m.words) for p in d]
+    assert max(map(len, kept), default=0) <= 48
+    assert sum(len(p.encode()) for p in kept) < 50_000
