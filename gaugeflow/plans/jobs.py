@@ -216,8 +216,8 @@ def station_report(daily: DataFrame, current_year: int, live: DataFrame | None =
 def river_wave(mids: DataFrame, stations: DataFrame, first: str, days: int, most: int = 24) -> DataFrame:
     """Sampled stations of each river over a window of days, on their own
     scales, from the first day on which half of them have data."""
-    shown = R.sample_stations(stations, most).select("station_id", "river", "km", "total")
-    cells = R.window_days(mids.join(shown.select("station_id"), "station_id", "left_semi"), first, days)
+    shown = once(R.sample_stations(stations, most).select("station_id", "river", "km", "total"), "shown")
+    cells = once(R.window_days(mids.join(shown.select("station_id"), "station_id", "left_semi"), first, days), "wave")
     crop = R.leading_crop(cells)
     return R.scaled(cells).crossJoin(F.broadcast(crop)).where("i >= first").join(shown, "station_id").select("river", "station_id", "day", "value", "scaled", "total")
 

@@ -930,8 +930,9 @@ def event_stream(spark, sf):
 
 @query("SELECT station_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, min(value) AS min_v, max(value) AS max_v FROM ev WHERE value BETWEEN -2000 AND 20000 GROUP BY ALL")
 def stream_ingest(spark, sf):
+    """Three micro-batches, two of which bring readings of days that are there already."""
     path = new_path(spark, "stream-daily")
-    streams.ingest_batches(event_stream(spark, sf), path, new_path(spark, "stream-state")).awaitTermination()
+    streams.ingest_batches(arriving(spark, sf, days_late()), path, new_path(spark, "stream-state")).awaitTermination()
     return tables.read_table(spark, path).select("station_id", "day", "min_v", "max_v")
 
 
@@ -945,6 +946,7 @@ def arriving(spark, sf, piece) -> DataFrame:
 
 
 def hours_late():
+    """Three files by time, but that readings come up to an hour after they were taken."""
     came = F.col("ts") + F.make_dt_interval(mins=(F.unix_seconds("ts") % 60).cast("int"))
     return F.when(came < F.lit("2024-01-11").cast("timestamp"), 1).when(came < F.lit("2024-01-21").cast("timestamp"), 2).otherwise(3)
 
@@ -1348,3 +1350,35 @@ def score_increments(spark, sf):
         states.commit(spark, path, {"": S.value_counts(means).where(years)}, {"": "year"}, {"": ["station_id", "mean"]})
     out = S.score_counts(live_values(spark, sf), tables.read_table(spark, path), S.climatology(means, RUNNING))
     return rounded(ints(out, "month"), "z")
+
+
+@query("WITH x AS (SELECT CAST(station_id AS VARCHAR) AS station_id, ts, min(value) AS value FROM r GROUP BY ALL) SELECT * FROM x WHERE CAST(station_id AS BIGINT) % 3 <> 0 AND year(ts) >= 1998")
+def point_archive_reimport(spark, sf):
+    """An archive imported onto points of which it has most: those of a third of the stations, and of the first years, are there already."""
+    points = D.dedupe_points(readings(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("station_id", F.col("station_id").cast("string"))
+    there = points.where((F.col("station_id").cast("long") % 3 == 0) | (F.year("ts") < 1998)).withColumn("value", F.lit(-1.0))
+    return ntz(formats.import_points(formats.export_points(points), there))
+
+
+@query("""WITH x AS (SELECT station_id, max(max_v) AS value FROM d GROUP BY 1), y AS (SELECT station_id, max(year) AS y, min(year) AS first FROM d JOIN x USING (station_id) WHERE max_v = x.value GROUP BY 1)
+SELECT station_id, 'HHW' AS shortname, CASE station_id % 3 WHEN 0 THEN y WHEN 1 THEN first END AS record_year FROM y""")
+def record_year_fallback(spark, sf):
+    """Marks of which a third has occurrences, a third only the end of its time span, and a third neither."""
+    a = archive(spark, sf)
+    days = a.join(a.groupBy("station_id").agg(F.max("max_v").alias("value")), "station_id").where("max_v = value").groupBy("station_id", "value").agg(F.collect_list(F.col("day").cast("string")).alias("all"), F.min("day").cast("string").alias("end"))
+    third = lambda k: F.col("station_id") % 3 == k
+    marks = days.select("station_id", F.lit("HHW").alias("shortname"), "value", F.when(third(0), F.col("all")).otherwise(F.array().cast("array<string>")).alias("occurrences"), F.when(third(1), F.col("end")).alias("timespan_end"))
+    return ints(R.record_years(marks).drop("value"), "record_year")
+
+
+@query("SELECT code, count(*) AS stations, count(*) > 1 AS refused FROM (SELECT 'c' || (station_id % 90) AS code FROM st) GROUP BY 1")
+def code_map_refusals(spark, sf):
+    """Registries of each code's stations: one that names a code twice is refused as a whole."""
+    rows = stations(spark, sf).select("station_id", F.concat(F.lit("c"), (F.col("station_id") % 90).cast("string")).alias("code"), F.lit(None).cast("array<string>").alias("retired"))
+    codes = rows.groupBy("code").agg(F.count("*").alias("stations"))
+    try:
+        refused = D.code_map(rows).agg(F.max("code"), F.max("station_id")).first() is None
+    except Exception as e:  # noqa: BLE001  Spark's own error of the task that found it
+        refused = "code twice" in str(e)
+    known = D.code_map(rows.join(codes.where("stations = 1"), "code", "left_semi")).select("code", F.lit(False).alias("known"))
+    return codes.join(known, "code", "left").select("code", "stations", F.coalesce("known", F.lit(refused)).alias("refused"))
