@@ -4,8 +4,13 @@ A template is aligned with a text on the words that both have exactly once:
 the longest increasing subsequence of their places anchors it, and the gaps
 between anchors are aligned the same way. Coverage is the share of the
 template's words that are aligned. A text can hold a notice many times, so
-windows around the template's rarest words are aligned; where none has it, a
-longer template is aligned with the whole text.
+windows around the template's rarest words are aligned; what lies between the
+places found so is aligned whole with longer templates.
+
+Coverage alone can't tell near licences apart, as they differ in a word. So a
+notice's own words (of its name, and its numbers) must be aligned, words that
+make another licence of it (``VARIANTS``) may not stand among them, and where
+templates overlap the one with most aligned words has the place.
 """
 
 from __future__ import annotations
@@ -24,6 +29,26 @@ from .license_texts import TEMPLATES
 
 #: Words from which on a template is also aligned with a whole text.
 LONG = 30
+#: Words that name a variant of a licence.
+VARIANTS = frozenset(("affero", "lesser", "library", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike"))
+
+
+def own_words(name: str, template: list[str]) -> frozenset[str]:
+    """Words that a notice can't lack: those of its licence's name and of
+    variants that its text has, and in one-line notices its numbers. Whole
+    texts have none, as they seldom name their licence."""
+    if name.endswith("-text"):
+        return frozenset()
+    named = {*words_of(name.removesuffix("-notice")), *VARIANTS}
+    return frozenset(w for w in template if w in named or (len(template) < LONG and w.isdigit()))
+
+
+def names_it(words: list[str], pairs: list[tuple[int, int]], template: list[str], own: frozenset[str]) -> bool:
+    """Whether aligned words have all of a notice's own words, and no word of a variant stands among them unaligned."""
+    if not own:
+        return True
+    places = {i for i, _ in pairs}
+    return own <= {template[j] for _, j in pairs} and not any(words[i] in VARIANTS and i not in places for i in range(pairs[0][0], pairs[-1][0] + 1))
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -65,9 +90,9 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def find(words: list[str], template: list[str], least: float) -> list[tuple[int, int, float]]:
-    """(first word, end, coverage) of places that reach ``least``, best first
-    where they overlap.
+def find(words: list[str], template: list[str], least: float, own: frozenset[str] = frozenset()) -> list[tuple[int, int, float]]:
+    """(first word, end, coverage) of places that reach ``least`` and have the
+    words ``own``, best first where they overlap.
 
     A place that reaches it has most template words, so windows around each
     place of the template word that is rarest in the text are aligned, all of
@@ -86,31 +111,50 @@ def find(words: list[str], template: list[str], least: float) -> list[tuple[int,
             continue
         lo, hi = max(0, at - reach), min(len(words), at + reach + 1)
         pairs = align(words[lo:hi], template)
-        if len(pairs) >= len(template) - allowed:
+        if len(pairs) >= len(template) - allowed and names_it(words[lo:hi], pairs, template, own):
             a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
             found[a, b] = len(pairs) / len(template)
             done = b if len(pairs) == len(template) == b - a else done
-    if not found and len(template) >= LONG:
-        found = spread_out(words, template, allowed)
     taken: list[tuple[int, int, float]] = []
     for (a, b), share in sorted(found.items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
         # What is taken is in order and apart, so only its neighbours can overlap.
         k = bisect_left(taken, (a,))
         if (k == len(taken) or b <= taken[k][0]) and (k == 0 or taken[k - 1][1] <= a):
             taken.insert(k, (a, b, share))
-    return taken
+    if len(template) >= LONG:
+        ends = [(0, 0, 0.0), *taken, (len(words), len(words), 0.0)]
+        for (_, lo, _), (hi, _, _) in zip(ends, ends[1:], strict=False):
+            taken += spread_out(words[lo:hi], template, allowed, own, lo)
+    return sorted(taken)
 
 
-def spread_out(words: list[str], template: list[str], allowed: int) -> dict[tuple[int, int], float]:
+def spread_out(words: list[str], template: list[str], allowed: int, own: frozenset[str] = frozenset(), first: int = 0) -> list[tuple[int, int, float]]:
     """A template whose parts other text parts by more than a window holds, as
-    comments between clauses do: the whole text is aligned. Half of the words
-    or more must follow each other, as words of a long text could also be met
-    one here and one there."""
+    comments between clauses do: all of ``words`` (from the ``first`` of a
+    text) are aligned, and then what lies on either side. Half of the words or
+    more must follow each other, as words of a long text could also be met one
+    here and one there."""
+    if len(words) < len(template) - allowed:
+        return []
     pairs = align(words, template)
-    runs = sum(i + 1 == k and j + 1 == m for (i, j), (k, m) in zip(pairs, pairs[1:]))
-    if len(pairs) < len(template) - allowed or 2 * runs < len(pairs):
-        return {}
-    return {(pairs[0][0], pairs[-1][0] + 1): len(pairs) / len(template)}
+    runs = sum(i + 1 == k and j + 1 == m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+    if len(pairs) < len(template) - allowed or 2 * runs < len(pairs) or not names_it(words, pairs, template, own):
+        return []
+    a, b = pairs[0][0], pairs[-1][0] + 1
+    here = [(first + a, first + b, len(pairs) / len(template))]
+    return spread_out(words[:a], template, allowed, own, first) + here + spread_out(words[b:], template, allowed, own, first + b)
+
+
+def winners(hits: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
+    """Of places (name, first word, end, coverage, aligned words) that overlap,
+    those with most aligned words, the better covered of two: one that has half
+    of its words or more within a place of another template goes."""
+    out: list[tuple[str, int, int, float, int]] = []
+    for hit in sorted(hits, key=lambda h: (-h[4], -h[3], h[0], h[1])):
+        name, a, b, *_ = hit
+        if all(2 * (min(b, d) - max(a, c)) < b - a or name == other for other, c, d, *_ in out):
+            out.append(hit)
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -121,11 +165,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
     ``templates`` (name -> text; those of ``license_texts`` if not given) are
     few and go with the code to the tasks. Names that end in ``-text`` or
-    ``-notice`` tell which form was found. Null, empty and wordless texts have
+    ``-notice`` tell which form was found; overlapping forms and licences give
+    the one with most aligned words (see ``winners``). Null, empty and wordless texts have
     none; repeated and null ids give a row each; extra columns are ignored; an
     empty table gives none.
     """
-    shapes = [(k, words_of(t)) for k, t in sorted((templates or TEMPLATES).items())]
+    shapes = [(k, w, own_words(k, w)) for k, t in sorted((templates or TEMPLATES).items()) for w in [words_of(t)]]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,10 +178,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             for text in pdf["text"].tolist():
                 words = words_of(text)
                 have, hits = set(words), []
-                for name, template in shapes:
-                    if template and sum(w in have for w in template) >= least * len(template):
-                        hits += [(name, a, b, share) for a, b, share in find(words, template, least)]
-                places = original_spans(text, [(a, b) for _, a, b, _ in hits]) if hits else []
+                for name, template, own in shapes:
+                    if template and own <= have and sum(w in have for w in template) >= least * len(template):
+                        hits += [(name, a, b, share, round(share * len(template))) for a, b, share in find(words, template, least, own)]
+                hits = winners(hits) if len(hits) > 1 else hits
+                places = original_spans(text, [(a, b) for _, a, b, *_ in hits]) if hits else []
                 names = sorted({h[0] for h in hits})
                 spans = sorted((a, b, h[0]) for h, (a, b) in zip(hits, places, strict=True))
                 rows.append((len(names), ",".join(names), max((h[3] for h in hits), default=0.0), ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))

@@ -359,3 +359,33 @@ def test_copies_change_no_dictionary(spark):
     rows = [(f"w{i % 7} w{i % 5} common words", "a") for i in range(30)]
     once = language.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert language.fit(spark.createDataFrame(rows * 9, "text string, lang string").repartition(5)) == once
+
+
+def test_near_licences_are_told_apart(docs):
+    """What is one word from a template is another licence; of overlapping templates one has the place."""
+    text = licenses.TEMPLATES
+    none = [
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the Apache License, Version 1.0.", "Released under the BSD License.", "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ]
+    got = by_id(licenses.scan(docs(*enumerate(none), *[(100 + i, text[k]) for i, k in enumerate(sorted(text))])))
+    assert [got[i]["licenses"] for i in range(len(none))] == [""] * len(none)
+    assert [got[100 + i]["licenses"] for i in range(len(text))] == sorted(text)
+    assert {got[100 + i]["coverage"] for i in range(len(text))} == {1.0}
+
+
+def test_no_place_is_lost_to_another(docs):
+    """A copy that is spread out is found beside plain ones, on either side of them."""
+    text, other = licenses.TEMPLATES["MIT-text"], " ".join(f"x{i} lies here" for i in range(200))
+    half = text.index("The above")
+    spread = f"{text[:half]} {other} {text[half:]}"
+    rows = [(1, f"{text} {other} {spread}"), (2, f"{spread} {other} {text} and {text}"), (3, f"{spread} {other} {text} {other} {spread}")]
+    got = by_id(licenses.scan(docs(*rows)))
+    assert [got[i]["spans"].count("MIT-text:") for i in (1, 2, 3)] == [2, 3, 3]
+
+
+def test_a_variant_beside_a_licence_stays_apart(docs):
+    t = licenses.TEMPLATES
+    got = by_id(licenses.scan(docs((1, f"{t['CC-BY-4.0']} {t['CC-BY-SA-4.0']}"), (2, f"{t['CC-BY-SA-4.0']} {t['CC-BY-4.0']}"), (3, f"Share alike. {t['Apache-2.0-notice']} {t['Apache-2.0']}"))))
+    assert [got[i]["licenses"] for i in (1, 2, 3)] == ["CC-BY-4.0,CC-BY-SA-4.0"] * 2 + ["Apache-2.0,Apache-2.0-notice"]
