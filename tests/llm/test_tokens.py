@@ -124,7 +124,7 @@ def test_exact_fills_are_used_up():
     rng = random.Random(12)
     for _ in range(60):
         histogram = {x: rng.randint(1, 4) for x in rng.sample(range(1, 24), rng.randint(2, 12))}
-        made, left = packing.plan(histogram, 24), dict(histogram)
+        made, left = packing.plan_with(histogram, 24, 3), dict(histogram)
         for own, times in made:
             if sum(own) == 24 and len(own) <= 4:
                 for x in own:
