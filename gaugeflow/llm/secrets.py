@@ -1,12 +1,13 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
-The battery takes runs of token characters that mix letters and digits, infers
-each one's encoding from its characters, and tests whether it looks like
-uniform draws from that alphabet: chi-squared uniformity, runs above and below
-the alphabet's middle, and serial correlation. Few natural strings pass, but
-short ones may by chance. So the tests' combined p-value is held against the
-same length's natural strings (letters only) of all documents, and a threshold
-a length class keeps the expected share of false finds under a level.
+The battery takes runs of token characters with letters, infers each one's
+encoding from its characters, and tests whether it looks like uniform draws
+from that alphabet: chi-squared uniformity, runs above and below the alphabet's
+middle, and serial correlation. Natural strings fail, but short ones may pass
+by chance, words of one case above all. So every candidate has controls: as
+many letters of the ordinary words around it, tested under its own alphabet. A
+threshold a group (encoding, make-up, length class) keeps the expected share of
+natural strings among the finds under a level.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -47,6 +49,12 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for a in ALPHABETS.values()]
+#: Words of fewer letters than any candidate, with no token character at either side.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{1,15}(?![A-Za-z0-9+/_=-])")
+#: Control strings a candidate has at most, each of its own length.
+CONTROLS = 16
+#: Controls of one length class that are a null distribution by themselves.
+ENOUGH = 256
 BINS = 64
 #: From this bin on (p-values of 0.01 or less) a token fails the battery clearly.
 TAIL = 8
@@ -64,15 +72,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def encoding(body: str) -> int | None:
+    """Number of the first alphabet that has all of the characters."""
+    chars = frozenset(body)
+    return next((k for k, (own, _) in enumerate(_SETS) if chars <= own), None)
+
+
 def p_random(token: str) -> float | None:
     """Combined p-value of the battery under uniform draws; None if no alphabet
     has all of the token's characters ('=' padding aside)."""
     body = token.rstrip("=")
-    chars = frozenset(body)
-    index = next((i for a, i in _SETS if chars <= a), None)
-    n = len(body)
-    if index is None or n < 16:
-        return None
+    k = encoding(body)
+    return None if k is None or len(body) < 16 else p_drawn(body, k)
+
+
+def p_drawn(body: Sequence[str], k: int) -> float:
+    """Combined p-value of the battery under uniform draws from alphabet ``k``."""
+    index, n = _SETS[k][1], len(body)
     size = len(index)
     values = np.fromiter(map(index.__getitem__, body), np.float64, n)
     counts = np.bincount(values.astype(np.int64), minlength=size)
@@ -120,20 +136,49 @@ def tokens(text: str) -> Iterator[tuple[int, int, float]]:
         yield from taken
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, length class, p-value bin, natural) of testable tokens."""
+def p_bin(p: float) -> int:
+    return min(BINS - 1, int(-4 * math.log10(max(p, 1e-300))))
+
+
+def candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, group, p-value bin) of tokens with letters.
+
+    A group is a length class within an encoding and a make-up: letters alone,
+    letters and symbols, or digits too."""
     out = []
     for start, end, p in tokens(text):
-        token = text[start:end]
-        letters = any(map(str.isalpha, token))
-        natural = token.isalpha()
-        if not letters or not (natural or any(map(str.isdigit, token))):
+        body = text[start:end].rstrip("=")
+        if not any(map(str.isalpha, body)):
             continue
-        out.append((start, end, length_class(len(token)), min(BINS - 1, int(-4 * math.log10(max(p, 1e-300)))), natural))
+        make = 0 if body.isalpha() else 2 if any(map(str.isdigit, body)) else 1
+        out.append((start, end, (make * len(_SETS) + encoding(body)) * 8 + length_class(end - start), p_bin(p)))
     return out
 
 
-def examined(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, int, bool]]]:
+def controls(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(group, p-value bin) of the candidates' controls: strings of a candidate's
+    length, of the letters that its encoding has of the words before and after it.
+    Where it has both cases, capitals are where the candidate has one after
+    something else, as names in one word have them."""
+    out = []
+    for start, end, group, _ in found:
+        body = text[start:end].rstrip("=")
+        k, n = group // 8 % len(_SETS), len(body)
+        index, reach = _SETS[k][1], 20 * n
+        words = [m[0] for a, b in ((max(0, start - reach), start), (end, min(len(text), end + reach))) for m in WORD.finditer(text, a, b) if m.end() < b or b == len(text)]
+        letters = "".join(words).lower() if "a" in index else "".join(words).upper()
+        if len(index) <= 16:
+            letters = "".join(c for c in letters if c in index)
+        humps = [i for i, c in enumerate(body) if c.isupper() and not body[max(0, i - 1) : i].isupper()] if "a" in index and "A" in index else []
+        for i in range(0, min(CONTROLS * n, len(letters) - n + 1), n):
+            control = list(letters[i : i + n])
+            for at in humps:
+                control[at] = control[at].upper()
+            out.append((group, p_bin(p_drawn(control, k))))
+    return out
+
+
+def examined(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, int]]]:
     """Base spans, and the candidates that overlap none of them. Both are in
     order of their starts, so a search and the furthest end so far tell."""
     spans = base_spans(text) if text else []
@@ -146,10 +191,11 @@ def examined(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[i
     return spans, [c for c in candidates(text or "") if not overlaps(c[0], c[1])]
 
 
-def thresholds(counts: list[tuple[int, int, bool, int]], level: float) -> dict[int, int]:
+def thresholds(counts: list[tuple[int, int, bool, int]], level: float, estimate: bool = True) -> dict[int, int]:
     """length class -> largest p-value bin at which the expected share of
     natural strings among the finds is at most ``level``. Classes with few
-    natural strings borrow those of all shorter classes."""
+    natural strings borrow those of all shorter classes. Without ``estimate``
+    all that is tested counts as natural, not just the share that its failures tell."""
     out = {}
     for c in {x[0] for x in counts}:
         null, found = np.zeros(BINS), np.zeros(BINS)
@@ -160,13 +206,37 @@ def thresholds(counts: list[tuple[int, int, bool, int]], level: float) -> dict[i
                 found[b] += n
         share = (np.cumsum(null) + 0.5) / (null.sum() + 1)
         # Natural strings among the mixed ones: those that fail clearly, over the share of natural ones that do.
-        some = min(1.0, (found[TAIL:].sum() + 1) / max(null[TAIL:].sum() / (null.sum() + 1), 0.05) / max(found.sum(), 1))
+        some = not estimate or min(1.0, (found[TAIL:].sum() + 1) / max(null[TAIL:].sum() / (null.sum() + 1), 0.05) / max(found.sum(), 1))
         false = share * found.sum() * some
         fits = np.flatnonzero((false <= level * np.cumsum(found)) & (found > 0))
         out[c] = int(fits[-1]) if len(fits) else -1
     return out
 
 
+def limits_of(counts: list[tuple[int, int, bool, int]], level: float) -> dict[int, int]:
+    """group -> largest p-value bin that counts as a find, from rows (group,
+    bin, control, number).
+
+    Length classes with few controls take those of the encoding's shorter ones
+    too, which pass more easily. Strings with digits are held against the
+    strings of letters alone that are no finds, besides their controls."""
+    families: dict[int, list[tuple[int, int, bool, int]]] = defaultdict(list)
+    for group, b, control, n in counts:
+        families[group // 8].append((group % 8, b, control, n))
+    out, letters = {}, []
+    for family, rows in sorted(families.items()):
+        digits = family >= 2 * len(_SETS)
+        null = [r for r in rows if r[2]] + letters * digits
+        tested = [r for r in rows if not r[2]]
+        for c in {r[0] for r in tested}:
+            own = [r for r in null if r[0] == c]
+            enough = sum(r[3] for r in own) >= ENOUGH
+            out[family * 8 + c] = thresholds((own if enough else null) + [r for r in tested if r[0] == c], level, digits)[c]
+        if family < len(_SETS):
+            letters += [(c, b, True, n) for c, b, _, n in tested if b > out[family * 8 + c]]
+    return out
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -179,7 +249,8 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     the battery adds tokens that overlap none of them. Null and empty texts
     have none; repeated and null ids give a row each; extra columns are
     ignored; an empty table gives no rows. ``level`` bounds the expected share
-    of natural strings among what is added, in each length class.
+    of natural strings among what is added, in each group; a text without words
+    around a candidate gives no controls.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,33 +259,34 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
             for text in pdf["text"].tolist():
                 spans, free = examined(text)
                 joined = _joined(spans)
+                null = controls(text, free) if free else []
                 kinds = [k for _, _, k in spans]
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined.encode()).hexdigest(), joined, [c[:4] for c in free if not c[4]], [c[2] * BINS + c[3] for c in free if c[4]]))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "mixed", "natural"])
+                rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined.encode()).hexdigest(), joined, free, [g * BINS + b for g, b in null]))
+            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "free", "null"])
             out.insert(0, "doc_id", pd.array(pdf["doc_id"], "string").astype("Int64"))
             yield out
 
-    shape = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, mixed array<array<int>>, natural array<int>"
+    shape = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, free array<array<int>>, null array<int>"
     keyed = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
     found = written(keyed.mapInPandas(tidy(each), shape), "secret-scan")
-    natural = found.select(F.explode("natural").alias("c")).groupBy("c").agg(F.count("*").alias("n")).select(F.floor(F.col("c") / BINS).cast("int").alias("cls"), (F.col("c") % BINS).alias("bin"), F.lit(True).alias("natural"), "n")
-    mixed = found.select(F.explode("mixed").alias("c")).groupBy(F.col("c")[2].alias("cls"), F.col("c")[3].alias("bin")).agg(F.count("*").alias("n")).select("cls", "bin", F.lit(False).alias("natural"), "n")
-    # At most classes x bins x 2 rows (896), whatever the input.
-    limits = thresholds(sorted(tuple(r) for r in natural.union(mixed).collect()), level)
+    null = found.select(F.explode("null").alias("c")).groupBy("c").agg(F.count("*").alias("n")).select(F.floor(F.col("c") / BINS).cast("int").alias("cls"), (F.col("c") % BINS).alias("bin"), F.lit(True).alias("control"), "n")
+    free = found.select(F.explode("free").alias("c")).groupBy(F.col("c")[2].alias("cls"), F.col("c")[3].alias("bin")).agg(F.count("*").alias("n")).select("cls", "bin", F.lit(False).alias("control"), "n")
+    # At most groups x bins x 2 rows (24,576), whatever the input.
+    limits = limits_of(sorted(tuple(r) for r in null.union(free).collect()), level)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans, n_random = [], []
-            for base, mixed in zip(pdf["base"], pdf["mixed"], strict=True):
+            for base, free in zip(pdf["base"], pdf["free"], strict=True):
                 own = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-                more = [(int(a), int(b), "random") for a, b, c, at in mixed if at <= limits.get(int(c), -1)]
+                more = [(int(a), int(b), "random") for a, b, c, at in free if at <= limits.get(int(c), -1)]
                 spans.append(_joined(sorted(own + more, key=lambda s: (s[0], KINDS.index(s[2])))))
                 n_random.append(len(more))
             pdf["spans"], pdf["n_random"] = spans, n_random
             pdf["doc_id"] = pd.array(pdf["doc_id"], "string").astype("Int64")
-            yield pdf.drop(columns=["base", "mixed"])
+            yield pdf.drop(columns=["base", "free"])
 
-    final = found.drop("natural").withColumn("doc_id", F.col("doc_id").cast("string"))
+    final = found.drop("null").withColumn("doc_id", F.col("doc_id").cast("string"))
     return final.mapInPandas(tidy(add), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
@@ -237,7 +309,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             if not text:
                 return text
             base, free = examined(text)
-            spans = [(a, b) for a, b, _ in base] + [c[:2] for c in free if not c[4] and c[3] <= limits.get(c[2], -1)]
+            spans = [(a, b) for a, b, _ in base] + [c[:2] for c in free if c[3] <= limits.get(c[2], -1)]
             out, at = [], 0
             for a, b in sorted(spans):
                 if a >= at:
@@ -256,9 +328,13 @@ def scan_limits(docs: DataFrame, level: float = 0.05) -> dict[int, int]:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [c[2:] for text in pdf["text"].tolist() for c in examined(text)[1]]
-            yield pd.DataFrame(rows, columns=["cls", "bin", "natural"])
-
-    found = need(docs, "text").mapInPandas(tidy(each), "cls int, bin int, natural boolean")
-    rows = written(found.groupBy("cls", "bin", "natural").agg(F.count("*").alias("n")), "secret-counts").collect()
-    return thresholds(sorted((r["cls"], r["bin"], r["natural"], r["n"]) for r in rows), level)
+            rows = []
+            for text in pdf["text"].tolist():
+                free = examined(text)[1]
+                rows += [(*c[2:], False) for c in free]
+                rows += [(*c, True) for c in controls(text, free)] if free else []
+            yield pd.DataFrame(rows, columns=["cls", "bin", "control"])
+
+    found = need(docs, "text").mapInPandas(tidy(each), "cls int, bin int, control boolean")
+    rows = written(found.groupBy("cls", "bin", "control").agg(F.count("*").alias("n")), "secret-counts").collect()
+    return limits_of(sorted((r["cls"], r["bin"], r["control"], r["n"]) for r in rows), level)

@@ -76,6 +76,31 @@ def test_values_after_names_and_paths_are_tested(docs):
     assert not any(got[i]["spans"] for i in range(400))
 
 
+def test_keys_of_letters_alone_are_found_and_words_spared(docs):
+    rng = random.Random(17)
+    syllable = ["an", "ther", "ing", "tion", "ble", "sch", "ung", "ver", "or", "e", "st", "ly", "pro", "con"]
+    word = lambda k: "".join(rng.choice(syllable) for _ in range(k))
+    around = lambda: " ".join(word(rng.randint(1, 4)) for _ in range(150))
+    named = [lambda: word(9), lambda: "".join(word(2).title() for _ in range(6)), lambda: "-".join(word(2) for _ in range(6)), lambda: "/".join(word(3) for _ in range(4)), lambda: word(9).upper()]
+    rows = [(i, f"{around()} {named[i % 5]()} {around()}.") for i in range(500)]
+    drawn = [string.ascii_letters, string.ascii_uppercase, string.ascii_letters + "+/", string.ascii_letters + "-_"]
+    rows += [(1000 + i, f"{around()} {''.join(rng.choice(drawn[i % 4]) for _ in range(64))} {around()}") for i in range(80)]
+    got = by_id(secrets.scan(docs(*rows)))
+    for k in range(4):
+        assert sum("random" in got[1000 + i]["spans"] for i in range(k, 80, 4)) >= 16, drawn[k]
+    wrong = [i for i in range(500) if got[i]["spans"]]
+    assert len(wrong) <= 8, [rows[i][1].split()[150] for i in wrong]
+
+
+def test_controls_are_letters_of_the_words_around():
+    text = "One two " + "Qx" * 12 + " three abc123def four " + "five " * 40
+    (found,) = [c for c in secrets.candidates(text) if text[c[0] : c[1]] == "Qx" * 12]
+    words = "onetwothreefour" + "five" * 40
+    named = lambda w: "".join(c.upper() if j % 2 == 0 else c for j, c in enumerate(w))
+    want = [(found[2], secrets.p_bin(secrets.p_drawn(named(words[i : i + 24]), secrets.encoding("Qx")))) for i in range(0, len(words) - 23, 24)]
+    assert secrets.controls(text, [found]) == want and secrets.controls("x" * 20, secrets.candidates("x" * 20)) == []
+
+
 def test_battery_against_definitions():
     rng = random.Random(3)
     pools = ["0123456789abcdef", string.ascii_letters + string.digits, "ab", "A2", "a", string.ascii_lowercase, string.ascii_letters + "+/", "ab_-Z9", "é1"]
