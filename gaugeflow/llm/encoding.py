@@ -31,6 +31,10 @@ _NOT_BEFORE_WORD = re.compile(r" (?!\S)")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: ``BYTE_LEVEL`` for ASCII texts; ``\\x1c`` to ``\\x1f`` are no white space there.
+ASCII_LEVEL = BYTE_LEVEL.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
+
+
 def visible_bytes() -> dict[int, str]:
     """The character that stands for each byte: printable ones for themselves,
     the others, in order, for code points from 256."""
@@ -56,6 +60,9 @@ class Memo(dict):
         split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL)
         self.find, self.model, self.code = regex.compile(split).findall, tokenizer.model, code
         self.normalizer, self.table, self.lead, self.limit = tokenizer.normalizer, visible_bytes(), lead, limit
+        self.seen_lead = lead.translate(self.table)
+        # The same words of a text of ASCII characters, found without Unicode's classes.
+        self.find_ascii = re.compile(ASCII_LEVEL, re.ASCII).findall if split == BYTE_LEVEL else self.find
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -72,12 +79,13 @@ class Memo(dict):
         return out
 
     def encoded(self, piece: str) -> bytes:
+        plain = piece.isascii()
+        if plain and piece.isalpha():  # one word, whatever the pattern
+            return self.tokens(self.seen_lead + (piece if self.normalizer is None else piece.lower()))
         text = self.lead + piece
         if self.normalizer is not None:
-            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        if piece.isascii() and piece.isalpha():  # one word, whatever the pattern
-            return self.ids(text)
-        words = self.find(text)
+            text = text.lower() if plain else self.normalizer.normalize_str(text)
+        words = (self.find_ascii if plain else self.find)(text)
         return self.ids(words[0]) if len(words) == 1 else b"".join(map(self.part, words))
 
     def part(self, word: str) -> bytes:
@@ -95,7 +103,9 @@ class Memo(dict):
         return out
 
     def ids(self, word: str) -> bytes:
-        seen = word.encode().decode("latin-1").translate(self.table)
+        return self.tokens(word.encode().decode("latin-1").translate(self.table))
+
+    def tokens(self, seen: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
 

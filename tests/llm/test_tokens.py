@@ -1,6 +1,7 @@
 """Token files and packing against the tokenizers library itself."""
 
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -10,9 +11,10 @@ from itertools import combinations_with_replacement
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from gaugeflow.llm import packing, token_files
+from gaugeflow.llm import encoding, packing, token_files
 from gaugeflow.llm.encoding import MemoEncoder
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -209,3 +211,12 @@ def test_a_memo_keeps_no_long_pieces(path):
     kept = [p for m in (enc.first, enc.rest) for d in (m, m.old, m.words) for p in d]
     assert max(map(len, kept), default=0) <= 48
     assert sum(len(p.encode()) for p in kept) < 50_000
+
+
+def test_ascii_words_are_those_of_the_files_pattern():
+    rng = random.Random(23)
+    plain, whole = re.compile(encoding.ASCII_LEVEL, re.ASCII).findall, regex.compile(encoding.BYTE_LEVEL).findall
+    every, few = [chr(i) for i in range(128)], " a'stdl1.\n\t\r-\x1c\x1f\x0b\x0c"
+    for i in range(20000):
+        text = "".join(rng.choices(every if i % 2 else few, k=rng.randint(0, 12)))
+        assert plain(text) == whole(text), text
