@@ -1,9 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts are normalised to words between single spaces; every window of an item
-is a pattern with a space at either end, so it matches whole words only. Each
-text is scanned once (once a block of a larger benchmark), and the places of hits are carried back to the words,
-and so to the characters, of the original text.
+Texts are normalised to words, and words to numbers; every window of an item is
+a sequence of these, so it matches whole words only. Each text is scanned once
+(once a block of a larger benchmark), and the places of hits are carried back
+from the words to the characters of the original text.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
 from functools import reduce
-from itertools import chain
+from itertools import chain, repeat
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,39 +24,27 @@ from .common import Kept, discard, need, tidy, written
 
 #: Bytes that are no part of a word once A-Z are lower case: all ASCII but digits and a-z.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 32 for b in range(256))
-#: Bytes of benchmark text a block. An automaton takes about 450 times as much (385 MB were measured for 0.85 MB).
-MAX_BYTES = 512 << 10
+#: Bytes of benchmark text a block. An automaton takes some 45 times as much (350 MB were measured for 8.1 MB of rare words).
+MAX_BYTES = 8 << 20
 
 
-def normal(text: str | None) -> str:
-    """The words of ``text``, lower-cased in A-Z, one space around each."""
-    if not text:
-        return " "
-    return b" ".join([b"", *text.encode().lower().translate(_TO_SPACE).split(), b""]).decode()
-
-
-def words_of(text: str | None) -> list[str]:
-    """The words of ``normal``: only its spaces part them, as Unicode's other spaces are word characters."""
-    return normal(text).split(" ")[1:-1]
-
-
-def windows(text: str | None, size: int) -> list[str]:
-    words = words_of(text)
-    return [" " + " ".join(words[i : i + size]) + " " for i in range(max(1, len(words) - size + 1))] if words else []
+def words_of(text: str | None) -> list[bytes]:
+    """The words of ``text``, lower-cased in A-Z, as UTF-8; Unicode's other spaces are word characters."""
+    return text.encode().lower().translate(_TO_SPACE).split() if text else []
 
 
 def cut(text: str | None, size: int, most: int) -> Iterator[str]:
     """Runs of the words of ``text`` of about ``most`` bytes, which overlap so that they have its windows."""
     words, start, end, weight = words_of(text), 0, 0, 0
     while end < len(words):
-        weight += len(words[end].encode()) + 1
+        weight += len(words[end]) + 1
         end += 1
         if weight >= most and end - start >= size and end < len(words):
-            yield " ".join(words[start:end])
+            yield b" ".join(words[start:end]).decode()
             start = end - size + 1
-            weight = sum(len(w.encode()) + 1 for w in words[start:end])
+            weight = sum(len(w) + 1 for w in words[start:end])
     if words:
-        yield " ".join(words[start:])
+        yield b" ".join(words[start:]).decode()
 
 
 def _blocks(benchmark: DataFrame, size: int, max_bytes: int) -> Iterator[tuple[tuple[str, str], ...]]:
@@ -77,24 +64,128 @@ def _blocks(benchmark: DataFrame, size: int, max_bytes: int) -> Iterator[tuple[t
     yield tuple(sorted(block))
 
 
-def _build(items: tuple[tuple[str, str], ...], size: int) -> ahocorasick.Automaton:
-    found = defaultdict(set)
-    for item, text in items:
-        for w in windows(text, size):
-            found[w].add(item)
-    machine = ahocorasick.Automaton()
-    for w, own in found.items():
-        machine.add_word(w, (len(w), w.count(" ") - 1, tuple(own)))
-    if found:
-        machine.make_automaton()
-    return machine
+class Machine:
+    """An automaton in flat arrays, over the numbers of a block's distinct words (from 1; 0 is any other word).
+
+    States are the distinct starts of windows, numbered by length, then by their own start and last word; so one sorted
+    array of (start << 32 | word) holds all edges, and a state's place there is its number. State 0 is the empty start.
+    A state has 16 bytes, and a word of an item has at most ``size`` states."""
+
+    #: Words a segment: texts are cut into these, and all segments of a batch take their steps together.
+    SEGMENT = 128
+
+    def __init__(self, items: tuple[tuple[str, str], ...], size: int):
+        self.size, self.numbers = size, {}
+        numbers, ids = self.numbers, [np.zeros(0, np.int32)]
+        for _, text in items:
+            ids.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)), np.int32))
+        self.names = [item for item, _ in items]
+        self._states(np.concatenate(ids), np.array([len(x) for x in ids[1:]], np.int64))
+        self._fails()
+
+    def _states(self, words: np.ndarray, n: np.ndarray) -> None:
+        """Edges of the windows of items of ``n`` words each, and which items have the window that ends in a state."""
+        count = np.where(n >= self.size, n - self.size + 1, np.minimum(n, 1))
+        item = np.repeat(np.arange(len(n)), count)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(n) - n, count)
+        length = np.minimum(n, self.size)[item]
+        state, edges, self.levels = np.zeros(len(at), np.int64), [np.array([-1])], [0, 1]
+        for depth in range(self.size):
+            on = np.flatnonzero(length > depth)
+            edge, place = np.unique(state[on] << 32 | words[at[on] + depth], return_inverse=True)
+            state[on] = self.levels[-1] + place
+            edges.append(edge)
+            self.levels.append(self.levels[-1] + len(edge))
+        self.edges = np.concatenate(edges)
+        # items with equal ids, or a window twice in one, are one pair
+        pairs = np.unique(state << 32 | item)
+        self.ends, self.first = np.unique(pairs >> 32, return_index=True)
+        self.first = np.append(self.first, len(pairs))
+        self.items = (pairs & 0xFFFFFFFF).astype(np.int32)
+
+    def _fails(self) -> None:
+        """Each state's longest proper suffix that is a state, and its longest suffix (itself included) that is a whole window."""
+        self.root = np.zeros(len(self.numbers) + 1, np.int32)
+        self.root[self.edges[1 : self.levels[2]]] = np.arange(1, self.levels[2])
+        self.fail, self.last = np.zeros((2, len(self.edges)), np.int32)
+        self.last[self.ends] = self.ends
+        for start, end in zip(self.levels[1:], self.levels[2:]):
+            if start > 1:
+                edge = self.edges[start:end]
+                self.fail[start:end] = self.step(self.fail[edge >> 32], (edge & 0xFFFFFFFF).astype(np.int32))
+            last = self.last[start:end]
+            self.last[start:end] = np.where(last > 0, last, self.last[self.fail[start:end]])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The states after ``word``: along the edge, or the edge of the longest suffix that has one."""
+        out = self.root[word]
+        # A word that isn't in the block leads to the empty start at once.
+        live = np.flatnonzero((state > 0) & (word > 0))
+        state = state[live]
+        while len(live):
+            edge = state.astype(np.int64) << 32 | word[live]
+            to = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            found = self.edges[to] == edge
+            out[live[found]] = to[found]
+            state = self.fail[state[~found]]
+            live = live[~found][state > 0]
+            state = state[state > 0]
+        return out
+
+    def states(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of words before each text (and in all), and the state after each word.
+
+        A state spans at most ``size`` words, so a segment starts as many words less one before its own first."""
+        ids = [np.fromiter(map(self.numbers.get, words_of(t), repeat(0)), np.int32) for t in texts]
+        before = np.cumsum([0, *map(len, ids)])
+        words = np.concatenate([np.zeros(0, np.int32), *ids])
+        parts = -(-np.diff(before) // self.SEGMENT)
+        of = np.repeat(np.arange(len(texts)), parts)
+        own = before[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * self.SEGMENT
+        start, end = np.maximum(before[of], own - self.size + 1), np.minimum(before[of + 1], own + self.SEGMENT)
+        order = np.argsort(start - end, kind="stable")
+        own, start, end = own[order], start[order], end[order]
+        longest = end - start
+        out, state = np.zeros(len(words), np.int32), np.zeros(len(own), np.int32)
+        for t in range(int(longest[0]) if len(longest) else 0):
+            active = int(np.searchsorted(-longest, -t))
+            at = start[:active] + t
+            state = self.step(state[:active], words[at])
+            mine = at >= own[:active]
+            out[at[mine]] = state[mine]
+        return before, out
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Of each text the number of words, merged intervals of hit words, items hit."""
+        before, states = self.states(texts)
+        spans, own = defaultdict(list), defaultdict(set)
+        window = self.last[states]
+        at = np.flatnonzero(window)
+        window = window[at]
+        while len(at):
+            length = np.searchsorted(self.levels, window, "right") - 1
+            text = np.searchsorted(before, at, "right") - 1
+            for i, a, k in zip(text.tolist(), (at - before[text]).tolist(), length.tolist(), strict=True):
+                spans[i].append((a - k + 1, a + 1))
+            for i, e in np.unique(np.column_stack([text, np.searchsorted(self.ends, window)]), axis=0).tolist():
+                own[i].update(self.names[x] for x in self.items[self.first[e] : self.first[e + 1]])
+            window = self.last[self.fail[window]]
+            at = at[window > 0]
+            window = window[window > 0]
+        return [(int(n), merge(spans[i]) if i in spans else [], own[i] if i in own else set()) for i, n in enumerate(np.diff(before))]
+
+    def hits(self, texts: list[str | None]) -> np.ndarray:
+        """Whether any window occurs, of each text."""
+        before, states = self.states(texts)
+        found = np.concatenate([[0], np.cumsum(self.last[states] > 0)])[before]
+        return np.diff(found) > 0
 
 
 #: The worker's last automaton; it goes before the next one is made.
-_MADE = Kept(_build, most=1)
+_MADE = Kept(Machine, most=1)
 
 
-def automaton(items: tuple[tuple[str, str], ...], size: int) -> AbstractContextManager[ahocorasick.Automaton]:
+def automaton(items: tuple[tuple[str, str], ...], size: int) -> AbstractContextManager[Machine]:
     return _MADE.use(items, size)
 
 
@@ -109,19 +200,6 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(m) for m in merged]
 
 
-def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, merged intervals of hit words, items hit."""
-    words = normal(text)
-    n = max(0, words.count(" ") - 1)
-    hits = list(machine.iter(words)) if n and len(machine) else []
-    if not hits:
-        return n, [], set()
-    # number of the word that starts after each space
-    before = np.cumsum(np.frombuffer(words.encode("utf-32-le"), "<u4") == 32)
-    spans = [(int(before[end - length + 1]) - 1, int(before[end - length + 1]) - 1 + k) for end, (length, k, _) in hits]
-    return n, merge(spans), set().union(*(own for _, (_, _, own) in hits))
-
-
 def original_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character places (end exclusive) of intervals of words in ``text``."""
     chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -170,7 +248,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int =
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             with automaton(sent.value, size) as machine:
-                out = _frame(pdf["doc_id"], [_row(t, *scan(machine, t)) for t in pdf["text"].tolist()])
+                out = _frame(pdf["doc_id"], [_row(t, *found) for t, found in zip(pdf["text"].tolist(), machine.scan(pdf["text"].tolist()), strict=True)])
             yield out
 
     return written(keyed.mapInPandas(tidy(each), _SHAPE), "marks")
@@ -184,7 +262,7 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 with automaton(sent.value, size) as machine:
-                    found = [(r, *scan(machine, t)) for r, t in zip(pdf["row"], pdf["text"].tolist(), strict=True)]
+                    found = [(r, *x) for r, x in zip(pdf["row"], machine.scan(pdf["text"].tolist()), strict=True)]
                 yield pd.DataFrame([(r, [x for span in spans for x in span], sorted(own)) for r, _, spans, own in found if spans], columns=["row", "at", "own"])
 
         return each
@@ -201,7 +279,7 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
             rows = []
             for text, at, own in zip(pdf["text"].tolist(), pdf["at"], pdf["own"], strict=True):
                 at, own = ([], []) if at is None else (at, own)
-                rows.append(_row(text, max(0, normal(text).count(" ") - 1), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
+                rows.append(_row(text, len(words_of(text)), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
             yield _frame(pdf["doc_id"], rows)
 
     return numbered.join(of_row, "row", "left").select("doc_id", "text", "at", "own").mapInPandas(tidy(unite), _SHAPE)
@@ -215,7 +293,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_bytes: int
         @F.pandas_udf("boolean")
         def clean(texts: pd.Series) -> pd.Series:
             with automaton(sent.value, size) as machine:
-                return pd.Series([not (len(machine) and t and next(machine.iter(normal(t)), None)) for t in texts])
+                return pd.Series(~machine.hits(texts.tolist()))
 
         return clean(F.col("text"))
 

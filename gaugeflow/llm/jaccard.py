@@ -297,7 +297,9 @@ def _verified(docs: DataFrame, size: int, limit: Threshold, pairs: DataFrame) ->
     keys = written(keys, "candidate-classes")
     sets = written(_sets_of(docs, size, keys), "candidate-sets")
     discard(docs.sparkSession, keys)
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+    # A hub has a pair with each of its near copies: such pairs are dealt out, and the hub's set is repeated for each share.
+    both = join_hot(pairs, sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a", F.col("b"), hot_keys(pairs, "a"), "inner")
+    both = join_hot(both, sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b", F.col("a"), hot_keys(pairs, "b"), "inner")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -108,3 +108,11 @@ def test_suffix_filter_keeps_what_links():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 400, 8).astype("u8")]))
         differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
         assert not J.suffix_reject(a, b, differ)
+
+
+def test_hub_of_many_near_copies(docs):
+    """A hub with so many pairs that they are dealt out to many tasks."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"x{i}"])) for i in range(1300)] + [(5000, "quite another text of its own")]
+    found = J.jaccard_components(docs(*rows)).select("doc_id", "component_id")
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1300)] + [(5000, 5000)]

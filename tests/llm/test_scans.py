@@ -360,6 +360,29 @@ def test_quality_of_nothing(docs, spark):
     assert sorted(twice, key=str) == [(1, True), (1, True), (None, False), (None, True)]
 
 
+def test_automaton_against_plain_search():
+    draw = random.Random(7)
+    for segment in (1, 2, 5, 128) * 25:
+        items = tuple((str(i), " ".join(draw.choices("ab", k=draw.choice([0, 1, 2, 3, 5, 9])))) for i in range(4))
+        texts = [*(" ".join(draw.choices("abc", k=draw.randrange(40))) for _ in range(3)), None, ""]
+        machine = decontaminate.Machine(items, 3)
+        machine.SEGMENT = segment
+        found = machine.scan(texts)
+        for text, (n, spans, own) in zip(texts, found, strict=True):
+            words, hit, of = (text or "").split(), set(), set()
+            for name, item in items:
+                item = item.split()
+                k = min(3, len(item))
+                for j in range(len(item) - k + 1 if item else 0):
+                    for p in range(len(words) - k + 1):
+                        if words[p : p + k] == item[j : j + k]:
+                            of.add(name)
+                            hit |= set(range(p, p + k))
+            assert (n, of) == (len(words), own) and hit == {p for a, b in spans for p in range(a, b)}
+        assert machine.hits(texts).tolist() == [bool(spans) for _, spans, _ in found]
+    assert decontaminate.Machine((), 3).scan(["a b", None]) == [(2, [], set()), (0, [], set())] and decontaminate.Machine((), 3).scan([]) == []
+
+
 def test_decontamination_of_nothing(docs, spark):
     none, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.mark(none, bench).count() == 0 and decontaminate.remove(none, bench).count() == 0
