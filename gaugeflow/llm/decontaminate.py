@@ -28,14 +28,19 @@ _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" els
 MAX_BYTES = 8 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
+def byte_words(text: str | None) -> list[bytes]:
     """The words of ``text``, lower-cased in A-Z, as UTF-8; Unicode's other spaces are word characters."""
     return text.encode().lower().translate(_TO_SPACE).split() if text else []
 
 
+def words_of(text: str | None) -> list[str]:
+    """``byte_words`` as strings."""
+    return [w.decode() for w in byte_words(text)]
+
+
 def cut(text: str | None, size: int, most: int) -> Iterator[str]:
     """Runs of the words of ``text`` of about ``most`` bytes, which overlap so that they have its windows."""
-    words, start, end, weight = words_of(text), 0, 0, 0
+    words, start, end, weight = byte_words(text), 0, 0, 0
     while end < len(words):
         weight += len(words[end]) + 1
         end += 1
@@ -78,7 +83,7 @@ class Machine:
         self.size, self.numbers = size, {}
         numbers, ids = self.numbers, [np.zeros(0, np.int32)]
         for _, text in items:
-            ids.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)), np.int32))
+            ids.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in byte_words(text)), np.int32))
         self.names = [item for item, _ in items]
         self._states(np.concatenate(ids), np.array([len(x) for x in ids[1:]], np.int64))
         self._fails()
@@ -136,7 +141,7 @@ class Machine:
         """Number of words before each text (and in all), and the state after each word.
 
         A state spans at most ``size`` words, so a segment starts as many words less one before its own first."""
-        ids = [np.fromiter(map(self.numbers.get, words_of(t), repeat(0)), np.int32) for t in texts]
+        ids = [np.fromiter(map(self.numbers.get, byte_words(t), repeat(0)), np.int32) for t in texts]
         before = np.cumsum([0, *map(len, ids)])
         words = np.concatenate([np.zeros(0, np.int32), *ids])
         parts = -(-np.diff(before) // self.SEGMENT)
@@ -279,7 +284,7 @@ def _mark_blocks(keyed: DataFrame, blocks: Iterator[tuple], size: int) -> DataFr
             rows = []
             for text, at, own in zip(pdf["text"].tolist(), pdf["at"], pdf["own"], strict=True):
                 at, own = ([], []) if at is None else (at, own)
-                rows.append(_row(text, len(words_of(text)), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
+                rows.append(_row(text, len(byte_words(text)), merge([(int(a), int(b)) for a, b in zip(at[::2], at[1::2], strict=True)]), set(own)))
             yield _frame(pdf["doc_id"], rows)
 
     return numbered.join(of_row, "row", "left").select("doc_id", "text", "at", "own").mapInPandas(tidy(unite), _SHAPE)
