@@ -241,6 +241,15 @@ def test_leading_crop(spark):
     assert R.leading_crop(c).first()[0] == 2
 
 
+def test_a_months_mean_is_the_same_in_any_order(spark):
+    """Copies of a station, whose days come in different orders, have the same cells."""
+    days = [(f"2000-{m:02d}-{d:02d}", v) for m, vs in ((1, (0.1, 0.2, 0.3)), (2, (1 / 3, 7 / 3, 22.1)), (3, (1e-9, 5e3, -5e3))) for d, v in enumerate(vs, 1)]
+    means = frame(spark, "station_id int, day string, mean double", *[(1, *x) for x in days], *[(2, *x) for x in days[::-1]], *[(3, d, float("inf")) for d, _ in days[:2]]).withColumn("day", F.to_date("day")).coalesce(1)
+    cells = S.month_cells(means, S.climatology(means, 2001)).collect()
+    a, b, c = ({r["month"]: (r["v"], r["level"]) for r in cells if r["station_id"] == k} for k in (1, 2, 3))
+    assert a == b and c[1][0] == float("inf")
+
+
 def test_near_axis(spark):
     axis = frame(spark, "river string, km double, lat double, lon double", ("R", 0.0, 50.0, 7.0), ("R", 10.0, 50.0, 7.14))
     pos = frame(spark, "pos_id int, lat double, lon double", (1, 50.005, 7.07), (2, 50.1, 7.07), (3, None, None))
