@@ -130,8 +130,10 @@ def _clip(t: Column) -> Column:
 
 def axis_cells(axis: DataFrame, most_km: float) -> DataFrame:
     """Segments between neighbouring stations of a river, a row for each grid
-    cell (``cx, cy``) that has a point within ``most_km`` of it, or may have."""
-    own = Window.partitionBy("river").orderBy("km")
+    cell (``cx, cy``) that has a point within ``most_km`` of it, or may have.
+    Stations of equal km follow each other by ``station_id``, if there is one,
+    and by place, so that the same stations always give the same segments."""
+    own = Window.partitionBy("river").orderBy("km", *[c for c in ("station_id", "lat", "lon") if c in axis.columns])
     seg = axis.where("lat is not null and lon is not null and km is not null").select("river", "km", "lat", "lon", F.lead("km").over(own).alias("km2"), F.lead("lat").over(own).alias("lat2"), F.lead("lon").over(own).alias("lon2")).where("km2 is not null")
     cell, pad = _cell(most_km), most_km / 111.0
     wide = F.lit(pad) / F.greatest(F.cos(F.radians(F.greatest(F.abs("lat"), F.abs("lat2")) + pad)), F.lit(0.01))

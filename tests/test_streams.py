@@ -151,6 +151,16 @@ def plain_near(points, segments, most=2.0):
     return out
 
 
+def test_stations_of_equal_km_have_one_order(spark):
+    """Segments don't depend on the order in which stations come."""
+    near = []
+    for way in (1, -1):
+        axis = frame(spark, "river string, station_id int, km double, lat double, lon double", *[("R", k, float(k // 4), 50.0 + k * 7 % 5 / 50, 7.0 + k / 50) for k in range(20)][::way]).coalesce(1)
+        segs = R.axis_cells(axis, 2.0).select("km", "lat", "lon", "lat2", "lon2").distinct()
+        near.append(rows(segs))
+    assert near[0] == near[1] and all(lon2 > lon for lon, lon2 in ((r[near[0][0].index("lon")], r[near[0][0].index("lon2")]) for r in near[0][1]))
+
+
 def test_a_long_diagonal_takes_few_cells(spark):
     """Cells grow with a segment's length, not with its box."""
     axis = frame(spark, "river string, km double, lat double, lon double", ("R", 0.0, 40.0, 0.0), ("R", 900.0, 60.0, 20.0))
