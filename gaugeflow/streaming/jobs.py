@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,12 +105,59 @@ def enrich(live: DataFrame, baseline: DataFrame) -> DataFrame:
     return live.join(baseline.select("station_id", "base"), "station_id").withColumn("delta", F.col("value") - F.col("base"))
 
 
+#: Groups of stations that share their state. Stays as it is while a checkpoint is in use.
+_SHARDS = 1024
+
+
 def sliding_trend(points: DataFrame, watermark: str = "1 hour", least_hours: float = 1.0) -> DataFrame:
-    """Trend an hour in sliding windows of 6 hours, a quarter of an hour apart."""
-    own = points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy("station_id", F.window("ts", "6 hours", "15 minutes").alias("w"))
-    ends = own.agg(F.min_by("value", "ts").alias("v0"), F.min("ts").alias("t0"), F.max_by("value", "ts").alias("v1"), F.max("ts").alias("t1"))
-    hours = (F.unix_micros("t1") - F.unix_micros("t0")) / 3.6e9
-    return ends.select("station_id", F.col("w.end").alias("at"), F.when(hours >= least_hours, (F.col("v1") - F.col("v0")) / hours).alias("trend"))
+    """Trend an hour in sliding windows of 6 hours, a quarter of an hour apart:
+    ``station_id, at`` (the window's end) and ``trend``, from its oldest to its
+    newest point. Windows whose points are less than ``least_hours`` apart have
+    no row, nor have those in which either value is missing.
+
+    A window is given once, when the watermark has passed its end. State is the
+    points that an open window may have, each held once, not once for each of
+    the 24 windows that it lies in; it goes when no point can come any more that
+    lies in a window given before. Stations share state in ``_SHARDS`` groups by
+    their hash, as a group costs more than its points do."""
+    step, length = 900_000_000, 21_600_000_000
+
+    def follow(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stations, held, values, given = state.get if state.exists else ([], [], [], 0)
+        passed = max(0, state.getCurrentWatermarkMs()) * 1000
+        own: dict = {}
+        for s, t, v in zip(stations, held, values, strict=True):
+            own.setdefault(s, []).append((t, v))
+        for pdf in () if state.hasTimedOut else batches:
+            for s, t, v in zip(pdf["station_id"].tolist(), pdf["t"].tolist(), pdf["value"].tolist(), strict=True):
+                own.setdefault(s, []).append((t, None if v != v else v))
+        rows, kept, wake = [], [], passed + length
+        for station, points in own.items():
+            points.sort(key=lambda p: (p[0], p[1] is None, p[1] or 0.0))
+            times = [t for t, _ in points]
+            # A window of two points or more has two that follow each other: its end is past the later one, and not past the earlier one by more than its length.
+            ends = sorted({e for t, u in zip(times, times[1:]) if u - t < length for e in range(max(u // step * step + step, given // step * step), t // step * step + length + 1, step) if e > given})
+            for end in ends[: bisect_right(ends, passed)]:
+                first, last = bisect_left(times, end - length), bisect_left(times, end) - 1
+                hours = (times[last] - times[first]) / 3.6e9
+                if hours >= least_hours and points[first][1] is not None and points[last][1] is not None:
+                    rows.append((station, pd.Timestamp(end, unit="us"), (points[last][1] - points[first][1]) / hours))
+            kept += [(station, *p) for p in points if p[0] // step * step + length > passed]
+            later = ends[bisect_right(ends, passed) :]
+            wake = min([wake, *later[:1]])
+        if not kept and not own and passed - given >= length:
+            state.remove()
+        else:
+            state.update(tuple([p[k] for p in kept] for k in range(3)) + (passed,))
+            state.setTimeoutTimestamp(max(wake // 1000, passed // 1000 + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["station_id", "at", "trend"]).astype({"at": "datetime64[us]", "trend": "float64"})
+
+    # The watermark is on a point's time and the length of a window: Spark then drops a point once no open window has it, and not before.
+    shard, ts = F.pmod(F.xxhash64("station_id"), F.lit(_SHARDS)), F.col("ts").cast("timestamp")
+    cast = points.where(ts.isNotNull()).select(shard.alias("shard"), F.col("station_id").cast("string").alias("station_id"), F.unix_micros(ts).alias("t"), F.col("value").cast("double").alias("value"), (ts + F.expr("INTERVAL 6 HOURS")).alias("last")).withWatermark("last", f"{watermark} 6 hours")
+    out = cast.groupBy("shard").applyInPandasWithState(follow, "station_id string, at timestamp, trend double", "stations array<string>, held array<long>, values array<double>, given long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("station_id", F.col("station_id").cast(dict(points.dtypes)["station_id"]))
 
 
 def stateful_gaps(points: DataFrame, limit_minutes: float = 90, watermark: str = "2 hours", silent_hours: float = 168) -> DataFrame:

@@ -169,3 +169,28 @@ def test_a_long_diagonal_takes_few_cells(spark):
     boxes = (20 / (2 / 111 * 4)) ** 2
     cells = R.axis_cells(axis, 2.0).count()
     assert cells < boxes / 30
+
+
+def test_trends_hold_each_point_once(spark, tmp_path):
+    """Trends over batches are those of all windows at once, and a station's state is as long as its points are many."""
+    feed = Feed(spark, tmp_path)
+    trends = lambda: run(ST.sliding_trend(feed.stream(), "2 hours"), tmp_path)
+    pts = [("s", day(1, f"{h:02d}:{m:02d}"), float(h * h + m)) for h in range(10) for m in (0, 7, 40)]
+    feed.add(*pts[:12], ("t", day(1, "01:00"), 5.0), ("t", day(1, "02:30"), None))
+    feed.add(*pts[15:], *pts[12:15])
+    q = trends()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2  # windows would be some 60
+    feed.add(("s", day(3), 1.0), ("s", day(2, "23:30"), 1.0))
+    feed.add(("u", day(4), 1.0))
+    trends()
+    got = one(spark.read.parquet(str(tmp_path / "out")), "station_id", "at", "trend")
+    at = lambda p: dt.datetime.fromisoformat(p[1])
+    want, end = [], dt.datetime(2024, 1, 1, 0, 15)
+    while end <= dt.datetime(2024, 1, 1, 16):
+        own = [p for p in pts if end - dt.timedelta(hours=6) <= at(p) < end]
+        hours = (at(own[-1]) - at(own[0])).total_seconds() / 3600 if own else 0
+        if hours >= 1:
+            want.append(("s", end, (own[-1][2] - own[0][2]) / hours))
+        end += dt.timedelta(minutes=15)
+    assert [(s, a) for s, a, _ in got] == [(s, a) for s, a, _ in want]
+    assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want, strict=True))
