@@ -70,10 +70,16 @@ def measurements_of(raw: DataFrame) -> DataFrame:
     return rows.select("station_id", F.try_to_timestamp(F.col("m.timestamp")).alias("ts"), F.col("m.value").alias("value")).where("ts is not null and value is not null")
 
 
-def read_measurements(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_measurements(spark: SparkSession, path: str, stream: bool = False, named: bool = False) -> DataFrame:
     """Readings of a folder of JSON arrays, one a line, in a subfolder a station
-    (``station_id=...``); as a stream, with ``stream``, files as they come."""
+    (``station_id=...``) or, with ``named``, after the line's station and a tab,
+    so that few files hold many stations; as a stream, with ``stream``, files as
+    they come."""
     source = spark.readStream if stream else spark.read
+    if named:
+        line, tab = F.col("value"), F.instr("value", "\t")
+        raw = source.text(path).where(tab > 0)
+        return measurements_of(raw.select(F.substring(line, F.lit(1), tab - 1).alias("station_id"), F.substring(line, tab + 1, F.length(line)).alias("body")))
     raw = source.schema("value STRING, station_id STRING").text(path)
     return measurements_of(raw.select("station_id", F.col("value").alias("body")))
 

@@ -137,6 +137,16 @@ def test_append_equals_rebuild_and_clears_stale_cells(spark, tmp_path):
     assert rows(B.read_table(spark, path, "monthly").where("year = 2000 and v is not null").select(cols)) == rows(month.where("year = 2000 and v is not null").select(cols))
 
 
+def test_read_measurements_of_many_stations_a_file(spark, tmp_path):
+    """Stations are in their lines; a line without one gives nothing."""
+    body = '[{"timestamp":"2024-01-01T00:00:00Z","value":-.5}]'
+    (tmp_path / "a.txt").write_text("".join(f"s{k}\t{body}\n" for k in range(3)) + body + "\n")
+    got = S.read_measurements(spark, str(tmp_path), named=True).collect()
+    assert sorted((r["station_id"], r["value"]) for r in got) == [(f"s{k}", -0.5) for k in range(3)]
+    Q.read_measurements(spark, SF).count()
+    assert all("=" not in f for f in Q.read_measurements(spark, SF).inputFiles())
+
+
 def test_compact_years(spark, tmp_path):
     for station, y, body in (("s", 2020, None), ("s", 2019, None), ("bad", 2020, "{rubbish"), ("bad", 2019, None)):
         (tmp_path / "in" / station).mkdir(parents=True, exist_ok=True)
