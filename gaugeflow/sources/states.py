@@ -19,6 +19,7 @@ import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,9 +104,14 @@ def aside(df: DataFrame):
 
 def _put(df: DataFrame, folder: str, by: str | None, order: list[str], file_rows: int) -> list[str]:
     """Write ``df`` into ``folder`` in files of ``file_rows`` rows by rank in
-    ``order``, and in ``by``'s partitions; returns the partitions' names."""
-    spark, ordered = df.sparkSession, new_path(df.sparkSession, "ordered")
+    ``order``, and in ``by``'s partitions; returns the partitions' names.
+
+    Spark writes into a draft within the folder, from where each file is moved
+    to its name: the driver takes one step a file, and one for all the rest."""
+    spark, ordered, draft = df.sparkSession, new_path(df.sparkSession, "ordered"), f"{folder}/_draft"
     keys = [by, "__file"] if by else ["__file"]
+    fs, make = _hadoop(spark, folder)
+    fs.delete(make(folder), True)
     try:
         with aside(df) as copy:
             groups = copy.groupBy(by) if by else copy.groupBy()
@@ -114,23 +120,29 @@ def _put(df: DataFrame, folder: str, by: str | None, order: list[str], file_rows
                 filed = copy.withColumn("__file", F.lit(0).cast("long"))
             else:
                 filed = numbered(copy, order, [by] if by else None, at=ordered).drop("group_rows").withColumn("__file", F.floor(F.col("rank") / file_rows)).drop("rank")
-            filed.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(folder)
+            # Nobody reads the draft, so tasks may move their files themselves: the driver has no list of them to go through.
+            filed.repartition(*keys).sortWithinPartitions(*keys, *order).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).parquet(draft)
     finally:
         remove(spark, ordered)
-    parts = [n for n in _names(spark, folder) if n.startswith(f"{by}=")] if by else [""]
-    fs, make = _hadoop(spark, folder)
-
-    def name(part: str) -> None:
-        at = f"{folder}/{part}".rstrip("/")
-        for group in [n for n in _names(spark, at) if n.startswith("__file=")]:
-            files = [n for n in _names(spark, f"{at}/{group}") if not n.startswith(("_", "."))]
-            number = int(group.partition("=")[2])
-            for k, file in enumerate(files):  # one, unless a task was cut by the session's own limit of rows a file
-                fs.rename(make(f"{at}/{group}/{file}"), make(f"{at}/rows-{number:06d}-{k:02d}.parquet"))
-            fs.delete(make(f"{at}/{group}"), True)
+    written = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(draft).inputFiles()
+    groups: dict[tuple[str, int], list[str]] = {}
+    for at in written:
+        *part, number, file = unquote(at).rpartition("/_draft/")[2].split("/")
+        groups.setdefault(("/".join(part), int(number.partition("=")[2])), []).append(file)
+    parts = sorted({part for part, _ in groups}) if by else [""]
+    for part in parts:
+        fs.mkdirs(make(f"{folder}/{part}".rstrip("/")))
+
+    def name(group: tuple[str, int]) -> None:
+        part, number = group
+        for k, file in enumerate(sorted(groups[group])):  # one, unless a task was cut by the session's own limit of rows a file
+            start, end = "/".join(x for x in (draft, part, f"__file={number}", file) if x), "/".join(x for x in (folder, part, f"rows-{number:06d}-{k:02d}.parquet") if x)
+            if not fs.rename(make(start), make(end)):
+                raise RuntimeError(f"{start} couldn't be moved to {end}")
 
     with ThreadPoolExecutor(8) as pool:
-        list(pool.map(name, parts))
+        list(pool.map(name, groups))
+    fs.delete(make(draft), True)
     return [p.partition("=")[2] for p in parts]
 
 

@@ -110,3 +110,31 @@ def test_pruned_months_leave_the_table(spark, tmp_path):
     assert {r["month"] for r in B.read_table(spark, path).collect()} == {"2026-07", "2026-08"}
     assert B.prune_snapshot(spark, path, "2026-08-20", 1) == []
     assert B.prune_snapshot(spark, str(tmp_path / "none"), "2026-08-20", 1) == []
+
+
+def test_a_file_that_cannot_be_moved_fails_the_commit(spark, tmp_path, monkeypatch):
+    """A file that stays where it is must not go with its draft, and no state may name what isn't there."""
+    path, hadoop = str(tmp_path / "daily"), states._hadoop
+
+    class Stuck:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, start, end):
+            return False if end.getName().startswith("rows-") else self.fs.rename(start, end)
+
+    def stuck(*a):
+        fs, make = hadoop(*a)
+        return Stuck(fs), make
+
+    df = daily(spark, ("s", "2024-01-01", 1.0, 9.0))
+    with monkeypatch.context() as m:
+        m.setattr(states, "_hadoop", stuck)
+        with pytest.raises(RuntimeError, match="moved"):
+            states.commit(spark, path, {"": df}, {"": "year"}, {"": ["station_id", "doy"]})
+    assert states.current(spark, path) is None
+    states.commit(spark, path, {"": df}, {"": "year"}, {"": ["station_id", "doy"]})
+    assert rows(B.read_table(spark, path)) == rows(df.select(sorted(df.columns)))
