@@ -139,13 +139,23 @@ def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, pat
     return True
 
 
-def compact_years(spark: SparkSession, path: str, out: str, schema: str = "station_id STRING, y INT, min ARRAY<DOUBLE>, max ARRAY<DOUBLE>", lines: bool = False) -> DataFrame:
+def compact_years(spark: SparkSession, path: str, out: str, schema: str = "station_id STRING, y INT, min ARRAY<DOUBLE>, max ARRAY<DOUBLE>", lines: bool = False, named: bool = False) -> DataFrame:
     """Fold per-year JSON files into one sorted bundle table; a station with a
     malformed file is left out whole. Returns ``station_id, file, ok``; inputs
     stay where they are. The station is the file's folder, its name or
-    ``station_id=`` and its name. With ``lines`` a file has a year a line."""
-    raw = spark.read.schema(schema + ", _corrupt_record STRING").option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
-    raw = raw.withColumn("file", F.input_file_name()).withColumn("folder", F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^station_id=", ""))
+    ``station_id=`` and its name. With ``lines`` a file has a year a line.
+    With ``named`` the year comes after the line's station and a tab, so that
+    few files hold many stations: a malformed line spoils its station alone,
+    and so does one without a tab, whose station is all of the line."""
+    if named:
+        line, tab = F.col("value"), F.instr("value", "\t")
+        rows = spark.read.option("recursiveFileLookup", True).text(path).where(F.trim("value") != "").withColumn("file", F.input_file_name())
+        text = F.when(tab > 0, F.substring(line, tab + 1, F.length(line))).otherwise("")
+        parsed = F.from_json(text, schema + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"})
+        raw = rows.select("file", F.when(tab > 0, F.substring(line, F.lit(1), tab - 1)).otherwise(line).alias("folder"), parsed.alias("j")).select("file", "folder", "j.*")
+    else:
+        raw = spark.read.schema(schema + ", _corrupt_record STRING").option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
+        raw = raw.withColumn("file", F.input_file_name()).withColumn("folder", F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^station_id=", ""))
     report = new_path(spark, "compacted")
     with states.aside(raw.withColumn("ok", F.col("_corrupt_record").isNull() & F.col("y").isNotNull())) as copy:
         bad = copy.where("not ok").select("folder").distinct()

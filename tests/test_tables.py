@@ -156,6 +156,21 @@ def test_compact_years(spark, tmp_path):
     assert one(spark.read.parquet(str(tmp_path / "out")), "station_id", "y") == [("s", 2019), ("s", 2020)]
 
 
+def test_compact_years_of_many_stations_a_file(spark, tmp_path):
+    """A malformed line, or one that names no station, spoils that station in all files, and no other of its own."""
+    year = '{"y":%d,"min":[1.0],"max":[2.0]}'
+    texts = {"one": ["a\t" + year % 2001, "b\t" + year % 2000, "", "c\t" + year % 2001, "d"], "two": ["a\t" + year % 2000, "b\t" + (year % 2001)[:12], "c\t[]"]}
+    for name, found in texts.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{name}.txt").write_text("\n".join(found))
+    report = B.compact_years(spark, str(tmp_path / "in"), str(tmp_path / "out"), named=True)
+    assert sorted((r["station_id"], r["file"].rsplit("/")[-1], r["ok"]) for r in report.collect()) == [
+        ("a", "one.txt", True), ("a", "two.txt", True), ("b", "one.txt", True), ("b", "two.txt", False), ("c", "one.txt", True), ("c", "two.txt", False), ("d", "one.txt", False),
+    ]
+    assert [(r["station_id"], r["y"], r["min"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2000, [1.0]), ("a", 2001, [1.0])]
+
+
+
 def source(spark, tmp_path):
     path = str(tmp_path / "in")
     Q.events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(path)
