@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, las
         kept = D.drop_sentinels(kept, sentinel)
     if offsets is not None:
         kept = D.subtract_datum(kept, offsets)
-    return D.drop_empty_years(D.drop_spill_years(D.condense(kept), last_year))
+    return D.drop_spill_years(D.condense(kept), last_year)  # condensed days have readings, so there are no empty years
 
 
 def run_ingest(
@@ -60,25 +62,23 @@ def run_ingest(
     due = pieces.join(work, "station_id").where(F.col("year").isNull() | (F.col("year") >= F.col("start_year"))).drop("start_year")
     counts, at = ingest.Counts(), new_path(spark, "outcome")
     try:
-        readings, failures, empty = ingest.outcome(due, at, counts)
-        fresh = ingest_archive(readings, stations, now, running_year, sentinel)
+        found = ingest.sorted_out(due, at, counts)
+        failures, empty, good = found["failures"], found["empty"], found["good"]
+        fresh = ingest_archive(found["readings"], stations, now, running_year, sentinel)
         with states.aside(fresh) as fresh:
             touched = [r["year"] for r in fresh.select("year").distinct().collect()]
-            merged = fresh
-            if old["daily"] is not None:
-                merged = D.merge_extremes(old["daily"].where(F.col("year").isin(touched)), fresh)
-            with states.aside(merged) as merged:
+            with nullcontext(fresh) if old["daily"] is None else states.aside(D.merge_extremes(old["daily"].where(F.col("year").isin(touched)), fresh)) as merged:
                 years = own = I.year_counts(merged)
                 if old["years"] is not None:
                     years = old["years"].where(~F.col("year").isin(touched)).select(own.columns).unionByName(own)
                 bad = failures.select("station_id").distinct()
-                seen = readings.select("station_id").unionByName(empty.select("station_id")).distinct()
+                seen = good.select("station_id").unionByName(empty.select("station_id")).distinct()
                 done = work.join(seen, "station_id", "left_semi").join(bad, "station_id", "left_anti").join(stations.select("station_id", "name"), "station_id")
                 advanced = done.select("station_id", "name", F.lit(from_year).alias("fetched_from"), F.lit(min(to_year, running_year - 1)).alias("fetched_through"), F.lit(source).alias("source"))
                 new_state = I.upsert_state(state, advanced)
                 previous = old["manifest"] if old["manifest"] is not None else nothing(n="string", w="string")
                 manifest = I.manifest_of(stations, I.stats_of_years(years, running_year), new_state, previous, source)
-                tables = {"daily": merged, "years": own, "state": new_state, "manifest": manifest, "failures": ingest.ledger(old["failures"], readings, failures, empty)}
+                tables = {"daily": merged, "years": own, "state": new_state, "manifest": manifest, "failures": ingest.ledger(old["failures"], good, failures, empty)}
                 by = {"daily": "year", "years": "year"}
                 order = {n: order_of(t, by.get(n)) for n, t in tables.items()} | {"failures": ingest.KEY}
                 states.commit(spark, path, tables, by, order)

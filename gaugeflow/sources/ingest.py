@@ -79,27 +79,36 @@ class Counts:
         return self._seen.get
 
 
+def sorted_out(pieces: DataFrame, path: str, counts: Counts | None = None) -> dict[str, DataFrame]:
+    """``outcome``'s ``readings``, ``failures`` and ``empty``, and as ``good`` the
+    keys of the pieces that gave readings. The pass over ``pieces`` writes them
+    to ``path`` by kind, a piece a row: what asks for keys alone then reads no
+    points, and none is laid out with its piece's key beside it."""
+    pieces = pieces.select(PIECE) if counts is None else counts.on(pieces.select(PIECE))
+    kind = F.when(F.col("error").isNotNull(), "failure").when(F.size("points") > 0, "reading").otherwise("empty")
+    rows = pieces.select(*KEY, F.col("points").cast(POINTS).alias("points"), "error", kind.alias("kind"))
+    rows.write.partitionBy("kind").parquet(path)
+    back = pieces.sparkSession.read.schema(rows.schema).parquet(path)
+    of = lambda k: back.where(F.col("kind") == k)
+    readings = of("reading").select(*KEY, F.explode("points").alias("p")).select(*KEY, "p.ts", "p.value")
+    return {"readings": readings, "failures": of("failure").select(*KEY, "error").distinct(), "empty": of("empty").select(KEY).distinct(), "good": of("reading").select(KEY).distinct()}
+
+
 def outcome(pieces: DataFrame, path: str, counts: Counts | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Readings (key of the piece, ``ts, value``), failures (key, ``error``)
     and the keys of empty pieces, all from one pass over ``pieces``, which
-    writes them to ``path`` by kind. Pieces that came twice give their readings
+    writes them to ``path``. Pieces that came twice give their readings
     twice: extremes merge alike."""
-    pieces = pieces.select(PIECE) if counts is None else counts.on(pieces.select(PIECE))
-    row = "struct<kind: string, ts: timestamp, value: double, error: string>"
-    reading = F.transform("points", lambda p: F.struct(F.lit("reading"), p["ts"], p["value"], F.lit(None).cast("string")).cast(row))
-    other = F.array(F.struct(F.when(F.col("error").isNull(), "empty").otherwise("failure"), F.lit(None).cast("timestamp"), F.lit(None).cast("double"), F.col("error")).cast(row))
-    rows = pieces.select(*KEY, F.explode(F.when(F.col("error").isNull() & (F.size("points") > 0), reading).otherwise(other)).alias("r")).select(*KEY, "r.*")
-    rows.write.partitionBy("kind").parquet(path)
-    back = pieces.sparkSession.read.schema(rows.schema).parquet(path)
-    kind = lambda k: back.where(F.col("kind") == k)
-    return kind("reading").select(*KEY, "ts", "value"), kind("failure").select(*KEY, "error").distinct(), kind("empty").select(KEY).distinct()
+    found = sorted_out(pieces, path, counts)
+    return found["readings"], found["failures"], found["empty"]
 
 
 def ledger(before: DataFrame | None, readings: DataFrame, failures: DataFrame, empty: DataFrame) -> DataFrame:
     """Open failures (key, ``error, attempts``) after a run: those before it
     whose pieces it has not mended (by readings, or by an empty answer), with
     one more attempt and the newest message where it failed again, and its own
-    new ones. A run repeated with the same pieces only counts attempts."""
+    new ones. A run repeated with the same pieces only counts attempts. Of the
+    readings only the keys are looked at: those of their pieces serve as well."""
     now = failures.groupBy(KEY).agg(F.min("error").alias("error"))
     if before is None:
         return now.withColumn("attempts", F.lit(1).cast("long"))

@@ -18,8 +18,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from urllib.parse import unquote
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from ..operators.order import numbered
 from .scratch import new_path, remove
 
-#: Rows of a file.
-FILE_ROWS = 5_000_000
+#: Rows of a file, which one task sorts and writes; and those for which a task more is worth its start, where files are smaller.
+FILE_ROWS, TASK_ROWS = 1_000_000, 250_000
 _NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -91,13 +92,18 @@ def read(spark: SparkSession, path: str, table: str = "") -> DataFrame | None:
     return spark.createDataFrame([], schema) if out is None else out
 
 
+#: Frames of ``aside``, which needn't be computed once again.
+_held: WeakSet[DataFrame] = WeakSet()
+
+
 @contextmanager
 def aside(df: DataFrame):
     """``df`` computed once into a table of its own, which goes when the block ends, however it does."""
     spark, at = df.sparkSession, new_path(df.sparkSession, "aside")
     try:
         df.write.parquet(at)
-        yield spark.read.schema(df.schema).parquet(at)
+        _held.add(copy := spark.read.schema(df.schema).parquet(at))
+        yield copy
     finally:
         remove(spark, at)
 
@@ -113,15 +119,19 @@ def _put(df: DataFrame, folder: str, by: str | None, order: list[str], file_rows
     fs, make = _hadoop(spark, folder)
     fs.delete(make(folder), True)
     try:
-        with aside(df) as copy:
+        with nullcontext(df) if df in _held else aside(df) as copy:
             groups = copy.groupBy(by) if by else copy.groupBy()
-            most = groups.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+            most, files, n = (x or 0 for x in groups.agg(F.count("*").alias("n")).agg(F.max("n"), F.sum(F.ceil(F.col("n") / file_rows)), F.sum("n")).first())
+            # At least a task a file, so that its rows don't grow with the table, and more while they are few, so that hardly two
+            # files meet in one; of small files a task has several.
+            least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            tasks = max(1, min(files if files > 64 else 4 * files, max(least, n // TASK_ROWS, 64)))
             if most <= file_rows:  # all ranks fall into file 0
                 filed = copy.withColumn("__file", F.lit(0).cast("long"))
             else:
-                filed = numbered(copy, order, [by] if by else None, at=ordered).drop("group_rows").withColumn("__file", F.floor(F.col("rank") / file_rows)).drop("rank")
+                filed = numbered(copy, order, [by] if by else None, at=ordered, parts=max(least, n // FILE_ROWS), few=True).drop("group_rows").withColumn("__file", F.floor(F.col("rank") / file_rows)).drop("rank")
             # Nobody reads the draft, so tasks may move their files themselves: the driver has no list of them to go through.
-            filed.repartition(*keys).sortWithinPartitions(*keys, *order).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).parquet(draft)
+            filed.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).parquet(draft)
     finally:
         remove(spark, ordered)
     written = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(draft).inputFiles()

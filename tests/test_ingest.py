@@ -104,3 +104,12 @@ def test_runs_of_nothing(spark, tmp_path):
     assert B.read_table(spark, path, "daily").count() == 0
     assert run(spark, path, ("s", "a", 2024, 200, answer(("2024-01-02T12:00:00+01:00", 1.0))))["station_years"] == 1
     assert B.read_table(spark, path, "daily").count() == 1
+
+
+def test_keys_of_pieces_are_read_without_their_points(spark, tmp_path):
+    """What only asks which pieces gave readings (the ledger, the work-list) doesn't lay out each reading for it."""
+    pieces = spark.createDataFrame([("s", "c", 2024, None, [(None, 1.0)] * 3, None), ("t", "c", 2024, None, [], None), ("u", "c", 2024, None, [], "boom")], f"station_id string, code string, year int, file string, points {N.POINTS}, error string")
+    found = N.sorted_out(pieces, str(tmp_path / "out"))
+    assert [r["station_id"] for k in ("good", "empty", "failures") for r in found[k].collect()] == ["s", "t", "u"]
+    assert found["readings"].count() == 3
+    assert "points" not in found["good"]._jdf.queryExecution().executedPlan().toString()

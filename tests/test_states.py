@@ -138,3 +138,13 @@ def test_a_file_that_cannot_be_moved_fails_the_commit(spark, tmp_path, monkeypat
     assert states.current(spark, path) is None
     states.commit(spark, path, {"": df}, {"": "year"}, {"": ["station_id", "doy"]})
     assert rows(B.read_table(spark, path)) == rows(df.select(sorted(df.columns)))
+
+
+def test_a_frame_that_is_held_is_not_copied_again(spark, tmp_path, monkeypatch):
+    """A merged table is computed into files by the job; its commit reads these, and writes only the table's own."""
+    df = daily(spark, *[(f"s{i}", f"202{i % 3}-01-01", 1.0, 9.0) for i in range(12)])
+    with states.aside(df) as held, monkeypatch.context() as m:
+        m.setattr(states, "aside", None)
+        states.commit(spark, str(tmp_path / "daily"), {"": held}, {"": "year"}, {"": ["station_id", "doy"]}, file_rows=2)
+    assert rows(states.read(spark, str(tmp_path / "daily"))) == rows(df)
+    assert len(list((tmp_path / "daily").rglob("rows-*.parquet"))) == 6
