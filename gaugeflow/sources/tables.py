@@ -47,7 +47,9 @@ def upsert_daily(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Merge fresh daily extremes into the table partitioned by year. Only years
     that ``fresh`` has are read and rewritten; station-years without a reading
     are skipped."""
-    with states.aside(drop_empty_years(fresh).select(*KEY, "min_v", "max_v")) as fresh:
+    with states.aside(fresh.select(*KEY, "min_v", "max_v")) as fresh:
+        if not fresh.where("min_v is null").isEmpty():  # only then a station-year can be without a reading
+            fresh = drop_empty_years(fresh)
         old = read_or_none(spark, path)
         if old is not None:
             years = [r["year"] for r in fresh.select("year").distinct().collect()]

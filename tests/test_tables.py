@@ -226,3 +226,13 @@ def test_datum_and_forecasts(spark):
     assert D.drop_forecasts(r, "2026-07-16 12:00:00").count() == 1
     offsets = spark.createDataFrame([("s", 3.0)], "station_id string, datum_offset double")
     assert D.subtract_datum(r, offsets).select("value").distinct().collect()[0][0] == 7
+
+
+def test_days_that_all_have_readings_are_not_looked_through_for_empty_years(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "daily")
+    B.upsert_daily(spark, path, daily(spark, ("s", "2024-01-01", 1.0, 2.0), ("s", "2024-01-02", None, None), ("t", "2024-01-01", None, None)))
+    with monkeypatch.context() as m:
+        m.setattr(B, "drop_empty_years", None)
+        B.upsert_daily(spark, path, daily(spark, ("u", "2024-01-01", 1.0, 2.0)))
+    assert sorted((r["station_id"], r["min_v"]) for r in B.read_table(spark, path).where("min_v is not null").collect()) == [("s", 1.0), ("u", 1.0)]
+    assert B.read_table(spark, path).where("station_id = 't'").isEmpty()
