@@ -40,16 +40,15 @@ def score_unusual(live: DataFrame, means: DataFrame, clim: DataFrame, least: int
 def score_counts(live: DataFrame, counts: DataFrame, clim: DataFrame, least: int = 45) -> DataFrame:
     """``score_unusual`` from ``value_counts``. A station's values and counts
     are sorted together once, so that the running sum of counts up to a value
-    is its place: no value meets each mean. A station has at most as many
-    counts as days."""
-    own = Window.partitionBy("station_id")
+    is its place: no value meets each mean. The same sort gives the counts' sum
+    and years. A station has at most as many counts as days."""
     there = live.where("value is not null").select("station_id", F.col("value").alias("x"), "month").distinct().withColumns({"n": F.lit(0).cast("long"), "live": F.lit(1)})
-    held = counts.join(live.select("station_id").distinct(), "station_id", "left_semi")
-    archive = held.groupBy("station_id", F.col("mean").alias("x")).agg(F.sum("n").alias("n")).withColumns({"month": F.lit(None).cast(dict(there.dtypes)["month"]), "live": F.lit(0)})
-    placed = there.unionByName(archive).withColumn("below", F.sum("n").over(own.orderBy("x", "live").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
-    years = held.groupBy("station_id").agg(F.count_distinct("year").alias("years"))
-    joined = placed.where((F.col("live") == 1) & (F.col("all") >= least)).join(years, "station_id")
-    joined = joined.join(clim.select("station_id", "month", F.col("mean").alias("c_mean"), "sd"), ["station_id", "month"], "left")
+    held = counts.join(live.select("station_id").distinct(), "station_id", "left_semi").select("station_id", F.col("mean").alias("x"), "n", "year", F.lit(0).alias("live"))
+    own = Window.partitionBy("station_id").orderBy("x", "live")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = {"below": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(whole), "years": F.size(F.collect_set("year").over(whole)).cast("long")}
+    placed = there.unionByName(held, allowMissingColumns=True).withColumns(sums).where((F.col("live") == 1) & (F.col("all") >= least))
+    joined = placed.join(clim.select("station_id", "month", F.col("mean").alias("c_mean"), "sd"), ["station_id", "month"], "left")
     return joined.select("station_id", F.col("x").alias("value"), "month", round_half_up(100 * F.col("below") / F.col("all")).alias("pct"), ((F.col("x") - F.col("c_mean")) / F.col("sd")).alias("z"), "years")
 
 

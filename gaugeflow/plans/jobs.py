@@ -206,9 +206,11 @@ def station_statistics(daily: DataFrame, current_year: int) -> DataFrame:
 def station_report(daily: DataFrame, current_year: int, live: DataFrame | None = None) -> dict[str, DataFrame]:
     """All statistics of an archive, from daily means that are computed once:
     ``climatology``, ``cells`` (year x month), ``overlay`` (years side by side)
-    and, for live values (``station_id, value, month``), ``scores``."""
+    and, for live values (``station_id, value, month``), ``scores``. Cells and
+    scores take two columns of the climatology: they leave its medians and
+    counts of years uncomputed."""
     means = once(S.daily_means(D.two_points(daily)), "means")
-    clim = once(S.climatology(means, current_year), "climatology")
+    clim = S.climatology(means, current_year)
     out = {"climatology": clim, "cells": S.month_cells(means, clim), "overlay": S.year_overlay(means)}
     return out if live is None else out | {"scores": S.score_unusual(live, means, clim)}
 
