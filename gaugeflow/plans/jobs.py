@@ -16,7 +16,7 @@ from ..operators import stats as S
 from ..operators import totals as T
 from ..sources import ingest, states
 from ..sources.scratch import new_path, once, remove
-from ..sources.tables import append_totals, order_of, prune_snapshot, rebuild_totals, upsert_daily, write_snapshot
+from ..sources.tables import append_totals, order_of, prune_snapshot, read_or_none, rebuild_totals, upsert_daily, write_snapshot
 
 
 def ingest_archive(readings: DataFrame, offsets: DataFrame | None, now: str, last_year: int, sentinel: float | None = SENTINEL) -> DataFrame:
@@ -131,19 +131,28 @@ def totals_run(spark: SparkSession, path: str, archive: DataFrame, stations: Dat
     """Totals from archive and snapshot to the tables ``daily``, ``monthly``
     (every river has all months from the first year on), ``overview`` and
     ``units`` at ``path``: all years anew, or, with ``append``, only the
-    running one into the table that is there. The filled days are computed
-    once, the sums once. Returns the stations' counters and the first day that
-    a snapshot filled (-1 if none did)."""
+    running one into the table that is there; then no other year's days are
+    summed, and of these only the stations and rivers are looked up. The
+    running year's days are filled once, the sums computed once. ``archive`` is
+    best a table, as it is read three times. Returns the stations' counters and
+    the first day that a snapshot filled (-1 if none did)."""
     today = F.to_date(F.lit(now).cast("timestamp") + F.expr("INTERVAL 1 HOUR"))
-    with states.aside(D.fill_gaps(archive, snapshot, running_year).where(F.col("day") <= today)) as filled, states.aside(T.river_daily_raw(filled, stations)) as raw:
-        first = raw.agg(F.min("year")).first()[0]
-        daily, monthly = T.river_daily(raw), T.river_monthly(raw, first if first is not None else running_year, running_year)
-        if append:
-            append_totals(spark, daily, monthly, path, running_year)
-        else:
-            rebuild_totals(daily, monthly, path, stations.where("unit is not null"))
-        begun = D.provisional_from(filled, running_year).first()[0]
-        return {**T.run_counters(filled, stations).first().asDict(), "provisional_from": -1 if begun is None else begun}
+    units = None if append else stations.where("unit is not null")
+    append = append and read_or_none(spark, path, "monthly") is not None
+    mine = F.year("day") == running_year
+    # Snapshots fill the running year alone, so days of others are neither joined nor copied.
+    past = D.with_mid(D.with_calendar(archive.where(~mine & (F.col("day") <= today)))).select(*D.KEY, "mid")
+    with states.aside(D.fill_gaps(archive.where(mine), snapshot, running_year).where(F.col("day") <= today)) as filled:
+        whole = past.unionByName(filled.select(past.columns))
+        with states.aside(T.river_daily_raw(filled if append else whole, stations)) as raw, states.aside(whole.where("mid is not null").select("station_id").distinct()) as there:
+            mids = there.withColumn("mid", F.lit(0.0))
+            if append:
+                append_totals(spark, T.river_daily(raw), T.river_monthly(raw, running_year, running_year), path, running_year, T.attributed(mids, stations).select("river"))
+            else:
+                first = raw.agg(F.min("year")).first()[0]
+                rebuild_totals(T.river_daily(raw), T.river_monthly(raw, first if first is not None else running_year, running_year), path, units)
+            begun = D.provisional_from(filled, running_year).first()[0]
+            return {**T.run_counters(mids, stations).first().asDict(), "provisional_from": -1 if begun is None else begun}
 
 
 def station_history(daily: DataFrame, points: DataFrame, manifest: DataFrame | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def _commit_totals(spark: SparkSession, path: str, tables: dict[str, DataFrame],
     states.commit(spark, path, tables, by, {n: order_of(df, by.get(n)) for n, df in tables.items()}, replace)
 
 
-def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, path: str, year: int) -> bool:
+def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, path: str, year: int, rivers: DataFrame | None = None) -> bool:
     """Rewrite one year's totals and the overview, as one new state. Without a
     table all years are built, and False is returned.
 
@@ -123,12 +123,13 @@ def append_totals(spark: SparkSession, daily: DataFrame, monthly: DataFrame, pat
     is computed where there is a table. Cells that the old partition has and
     the new frame lacks are written as nulls: a reader sees that they were
     there. A table from before there was ``diff`` gets it, as nulls in other
-    years."""
+    years. ``rivers`` (``river``) have all the year's months too, though the
+    table and the frames may lack them."""
     if (old := read_or_none(spark, path, "monthly")) is None:
         rebuild_totals(daily, monthly, path)
         return False
-    rivers = old.select("river").union(monthly.where(F.col("year") == year).select("river")).distinct()
-    months = rivers.select("river", F.lit(year).alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    known = old.select("river").union(monthly.where(F.col("year") == year).select("river"))
+    months = (known if rivers is None else known.union(rivers.select("river"))).distinct().select("river", F.lit(year).alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
     grid = months.join(monthly.where(F.col("year") == year), ["river", "year", "month"], "left")
     if "diff" not in old.columns:
         old = old.withColumn("diff", F.lit(None).cast(dict(grid.dtypes)["diff"]))

@@ -97,3 +97,17 @@ def test_explorer_sums_rivers_once(spark, monkeypatch, name):
     monkeypatch.setattr(Q.tables, "rebuild_totals", lambda daily, monthly, path: seen.extend([*daily.inputFiles(), *monthly.inputFiles()]) or f(daily, monthly, path))
     assert Q.QUERIES[name](spark.newSession(), SF).count() > 0
     assert seen and all("lineitem" not in file for file in seen)
+
+
+def test_an_appended_year_sums_no_other(spark, tmp_path, monkeypatch):
+    """Only the running year is filled and summed; counters and rivers are those of all years, and other years stay as they are."""
+    path, stations = str(tmp_path / "totals"), frame(spark, "station_id string, river string, unit string", ("a", "R", "cm"), ("b", "S", "cm"), ("c", "T", "cm"), ("d", "U", "m"))
+    empty, f, years = frame(spark, "station_id string, day date, value double"), J.T.river_daily, []
+    J.totals_run(spark, path, daily(spark, ("a", "2023-01-01", 1.0, 3.0)), stations, empty, "2024-02-01 12:00:00", 2024)
+    monkeypatch.setattr(J.T, "river_daily", lambda raw: years.extend(r["year"] for r in raw.select("year").distinct().collect()) or f(raw))
+    snap = frame(spark, "station_id string, day string, value double", ("a", "2024-01-02", 8.0), ("a", "2023-01-02", 9.0), ("a", "2024-03-01", 7.0)).withColumn("day", F.to_date("day"))
+    got = J.totals_run(spark, path, daily(spark, ("a", "2023-01-01", 5.0, 5.0), ("a", "2024-01-01", 4.0, 6.0), ("b", "2023-01-05", 7.0, 9.0)), stations, snap, "2024-02-01 12:00:00", 2024, append=True)
+    assert years == [2024] and got == {"included": 2, "silent": 1, "unattributed": 0, "excluded": 1, "provisional_from": 1}
+    assert one(B.read_table(spark, path, "daily"), "river", "year", "doy", "v", "dv") == [("R", 2023, 0, 2, None), ("R", 2024, 0, 5, None), ("R", 2024, 1, 8, 3)]
+    months = B.read_table(spark, path, "monthly")
+    assert one(months.where("v is not null"), "river", "year", "month", "v", "diff") == [("R", 2023, 1, 2, None), ("R", 2024, 1, 7, 3)] and months.where("river = 'S' and year = 2024").count() == 12
