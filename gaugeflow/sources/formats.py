@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import fold_name, plausible
 from ..operators.river import resolve_names
+from .scratch import once
 
 CATALOGUE = """uuid STRING, shortname STRING, km DOUBLE, latitude DOUBLE, longitude DOUBLE, water STRUCT<shortname: STRING>,
  timeseries ARRAY<STRUCT<shortname: STRING, unit: STRING, gaugeZero: STRUCT<value: DOUBLE>,
@@ -110,8 +111,9 @@ def station_from_file_name(path: Column) -> Column:
 
 def with_station(files: DataFrame, names: DataFrame, fallback: str | None = None, by: str = "entry") -> DataFrame:
     """``files`` with the ``station`` that the name in column ``by`` means, in
-    either fold; ``fallback`` where it means none."""
-    named = files.withColumn("q", station_from_file_name(F.col(by)))
+    either fold; ``fallback`` where it means none. Files are computed once,
+    into a table of which the look-up reads the names alone."""
+    named = once(files.withColumn("q", station_from_file_name(F.col(by))), "named")
     known = resolve_names(named.where("q <> ''").select("q").distinct(), names)
     return named.join(known, "q", "left").withColumn("station", F.coalesce("name", F.lit(fallback).cast("string"))).drop("q", "name")
 

@@ -297,3 +297,11 @@ def test_point_archive(spark):
     assert one(new, "station_id", "value") == [("KÖLN", 5.0), ("KÖLN", 6.0)]
     assert S2.import_points(text, new).count() == 0
     assert S2.import_points(S2.export_points(new), new).count() == 0
+
+
+def test_files_are_unzipped_once(spark):
+    """The look-up of stations and the bodies share one reading of the archives."""
+    files = spark.range(2).selectExpr("concat('/in/', id) path", "cast('no archive' as binary) content")
+    named = S2.with_station(S2.ingest_zip(files), frame(spark, "name string", ("KÖLN",)), "BONN")
+    assert "MapInPandas" not in named._jdf.queryExecution().executedPlan().toString()
+    assert one(named, "station", "body") == [("BONN", None), ("BONN", None)]
